@@ -390,3 +390,7 @@ def q_distinct_categories(spark, sf_dir):
     """F11 sorted distinct merchant categories."""
     txn, pred = views(spark, sf_dir)
     return dash.distinct_values(mon.monitoring_frame(txn, pred), "merchant_category")
+
+
+# The remaining operators register themselves on import.
+from txnwatch import catalog_ops  # noqa: E402,F401

@@ -113,10 +113,10 @@ def rule_columns() -> RuleColumns:
     for term in score_terms[1:]:
         total = total + term
     score = F.least(total, F.lit(RULE_SCORE_CAP))
-    reasons = F.filter(F.array(*reason_terms), lambda r: r.isNotNull())
-    text = F.when(F.size(reasons) == 0, F.lit(NO_RULE_REASON)).otherwise(
-        F.array_join(reasons, REASON_SEPARATOR)
-    )
+    reasons = F.array_compact(F.array(*reason_terms))
+    # concat_ws skips NULL arguments, so the text needs no array at all
+    joined = F.concat_ws(REASON_SEPARATOR, *reason_terms)
+    text = F.when(joined == "", F.lit(NO_RULE_REASON)).otherwise(joined)
     return RuleColumns(score=score, reasons=reasons, reasons_text=text)
 
 

@@ -68,24 +68,26 @@ def account_window_stats(
     def bucket(us_col):
         return F.floor(us_col / F.lit(bucket_us)).cast("bigint")
 
-    parts = [
-        keys.select("_acct", "_tie", "_us", bucket(F.col("_us")).alias("_b"), F.lit(0).alias("_kind"), "_amt")
-    ]
+    # One scan: each row yields itself (kind 0) and one lower-bound marker per
+    # window (kind i, at us - W_i, no amount), by explode rather than a union
+    # of several scans.
+    variants = [F.struct(F.lit(0).alias("k"), F.col("_us").alias("u"), F.col("_amt").alias("a"))]
     for i, name in enumerate(names, start=1):
-        shifted = F.col("_us") - F.lit(int(windows[name]))
-        parts.append(
-            keys.select(
-                "_acct",
-                "_tie",
-                shifted.alias("_us"),
-                bucket(shifted).alias("_b"),
-                F.lit(i).alias("_kind"),
-                F.lit(None).cast(SUM_TYPE).alias("_amt"),
+        variants.append(
+            F.struct(
+                F.lit(i).alias("k"),
+                (F.col("_us") - F.lit(int(windows[name]))).alias("u"),
+                F.lit(None).cast(SUM_TYPE).alias("a"),
             )
         )
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+    union = keys.select("_acct", "_tie", F.explode(F.array(*variants)).alias("_v")).select(
+        "_acct",
+        "_tie",
+        F.col("_v.u").alias("_us"),
+        bucket(F.col("_v.u")).alias("_b"),
+        F.col("_v.k").alias("_kind"),
+        F.col("_v.a").alias("_amt"),
+    )
 
     # Per-bucket totals and their running sum over earlier buckets (small table).
     totals = union.groupBy("_acct", "_b").agg(F.count("_amt").alias("_bn"), F.sum("_amt").alias("_bs"))

@@ -233,7 +233,7 @@ fx_pred5 AS (SELECT *, {decision_sql} AS decision FROM fx_pred4),
 pred AS (SELECT {pred_cols} FROM fx_pred5),
 raw AS (
   SELECT event_id,
-         (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1000000.0 AS Time,
+         (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1000000.0::DOUBLE AS Time,
          round(value * 10, 2) AS Amount,
          {_label_sql()} AS Class
   FROM {source}
