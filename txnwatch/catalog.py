@@ -393,4 +393,4 @@ def q_distinct_categories(spark, sf_dir):
 
 
 # The remaining operators register themselves on import.
-from txnwatch import catalog_models, catalog_ops  # noqa: E402,F401
+from txnwatch import catalog_models, catalog_ops, catalog_stream  # noqa: E402,F401

@@ -12,6 +12,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnwatch.operators import quality
 from txnwatch.schema import PREDICTION_COLUMNS, PREDICTIONS_SCHEMA, TRANSACTION_COLUMNS, TRANSACTIONS_SCHEMA
@@ -100,10 +101,14 @@ def reset_store(spark: SparkSession, root: str) -> None:
     spark.createDataFrame([], PREDICTIONS_SCHEMA).write.mode("overwrite").parquet(_pred_path(root))
 
 
+TX_FILE_SCHEMA = T.StructType(list(TRANSACTIONS_SCHEMA.fields) + [T.StructField("txn_date", T.DateType(), True)])
+
+
 def read_monitoring_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Both tables with their stored schemas (``txn_date`` dropped)."""
-    tx = spark.read.parquet(_tx_path(root)).select(*TRANSACTION_COLUMNS)
-    pr = spark.read.parquet(_pred_path(root))
+    """Both tables with their stored schemas (``txn_date`` dropped). The schemas
+    are given, not inferred, so empty tables read fine and scans prune columns."""
+    tx = spark.read.schema(TX_FILE_SCHEMA).parquet(_tx_path(root)).select(*TRANSACTION_COLUMNS)
+    pr = spark.read.schema(PREDICTIONS_SCHEMA).parquet(_pred_path(root))
     return tx, pr
 
 
