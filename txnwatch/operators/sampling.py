@@ -68,7 +68,7 @@ def shuffled_order(key: str, seed: int = RANDOM_SEED) -> list[Column]:
     return [keyed_uniform(f"shuffle{seed}", key), F.col(key)]
 
 
-def test_allocation(class_counts: dict, test_size: float = TEST_SIZE) -> dict:
+def split_allocation(class_counts: dict, test_size: float = TEST_SIZE) -> dict:
     """Test rows per class: ``ceil(test_size * n)`` in all, split in proportion,
     leftovers to the largest remainders (ties to the smaller label)."""
     if len(class_counts) < 2:
@@ -102,7 +102,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = TES
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     if None in counts:
         raise ValueError("labels must not be NULL")
-    alloc = test_allocation(counts, test_size)
+    alloc = split_allocation(counts, test_size)
     start, acc = {}, 0
     for c in sorted(counts):
         start[c] = acc
