@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from txnwatch.functions.scalars import clip
 
 # ---------------------------------------------------------------------------
 # Blend weights, anomaly slope, bump, band cut points, decisions.
@@ -33,20 +32,27 @@ def anomaly_to_risk(anomaly_score: Column | str) -> Column:
 
 def combine_risk_components(ml_probability: Column | str, anomaly_risk: Column | str,
                             rule_score: Column | str) -> Column:
-    """clip(60·ml + 20·anomaly_risk + 0.2·rule, 0, 100)."""
-    combined = (
-        _c(ml_probability) * F.lit(100.0) * F.lit(ML_WEIGHT)
-        + _c(anomaly_risk) * F.lit(100.0) * F.lit(ANOMALY_WEIGHT)
-        + _c(rule_score) * F.lit(RULE_WEIGHT)
+    """clip(60·ml + 20·anomaly_risk + 0.2·rule, 0, 100); NULL when an input is NULL.
+
+    The blend appears once in the expression (the NULL test reads the inputs),
+    so a filter that Catalyst rewrites through this projection stays small.
+    """
+    ml, ar, rule = _c(ml_probability), _c(anomaly_risk), _c(rule_score)
+    combined = ml * F.lit(100.0) * F.lit(ML_WEIGHT) + ar * F.lit(100.0) * F.lit(ANOMALY_WEIGHT) + rule * F.lit(RULE_WEIGHT)
+    return F.when(ml.isNull() | ar.isNull() | rule.isNull(), F.lit(None).cast("double")).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(100.0), combined))
     )
-    return clip(combined, 0.0, 100.0)
 
 
 def bumped_risk(risk: Column | str, anomaly_flag: Column | str) -> Column:
-    """+10 when flagged and below 55, then clip again."""
+    """+10 when flagged and below 55.
+
+    A bumped score is below 65 and any other score keeps its value in
+    [0, 100], so the clip that follows the bump never binds and is omitted
+    (NaN stays NaN, as with a clip).
+    """
     r = _c(risk)
-    bumped = F.when((_c(anomaly_flag) == 1) & (r < F.lit(BUMP_BELOW)), r + F.lit(BUMP_POINTS)).otherwise(r)
-    return clip(bumped, 0.0, 100.0)
+    return r + F.when((_c(anomaly_flag) == 1) & (r < F.lit(BUMP_BELOW)), F.lit(BUMP_POINTS)).otherwise(F.lit(0.0))
 
 
 def risk_band(score: Column | str) -> Column:
@@ -66,13 +72,27 @@ def decision_from_band(band: Column | str) -> Column:
 
 def risk_columns(ml_probability: Column | str, anomaly_score: Column | str, anomaly_flag: Column | str,
                  rule_score: Column | str) -> dict[str, Column]:
-    """R2-R6 chained: returns ``risk_score``, ``risk_band`` and ``decision`` columns."""
+    """R2-R6 as three expressions (for a single select). Prefer
+    ``add_risk_columns``, which stages them so no expression is repeated."""
     combined = combine_risk_components(ml_probability, anomaly_to_risk(anomaly_score), rule_score)
     score = bumped_risk(combined, anomaly_flag)
     band = risk_band(score)
     return {"risk_score": score, "risk_band": band, "decision": decision_from_band(band)}
 
 
+def add_risk_columns(df, ml_probability: str = "ml_probability", anomaly_score: str = "anomaly_score",
+                     anomaly_flag: str = "anomaly_flag", rule_score: str = "rule_score"):
+    """R2-R6 on a DataFrame: blend, bump, band, decision, each step reading the
+    previous step's column, so the generated code stays small (no repeated
+    sub-expressions) and inside whole-stage codegen."""
+    staged = df.withColumn(
+        "_combined", combine_risk_components(ml_probability, anomaly_to_risk(anomaly_score), rule_score)
+    )
+    staged = staged.withColumn("risk_score", bumped_risk("_combined", anomaly_flag)).drop("_combined")
+    staged = staged.withColumn("risk_band", risk_band("risk_score"))
+    return staged.withColumn("decision", decision_from_band("risk_band"))
+
+
 def risk_sql_duckdb(ml: str, anomaly: str, flag: str, rule: str) -> tuple[str, str, str]:
     """The same chain as DuckDB SQL text, for the oracle."""
     combined = (

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from txnwatch.operators.features import ScalerParams, fit_standard_scaler
 from txnwatch.operators.prefix import exact_quantile
+from txnwatch.session import ship_package
 from txnwatch.schema import IFOREST_CONTAMINATION, IFOREST_MAX_SAMPLES, IFOREST_TREES, RANDOM_SEED
 
 EULER_GAMMA = 0.5772156649015329
@@ -198,6 +199,7 @@ def fit_isolation_forest(
     seed: int = RANDOM_SEED,
 ) -> Forest:
     """M5: fit on ``df`` (standardised first, as in the reference pipeline)."""
+    ship_package(df.sparkSession)
     n = df.count()
     if n == 0:
         raise ValueError("cannot fit an isolation forest on no rows")
@@ -255,6 +257,7 @@ def score_forest(df: DataFrame, forest: Forest, raw: bool = False) -> DataFrame:
     All columns of ``df`` pass through.
     """
     spark = df.sparkSession
+    ship_package(spark)
     arrays_bc = spark.sparkContext.broadcast(forest.arrays())
     k = len(forest.features)
     prepared = df.select("*", *_scaled(df, forest.scaler, forest.features))

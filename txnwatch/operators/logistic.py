@@ -142,9 +142,10 @@ def _fit_newton(data: DataFrame, encoder: FeatureEncoder, max_iter: int = 100, t
     renamed = data.toDF(*[f"f{i}" for i in range(len(names))], "_y", "_w")
     cols = [f"f{i}" for i in range(len(names))]
     spark = data.sparkSession
-    from txnwatch.session import ensure_checkpoint_dir
+    from txnwatch.session import ensure_checkpoint_dir, ship_package
 
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     renamed = renamed.checkpoint(eager=True)  # reused by every pass
     d = len(names) + 1
     beta = np.zeros(d)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnwatch.session import ensure_checkpoint_dir
+from txnwatch.session import ensure_checkpoint_dir, ship_package
 
 PID = "_pid"
 
@@ -61,6 +61,7 @@ def prefix_sums(
         raise ValueError("no values to sum")
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     names = list(values)

@@ -10,7 +10,8 @@ Plan, designed for skewed accounts (one account may hold a third of all rows):
 * ``count(t-W, t] = C(t) - C(t-W)`` where ``C(x)`` is the running count of the
   account up to x (own row and earlier ties included for the own row; all rows
   with ts <= x for the lower bound). Same for the sum, in exact decimal, so
-  the difference of two large running sums loses nothing.
+  the difference of two large running sums loses nothing (amounts are taken
+  to four decimal places).
 * Rows are keyed by ``(account, bucket)`` with ``bucket = floor(us / B)``
   (default one hour), so no task ever holds a whole account: a partition holds
   one account-hour of rows plus the lower-bound markers that land in it.
@@ -35,7 +36,10 @@ from pyspark.sql import functions as F
 from txnwatch.functions.scalars import micros_ntz
 from txnwatch.schema import DAY_US, HOUR_US
 
-SUM_TYPE = "decimal(38,6)"
+# Amounts enter as a long-backed decimal (precision <= 18: fast, exact to four
+# places, which covers money); only the final window sums are widened.
+AMOUNT_TYPE = "decimal(18,4)"
+SUM_TYPE = "decimal(38,4)"
 
 
 def account_window_stats(
@@ -62,7 +66,7 @@ def account_window_stats(
         F.col(account).alias("_acct"),
         F.col(tie).alias("_tie"),
         micros_ntz(ts).alias("_us"),
-        F.col(amount).cast(SUM_TYPE).alias("_amt"),
+        F.col(amount).cast(AMOUNT_TYPE).alias("_amt"),
     ).where(F.col("_acct").isNotNull() & F.col("_us").isNotNull())
 
     def bucket(us_col):
@@ -77,7 +81,7 @@ def account_window_stats(
             F.struct(
                 F.lit(i).alias("k"),
                 (F.col("_us") - F.lit(int(windows[name]))).alias("u"),
-                F.lit(None).cast(SUM_TYPE).alias("a"),
+                F.lit(None).cast(AMOUNT_TYPE).alias("a"),
             )
         )
     union = keys.select("_acct", "_tie", F.explode(F.array(*variants)).alias("_v")).select(
@@ -96,7 +100,7 @@ def account_window_stats(
         "_acct",
         "_b",
         F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_pn"),
-        F.coalesce(F.sum("_bs").over(before), F.lit(0).cast(SUM_TYPE)).alias("_ps"),
+        F.coalesce(F.sum("_bs").over(before), F.lit(0).cast(AMOUNT_TYPE)).alias("_ps"),
     )
 
     running = Window.partitionBy("_acct", "_b").orderBy("_us", "_kind", "_tie").rowsBetween(
@@ -106,7 +110,7 @@ def account_window_stats(
         "_tie",
         "_kind",
         (F.col("_pn") + F.count("_amt").over(running)).alias("_cn"),
-        (F.col("_ps") + F.coalesce(F.sum("_amt").over(running), F.lit(0).cast(SUM_TYPE))).alias("_cs"),
+        (F.col("_ps") + F.coalesce(F.sum("_amt").over(running), F.lit(0).cast(AMOUNT_TYPE))).alias("_cs"),
     )
 
     aggs = [

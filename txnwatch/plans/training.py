@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from txnwatch.functions.draws import keyed_bernoulli, keyed_integer, weighted_choice
 from txnwatch.functions.rules import rule_columns
 from txnwatch.functions.scalars import day_text, hour_of, offset_timestamp, padded_id, ratio_with_epsilon, success_probability
-from txnwatch.functions.scoring import risk_columns
+from txnwatch.functions.scoring import add_risk_columns
 from txnwatch.operators import metrics as M
 from txnwatch.operators.features import fit_encoder
 from txnwatch.operators.iforest import Forest, fit_isolation_forest, score_forest
@@ -124,8 +124,7 @@ def score_transactions(df: DataFrame, bundle: ModelBundle, key: str = "transacti
             "rule_reasons": rc.reasons_text,
         }
     )
-    scored = scored.withColumns(risk_columns("ml_probability", "anomaly_score", "anomaly_flag", "rule_score"))
-    return scored.select(*PREDICTION_COLUMNS)
+    return add_risk_columns(scored).select(*PREDICTION_COLUMNS)
 
 
 def run_summary(transactions: DataFrame, predictions: DataFrame, sample_size: int, metrics: dict) -> dict:

@@ -6,8 +6,11 @@ caller owns the session; library code only reads settings from it.
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +34,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8) -> SparkSe
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -53,3 +57,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+_SHIPPED: set[tuple[int, str]] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``txnwatch`` importable in executor Python workers.
+
+    Operators that run Python on executors (``mapInPandas``,
+    ``applyInPandas``, streaming state) pickle functions by module reference,
+    so the workers must import this package: it is zipped once per
+    SparkContext and shipped with ``addPyFile`` (what ``--py-files`` does).
+    """
+    sc = spark.sparkContext
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    arc = os.path.relpath(full, os.path.dirname(pkg_dir))
+                    zf.write(full, arc)
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:12]
+    key = (id(sc._jsc), digest)
+    if key in _SHIPPED:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="txnwatch-pkg-"), f"txnwatch_{digest}.zip")
+    with open(path, "wb") as fh:
+        fh.write(data)
+    sc.addPyFile(path)
+    _SHIPPED.add(key)

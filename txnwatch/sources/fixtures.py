@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from txnwatch.functions.draws import keyed_uniform
 from txnwatch.functions.rules import rule_columns, rule_sql_duckdb
 from txnwatch.functions.scalars import hour_of, micros_ntz, padded_id, ratio_with_epsilon, success_probability
-from txnwatch.functions.scoring import risk_columns, risk_sql_duckdb
+from txnwatch.functions.scoring import add_risk_columns, risk_sql_duckdb
 from txnwatch.operators.rolling import add_account_rollups
 from txnwatch.schema import MERCHANT_CATEGORIES, PREDICTION_COLUMNS, TRANSACTION_COLUMNS
 
@@ -106,8 +106,7 @@ def predictions_from_transactions(txn: DataFrame) -> DataFrame:
         rc.reasons_text.alias("rule_reasons"),
     )
     scored = scored.withColumn("anomaly_flag", (F.col("anomaly_score") < 0).cast("int"))
-    scored = scored.withColumns(risk_columns("ml_probability", "anomaly_score", "anomaly_flag", "rule_score"))
-    return scored.select(*PREDICTION_COLUMNS)
+    return add_risk_columns(scored).select(*PREDICTION_COLUMNS)
 
 
 def raw_from_events(events: DataFrame) -> DataFrame:

@@ -20,7 +20,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One provided table as a DataFrame (Parquet: pushdown and pruning apply)."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has
+    cores (a small file with one row group), so row-wise work after the scan
+    runs in parallel. Large inputs already have enough splits and are left
+    alone; filters and column pruning still reach the scan below the
+    repartition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def has_required_columns(df: DataFrame, required: Sequence[str] = REQUIRED_SOURCE_COLUMNS) -> bool:

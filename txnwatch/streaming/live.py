@@ -28,6 +28,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from txnwatch.functions.scalars import ratio_with_floor, to_day
 from txnwatch.operators.quality import live_input_checks, split_valid
 from txnwatch.schema import DAY_US, HOUR_US, TRANSACTIONS_SCHEMA
+from txnwatch.session import ship_package
 from txnwatch.sources import store
 
 
@@ -167,6 +168,7 @@ def _roll_account(key, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 
 def rolling_features_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
     """K5: per-account rolling features for arriving rows (in-order input)."""
+    ship_package(stream.sparkSession)
     s = stream.select(
         "transaction_id",
         "account_id",
