@@ -49,9 +49,11 @@ def q_one_hot(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
+    """Model inputs (read by many passes: split, fit, score), checkpointed once."""
     txn, _ = views(spark, sf_dir)
     cols = ["transaction_id", "label", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES]
-    return txn.select(*cols), stratified_split(txn.select(*cols), "label", "transaction_id")
+    inputs = txn.select(*cols).checkpoint(eager=True)
+    return inputs, stratified_split(inputs, "label", "transaction_id")
 
 
 @register("logistic_fit", None)

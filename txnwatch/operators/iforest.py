@@ -209,13 +209,19 @@ def fit_isolation_forest(
     scaled = df.select(key, *_scaled(df, scaler, feature_cols))
     fcols = [f"_f{i}" for i in range(len(feature_cols))]
     sample = tree_samples(scaled, key, fcols, n_trees, psi, n, seed)
+    # The per-tree samples are small (trees x psi rows) whatever the input
+    # size, so AQE would coalesce them into one task; an explicit hash
+    # repartition by tree keeps the tree builds parallel (the groupBy reuses it).
+    slots = max(1, min(n_trees, df.sparkSession.sparkContext.defaultParallelism * 2))
     nodes = (
-        sample.groupBy("tree_id")
+        sample.repartition(slots, "tree_id")
+        .groupBy("tree_id")
         .applyInPandas(_tree_builder(fcols, seed, max_depth), NODE_SCHEMA)
         .toPandas()  # at most n_trees * (2 psi - 1) rows
     )
     forest = Forest(feature_cols, scaler, nodes, psi, 0.0, max_depth)
-    train_scores = score_forest(df.select(key, *feature_cols), forest, raw=True)
+    # One scoring pass over the training rows, kept for the ranking passes.
+    train_scores = score_forest(df.select(key, *feature_cols), forest, raw=True).checkpoint(eager=True)
     offset = exact_quantile(train_scores, "anomaly_score", contamination, key)
     forest.offset = float(offset)
     return forest

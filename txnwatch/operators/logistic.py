@@ -110,7 +110,7 @@ def fit_logistic(train: DataFrame, label: str, encoder: FeatureEncoder, exact: b
         standardization=False,
         fitIntercept=True,
         maxIter=max_iter,
-        tol=1e-10,
+        tol=1e-6,
     )
     m = lr.fit(assembled)
     return LogisticModel(encoder, float(m.intercept), [float(x) for x in m.coefficients.toArray()], "mllib")

@@ -4,17 +4,19 @@ A window with an ORDER BY and no PARTITION BY runs in one task. Instead:
 
 1. ``repartitionByRange`` on the full order (a hot value of the leading
    column is split across partitions because the later columns are part of
-   the range key), then sort within partitions;
-2. local running sums per partition in one pass (``mapInPandas`` over Arrow
-   batches, carrying the total across batches; no further shuffle);
-3. the result is checkpointed to the shared checkpoint folder so partition
-   ids stay fixed even if an executor is lost and the range bounds would be
-   re-sampled on recomputation;
+   the range key); each row records its range partition id;
+2. the ranged rows are checkpointed to the shared checkpoint folder, so the
+   partition ids stay fixed even if an executor is lost and the range bounds
+   would be re-sampled on recomputation;
+3. local running sums: a running window per range partition (balanced by
+   construction), or, for plain row numbers, the row's position within its
+   partition read from ``monotonically_increasing_id`` (consecutive within a
+   partition; no further shuffle);
 4. per-partition totals (one row per partition, a proven bound) are
    collected, turned into offsets and joined back by broadcast.
 
-The order columns must make the order total (end with a unique key) for a
-deterministic result.
+Everything runs in the JVM. The order columns must make the order total
+(end with a unique key) for a deterministic result.
 """
 
 from __future__ import annotations
@@ -22,29 +24,49 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnwatch.session import ensure_checkpoint_dir, ship_package
+from txnwatch.session import ensure_checkpoint_dir
 
 PID = "_pid"
 
 
-def _local_running(value_names: list[str]):
-    def run(batches):
-        carry = {k: None for k in value_names}
-        for pdf in batches:
-            for k in value_names:
-                s = pdf[f"_v_{k}"].cumsum()
-                if carry[k] is not None:
-                    s = s + carry[k]
-                if len(s):
-                    carry[k] = s.iloc[-1]
-                pdf[f"_c_{k}"] = s
-            yield pdf
-
-    return run
+def _ranged(df: DataFrame, order_cols: list[Column], n: int, local_index: bool = False) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(n, *order_cols)
+    if local_index:
+        ranged = ranged.sortWithinPartitions(*order_cols)
+    ranged = ranged.withColumn(PID, F.spark_partition_id())
+    if local_index:
+        ranged = ranged.withColumn(
+            "_local", F.monotonically_increasing_id() - F.shiftleft(F.col(PID).cast("bigint"), 33)
+        )
+    return ranged.checkpoint(eager=True)
+
+
+def _offsets(ranged: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """Exclusive running totals of the per-partition totals, as a small frame."""
+    spark = ranged.sparkSession
+    names = list(totals)
+    rows = ranged.groupBy(PID).agg(*[t.alias(k) for k, t in totals.items()]).collect()  # one row per partition
+    rows.sort(key=lambda r: r[PID])
+    types = {k: ranged.select(totals[k].alias(k)).schema[k].dataType for k in names}
+    running = {k: 0 for k in names}
+    out = []
+    for r in rows:
+        out.append((int(r[PID]), *[running[k] for k in names]))
+        for k in names:
+            running[k] = running[k] + (r[k] or 0)
+    schema = T.StructType(
+        [T.StructField(PID, T.IntegerType(), False)]
+        + [T.StructField(f"_o_{k}", types[k], False) for k in names]
+    )
+    fixed = [
+        (p, *[int(v) if isinstance(types[k], T.LongType) else float(v) for k, v in zip(names, vs)]) for p, *vs in out
+    ]
+    return spark.createDataFrame(fixed, schema)
 
 
 def prefix_sums(
@@ -55,53 +77,37 @@ def prefix_sums(
 ) -> DataFrame:
     """Add ``name`` = inclusive running sum of ``values[name]`` in ``order``.
 
-    Values are summed as bigint when integral, else as double; NULL counts 0.
+    Integral values sum as bigint, others as double; NULL counts 0.
     """
     if not values:
         raise ValueError("no values to sum")
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     names = list(values)
     with_vals = df.withColumns({f"_v_{k}": F.coalesce(v, F.lit(0)) for k, v in values.items()})
-    ranged = with_vals.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    ranged = ranged.withColumn(PID, F.spark_partition_id())
-    fields = list(ranged.schema.fields)
-    for k in names:
-        dt = ranged.schema[f"_v_{k}"].dataType
-        out_t = T.LongType() if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) else T.DoubleType()
-        fields.append(T.StructField(f"_c_{k}", out_t, False))
-    local = ranged.mapInPandas(_local_running(names), T.StructType(fields)).checkpoint(eager=True)
-
-    totals = local.groupBy(PID).agg(*[F.sum(f"_v_{k}").alias(k) for k in names]).collect()
-    totals.sort(key=lambda r: r[PID])
-    offsets = []
-    running = {k: 0 for k in names}
-    for r in totals:
-        offsets.append((int(r[PID]), *[running[k] for k in names]))
-        for k in names:
-            running[k] = running[k] + (r[k] or 0)
-    off_schema = T.StructType(
-        [T.StructField(PID, T.IntegerType(), False)]
-        + [T.StructField(f"_o_{k}", local.schema[f"_c_{k}"].dataType, False) for k in names]
-    )
-    off_rows = [
-        (p, *[(int(v) if isinstance(off_schema[f"_o_{k}"].dataType, T.LongType) else float(v)) for k, v in zip(names, vs)])
-        for p, *vs in offsets
-    ]
-    off_df = spark.createDataFrame(off_rows, off_schema)
-    joined = local.join(F.broadcast(off_df), PID, "left")
+    ranged = _ranged(with_vals, order_cols, n)
+    off = _offsets(ranged, {k: F.sum(f"_v_{k}") for k in names})
+    w = Window.partitionBy(PID).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumns({f"_c_{k}": F.sum(f"_v_{k}").over(w) for k in names})
+    joined = local.join(F.broadcast(off), PID, "left")
     out = joined.withColumns({k: F.col(f"_c_{k}") + F.coalesce(F.col(f"_o_{k}"), F.lit(0)) for k in names})
-    drop = [PID] + [f"_v_{k}" for k in names] + [f"_c_{k}" for k in names] + [f"_o_{k}" for k in names]
+    drop = [PID] + [f"_{p}_{k}" for k in names for p in ("v", "c", "o")]
     return out.drop(*drop)
 
 
 def row_numbers(df: DataFrame, order: Sequence[Column | str], name: str = "row_number",
                 num_partitions: int | None = None) -> DataFrame:
-    """1-based position of each row in ``order`` (W4 building block)."""
-    return prefix_sums(df, order, {name: F.lit(1).cast("bigint")}, num_partitions)
+    """1-based position of each row in ``order`` (W4): one range shuffle, no window."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = _ranged(df, order_cols, n, local_index=True)
+    off = _offsets(ranged, {"_n": F.count(F.lit(1))})
+    out = ranged.join(F.broadcast(off), PID, "left").withColumn(
+        name, F.col("_local") + F.lit(1) + F.coalesce(F.col("_o__n"), F.lit(0))
+    )
+    return out.drop(PID, "_local", "_o__n")
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, key: str) -> float | None:
