@@ -7,7 +7,7 @@ from itertools import accumulate
 
 from pyspark.sql import functions as F
 
-from txnwatch.catalog import MF_SQL, _with, register, views
+from txnwatch.catalog import MF_SQL, REGISTRY, _with, register, views
 from txnwatch.functions import scalars as S
 from txnwatch.functions.draws import keyed_hex_id, keyed_integer, keyed_uniform, weighted_choice
 from txnwatch.functions.rules import rule_columns
@@ -517,3 +517,79 @@ def q_live_features(spark, sf_dir):
         F.greatest(F.col("avg_amount_24h"), F.lit(1.0)).alias("avg_amount_safe"),
         S.ratio_with_floor("Amount", "avg_amount_24h").alias("amount_to_avg_ratio_live"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks (A1, A4, A9) and the optional D3 pre-step
+# ---------------------------------------------------------------------------
+RAW_FILE_SCHEMA = "event_id bigint, Time double, Amount double, Class int"
+
+
+@register("src_raw", _with("SELECT event_id, Time, Amount, Class FROM raw"))
+def q_src_raw(spark, sf_dir):
+    """A4 + A1 raw table written as CSV with a header, read back with a fixed schema."""
+    import uuid
+
+    from pyspark.sql import types as T
+
+    from txnwatch.sources.tables import read_raw, write_raw
+
+    raw = raw_from_events(read_table(spark, sf_dir, "events"))
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/raw-csv-{uuid.uuid4().hex}"
+    write_raw(raw, path, "csv")
+    return read_raw(spark, path, "csv", schema=T._parse_datatype_string(RAW_FILE_SCHEMA))
+
+
+@register("top_alerts_sql", REGISTRY["top_alerts"].sql)
+def q_top_alerts_sql(spark, sf_dir):
+    """A9 top alerts as SQL text with bound parameters over temp views."""
+    import uuid
+
+    from txnwatch.plans.monitoring import recent_alerts_sql
+
+    txn, pred = views(spark, sf_dir)
+    tag = uuid.uuid4().hex[:12]
+    tv, pv = f"txw_transactions_{tag}", f"txw_predictions_{tag}"
+    txn.createOrReplaceTempView(tv)
+    pred.createOrReplaceTempView(pv)
+    return recent_alerts_sql(spark, tv, pv, limit=50).withColumn("risk_score", F.round("risk_score", 6))
+
+
+@register(
+    "latest_prediction",
+    _with(
+        """SELECT count(*) AS total_transactions,
+       count(p.transaction_id) AS matched_predictions,
+       round(avg(coalesce(p.risk_score, 0.0::DOUBLE)), 6) AS avg_risk_score,
+       CAST(sum(CASE WHEN p.version = 1 THEN 1 ELSE 0 END) AS BIGINT) AS from_later_version
+FROM txn t LEFT JOIN (
+  SELECT transaction_id, arg_max(risk_score, version) AS risk_score, max(version) AS version
+  FROM pred_v GROUP BY transaction_id
+) p ON t.transaction_id = p.transaction_id""",
+        """pred_v AS (
+  SELECT transaction_id, risk_score, 0 AS version FROM pred
+  UNION ALL
+  SELECT transaction_id, risk_score / 2.0, 1 AS version FROM pred
+  WHERE (CAST(substr(transaction_id, 4) AS BIGINT) - 1) % 11 = 0
+)""",
+    ),
+)
+def q_latest_prediction(spark, sf_dir):
+    """D3 option: keep the latest of several predictions per transaction (max_by), then join."""
+    from txnwatch.plans.monitoring import latest_prediction
+
+    txn, pred = views(spark, sf_dir)
+    event_id = F.substring("transaction_id", 4, 100).cast("bigint") - 1
+    base = pred.select("transaction_id", "risk_score", F.lit(0).alias("version"))
+    later = pred.where(event_id % 11 == 0).select(
+        "transaction_id", (F.col("risk_score") / 2.0).alias("risk_score"), F.lit(1).alias("version")
+    )
+    versions = base.unionByName(later).withColumn("prediction_id", F.lit(0).cast("bigint"))
+    latest = latest_prediction(versions, order_col="version")
+    j = txn.select("transaction_id").join(latest, "transaction_id", "left")
+    return j.agg(
+        F.count(F.lit(1)).alias("total_transactions"),
+        F.count("version").alias("matched_predictions"),
+        F.round(F.avg(F.coalesce("risk_score", F.lit(0.0))), 6).alias("avg_risk_score"),
+        F.sum(F.when(F.col("version") == 1, 1).otherwise(0)).cast("bigint").alias("from_later_version"),
+    )
