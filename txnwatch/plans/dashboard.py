@@ -34,7 +34,10 @@ def dashboard_filter(frame: DataFrame, start_date, end_date, channels: Sequence[
     ``None`` for a list means "no filter on that column".
     """
     dated = with_transaction_date(frame)
-    cond = F.col("transaction_date").between(F.lit(start_date).cast("date"), F.lit(end_date).cast("date"))
+    lo, hi = F.lit(start_date).cast("date"), F.lit(end_date).cast("date")
+    cond = F.col("transaction_date").between(lo, hi)
+    if "txn_date" in frame.columns:  # stored table: the same range on the partition column
+        cond = cond & F.col("txn_date").between(lo, hi)
     if channels is not None:
         cond = cond & F.col("channel").isin(list(channels))
     if bands is not None:

@@ -29,8 +29,11 @@ def monitoring_frame(transactions: DataFrame, predictions: DataFrame) -> DataFra
     """Transactions LEFT JOIN predictions, 12 + 8 columns.
 
     A transaction with several predictions appears once per prediction (D3).
+    A ``txn_date`` partition column of the stored table is carried along so
+    date filters can prune partitions.
     """
-    t = transactions.select(*TRANSACTION_COLUMNS)
+    extra = ["txn_date"] if "txn_date" in transactions.columns else []
+    t = transactions.select(*TRANSACTION_COLUMNS, *extra)
     p = predictions.select(*PREDICTION_COLUMNS)
     return t.join(p, "transaction_id", "left")
 

@@ -75,8 +75,11 @@ def write_monitoring_data(transactions: DataFrame, predictions: DataFrame, root:
         bad = {k: v for k, v in validate(tx, pr).items() if v}
         if bad:
             raise ValueError(f"constraint violations: {bad}")
+    # REBALANCE by date: each task writes few dates (files ~ tasks + dates, not
+    # tasks x dates) and AQE splits a hot day over several tasks.
     (
         tx.withColumn("txn_date", F.to_date("transaction_timestamp"))
+        .hint("rebalance", "txn_date")
         .write.mode("overwrite")
         .partitionBy("txn_date")
         .parquet(_tx_path(root))
@@ -105,9 +108,11 @@ TX_FILE_SCHEMA = T.StructType(list(TRANSACTIONS_SCHEMA.fields) + [T.StructField(
 
 
 def read_monitoring_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Both tables with their stored schemas (``txn_date`` dropped). The schemas
-    are given, not inferred, so empty tables read fine and scans prune columns."""
-    tx = spark.read.schema(TX_FILE_SCHEMA).parquet(_tx_path(root)).select(*TRANSACTION_COLUMNS)
+    """Both tables with their stored schemas. The schemas are given, not
+    inferred, so empty tables read fine and scans prune columns. The
+    transactions keep the ``txn_date`` partition column, which date filters
+    use to skip whole partitions."""
+    tx = spark.read.schema(TX_FILE_SCHEMA).parquet(_tx_path(root)).select(*TRANSACTION_COLUMNS, "txn_date")
     pr = spark.read.schema(PREDICTIONS_SCHEMA).parquet(_pred_path(root))
     return tx, pr
 
