@@ -42,18 +42,20 @@ def conform_predictions(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def with_prediction_ids(predictions: DataFrame, start: int = 0) -> DataFrame:
-    """``prediction_id`` unique and increasing (not dense), ``created_at`` now.
+def with_prediction_ids(predictions: DataFrame, start: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """``prediction_id`` unique and above ``start`` (increasing, not dense),
+    ``created_at`` now; ``keep`` names extra columns to carry along.
 
-    ``monotonically_increasing_id`` needs no shuffle; it is stable under task
-    retries because it is taken right before the write of a deterministic input.
+    ``monotonically_increasing_id`` needs no shuffle; callers take it right
+    before a write or a checkpoint of a deterministic input, so task retries
+    reproduce the same ids.
     """
     return predictions.withColumns(
         {
             "prediction_id": (F.monotonically_increasing_id() + F.lit(int(start)) + F.lit(1)).cast("bigint"),
             "created_at": F.current_timestamp(),
         }
-    ).select(*[f.name for f in PREDICTIONS_SCHEMA.fields])
+    ).select(*[f.name for f in PREDICTIONS_SCHEMA.fields], *(keep or []))
 
 
 def validate(transactions: DataFrame, predictions: DataFrame) -> dict[str, int]:
@@ -66,45 +68,72 @@ def validate(transactions: DataFrame, predictions: DataFrame) -> dict[str, int]:
     }
 
 
+TX_FILE_SCHEMA = T.StructType(list(TRANSACTIONS_SCHEMA.fields) + [T.StructField("txn_date", T.DateType(), True)])
+PRED_FILE_SCHEMA = T.StructType(list(PREDICTIONS_SCHEMA.fields) + [T.StructField("txn_date", T.DateType(), True)])
+
+
+def _meta_path(root: str) -> str:
+    return f"{root.rstrip('/')}/_meta"
+
+
+def _write_meta(spark: SparkSession, root: str, max_prediction_id: int) -> None:
+    write_json_summary(spark, {"max_prediction_id": int(max_prediction_id)}, _meta_path(root))
+
+
+def _read_meta(spark: SparkSession, root: str) -> dict:
+    return read_json_summary(spark, _meta_path(root)) if _exists(spark, _meta_path(root)) else {}
+
+
+def _dated_predictions(predictions: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Predictions with the date of their transaction (NULL for orphans), the
+    partition column of the predictions table."""
+    if "txn_date" in predictions.columns:
+        return predictions
+    dates = transactions.select("transaction_id", F.to_date("transaction_timestamp").alias("txn_date"))
+    return predictions.join(dates, "transaction_id", "left")
+
+
+def _write_partitioned(df: DataFrame, path: str, mode: str) -> None:
+    # REBALANCE by date: each task writes few dates (files ~ tasks + dates, not
+    # tasks x dates) and AQE splits a hot day over several tasks.
+    df.hint("rebalance", "txn_date").write.mode(mode).partitionBy("txn_date").parquet(path)
+
+
 def write_monitoring_data(transactions: DataFrame, predictions: DataFrame, root: str,
                           check: bool = False) -> None:
-    """Full refresh of both tables (overwrite)."""
+    """Full refresh of both tables (overwrite), both partitioned by the
+    transaction date, plus the id high-water mark."""
+    spark = transactions.sparkSession
     tx = conform_transactions(transactions)
     pr = conform_predictions(predictions)
     if check:
         bad = {k: v for k, v in validate(tx, pr).items() if v}
         if bad:
             raise ValueError(f"constraint violations: {bad}")
-    # REBALANCE by date: each task writes few dates (files ~ tasks + dates, not
-    # tasks x dates) and AQE splits a hot day over several tasks.
-    (
-        tx.withColumn("txn_date", F.to_date("transaction_timestamp"))
-        .hint("rebalance", "txn_date")
-        .write.mode("overwrite")
-        .partitionBy("txn_date")
-        .parquet(_tx_path(root))
-    )
-    with_prediction_ids(pr).write.mode("overwrite").parquet(_pred_path(root))
+    _write_partitioned(tx.withColumn("txn_date", F.to_date("transaction_timestamp")), _tx_path(root), "overwrite")
+    dated = _dated_predictions(with_prediction_ids(pr), tx)
+    _write_partitioned(dated, _pred_path(root), "overwrite")
+    top = spark.read.schema(PRED_FILE_SCHEMA).parquet(_pred_path(root)).agg(F.max("prediction_id")).first()[0]
+    _write_meta(spark, root, top or 0)
+
+
+def _empty_tables(spark: SparkSession, root: str, only_missing: bool) -> None:
+    for path, schema in ((_tx_path(root), TX_FILE_SCHEMA), (_pred_path(root), PRED_FILE_SCHEMA)):
+        if only_missing and _exists(spark, path):
+            continue
+        spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("txn_date").parquet(path)
+    if not (only_missing and _exists(spark, _meta_path(root))):
+        _write_meta(spark, root, 0)
 
 
 def initialize_store(spark: SparkSession, root: str) -> None:
-    """Create both tables empty when absent."""
-    if not _exists(spark, _tx_path(root)):
-        empty = spark.createDataFrame([], TRANSACTIONS_SCHEMA).withColumn("txn_date", F.lit(None).cast("date"))
-        empty.write.mode("overwrite").partitionBy("txn_date").parquet(_tx_path(root))
-    if not _exists(spark, _pred_path(root)):
-        spark.createDataFrame([], PREDICTIONS_SCHEMA).write.mode("overwrite").parquet(_pred_path(root))
+    """Create both tables (and the id high-water mark) when absent."""
+    _empty_tables(spark, root, only_missing=True)
 
 
 def reset_store(spark: SparkSession, root: str) -> None:
     """Drop and recreate both tables."""
-    spark.createDataFrame([], TRANSACTIONS_SCHEMA).withColumn("txn_date", F.lit(None).cast("date")).write.mode(
-        "overwrite"
-    ).partitionBy("txn_date").parquet(_tx_path(root))
-    spark.createDataFrame([], PREDICTIONS_SCHEMA).write.mode("overwrite").parquet(_pred_path(root))
-
-
-TX_FILE_SCHEMA = T.StructType(list(TRANSACTIONS_SCHEMA.fields) + [T.StructField("txn_date", T.DateType(), True)])
+    _empty_tables(spark, root, only_missing=False)
 
 
 def read_monitoring_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +142,9 @@ def read_monitoring_tables(spark: SparkSession, root: str) -> tuple[DataFrame, D
     transactions keep the ``txn_date`` partition column, which date filters
     use to skip whole partitions."""
     tx = spark.read.schema(TX_FILE_SCHEMA).parquet(_tx_path(root)).select(*TRANSACTION_COLUMNS, "txn_date")
-    pr = spark.read.schema(PREDICTIONS_SCHEMA).parquet(_pred_path(root))
+    pr = spark.read.schema(PRED_FILE_SCHEMA).parquet(_pred_path(root)).select(
+        *[f.name for f in PREDICTIONS_SCHEMA.fields]
+    )
     return tx, pr
 
 
@@ -122,23 +153,36 @@ def append_live_predictions(transactions: DataFrame, predictions: DataFrame, roo
 
     Each table is anti-joined against itself, so replaying the same input adds
     nothing, and a crash between the two appends is repaired by the replay.
+    The anti joins read only the date partitions the batch touches (the date
+    list is bounded by the batch), and new ids start above the high-water mark
+    kept in a one-row file, so a batch never scans the whole store.
     Returns the number of new transactions.
     """
     spark = transactions.sparkSession
     initialize_store(spark, root)
-    stored_tx, stored_pr = read_monitoring_tables(spark, root)
     tx = conform_transactions(transactions).dropDuplicates(["transaction_id"])
+    tx = tx.withColumn("txn_date", F.to_date("transaction_timestamp")).checkpoint(eager=True)
+    pr = _dated_predictions(conform_predictions(predictions).dropDuplicates(["transaction_id"]), tx)
+    pr = pr.checkpoint(eager=True)
+    dates = [r[0] for r in tx.select("txn_date").union(pr.select("txn_date")).distinct().collect()]
+    touched = F.col("txn_date").isin([d for d in dates if d is not None])
+    if None in dates:
+        touched = touched | F.col("txn_date").isNull()
+    stored_tx = spark.read.schema(TX_FILE_SCHEMA).parquet(_tx_path(root)).where(touched)
+    stored_pr = spark.read.schema(PRED_FILE_SCHEMA).parquet(_pred_path(root)).where(touched)
     new_tx = tx.join(stored_tx.select("transaction_id"), "transaction_id", "left_anti")
-    pr = conform_predictions(predictions).dropDuplicates(["transaction_id"])
     new_pr = pr.join(stored_pr.select("transaction_id"), "transaction_id", "left_anti")
-    start = stored_pr.agg(F.max("prediction_id")).first()[0] or 0
+    start = int(_read_meta(spark, root).get("max_prediction_id", 0))
     # Materialise the new rows before writing: the anti joins read the tables
     # being appended to.
-    new_tx_rows = new_tx.withColumn("txn_date", F.to_date("transaction_timestamp")).checkpoint(eager=True)
-    new_pr_rows = with_prediction_ids(new_pr, start).checkpoint(eager=True)
+    new_tx_rows = new_tx.checkpoint(eager=True)
+    new_pr_rows = with_prediction_ids(new_pr, start, keep=["txn_date"]).checkpoint(eager=True)
     n = new_tx_rows.count()
-    new_tx_rows.write.mode("append").partitionBy("txn_date").parquet(_tx_path(root))
-    new_pr_rows.write.mode("append").parquet(_pred_path(root))
+    top = new_pr_rows.agg(F.max("prediction_id")).first()[0]
+    _write_partitioned(new_tx_rows, _tx_path(root), "append")
+    _write_partitioned(new_pr_rows.select(*[f.name for f in PRED_FILE_SCHEMA.fields]), _pred_path(root), "append")
+    if top is not None:
+        _write_meta(spark, root, max(start, int(top)))
     return n
 
 
