@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from txnwatch.plans import dashboard as dash
 from txnwatch.plans import monitoring as mon
-from txnwatch.sources.fixtures import fixture_ctes_sql, fixture_views
+from txnwatch.session import ensure_checkpoint_dir
+from txnwatch.sources.fixtures import fixture_ctes_sql, predictions_from_transactions, transactions_from_events
 from txnwatch.sources.tables import read_table
 
 
@@ -41,8 +42,19 @@ def register(name: str, sql: str | None, doc: str = ""):
     return deco
 
 
-def views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return fixture_views(read_table(spark, sf_dir, "events"))
+def views(spark: SparkSession, sf_dir: str, shared: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The ``txn`` and ``pred`` fixture views over ``events``.
+
+    ``shared=True`` is for queries that use both: ``txn`` (with its rolling
+    windows) is materialised once with an eager checkpoint in the shared
+    checkpoint folder and both views read it, instead of Catalyst planning the
+    windows once per branch with different column pruning.
+    """
+    txn = transactions_from_events(read_table(spark, sf_dir, "events"))
+    if shared:
+        ensure_checkpoint_dir(spark)
+        txn = txn.checkpoint(eager=True)
+    return txn, predictions_from_transactions(txn)
 
 
 def r6(col: str):
@@ -82,7 +94,7 @@ def _with(body: str, *extra_ctes: str) -> str:
 
 
 def _filtered(spark, sf_dir):
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     return dash.dashboard_filter(mon.monitoring_frame(txn, pred), DASH_START, DASH_END, DASH_CHANNELS, DASH_BANDS)
 
 
@@ -105,7 +117,7 @@ ORDER BY txn_date"""
 )
 def q_fraud_trend(spark, sf_dir):
     """F2 daily fraud trend (flagship)."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     return mon.fraud_trend(txn, pred)
 
 
@@ -121,7 +133,7 @@ FROM txn t LEFT JOIN pred p ON t.transaction_id = p.transaction_id"""
 )
 def q_overview_kpis(spark, sf_dir):
     """F1 overview KPIs over the LEFT JOIN."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     return mon.overview_kpis(txn, pred)
 
 
@@ -147,7 +159,7 @@ GROUP BY t.channel ORDER BY transactions DESC"""
 )
 def q_channel_success_rates(spark, sf_dir):
     """F4 success and risk per channel."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     return mon.channel_success_rates(txn, pred)
 
 
@@ -169,7 +181,7 @@ LIMIT 50"""
 )
 def q_top_alerts(spark, sf_dir):
     """G1 / D2 top 50 alerts by risk (the limit is the feature)."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     return mon.recent_alerts(txn, pred, limit=50).withColumn("risk_score", F.round("risk_score", 6))
 
 
@@ -183,7 +195,7 @@ _MF_SELECT = (
 @register("monitoring_frame", _with(f"SELECT {_MF_SELECT} FROM mf", MF_SQL))
 def q_monitoring_frame(spark, sf_dir):
     """A8 / D1 the joined monitoring frame (20 columns)."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     return mon.monitoring_frame(txn, pred).withColumn("risk_score", F.round("risk_score", 6))
 
 
@@ -204,7 +216,7 @@ FROM txn t LEFT JOIN pred2 p ON t.transaction_id = p.transaction_id""",
 )
 def q_join_fanout(spark, sf_dir):
     """D3 several predictions per transaction: each one counts."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     event_id = F.substring("transaction_id", 4, 100).cast("bigint") - 1
     pred2 = pred.unionByName(pred.where(event_id % 11 == 0))
     j = mon.monitoring_frame(txn, pred2)
@@ -229,7 +241,7 @@ FROM txn t JOIN pred p ON t.transaction_id = p.transaction_id"""
 )
 def q_processed_output(spark, sf_dir):
     """A5 / D4 processed export, joined by key."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     return mon.processed_output(txn, pred).withColumn("risk_score", F.round("risk_score", 6))
 
 
@@ -249,7 +261,7 @@ WHERE NOT EXISTS (SELECT 1 FROM txn_kept k WHERE k.transaction_id = a.transactio
 )
 def q_fk_orphans(spark, sf_dir):
     """B19 / D5 predictions without a transaction (anti join)."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     missing = txn.where(F.col("event_id") % 53 == 0).select(
         "transaction_id", F.lit(0.0).alias("rule_score"), F.lit("low").alias("risk_band")
     )
@@ -368,7 +380,7 @@ FROM mf WHERE transaction_timestamp IS NOT NULL""",
 )
 def q_date_bounds(spark, sf_dir):
     """F10 first and last date."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     return dash.date_bounds(mon.monitoring_frame(txn, pred))
 
 
@@ -378,7 +390,7 @@ def q_date_bounds(spark, sf_dir):
 )
 def q_distinct_channels(spark, sf_dir):
     """F11 sorted distinct channels."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     return dash.distinct_values(mon.monitoring_frame(txn, pred), "channel")
 
 
@@ -388,7 +400,7 @@ def q_distinct_channels(spark, sf_dir):
 )
 def q_distinct_categories(spark, sf_dir):
     """F11 sorted distinct merchant categories."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     return dash.distinct_values(mon.monitoring_frame(txn, pred), "merchant_category")
 
 

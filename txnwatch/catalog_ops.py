@@ -136,7 +136,7 @@ FROM txn_ev t JOIN raw r ON r.event_id = t.event_id LEFT JOIN pred p ON p.transa
 )
 def q_scalar_functions(spark, sf_dir):
     """E1-E5, E8-E11, E16, E17, E19-E21, one column each."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     raw = raw_from_events(read_table(spark, sf_dir, "events")).select("event_id", "Time")
     j = txn.join(raw, "event_id").join(pred.select("transaction_id", "risk_band", "decision"), "transaction_id", "left")
     return j.select(
@@ -380,7 +380,7 @@ _SCORED = "s AS (SELECT round(p.risk_score, 6) AS score, p.ml_probability, t.lab
 
 
 def _scored(spark, sf_dir):
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     return txn.select("transaction_id", "label").join(
         pred.select("transaction_id", F.round("risk_score", 6).alias("score"), "ml_probability"), "transaction_id"
     )
@@ -477,7 +477,7 @@ _NULL_COLS = TRANSACTION_COLUMNS + [c for c in PREDICTION_COLUMNS if c != "trans
 )
 def q_null_violations(spark, sf_dir):
     """B18 NULL counts per column of the joined frame, one pass."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     return Q.null_counts(monitoring_frame(txn, pred), _NULL_COLS)
 
 
@@ -547,7 +547,7 @@ def q_top_alerts_sql(spark, sf_dir):
 
     from txnwatch.plans.monitoring import recent_alerts_sql
 
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     tag = uuid.uuid4().hex[:12]
     tv, pv = f"txw_transactions_{tag}", f"txw_predictions_{tag}"
     txn.createOrReplaceTempView(tv)
@@ -578,7 +578,7 @@ def q_latest_prediction(spark, sf_dir):
     """D3 option: keep the latest of several predictions per transaction (max_by), then join."""
     from txnwatch.plans.monitoring import latest_prediction
 
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     event_id = F.substring("transaction_id", 4, 100).cast("bigint") - 1
     base = pred.select("transaction_id", "risk_score", F.lit(0).alias("version"))
     later = pred.where(event_id % 11 == 0).select(

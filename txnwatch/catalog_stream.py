@@ -39,7 +39,7 @@ def _scratch(spark, name: str) -> str:
 )
 def q_live_stream_trend(spark, sf_dir):
     """K4 daily trend over a stream with a 1-day watermark; closed days only."""
-    txn, pred = views(spark, sf_dir)
+    txn, pred = views(spark, sf_dir, shared=True)
     rows = monitoring_frame(txn, pred)
     root = _scratch(spark, "trend")
     live.write_time_ordered_files(rows, f"{root}/source")
