@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from txnwatch.functions.scalars import ratio_with_floor, to_day
+from txnwatch.functions.scalars import micros_ntz, ratio_with_floor
 from txnwatch.operators.quality import live_input_checks, split_valid
 from txnwatch.schema import DAY_US, HOUR_US, TRANSACTIONS_SCHEMA
 from txnwatch.session import ship_package
@@ -64,6 +64,13 @@ def append_to_store(root: str, scorer):
     return write
 
 
+def event_time(ts: str):
+    """A watermark needs TIMESTAMP; read the TIMESTAMP_NTZ wall clock as UTC
+    through epoch microseconds, so windows and dates do not depend on the
+    session time zone."""
+    return F.timestamp_micros(micros_ntz(ts))
+
+
 def daily_trend_stream(stream: DataFrame, ts: str = "transaction_timestamp", watermark: str = "1 day") -> DataFrame:
     """K4: F2 measures per day for arriving scored rows, emitted when a day closes.
 
@@ -73,7 +80,7 @@ def daily_trend_stream(stream: DataFrame, ts: str = "transaction_timestamp", wat
     fraud = F.when(F.coalesce(F.col("is_fraud"), F.lit(0)) == 1, F.lit(1)).otherwise(F.lit(0))
     ok = F.when(F.coalesce(F.col("is_success"), F.lit(0)) == 1, F.lit(1.0)).otherwise(F.lit(0.0))
     g = (
-        stream.withColumn("_ts", F.col(ts).cast("timestamp"))
+        stream.withColumn("_ts", event_time(ts))
         .withWatermark("_ts", watermark)
         .groupBy(F.window("_ts", "1 day").alias("w"))
         .agg(
@@ -84,7 +91,7 @@ def daily_trend_stream(stream: DataFrame, ts: str = "transaction_timestamp", wat
         )
     )
     return g.select(
-        to_day(F.col("w.start")).alias("txn_date"),
+        F.date_from_unix_date(F.floor(F.unix_micros(F.col("w.start")) / F.lit(DAY_US)).cast("int")).alias("txn_date"),
         "total_transactions",
         "fraud_transactions",
         F.round(F.lit(100.0) * F.col("fraud_transactions") / F.col("total_transactions"), 3).alias("fraud_rate_pct"),
@@ -97,7 +104,7 @@ ROLL_OUT_SCHEMA = T.StructType(
     [
         T.StructField("transaction_id", T.StringType()),
         T.StructField("account_id", T.LongType()),
-        T.StructField("transaction_timestamp", T.TimestampType()),
+        T.StructField("transaction_timestamp", T.TimestampNTZType()),
         T.StructField("velocity_1h", T.DoubleType()),
         T.StructField("avg_amount_24h", T.DoubleType()),
     ]
@@ -125,7 +132,7 @@ def _roll_account(key, batches: Iterator[pd.DataFrame], state: GroupState) -> It
                             "amt": pd.Series([], dtype="float64")})
     if len(new):
         new = new.assign(
-            us=(new["transaction_timestamp"].astype("datetime64[us]").astype("int64")),
+            us=new["_us"].astype("int64"),
             tid=new["transaction_id"],
             amt=new["Amount"].astype("float64"),
         )
@@ -172,9 +179,10 @@ def rolling_features_stream(stream: DataFrame, watermark: str = "1 day") -> Data
     s = stream.select(
         "transaction_id",
         "account_id",
-        F.col("transaction_timestamp").cast("timestamp").alias("transaction_timestamp"),
+        micros_ntz("transaction_timestamp").alias("_us"),
+        event_time("transaction_timestamp").alias("_event_time"),
         F.col("Amount").cast("double").alias("Amount"),
-    ).withWatermark("transaction_timestamp", watermark)
+    ).withWatermark("_event_time", watermark)
     return s.groupBy("account_id").applyInPandasWithState(
         _roll_account, ROLL_OUT_SCHEMA, ROLL_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
