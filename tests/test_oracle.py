@@ -33,3 +33,14 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert set(mod.oracle_sql()) <= set(mod.queries())
+
+
+@pytest.mark.parametrize("name", ["fraud_trend", "scalar_functions", "live_stream_trend", "live_stream_rollups"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        r = compare(spark, SF_SMALL, name, con)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert r["status"] == "ok", r

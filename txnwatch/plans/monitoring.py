@@ -32,6 +32,12 @@ def monitoring_frame(transactions: DataFrame, predictions: DataFrame) -> DataFra
     A ``txn_date`` partition column of the stored table is carried along so
     date filters can prune partitions.
     """
+    if "txn_date" in transactions.columns and "txn_date" in predictions.columns:
+        # stored tables: the date is part of the key, so a date filter on the
+        # frame is inferred for both sides and prunes both tables' partitions
+        t = transactions.select(*TRANSACTION_COLUMNS, "txn_date")
+        p = predictions.select(*PREDICTION_COLUMNS, "txn_date")
+        return t.join(p, ["transaction_id", "txn_date"], "left")
     extra = ["txn_date"] if "txn_date" in transactions.columns else []
     t = transactions.select(*TRANSACTION_COLUMNS, *extra)
     p = predictions.select(*PREDICTION_COLUMNS)

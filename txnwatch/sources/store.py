@@ -139,11 +139,12 @@ def reset_store(spark: SparkSession, root: str) -> None:
 def read_monitoring_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Both tables with their stored schemas. The schemas are given, not
     inferred, so empty tables read fine and scans prune columns. The
-    transactions keep the ``txn_date`` partition column, which date filters
-    use to skip whole partitions."""
+    tables keep the ``txn_date`` partition column (a prediction's is its
+    transaction's date), which date filters and the monitoring join use to
+    skip whole partitions of both tables."""
     tx = spark.read.schema(TX_FILE_SCHEMA).parquet(_tx_path(root)).select(*TRANSACTION_COLUMNS, "txn_date")
     pr = spark.read.schema(PRED_FILE_SCHEMA).parquet(_pred_path(root)).select(
-        *[f.name for f in PREDICTIONS_SCHEMA.fields]
+        *[f.name for f in PREDICTIONS_SCHEMA.fields], "txn_date"
     )
     return tx, pr
 
