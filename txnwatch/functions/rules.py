@@ -120,12 +120,6 @@ def rule_columns() -> RuleColumns:
     return RuleColumns(score=score, reasons=reasons, reasons_text=text)
 
 
-def with_rule_scores(df, score_col: str = "rule_score", reasons_col: str = "rule_reasons"):
-    """Add ``rule_score`` (double) and ``rule_reasons`` (text) to ``df``."""
-    rc = rule_columns()
-    return df.withColumns({score_col: rc.score, reasons_col: rc.reasons_text})
-
-
 def rule_sql_duckdb() -> tuple[str, str]:
     """The same rule table as DuckDB SQL (score, reasons) over an unqualified row.
 

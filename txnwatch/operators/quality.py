@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.schema import (
-    CATEGORICAL_FEATURES,
     CHANNELS,
     MERCHANT_CATEGORIES,
     MODEL_FEATURES,
@@ -121,7 +120,3 @@ def split_valid(df: DataFrame, checks: list[tuple[str, Column]] | None = None) -
     checks = checks or live_input_checks()
     tagged = df.withColumn("violation", first_violation(checks))
     return tagged.where(F.col("violation").isNull()).drop("violation"), tagged.where(F.col("violation").isNotNull())
-
-
-def categorical_values_known(df: DataFrame) -> Column:
-    return F.col(CATEGORICAL_FEATURES[0]).isin(CHANNELS) & F.col(CATEGORICAL_FEATURES[1]).isin(MERCHANT_CATEGORIES)

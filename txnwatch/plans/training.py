@@ -32,7 +32,6 @@ from txnwatch.schema import (
     DEFAULT_SAMPLE_SIZE,
     MERCHANT_CATEGORIES,
     MERCHANT_WEIGHTS,
-    MODEL_FEATURES,
     NUMERIC_FEATURES,
     PREDICTION_COLUMNS,
     RANDOM_SEED,
@@ -179,8 +178,3 @@ def run_training(spark: SparkSession, raw: DataFrame, root: str, sample_size: in
     summary = run_summary(txn, preds, sample_size, bundle.metrics)
     store.write_json_summary(spark, summary, f"{root.rstrip('/')}/pipeline_summary")
     return summary
-
-
-def model_inputs(txn: DataFrame) -> DataFrame:
-    """Rows the models see: key, label and the seven features."""
-    return txn.select("transaction_id", "is_fraud", *MODEL_FEATURES)

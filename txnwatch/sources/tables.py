@@ -102,8 +102,3 @@ def require_columns(df: DataFrame, columns: Sequence[str], what: str = "columns"
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"Missing required {what}: {missing}")
-
-
-def empty_like(df: DataFrame) -> DataFrame:
-    """An empty DataFrame with the same schema."""
-    return df.where(F.lit(False))
