@@ -64,6 +64,14 @@ def q_logistic_fit(spark, sf_dir):
     return model.coefficient_table(spark)
 
 
+@register("logistic_fit_exact", None)
+def q_logistic_fit_exact(spark, sf_dir):
+    """M3 exact variant: distributed Newton passes, intercept penalised (rows-only)."""
+    _, sp = _split(spark, sf_dir)
+    model = fit_logistic(sp.train, "label", fit_encoder(sp.train), exact=True)
+    return model.coefficient_table(spark)
+
+
 @register("logistic_score", None)
 def q_logistic_score(spark, sf_dir):
     """M4 fraud probability of every transaction from the fitted model (rows-only)."""

@@ -130,6 +130,7 @@ def q_sequential_id(spark, sf_dir):
   lower(upper(t.merchant_category)) AS e17_lower,
   CASE p.risk_band WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 99 END AS e19_band_rank,
   'LIVE' || upper(substr(md5('live:' || CAST(t.event_id AS VARCHAR)), 1, 10)) AS e20_live_id,
+  CAST(900000 + floor((('0x' || substr(md5('live_account:' || CAST(t.event_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * 100000) AS BIGINT) AS e20_live_account,
   CASE WHEN p.decision <> 'block' THEN 1 ELSE 0 END AS e21_outcome
 FROM txn_ev t JOIN raw r ON r.event_id = t.event_id LEFT JOIN pred p ON p.transaction_id = t.transaction_id"""
     ),
@@ -155,6 +156,7 @@ def q_scalar_functions(spark, sf_dir):
         F.lower(F.upper("merchant_category")).alias("e17_lower"),
         S.band_rank("risk_band").alias("e19_band_rank"),
         keyed_hex_id("LIVE", "live", "event_id").alias("e20_live_id"),
+        keyed_integer("live_account", "event_id", 900000, 1000000).alias("e20_live_account"),
         S.outcome_flag("decision").alias("e21_outcome"),
     )
 

@@ -59,32 +59,61 @@ def latest_prediction(predictions: DataFrame, order_col: str = "created_at") ->
     )
 
 
-def overview_kpis(transactions: DataFrame, predictions: DataFrame) -> DataFrame:
-    """one row of totals."""
-    j = monitoring_frame(transactions, predictions)
-    return j.agg(
-        F.count(F.lit(1)).alias("total_transactions"),
-        F.sum(_fraud01()).cast("bigint").alias("fraud_transactions"),
-        F.round(F.lit(100.0) * F.avg(_success01()), 2).alias("success_rate_pct"),
-        F.round(F.avg(_risk0()), 2).alias("avg_risk_score"),
+def prediction_totals(predictions: DataFrame) -> DataFrame:
+    """Per transaction: number of predictions and the sum of their risk.
+
+    A plain aggregate with map-side partial aggregation, so a transaction with
+    a huge number of predictions (a hot key) collapses to one row per task
+    before the shuffle. With it, the monitoring aggregates join 1:1.
+    """
+    return predictions.groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("_n_pred"), F.sum("risk_score").alias("_risk_sum")
     )
 
 
+def _weighted(transactions: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Transactions with ``_w`` = the number of rows each contributes to
+    ``transactions LEFT JOIN predictions`` (at least 1) and ``_risk`` = the sum
+    of ``coalesce(risk_score, 0)`` over those rows. Aggregating with these
+    weights gives exactly the fan-out join's COUNT, SUM and AVG."""
+    t = transactions.select(*TRANSACTION_COLUMNS)
+    j = t.join(prediction_totals(predictions), "transaction_id", "left")
+    return j.withColumns(
+        {
+            "_w": F.greatest(F.coalesce(F.col("_n_pred"), F.lit(0)), F.lit(1)),
+            "_risk": F.coalesce(F.col("_risk_sum"), F.lit(0.0)),
+        }
+    )
+
+
+def _weighted_measures(digits: int) -> list[Column]:
+    total = F.sum("_w")
+    fraud = F.sum(_fraud01() * F.col("_w"))
+    return [
+        total.alias("total_transactions"),
+        fraud.cast("bigint").alias("fraud_transactions"),
+        F.round(F.lit(100.0) * F.sum(_success01() * F.col("_w")) / total, digits).alias("success_rate_pct"),
+        F.round(F.sum("_risk") / total, digits).alias("avg_risk_score"),
+    ]
+
+
+def overview_kpis(transactions: DataFrame, predictions: DataFrame) -> DataFrame:
+    """one row of totals over ``transactions LEFT JOIN predictions``
+    (computed from per-transaction prediction totals, see ``_weighted``)."""
+    return _weighted(transactions, predictions).agg(*_weighted_measures(2))
+
+
 def fraud_trend(transactions: DataFrame, predictions: DataFrame) -> DataFrame:
     """per day totals, fraud share, success share and mean risk, by date."""
-    j = monitoring_frame(transactions, predictions)
-    fraud = F.sum(_fraud01())
-    return (
-        j.groupBy(to_day("transaction_timestamp").alias("txn_date"))
-        .agg(
-            F.count(F.lit(1)).alias("total_transactions"),
-            fraud.cast("bigint").alias("fraud_transactions"),
-            F.round(F.lit(100.0) * fraud / F.count(F.lit(1)), 3).alias("fraud_rate_pct"),
-            F.round(F.lit(100.0) * F.avg(_success01()), 3).alias("success_rate_pct"),
-            F.round(F.avg(_risk0()), 3).alias("avg_risk_score"),
-        )
-        .orderBy("txn_date")
-    )
+    g = _weighted(transactions, predictions).groupBy(to_day("transaction_timestamp").alias("txn_date"))
+    total, fraud, ok, risk = _weighted_measures(3)
+    return g.agg(
+        total,
+        fraud,
+        F.round(F.lit(100.0) * F.sum(_fraud01() * F.col("_w")) / F.sum("_w"), 3).alias("fraud_rate_pct"),
+        ok,
+        risk,
+    ).orderBy("txn_date")
 
 
 def risk_distribution(predictions: DataFrame) -> DataFrame:
@@ -98,14 +127,11 @@ def risk_distribution(predictions: DataFrame) -> DataFrame:
 
 def channel_success_rates(transactions: DataFrame, predictions: DataFrame) -> DataFrame:
     """per channel count, success share and mean risk, most rows first."""
-    j = monitoring_frame(transactions, predictions)
+    _, _, ok, risk = _weighted_measures(3)
     return (
-        j.groupBy("channel")
-        .agg(
-            F.count(F.lit(1)).alias("transactions"),
-            F.round(F.lit(100.0) * F.avg(_success01()), 3).alias("success_rate_pct"),
-            F.round(F.avg(_risk0()), 3).alias("avg_risk_score"),
-        )
+        _weighted(transactions, predictions)
+        .groupBy("channel")
+        .agg(F.sum("_w").alias("transactions"), ok, risk)
         .orderBy(F.col("transactions").desc())
     )
 
