@@ -45,7 +45,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch folder when the setting is absent (tests, local runs).
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        return configured or ""
     if configured:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
@@ -70,7 +73,10 @@ def ship_package(spark: SparkSession) -> None:
     so the workers must import this package: it is zipped once per
     SparkContext and shipped with ``addPyFile`` (what ``--py-files`` does).
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect client
+        sc = None
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
@@ -82,11 +88,14 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, arc)
     data = buf.getvalue()
     digest = hashlib.sha1(data).hexdigest()[:12]
-    key = (id(sc._jsc), digest)
+    key = (id(sc._jsc) if sc is not None else id(spark), digest)
     if key in _SHIPPED:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="txnwatch-pkg-"), f"txnwatch_{digest}.zip")
     with open(path, "wb") as fh:
         fh.write(data)
-    sc.addPyFile(path)
+    if sc is not None:
+        sc.addPyFile(path)
+    else:
+        spark.addArtifacts(path, pyfile=True)
     _SHIPPED.add(key)

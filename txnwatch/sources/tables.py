@@ -29,10 +29,12 @@ def spread(df: DataFrame) -> DataFrame:
     runs in parallel. Large inputs already have enough splits and are left
     alone; filters and column pruning still reach the scan below the
     repartition."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no SparkContext on this client (Spark Connect): leave as is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def has_required_columns(df: DataFrame, required: Sequence[str] = REQUIRED_SOURCE_COLUMNS) -> bool:
