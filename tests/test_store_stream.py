@@ -72,3 +72,18 @@ def test_stream_rollups_equal_batch(spark):
     assert got.keys() == exp.keys()
     for k, (v, a) in exp.items():
         assert got[k][0] == v and abs(got[k][1] - a) < 1e-9
+
+
+def test_rollups_with_history_equal_whole_table(spark):
+    txn, _ = _views(spark)
+    cols = ["transaction_id", "account_id", "transaction_timestamp", "Amount"]
+    rows = txn.select(*cols, "event_id", "velocity_1h", "avg_amount_24h")
+    # arrival order differs from time order: history is every third event
+    history = rows.where(F.col("event_id") % 3 != 0).select(*cols)
+    batch = rows.where(F.col("event_id") % 3 == 0).select(*cols)
+    got = {r.transaction_id: (r.velocity_1h, r.avg_amount_24h) for r in live.rollups_with_history(batch, history).collect()}
+    exp = {r.transaction_id: (r.velocity_1h, r.avg_amount_24h)
+           for r in rows.where(F.col("event_id") % 3 == 0).collect()}
+    assert got.keys() == exp.keys() and len(got) > 0
+    for k, (v, a) in exp.items():
+        assert got[k][0] == v and abs(got[k][1] - a) < 1e-9

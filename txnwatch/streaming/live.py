@@ -10,8 +10,10 @@
   event-time watermark; a day is emitted once it is closed.
 * K5 ``rolling_features_stream``: per-account 1h count and 24h mean for
   arriving rows, kept in ``applyInPandasWithState`` state that holds only the
-  last 24 hours of each account (bounded by time, not by account size);
-  state of idle accounts expires on an event-time timeout.
+  last 24 hours of each account; state of idle accounts expires on an
+  event-time timeout. For very hot accounts, ``rollups_with_history`` is the
+  scalable form: per micro-batch, the stored last 24 hours of the batch's
+  accounts are the context of the skew-safe bucketed batch operator.
 """
 
 from __future__ import annotations
@@ -188,6 +190,42 @@ def rolling_features_stream(stream: DataFrame, watermark: str = "1 day") -> Data
     )
 
 
+ROLL_COLUMNS = ["transaction_id", "account_id", "transaction_timestamp", "Amount"]
+
+
+def rollups_with_history(batch: DataFrame, history: DataFrame, lookback_us: int = DAY_US) -> DataFrame:
+    """K5, scalable form: rolling features for the rows of a micro-batch.
+
+    Stored rows of the batch's accounts from ``lookback_us`` before the batch's
+    first timestamp up to its last are the context; the bucketed operator
+    (``operators.rolling``, skew-safe) computes the windows over context +
+    batch and only batch rows are returned. Exact for any arrival order as
+    long as the history holds the earlier rows. When ``history`` is the store's
+    transactions table, its ``txn_date`` partitions prune the read.
+    """
+    from txnwatch.operators.rolling import add_account_rollups
+
+    lo_hi = batch.agg(F.min("transaction_timestamp").alias("lo"), F.max("transaction_timestamp").alias("hi")).first()
+    rows = batch.select(*ROLL_COLUMNS).withColumn("_in_batch", F.lit(True))
+    if lo_hi["lo"] is None:
+        return rows.drop("_in_batch").withColumns(
+            {"velocity_1h": F.lit(None).cast("double"), "avg_amount_24h": F.lit(None).cast("double")}
+        )
+    lo = F.lit(lo_hi["lo"]).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(lookback_us)} MICROSECONDS")
+    hi = F.lit(lo_hi["hi"]).cast("timestamp_ntz")
+    ctx = history.where(F.col("transaction_timestamp").between(lo, hi))
+    if "txn_date" in history.columns:
+        ctx = ctx.where(F.col("txn_date").between(F.to_date(lo), F.to_date(hi)))
+    ctx = (
+        ctx.join(batch.select("account_id").distinct(), "account_id", "left_semi")
+        .join(batch.select("transaction_id"), "transaction_id", "left_anti")
+        .select(*ROLL_COLUMNS)
+        .withColumn("_in_batch", F.lit(False))
+    )
+    rolled = add_account_rollups(rows.unionByName(ctx))
+    return rolled.where(F.col("_in_batch")).drop("_in_batch")
+
+
 def write_time_ordered_files(df: DataFrame, path: str, ts: str = "transaction_timestamp", files: int = 8) -> None:
     """Lay out rows as ``files`` Parquet files, each a contiguous time range."""
     df.repartitionByRange(files, ts).sortWithinPartitions(ts).write.mode("overwrite").parquet(path)
