@@ -87,3 +87,18 @@ def test_rollups_with_history_equal_whole_table(spark):
     assert got.keys() == exp.keys() and len(got) > 0
     for k, (v, a) in exp.items():
         assert got[k][0] == v and abs(got[k][1] - a) < 1e-9
+
+
+def test_append_with_rollups_from_store(spark):
+    txn, _ = _views(spark)
+    root = tempfile.mkdtemp(prefix="hist-")
+    write = live.append_to_store(root, predictions_from_transactions, rollups_from_store=True)
+    first = txn.where(F.col("event_id") < 600)
+    second = txn.where(F.col("event_id") >= 600).withColumn("velocity_1h", F.lit(-1.0))  # inputs are ignored
+    write(first, 0)
+    write(second, 1)
+    write(second, 1)  # replay adds nothing
+    tx, _ = store.read_monitoring_tables(spark, root)
+    got = {r.transaction_id: r.velocity_1h for r in tx.collect()}
+    exp = {r.transaction_id: r.velocity_1h for r in txn.collect()}
+    assert got == exp

@@ -53,13 +53,24 @@ def score_stream(stream: DataFrame, scorer) -> tuple[DataFrame, DataFrame]:
     return scorer(live_features(good)), bad
 
 
-def append_to_store(root: str, scorer):
+def append_to_store(root: str, scorer, rollups_from_store: bool = False):
     """K3: a ``foreachBatch`` function scoring each micro-batch and appending
-    both tables idempotently."""
+    both tables idempotently.
+
+    With ``rollups_from_store`` the batch's ``velocity_1h`` and
+    ``avg_amount_24h`` are computed from the stored last 24 hours of its
+    accounts plus the batch itself (``rollups_with_history``) instead of being
+    taken from the input.
+    """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
+        if rollups_from_store:
+            store.initialize_store(batch.sparkSession, root)
+            history, _ = store.read_monitoring_tables(batch.sparkSession, root)
+            feats = rollups_with_history(batch, history).select("transaction_id", "velocity_1h", "avg_amount_24h")
+            batch = batch.drop("velocity_1h", "avg_amount_24h").join(feats, "transaction_id")
         tx = live_features(batch)
         store.append_live_predictions(tx, scorer(tx), root)
 
