@@ -46,8 +46,9 @@ def _ranged(df: DataFrame, order_cols: list[Column], n: int, local_index: bool =
     return ranged.checkpoint(eager=True)
 
 
-def _offsets(ranged: DataFrame, totals: dict[str, Column]) -> DataFrame:
-    """Exclusive running totals of the per-partition totals, as a small frame."""
+def _offsets(ranged: DataFrame, totals: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """Exclusive running totals of the per-partition totals, as a small frame,
+    and the grand totals."""
     spark = ranged.sparkSession
     names = list(totals)
     rows = ranged.groupBy(PID).agg(*[t.alias(k) for k, t in totals.items()]).collect()  # one row per partition
@@ -66,7 +67,7 @@ def _offsets(ranged: DataFrame, totals: dict[str, Column]) -> DataFrame:
     fixed = [
         (p, *[int(v) if isinstance(types[k], T.LongType) else float(v) for k, v in zip(names, vs)]) for p, *vs in out
     ]
-    return spark.createDataFrame(fixed, schema)
+    return spark.createDataFrame(fixed, schema), running
 
 
 def prefix_sums(
@@ -87,7 +88,7 @@ def prefix_sums(
     names = list(values)
     with_vals = df.withColumns({f"_v_{k}": F.coalesce(v, F.lit(0)) for k, v in values.items()})
     ranged = _ranged(with_vals, order_cols, n)
-    off = _offsets(ranged, {k: F.sum(f"_v_{k}") for k in names})
+    off, _ = _offsets(ranged, {k: F.sum(f"_v_{k}") for k in names})
     w = Window.partitionBy(PID).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumns({f"_c_{k}": F.sum(f"_v_{k}").over(w) for k in names})
     joined = local.join(F.broadcast(off), PID, "left")
@@ -103,7 +104,7 @@ def row_numbers(df: DataFrame, order: Sequence[Column | str], name: str = "row_n
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = _ranged(df, order_cols, n, local_index=True)
-    off = _offsets(ranged, {"_n": F.count(F.lit(1))})
+    off, _ = _offsets(ranged, {"_n": F.count(F.lit(1))})
     out = ranged.join(F.broadcast(off), PID, "left").withColumn(
         name, F.col("_local") + F.lit(1) + F.coalesce(F.col("_o__n"), F.lit(0))
     )
@@ -113,17 +114,24 @@ def row_numbers(df: DataFrame, order: Sequence[Column | str], name: str = "row_n
 def exact_quantile(df: DataFrame, col: str, q: float, key: str) -> float | None:
     """Linear-interpolated quantile (numpy's default) from exact ranks.
 
-    Only the two neighbouring rows reach the driver.
+    One ranking pass; the row count comes from the per-partition totals and
+    only the two neighbouring rows reach the driver.
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be in [0, 1]")
     vals = df.where(F.col(col).isNotNull()).select(col, key)
-    n = vals.count()
+    spark = vals.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = _ranged(vals, [F.col(col), F.col(key)], n_parts, local_index=True)
+    off, grand = _offsets(ranged, {"_n": F.count(F.lit(1))})
+    n = int(grand["_n"])
     if n == 0:
         return None
     pos = (n - 1) * q
     lo, hi = int(np.floor(pos)), int(np.ceil(pos))
-    ranked = row_numbers(vals, [F.col(col), F.col(key)], "_rk")
-    got = {r["_rk"]: r[col] for r in ranked.where(F.col("_rk").isin(lo + 1, hi + 1)).collect()}
+    ranked = ranged.join(F.broadcast(off), PID, "left").withColumn(
+        "_rk", F.col("_local") + F.lit(1) + F.coalesce(F.col("_o__n"), F.lit(0))
+    )
+    got = {r["_rk"]: r[col] for r in ranked.where(F.col("_rk").isin(lo + 1, hi + 1)).select("_rk", col).collect()}
     a, b = float(got[lo + 1]), float(got[hi + 1])
     return a + (b - a) * (pos - lo)

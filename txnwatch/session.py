@@ -29,6 +29,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("TXNWATCH_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
