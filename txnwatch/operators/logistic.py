@@ -3,12 +3,13 @@
 Objective (L2, intercept included in the penalty when ``exact``):
 ``1/2 |w|^2 + sum_i c_i * logloss_i`` with ``c_i = n / (2 n_class)``.
 
-* default: MLlib ``LogisticRegression`` with ``weightCol`` and
+* ``exact=True`` (default): Newton iterations on exactly this objective;
+  each pass sums the gradient and Hessian per partition (``mapInPandas``)
+  and only those (d + d^2 numbers per partition) reach the driver, which
+  solves the d x d system. About ten passes over the data.
+* ``exact=False``: MLlib ``LogisticRegression`` with ``weightCol`` and
   ``regParam = 1/n``, no standardisation (same minimiser up to the intercept
-  penalty, which MLlib leaves free);
-* ``exact=True``: Newton iterations; each pass sums the gradient and Hessian
-  per partition (``mapInPandas``) and only those (d + d^2 numbers per
-  partition) reach the driver, which solves the d x d system.
+  penalty, which MLlib leaves free); L-BFGS needs many more passes.
 
 Scoring (M4) is a column expression from the fitted coefficients, so it
 runs in whole-stage codegen with no model object on the executors.
@@ -87,7 +88,7 @@ def _class_counts(df: DataFrame, label: str) -> dict:
     return counts
 
 
-def fit_logistic(train: DataFrame, label: str, encoder: FeatureEncoder, exact: bool = False,
+def fit_logistic(train: DataFrame, label: str, encoder: FeatureEncoder, exact: bool = True,
                  max_iter: int = LOGISTIC_MAX_ITER) -> LogisticModel:
     counts = _class_counts(train, label)
     n = sum(counts.values())
