@@ -40,7 +40,7 @@ def test_training_job_properties(spark):
     assert summary["rows_processed"] == n_tx and summary["sample_size"] == 600
     assert 0.0 <= summary["success_rate_pct"] <= 100.0
     assert math.isnan(summary["metric_roc_auc"]) or 0.0 <= summary["metric_roc_auc"] <= 1.0
-    assert store.read_json_summary(spark, f"{root}/pipeline_summary") == summary
+    assert store.read_json_summary(spark, f"{root}/run_summary") == summary
     exported = spark.read.option("header", True).csv(f"{root}/processed_transactions")
     assert exported.count() == n_tx
     back = training.load_models(spark, root)

@@ -198,7 +198,7 @@ def fit_isolation_forest(
     contamination: float = IFOREST_CONTAMINATION,
     seed: int = RANDOM_SEED,
 ) -> Forest:
-    """M5: fit on ``df`` (standardised first, as in the reference pipeline)."""
+    """M5: fit on ``df`` (standardised first, as the reference does)."""
     ship_package(df.sparkSession)
     n = df.count()
     if n == 0:

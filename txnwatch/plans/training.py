@@ -176,5 +176,5 @@ def run_training(spark: SparkSession, raw: DataFrame, root: str, sample_size: in
     )
     processed.write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/processed_transactions")
     summary = run_summary(txn, preds, sample_size, bundle.metrics)
-    store.write_json_summary(spark, summary, f"{root.rstrip('/')}/pipeline_summary")
+    store.write_json_summary(spark, summary, f"{root.rstrip('/')}/run_summary")
     return summary
