@@ -83,23 +83,15 @@ def main() -> None:
     times["store_build"] = _timed(lambda: build(sf_dir, out_root))
     tx, pr = store.read_monitoring_tables(spark, out_root)
     frame = mon.monitoring_frame(tx, pr)
-    filtered = dash.dashboard_filter(frame, "2024-01-03", "2024-01-27", ["atm", "mobile", "web"], None)
     stored = {
         "store_fraud_trend": lambda: mon.fraud_trend(tx, pr).collect(),
         "store_overview_kpis": lambda: mon.overview_kpis(tx, pr).collect(),
         "store_risk_distribution": lambda: mon.risk_distribution(pr).collect(),
         "store_channel_success_rates": lambda: mon.channel_success_rates(tx, pr).collect(),
         "store_top_alerts": lambda: mon.recent_alerts(tx, pr).collect(),
-        "store_dashboard": lambda: [
-            f(filtered).collect()
-            for f in (
-                dash.filtered_kpis,
-                dash.filtered_fraud_trend,
-                dash.risk_distribution_ordered,
-                dash.filtered_channel_rates,
-                dash.filtered_top_alerts,
-            )
-        ],
+        "store_dashboard": lambda: dash.dashboard_report(
+            frame, "2024-01-03", "2024-01-27", ["atm", "mobile", "web"], None
+        ),
     }
     for name, fn in stored.items():
         times[name] = _timed(fn)

@@ -94,3 +94,17 @@ def test_empty_frames_flow_through(spark):
 def test_current_timestamp_type(spark):
     t = spark.range(1).select(F.current_timestamp().alias("now")).first().now
     assert isinstance(t, dt.datetime)
+
+
+def test_dashboard_report_matches_single_queries(spark):
+    txn, pred = fixture_views(read_table(spark, SF_SMALL, "events"))
+    frame = mon.monitoring_frame(txn, pred)
+    rep = dash.dashboard_report(frame, "2024-01-02", "2024-01-20", ["web", "atm"], ["low", "medium", "high"])
+    filtered = dash.dashboard_filter(frame, "2024-01-02", "2024-01-20", ["web", "atm"], ["low", "medium", "high"])
+    (got,), (exp,) = rep["kpis"], dash.filtered_kpis(filtered).collect()
+    assert got.asDict().keys() == exp.asDict().keys()
+    for k, v in exp.asDict().items():  # unrounded means may differ in the last bit (summation order)
+        assert got[k] == pytest.approx(v, rel=1e-12)
+    assert rep["trend"] == dash.filtered_fraud_trend(filtered).collect()
+    assert rep["top_alerts"] == dash.filtered_top_alerts(filtered).collect()
+    assert len(rep["date_bounds"]) == 1

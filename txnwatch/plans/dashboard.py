@@ -118,3 +118,25 @@ def date_bounds(frame: DataFrame) -> DataFrame:
 def distinct_values(frame: DataFrame, column: str) -> DataFrame:
     """sorted distinct non-NULL values of a column."""
     return frame.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def dashboard_report(frame: DataFrame, start_date, end_date, channels: Sequence[str] | None,
+                     bands: Sequence[str] | None) -> dict:
+    """The whole dashboard for one selection: the filtered frame is persisted
+    once (memory, spilling to disk) and the six small results are computed from
+    it, then it is released. Every result is small (days, bands, channels, 20
+    alerts, one KPI row), so they are returned as lists of rows."""
+    from pyspark import StorageLevel
+
+    filtered = dashboard_filter(frame, start_date, end_date, channels, bands).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return {
+            "kpis": filtered_kpis(filtered).collect(),
+            "trend": filtered_fraud_trend(filtered).collect(),
+            "risk_distribution": risk_distribution_ordered(filtered).collect(),
+            "channel_rates": filtered_channel_rates(filtered).collect(),
+            "top_alerts": filtered_top_alerts(filtered).collect(),
+            "date_bounds": date_bounds(frame).collect(),
+        }
+    finally:
+        filtered.unpersist()
