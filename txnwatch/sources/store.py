@@ -189,11 +189,13 @@ def append_live_predictions(transactions: DataFrame, predictions: DataFrame, roo
     new_pr_rows = with_prediction_ids(new_pr, start, keep=["txn_date"]).checkpoint(eager=True)
     n = new_tx_rows.count()
     top = new_pr_rows.agg(F.max("prediction_id")).first()[0]
+    # Reserve the id range before appending: a crash after this point leaves
+    # at most a gap in the ids, never a reused id.
+    if top is not None:
+        _write_meta(spark, root, max(start, int(top)))
     _write_partitioned(new_tx_rows, _tx_path(root), "append", "transaction_timestamp")
     _write_partitioned(new_pr_rows.select(*[f.name for f in PRED_FILE_SCHEMA.fields]), _pred_path(root), "append",
                        "risk_score")
-    if top is not None:
-        _write_meta(spark, root, max(start, int(top)))
     return n
 
 
