@@ -64,9 +64,44 @@ def q_live_stream_rollups(spark, sf_dir):
     return out.select("transaction_id", "account_id", "velocity_1h", F.round("avg_amount_24h", 6).alias("avg_amount_24h"))
 
 
-@register("live_store_append", None)
+def _live_append_sql() -> str:
+    from txnwatch.functions.rules import rule_sql_duckdb
+    from txnwatch.functions.scoring import risk_sql_duckdb
+
+    def u(salt):
+        return f"(('0x' || substr(md5('{salt}:' || CAST(event_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+    rule, _ = rule_sql_duckdb()
+    risk, band, decision = risk_sql_duckdb("ml_probability", "anomaly_score", "anomaly_flag", "rule_score")
+    valid = """Amount IS NOT NULL AND NOT isnan(Amount) AND Amount >= 0.0
+      AND hour IS NOT NULL AND hour >= 0 AND hour <= 23
+      AND velocity_1h IS NOT NULL AND NOT isnan(velocity_1h) AND velocity_1h >= 1.0 AND velocity_1h <= 10.0
+      AND avg_amount_24h IS NOT NULL AND NOT isnan(avg_amount_24h) AND avg_amount_24h >= 1.0
+      AND coalesce(channel IN ('web', 'mobile', 'pos', 'atm'), false)
+      AND coalesce(merchant_category IN ('grocery', 'electronics', 'travel', 'health', 'entertainment', 'utilities'), false)"""
+    return _with(
+        "SELECT transaction_id, rule_score, risk_band, decision FROM la5",
+        f"""la0 AS (
+  SELECT * EXCLUDE (avg_amount_24h, amount_to_avg_ratio),
+         greatest(avg_amount_24h, 1.0) AS avg_amount_24h,
+         Amount / greatest(avg_amount_24h, 1.0) AS amount_to_avg_ratio
+  FROM txn_ev WHERE {valid}
+)""",
+        f"""la1 AS (
+  SELECT transaction_id, {u('ml')} AS ml_probability, 2.0 * {u('an')} - 1.0 AS anomaly_score,
+         {rule} AS rule_score
+  FROM la0 WHERE event_id % 53 <> 0
+)""",
+        "la2 AS (SELECT *, CAST(anomaly_score < 0 AS INTEGER) AS anomaly_flag FROM la1)",
+        f"la3 AS (SELECT *, {risk} AS risk_score FROM la2)",
+        f"la4 AS (SELECT *, {band} AS risk_band FROM la3)",
+        f"la5 AS (SELECT *, {decision} AS decision FROM la4)",
+    )
+
+
+@register("live_store_append", _live_append_sql())
 def q_live_store_append(spark, sf_dir):
-    """K2 + K3 stream -> validate -> score -> idempotent append to both tables (rows-only)."""
+    """K2 + K3 stream -> validate (B16) -> live features (K1) -> score -> idempotent append to both tables."""
     txn, _ = views(spark, sf_dir)
     root = _scratch(spark, "append")
     live.write_time_ordered_files(txn, f"{root}/source")
