@@ -108,3 +108,43 @@ def q_run_summary(spark, sf_dir):
     root = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/training-run-{uuid.uuid4().hex}"
     summary = training.run_training(spark, raw, root)
     return spark.createDataFrame([summary])
+
+
+# Fixed model parameters for the scoring check (arbitrary constants, not fitted).
+FIXED_INTERCEPT = -3.0
+FIXED_NUMERIC = {"Amount": 0.8, "hour": -0.3, "velocity_1h": 0.5, "avg_amount_24h": -0.2, "amount_to_avg_ratio": 0.6}
+FIXED_CATEGORY_STEP = 0.1  # weight of the i-th sorted category of each column: i * step
+
+
+def _fixed_model(txn):
+    from txnwatch.operators.features import FeatureEncoder
+    from txnwatch.operators.logistic import LogisticModel
+
+    enc = FeatureEncoder(fit_standard_scaler(txn, NUMERIC_FEATURES), fit_one_hot(txn, CATEGORICAL_FEATURES))
+    coef = [FIXED_NUMERIC[c] for c in NUMERIC_FEATURES] + [
+        i * FIXED_CATEGORY_STEP for c in CATEGORICAL_FEATURES for i, _ in enumerate(enc.onehot.categories[c])
+    ]
+    return LogisticModel(enc, FIXED_INTERCEPT, coef, "fixed")
+
+
+def _fixed_score_sql() -> str:
+    terms = [f"{FIXED_INTERCEPT}"]
+    for c in NUMERIC_FEATURES:
+        terms.append(
+            f"{FIXED_NUMERIC[c]} * (({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 "
+            f"THEN stddev_pop({c}) OVER () ELSE 1.0 END)"
+        )
+    for col, values in (("channel", sorted(CHANNELS)), ("merchant_category", sorted(MERCHANT_CATEGORIES))):
+        for i, v in enumerate(values):
+            terms.append(f"{i * FIXED_CATEGORY_STEP} * (CASE WHEN {col} = '{v}' THEN 1.0 ELSE 0.0 END)")
+    margin = " + ".join(terms)
+    return _with(f"SELECT transaction_id, round(1.0 / (1.0 + exp(-({margin}))), 6) AS ml_probability FROM txn")
+
+
+@register("logistic_score_fixed", _fixed_score_sql())
+def q_logistic_score_fixed(spark, sf_dir):
+    """M4 scoring with fixed coefficients over fitted encoders: scaled numeric
+    features, one-hot categories, dot product, logistic."""
+    txn, _ = views(spark, sf_dir, shared=True)  # read by the fits and the scoring
+    model = _fixed_model(txn)
+    return txn.select("transaction_id", F.round(model.probability(), 6).alias("ml_probability"))
