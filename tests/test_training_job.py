@@ -45,3 +45,13 @@ def test_training_job_properties(spark):
     assert exported.count() == n_tx
     back = training.load_models(spark, root)
     assert back.forest.nodes["tree_id"].nunique() == 120
+
+
+def test_command_line_job_from_raw_csv(spark):
+    from txnwatch.sources.tables import write_raw
+
+    root = tempfile.mkdtemp(prefix="cli-")
+    write_raw(raw_from_events(read_table(spark, SF_SMALL, "events")), f"{root}/raw", "csv")
+    summary = training.main(["--raw", f"{root}/raw", "--out", f"{root}/out", "--sample-size", "300"])
+    tx, pr = store.read_monitoring_tables(spark, f"{root}/out")
+    assert tx.count() == summary["rows_processed"] == pr.count()
