@@ -57,7 +57,6 @@ lines AS (
 measured AS (
     SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-        length(text) - length(replace(text, '|', '')) AS n_pipes,
         length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS n_digits,
         coalesce(lines.n, 0) AS n_lines, coalesce(lines.d, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
     FROM texts LEFT JOIN lines USING (r) LEFT JOIN covered USING (r)

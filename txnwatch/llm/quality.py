@@ -24,7 +24,7 @@ WINDOW = 8
 RULES: dict[str, str] = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
-    "symbols": "2 * n_symbols > n_words and n_symbols > 2 * n_pipes",
+    "symbols": "10 * n_symbols > n_words",
     "repeated_lines": "2 * n_dup_lines > n_lines and n_lines > 3",
     "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words",
     "digits": "2 * n_digits > word_chars",
@@ -37,7 +37,7 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "default-1": tuple(RULES),
 }
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_pipes", "n_digits", "n_lines", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_digits", "n_lines", "n_dup_lines", "n_repeat_words")
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -67,7 +67,6 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got["n_words"].append(words.counts)
             got["word_chars"].append(tv.per_text(words.inside & ((data & 0xC0) != 0x80), offsets))
             got["n_symbols"].append(tv.per_text(SYMBOL[data], offsets))
-            got["n_pipes"].append(tv.per_text(data == ord("|"), offsets))
             got["n_digits"].append(tv.per_text((data >= 48) & (data <= 57), offsets))
             # Lines end at \n or with their text; only those with a word count.
             cut = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, offsets[1:]]))
