@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from txnwatch.llm import licenses, quality, shards
+from txnwatch.llm import langid, licenses, pii, quality, shards
 from txnwatch.llm.oracle import SQL
 from txnwatch.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and those of the weakly supervised classifier."""
+    return pii.digest(pii.detect(read(spark, sf_dir, "documents")))
+
+
 def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of every document: measurements, failure bits, and the default policy's verdict."""
     rows = quality.judge(quality.ledger(read(spark, sf_dir, "documents")))
@@ -35,14 +41,25 @@ def op4_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
+def op8_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; fitted on those whose id hash is not in the held-out third."""
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
+    model = langid.fit(langid.training_rows(rows.where(~F.col("held_out"))))
+    out = langid.predict(rows, model, keep=("held_out",))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty contiguous shards of near-equal bytes over all documents."""
     return shards.shard_by_bytes(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_weak_pii": op2_weak_pii,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_license_join": op4_license_join,
+    "op8_ecoc_language": op8_ecoc_language,
     "op10_byte_shards": op10_byte_shards,
 }
 ORACLE: dict[str, str] = {k: SQL[k] for k in QUERIES if k in SQL}
