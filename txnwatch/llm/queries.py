@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm import langid, licenses, pii, quality, shards
+from txnwatch.llm import decontaminate, langid, licenses, neardup, pieces, pii, quality, shards, tokens
 from txnwatch.llm.oracle import SQL
 from txnwatch.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding gives the text back."""
+    out = pieces.encode(read(spark, sf_dir, "documents"), pieces.load(spark))
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", "round_trip")
+
+
 def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans and those of the weakly supervised classifier."""
     return pii.digest(pii.detect(read(spark, sf_dir, "documents")))
@@ -41,6 +47,21 @@ def op4_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files written from all documents."""
+    path = tokens.scratch(spark, "tokens")
+    tokens.write_token_files(read(spark, sf_dir, "documents"), path, *tokens.default_ranks())
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("part")
+    out = tokens.count_tokens(spark, path).select(part, "doc_no", "first_token", "n_tokens", "ended").checkpoint()
+    tokens.remove(spark, path)
+    return out
+
+
 def op8_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; fitted on those whose id hash is not in the held-out third."""
     docs = read(spark, sf_dir, "documents")
@@ -50,16 +71,25 @@ def op8_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of every document with the benchmark."""
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty contiguous shards of near-equal bytes over all documents."""
     return shards.shard_by_bytes(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_weak_pii": op2_weak_pii,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_license_join": op4_license_join,
+    "op6_chosen_path": op6_chosen_path,
+    "op7_token_counts": op7_token_counts,
     "op8_ecoc_language": op8_ecoc_language,
+    "op9_spaced_seeds": op9_spaced_seeds,
     "op10_byte_shards": op10_byte_shards,
 }
 ORACLE: dict[str, str] = {k: SQL[k] for k in QUERIES if k in SQL}

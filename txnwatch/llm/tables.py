@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +22,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-_names = itertools.count()
-
-
 def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the id and the text (and ``more``), under fixed names: other columns of the
     input, whatever they are called, never meet an operator's own columns."""
@@ -37,10 +32,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def longs(*values: int) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def crc_fold(col: Column) -> Column:
     """crc32 of the decimal text of an id (NULL: the empty text)."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))

@@ -25,6 +25,12 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
+#: All of ASCII but digits and lower-case letters.
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[:128] = True
+PUNCTUATION[48:58] = False
+PUNCTUATION[97:123] = False
+
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -80,10 +86,10 @@ def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a chunk: byte spans, text number and count per text."""
+    """The words of a chunk, between bytes of ``apart``: byte spans, text number and count per text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        inside = ~SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE):
+        inside = ~apart[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
