@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.llm import textvec as tv
+from txnwatch.llm.filters import HashFilter
 from txnwatch.llm.tables import prepare, text_rows
 
 # Masks of span 12 and weight 8.
@@ -35,7 +36,6 @@ REACH = 64
 EQUAL_WORDS = 13
 EQUAL_SHARE = 0.6
 IDENTITY = 0.75
-FILTER_BITS = 1 << 24
 #: Seeds of the benchmark up to which they are broadcast; beyond, both sides are shuffled and salted.
 BROADCAST_SEEDS = 1 << 20
 SALTS = 16
@@ -89,42 +89,17 @@ def _benchmark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _filter(seeds: DataFrame) -> bytes:
-    """Two bits a seed in a bitmap of fixed size, merged in Spark by words of 32 bits."""
-    low = F.col("seed").bitwiseAND(FILTER_BITS - 1)
-    high = F.shiftrightunsigned("seed", 36).bitwiseAND(FILTER_BITS - 1)
-    words = (
-        seeds.select(F.explode(F.array(low, high)).alias("slot"))
-        .select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, cast(slot & 31 as int))").alias("bits"))
-        .groupBy("word")
-        .agg(F.bit_or("bits").alias("bits"))
-        .collect()
-    )
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for w, b in words:
-        out[w] = b
-    return out.tobytes()
-
-
-def _search(flags: bytes, lengths: list[int]):
+def _search(known: HashFilter, lengths: list[int]):
     """Stretches of words around the places that pass the filter, with those places and their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(flags, np.uint8)
-        mask = tv.U(FILTER_BITS - 1)
-
-        def passes(h: np.ndarray, shift: int) -> np.ndarray:
-            slot = ((h >> tv.U(shift)) & mask).astype(np.int64)
-            return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("row", "start", "words", "seeds", "places")}
             for first, bounds, hashes in _texts(batch.column("text")):
                 at, seed = [], []
                 for number, places in _shapes(lengths):
                     h = _seeds(hashes, number, places)
-                    hit = np.flatnonzero(passes(h, 0))
-                    hit = hit[passes(h[hit], 36)]
+                    hit = np.flatnonzero(known.passes(h))
                     text = np.searchsorted(bounds, hit, "right") - 1
                     hit = hit[hit + places[-1] < bounds[text + 1]]
                     at.append(hit)
@@ -215,7 +190,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     rows = text_rows(docs, id_col, text_col).select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     stretches = rows.mapInArrow(
-        _search(_filter(seeds), lengths),
+        _search(HashFilter.of(seeds, "seed"), lengths),
         f"doc_id {kind}, text_hash bigint, start bigint, words binary, seeds array<bigint>, places array<bigint>",
     ).checkpoint()
     numbered = stretches.withColumn("stretch", F.monotonically_increasing_id())
@@ -257,3 +232,11 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
         F.coalesce("equal_words", F.lit(0)).alias("equal_words"),
         F.coalesce("item_share", F.lit(0.0)).alias("item_share"),
     )
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that overlap with no item."""
+    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).distinct()
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    clean = hashed["doc_id"].eqNullSafe(found["found_id"]) & (hashed["_hash"] == found["found_hash"])
+    return hashed.join(found, clean, "left_anti").select(*docs.columns)

@@ -208,7 +208,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 names=["doc_id", *keep, "lang_pred", "score", "ambiguous"],
             )
 
-    rows = text_rows(docs, id_col, text_col, *keep)
+    rows = text_rows(docs, id_col, text_col, *[c for c in keep if c != "text"])
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in ("doc_id", *keep)] + ["lang_pred string", "score double", "ambiguous boolean"])
     return rows.mapInArrow(run, schema)
@@ -216,3 +216,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def held_out(id_col: Column) -> Column:
     return F.pmod(crc_fold(id_col), F.lit(3)) == 1
+
+
+def with_known_language(docs: DataFrame, columns: tuple[str, ...], sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose language is told without doubt; rows without letters or on the edge between two go.
+
+    Fitted on the labelled rows that are not held out.
+    """
+    rows = docs.select(*columns)
+    model = fit(training_rows(rows.where(~held_out(F.col("doc_id"))), sample))
+    told = predict(rows, model, keep=tuple(c for c in columns if c != "doc_id"))
+    return told.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*columns)

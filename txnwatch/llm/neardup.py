@@ -28,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.llm import textvec as tv
+from txnwatch.llm.filters import HashFilter
 from txnwatch.llm.graphs import components
 from txnwatch.llm.tables import prepare, text_rows
 
@@ -42,7 +43,6 @@ START, LEVELS = 2, 6
 SMALL = 48
 #: A pair at the threshold agrees on 72 of 96 hashes, with a deviation of 4.2; 46 is six deviations below.
 AGREE = 46
-FILTER_BITS = 1 << 23
 
 _XOR = np.random.default_rng(61).integers(0, 2**64, TREES * LEVELS, dtype=tv.U)
 _MUL = np.random.default_rng(62).integers(0, 2**64, TREES * LEVELS, dtype=tv.U) | tv.U(1)
@@ -145,15 +145,13 @@ def _confirm(percent: int):
     return run
 
 
-def _packed(flags: bytes):
+def _packed(wanted: HashFilter):
     """Texts whose hash is in the filter, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(flags, np.uint8)
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            slot = (batch.column("text_hash").to_numpy() & (FILTER_BITS - 1)).astype(np.int64)
-            hit = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            hit = np.flatnonzero(wanted.passes(batch.column("text_hash").to_numpy()))
             column, hashes = batch.column("text"), batch.column("text_hash")
             for at in range(0, len(hit), 1000):
                 some = pa.array(hit[at : at + 1000])
@@ -163,21 +161,6 @@ def _packed(flags: bytes):
     return run
 
 
-def hash_filter(hashes: DataFrame, column: str) -> bytes:
-    """A bitmap of fixed size over the low bits of the hashes: words of 32 bits are merged in Spark."""
-    slot = F.col(column).bitwiseAND(FILTER_BITS - 1)
-    words = (
-        hashes.select(F.shiftright(slot, 5).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 31 as int))").alias("bits"))
-        .groupBy("word")
-        .agg(F.bit_or("bits").alias("bits"))
-        .collect()
-    )
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for w, b in words:
-        out[w] = b
-    return out.tobytes()
-
-
 class Join:
     """State of one join: the texts, the classes with their sketches, and the links found so far."""
 
@@ -214,7 +197,7 @@ class Join:
         wanted = close.select(F.col("text_a").alias("h")).union(close.select("text_b"))
         blobs = (
             self.texts.select("text_hash", "text")
-            .mapInArrow(_packed(hash_filter(wanted, "h")), "text_hash bigint, blob binary")
+            .mapInArrow(_packed(HashFilter.of(wanted, "h")), "text_hash bigint, blob binary")
             .groupBy("text_hash")
             .agg(F.first("blob").alias("blob"))
         )
@@ -302,7 +285,7 @@ def links(join: Join) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept for every row.
+    """doc_id, text_hash, label, n_shingles, component_id, kept for every row; label: the component's number, null without words.
 
     component_id is the smallest id reachable over links, itself included; a
     row without words is alone. Rows with equal sets, repeated rows among them,
@@ -317,5 +300,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         "component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("lowest"))
     )
     return out.select(
-        "doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        "doc_id", "text_hash", "label", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` with one row of each component: the one whose id is smallest.
+
+    Rows without words are no duplicates of others; of repeated rows one stays.
+    """
+    alone = near_duplicates(docs, percent).where("kept").groupBy("doc_id", "label").agg(F.min("text_hash").alias("kept_hash"))
+    alone = alone.select(F.col("doc_id").alias("kept_id"), "kept_hash").distinct()
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    joined = hashed.join(alone, hashed["doc_id"].eqNullSafe(alone["kept_id"]) & (hashed["_hash"] == alone["kept_hash"]))
+    one = Window.partitionBy("kept_id", "kept_hash").orderBy(F.lit(0))
+    return joined.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm import decontaminate, langid, licenses, neardup, pieces, pii, quality, shards, tokens
+from txnwatch.llm import decontaminate, langid, licenses, neardup, pieces, pii, quality, repeats, shards, tokens
 from txnwatch.llm.oracle import SQL
 from txnwatch.llm.tables import read
 
@@ -47,9 +47,14 @@ def op4_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a 400-byte string which also starts elsewhere."""
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return neardup.near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash", "label")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op2_weak_pii": op2_weak_pii,
     "op3_quality_ledger": op3_quality_ledger,
     "op4_license_join": op4_license_join,
+    "op5_repeated_bytes": op5_repeated_bytes,
     "op6_chosen_path": op6_chosen_path,
     "op7_token_counts": op7_token_counts,
     "op8_ecoc_language": op8_ecoc_language,
