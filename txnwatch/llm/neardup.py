@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.llm import textvec as tv
 from txnwatch.llm.filters import HashFilter
-from txnwatch.llm.graphs import components
+from txnwatch.llm.graphs import components, merged
 from txnwatch.llm.tables import prepare, text_rows
 
 SHINGLE = 5
@@ -41,8 +41,8 @@ PERCENT = 75
 TREES = 16
 START, LEVELS = 2, 6
 SMALL = 48
-#: A pair at the threshold agrees on 72 of 96 hashes, with a deviation of 4.2; 46 is six deviations below.
-AGREE = 46
+#: A pair at the threshold agrees on 72 of 96 hashes, with a deviation of 4.2; 50 is five deviations below.
+AGREE = 50
 
 _XOR = np.random.default_rng(61).integers(0, 2**64, TREES * LEVELS, dtype=tv.U)
 _MUL = np.random.default_rng(62).integers(0, 2**64, TREES * LEVELS, dtype=tv.U) | tv.U(1)
@@ -210,10 +210,6 @@ class Join:
             .checkpoint()
         )
 
-    def labels(self, links: DataFrame) -> DataFrame:
-        """(cls, label) for classes that have a link."""
-        return components(links).withColumnRenamed("node", "cls")
-
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -223,12 +219,6 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.drop("label").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
-def _mixed(members: DataFrame, key: str) -> DataFrame:
-    """Members of nodes that hold more than one component, with the node's size."""
-    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    return members.drop("size").join(sizes.where(F.col("low") != F.col("high")).select(key, "size"), key)
-
-
 def _across(members: DataFrame, key: str) -> DataFrame:
     """Pairs of classes of one node that are in different components."""
     x, y = members.select(key, "cls", "label").alias("x"), members.select(key, "cls", "label").alias("y")
@@ -243,44 +233,56 @@ def _with_pivots(members: DataFrame, key: str) -> DataFrame:
     return met.select(*_ordered(F.col("cls"), F.col("pivot"))).distinct()
 
 
+def _mixed(members: DataFrame, key: str) -> DataFrame:
+    """Members of nodes that hold more than one component."""
+    ends = members.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return members.join(ends.where(F.col("low") != F.col("high")).select(key), key)
+
+
+def _leaves(members: DataFrame) -> DataFrame:
+    """Members with ``level``: the first level at which their node is small; null where none is."""
+    level = F.lit(None).cast("int")
+    out = members
+    for d in range(LEVELS, START - 1, -1):
+        sizes = members.groupBy(f"k{d}").agg(F.count(F.lit(1)).alias(f"n{d}"))
+        out = out.join(sizes, f"k{d}")
+        level = F.when(F.col(f"n{d}") <= SMALL, d).otherwise(level)
+    return out.withColumn("level", level)
+
+
 def links(join: Join) -> tuple[DataFrame, DataFrame]:
     """(links between classes, labels): links that connect exactly the components of all similar pairs."""
-    top = f"k{START}"
+    top, bottom = f"k{START}", f"k{LEVELS}"
     # Round one: every class with the smallest class of each of its nodes.
-    pivots = join.nodes.groupBy(top).agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("size"))
-    stars = join.nodes.select(top, "cls").join(pivots.where("size > 1"), top).where(F.col("cls") != F.col("pivot"))
-    found = join.confirmed(stars.select(*_ordered(F.col("cls"), F.col("pivot"))).distinct())
-    labels = join.labels(found)
-    # Round two: across components, in the first node of each path that is small.
-    members = _labelled(join.nodes, labels)
+    nodes = join.nodes
+    pivots = nodes.groupBy(top).agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = nodes.join(pivots.select(top, "pivot"), top).checkpoint()
+    tried = shared.where(F.col("cls") != F.col("pivot")).select(*_ordered(F.col("cls"), F.col("pivot"))).distinct()
+    found = join.confirmed(tried)
+    labels = components(found).withColumnRenamed("node", "cls")
+    # Round two: across components, in the first small node of each path.
+    members = _leaves(_mixed(_labelled(shared.drop("pivot"), labels), top).checkpoint()).checkpoint()
     pairs = None
-    for level in range(START, LEVELS + 1):
-        key = f"k{level}"
-        members = _mixed(members, key).checkpoint()
-        small = members.where(F.col("size") <= SMALL)
-        here = _across(small, key)
+    for d in range(START, LEVELS + 1):
+        here = _across(members.where(F.col("level") == d), f"k{d}")
         pairs = here if pairs is None else pairs.unionByName(here)
-        members = members.where(F.col("size") > SMALL)
-        if not members.limit(1).count():
-            members = None
-            break
-    more = join.confirmed(pairs.distinct())
-    found = found.unionByName(more)
-    labels = join.labels(found)
+    pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
+    more = join.confirmed(pairs)
+    found, labels = found.unionByName(more), merged(labels, more, "cls")
     # What is large at the last level: by pivots while that connects anything, then across what is left.
-    key = f"k{LEVELS}"
-    while members is not None:
-        members = _mixed(_labelled(members, labels), key).checkpoint()
-        if not members.limit(1).count():
-            break
-        more = join.confirmed(_with_pivots(members, key))
-        last = not more.limit(1).count()
-        if last:
-            more = join.confirmed(_across(members, key))
-        found = found.unionByName(more)
-        labels = join.labels(found)
+    members = members.where(F.col("level").isNull()).select(bottom, "cls")
+    if not members.limit(1).count():
+        return found, labels
+    tried, last = tried.unionByName(pairs).checkpoint(), False
+    while not last:
+        here = _mixed(_labelled(members, labels), bottom).checkpoint()
+        pairs = _with_pivots(here, bottom).join(tried, ["a", "b"], "left_anti").checkpoint()
+        last = not pairs.limit(1).count()
         if last:
-            break
+            pairs = _across(here, bottom).join(tried, ["a", "b"], "left_anti")
+        more = join.confirmed(pairs)
+        found, labels = found.unionByName(more), merged(labels, more, "cls")
+        tried = tried.unionByName(pairs)
     return found, labels
 
 
