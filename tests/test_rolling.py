@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from txnwatch.operators.rolling import account_window_stats, add_account_rollups
+from txnwatch.operators.rolling import account_window_stats, add_account_rollups, hot_buckets
 from txnwatch.schema import DAY_US, HOUR_US
 from txnwatch.sources.tables import read_table
 
@@ -65,8 +65,8 @@ def brute_force(pdf, window_us):
     return out
 
 
-@pytest.mark.parametrize("bucket_days", [1, 7])
-def test_matches_brute_force_with_ties(spark, bucket_days):
+@pytest.mark.parametrize("how", [{"bucket_us": 30 * DAY_US}, {"bucket_us": 41 * DAY_US}, {"split": True}])
+def test_matches_brute_force_with_ties(spark, how):
     o = read_table(spark, SF_SMALL, "orders").select(
         F.col("o_orderkey").alias("key"),
         (F.col("o_custkey") % 5).alias("account"),
@@ -75,7 +75,7 @@ def test_matches_brute_force_with_ties(spark, bucket_days):
     )
     window = 30 * DAY_US
     got = account_window_stats(o, {"w": window}, account="account", ts="ts", amount="amt", tie="key",
-                               bucket_us=bucket_days * DAY_US).collect()
+                               **how).collect()
     pdf = o.toPandas()
     pdf["us"] = (pdf["ts"] - pd.Timestamp("1970-01-01")) // pd.Timedelta(microseconds=1)
     exp = brute_force(pdf, window)
@@ -86,8 +86,34 @@ def test_matches_brute_force_with_ties(spark, bucket_days):
         assert abs(float(r.w_sum) / n - mean) < 1e-9 * max(1.0, abs(mean))
 
 
+def test_rows_without_account_or_time_and_all_digits(spark):
+    rows = [
+        ("a", None, T0, 1.0),
+        ("b", 1, None, 2.0),
+        ("c", 1, T0, 0.00003),
+        ("d", 1, T0 + US, 0.00004),
+        ("e", 2, T0, 3e14),
+        ("f", 2, T0 + US, 0.5),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.transaction_id: r for r in account_window_stats(df, {"w": HOUR_US}).collect()}
+    assert got["a"].w_count is None and got["b"].w_sum is None
+    assert float(got["d"].w_sum) == 0.00007 and got["d"].w_count == 2
+    assert str(got["f"].w_sum) == "300000000000000.500000000000"
+
+
+def test_hot_hour_by_global_prefix_sums(spark):
+    """One account-hour with every row: the split form gives the same and no group holds it."""
+    rows = [(f"x{i:05d}", 7, T0 + dt.timedelta(seconds=i % 1700), float(i % 13)) for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert hot_buckets(df, HOUR_US, 100).count() == 1
+    plain = account_window_stats(df, {"w": HOUR_US // 6}).orderBy("transaction_id").collect()
+    split = account_window_stats(df, {"w": HOUR_US // 6}, split=True)
+    assert split.orderBy("transaction_id").collect() == plain
+
+
 def test_hot_account_is_split_across_buckets(spark):
-    """One account holding every row: partitions follow (account, hour)."""
+    """One account holding every row: groups follow (account, day)."""
     rows = [(f"x{i:05d}", 7, T0 + dt.timedelta(minutes=7 * i), float(i % 13)) for i in range(3000)]
     df = spark.createDataFrame(rows, SCHEMA)
     out = add_account_rollups(df).collect()

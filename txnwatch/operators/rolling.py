@@ -5,41 +5,73 @@ time t is ``(t - W, t]``; a row exactly W older is out. Rows with the same
 timestamp are taken one by one in ``tie`` order, so the k-th tied row sees
 only the earlier ties. NULL amounts are not counted.
 
-Plan, designed for skewed accounts (one account may hold a third of all rows):
-
-* ``count(t-W, t] = C(t) - C(t-W)`` where ``C(x)`` is the running count of the
-  account up to x (own row and earlier ties included for the own row; all rows
-  with ts <= x for the lower bound). Same for the sum, in exact decimal, so
-  the difference of two large running sums loses nothing (amounts are taken
-  to four decimal places).
-* Rows are keyed by ``(account, bucket)`` with ``bucket = floor(us / B)``
-  (default one hour), so no task ever holds a whole account: a partition holds
-  one account-hour of rows plus the lower-bound markers that land in it.
-* ``C`` at a bucket start comes from a small table of per-bucket totals with
-  a running sum per account (at most #buckets rows per account).
-* Lower bounds are marker rows at ``t - W`` sorted after data rows at the same
-  instant; the running count at a marker is ``C(t - W)``.
-* All window functions are running (``UNBOUNDED PRECEDING .. CURRENT ROW``)
-  frames, which Spark evaluates incrementally: cost is linear in rows, not
-  rows x frame size as with a sliding RANGE frame.
-
-Shuffles: keys+markers by (account, bucket) once (the join with the bucket
-table reuses it), a partial aggregate of bucket totals, and one hash
-exchange by the row key to bring the markers' values back.
+Plan: one scan and one exchange.
+
+* Time is cut into buckets as long as the longest window, so a row's frames lie
+  in its own bucket and the one before. Each row is copied to its own bucket
+  and, as context, to the next one; rows are dealt by ``(account, bucket)``.
+* ``count(t-W, t] = C(t) - C(t-W)`` with C the running count in that group.
+  Lower bounds are marker rows at ``t - W``, sorted after data rows of the same
+  instant, whose running count is ``C(t - W)``. Running frames are linear in the
+  rows; a sliding RANGE frame would be rows x frame.
+* The markers' values come back to their row by a second window over
+  ``(account, bucket, tie)``, which the same exchange already serves.
+* Sums are exact decimals (12 places), so that the difference of two running
+  sums loses nothing.
+
+A group holds one account for two buckets. Where that is still too much for a
+task (``hot_buckets`` measures it), ``split`` takes the same running sums over
+the global order of (account, time) with distributed prefix sums, which no key
+can skew, at the price of a second exchange that brings the markers back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.functions.scalars import micros_ntz
+from txnwatch.operators.prefix import prefix_sums
 from txnwatch.schema import DAY_US, HOUR_US
 
-# Amounts enter as a long-backed decimal (precision <= 18: fast, exact to four
-# places, which covers money); only the final window sums are widened.
-AMOUNT_TYPE = "decimal(18,4)"
-SUM_TYPE = "decimal(38,4)"
+#: Exact for amounts below 1e15 with twelve decimal places; sums have ten more digits.
+AMOUNT_TYPE = "decimal(27,12)"
+SUM_TYPE = "decimal(37,12)"
+#: Rows without account or time belong to no window; they are spread over so many groups.
+LOOSE_GROUPS = 1 << 20
+
+
+def _bucket(us: Column, bucket_us: int) -> Column:
+    return F.floor(us / F.lit(bucket_us)).cast("bigint")
+
+
+def hot_buckets(df: DataFrame, bucket_us: int, rows: int, account: str = "account_id",
+                ts: str = "transaction_timestamp") -> DataFrame:
+    """(account, bucket, rows) of the groups with more than ``rows`` rows; partial counts, so no group is gathered."""
+    keyed = df.select(F.col(account), _bucket(micros_ntz(ts), bucket_us).alias("bucket"))
+    return keyed.groupBy(account, "bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > rows)
+
+
+def _marked(df: DataFrame, windows: dict[str, int], account: str, ts: str, amount: str, tie: str,
+            context_us: int | None) -> DataFrame:
+    """Rows and their markers: ``_kind`` 0 for a row, i for the lower bound of window i, -1 for the
+    context copy in the next bucket. Only a row itself carries the input columns."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    us, amt = micros_ntz(ts), F.col(amount).cast(AMOUNT_TYPE)
+    own = F.struct(F.lit(0).alias("k"), us.alias("u"), amt.alias("a"), F.lit(0).alias("d"))
+    variants = [own] + [
+        F.struct(F.lit(i).alias("k"), (us - F.lit(int(w))).alias("u"), F.lit(None).cast(AMOUNT_TYPE).alias("a"), F.lit(0).alias("d"))
+        for i, w in enumerate(windows.values(), start=1)
+    ]
+    if context_us:
+        variants.append(F.struct(F.lit(-1).alias("k"), us.alias("u"), amt.alias("a"), F.lit(1).alias("d")))
+    out = df.select(*columns, F.explode(F.array(*variants)).alias("_v"), us.alias("_t"))
+    out = out.select("*", F.col("_v.k").alias("_kind"), F.col("_v.u").alias("_us"), F.col("_v.a").alias("_amt"))
+    if context_us:
+        loose = F.lit(-1) - F.pmod(F.xxhash64(tie), F.lit(LOOSE_GROUPS))
+        usable = F.col(account).isNotNull() & F.col("_t").isNotNull()
+        out = out.withColumn("_bucket", F.when(usable, _bucket(F.col("_t"), context_us) + F.col("_v.d")).otherwise(loose))
+    return out.drop("_v", "_t")
 
 
 def account_window_stats(
@@ -49,7 +81,8 @@ def account_window_stats(
     ts: str = "transaction_timestamp",
     amount: str = "Amount",
     tie: str = "transaction_id",
-    bucket_us: int = HOUR_US,
+    bucket_us: int | None = None,
+    split: bool = False,
 ) -> DataFrame:
     """Add ``{name}_count`` (bigint) and ``{name}_sum`` (decimal) for each window.
 
@@ -59,80 +92,37 @@ def account_window_stats(
     """
     if not windows:
         raise ValueError("at least one window is required")
-    if bucket_us <= 0:
-        raise ValueError("bucket_us must be positive")
+    bucket_us = bucket_us or max(windows.values())
+    if bucket_us < max(windows.values()):
+        raise ValueError("a bucket must be as long as the longest window")
     names = list(windows)
-    keys = df.select(
-        F.col(account).alias("_acct"),
-        F.col(tie).alias("_tie"),
-        micros_ntz(ts).alias("_us"),
-        F.col(amount).cast(AMOUNT_TYPE).alias("_amt"),
-    ).where(F.col("_acct").isNotNull() & F.col("_us").isNotNull())
-
-    def bucket(us_col):
-        return F.floor(us_col / F.lit(bucket_us)).cast("bigint")
-
-    # One scan: each row yields itself (kind 0) and one lower-bound marker per
-    # window (kind i, at us - W_i, no amount), by explode rather than a union
-    # of several scans.
-    variants = [F.struct(F.lit(0).alias("k"), F.col("_us").alias("u"), F.col("_amt").alias("a"))]
+    # At one instant rows and context come in tie order, markers after them.
+    place = F.when(F.col("_kind") > 0, F.col("_kind")).otherwise(0)
+    marked = _marked(df, windows, account, ts, amount, tie, None if split else bucket_us).withColumn("_place", place)
+    if split:
+        one = F.col("_amt").isNotNull().cast("bigint")
+        summed = prefix_sums(marked, [F.col(account), "_us", "_place", F.col(tie)], {"_cn": one, "_cs": F.col("_amt")})
+        group = Window.partitionBy(tie)
+    else:
+        running = Window.partitionBy(account, "_bucket").orderBy("_us", "_place", tie)
+        running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        zero = F.lit(0).cast(SUM_TYPE)
+        sums = {"_cn": F.count("_amt").over(running), "_cs": F.coalesce(F.sum("_amt").over(running), zero)}
+        summed = marked.withColumns(sums).where(F.col("_kind") >= 0)
+        group = Window.partitionBy(account, "_bucket", tie)
+    lows = {
+        f"_low_{what}{i}": F.max(F.when(F.col("_kind") == i, F.col(f"_c{what}"))).over(group)
+        for i in range(1, len(names) + 1)
+        for what in "ns"
+    }
+    stats = summed.withColumns(lows).where(F.col("_kind") == 0)
+    usable = F.col(account).isNotNull() & F.col(ts).isNotNull()
+    values = []
     for i, name in enumerate(names, start=1):
-        variants.append(
-            F.struct(
-                F.lit(i).alias("k"),
-                (F.col("_us") - F.lit(int(windows[name]))).alias("u"),
-                F.lit(None).cast(AMOUNT_TYPE).alias("a"),
-            )
-        )
-    union = keys.select("_acct", "_tie", F.explode(F.array(*variants)).alias("_v")).select(
-        "_acct",
-        "_tie",
-        F.col("_v.u").alias("_us"),
-        bucket(F.col("_v.u")).alias("_b"),
-        F.col("_v.k").alias("_kind"),
-        F.col("_v.a").alias("_amt"),
-    )
-
-    # Per-bucket totals and their running sum over earlier buckets (small table).
-    totals = union.groupBy("_acct", "_b").agg(F.count("_amt").alias("_bn"), F.sum("_amt").alias("_bs"))
-    before = Window.partitionBy("_acct").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        "_acct",
-        "_b",
-        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_pn"),
-        F.coalesce(F.sum("_bs").over(before), F.lit(0).cast(AMOUNT_TYPE)).alias("_ps"),
-    )
-
-    running = Window.partitionBy("_acct", "_b").orderBy("_us", "_kind", "_tie").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    cum = union.join(starts, ["_acct", "_b"]).select(
-        "_tie",
-        "_kind",
-        (F.col("_pn") + F.count("_amt").over(running)).alias("_cn"),
-        (F.col("_ps") + F.coalesce(F.sum("_amt").over(running), F.lit(0).cast(AMOUNT_TYPE))).alias("_cs"),
-    )
-
-    aggs = [
-        F.max(F.when(F.col("_kind") == 0, F.col("_cn"))).alias("_own_n"),
-        F.max(F.when(F.col("_kind") == 0, F.col("_cs"))).alias("_own_s"),
-    ]
-    for i, name in enumerate(names, start=1):
-        aggs.append(F.max(F.when(F.col("_kind") == i, F.col("_cn"))).alias(f"_lo_n{i}"))
-        aggs.append(F.max(F.when(F.col("_kind") == i, F.col("_cs"))).alias(f"_lo_s{i}"))
-    per_row = cum.groupBy("_tie").agg(*aggs)
-    stats = per_row.select(
-        F.col("_tie").alias(tie),
-        *[
-            c
-            for i, name in enumerate(names, start=1)
-            for c in (
-                (F.col("_own_n") - F.col(f"_lo_n{i}")).alias(f"{name}_count"),
-                (F.col("_own_s") - F.col(f"_lo_s{i}")).cast(SUM_TYPE).alias(f"{name}_sum"),
-            )
-        ],
-    )
-    return df.join(stats, tie, "left")
+        n, total = F.col("_cn") - F.col(f"_low_n{i}"), F.col("_cs") - F.col(f"_low_s{i}")
+        values.append(F.when(usable, n).cast("bigint").alias(f"{name}_count"))
+        values.append(F.when(usable, total).cast(SUM_TYPE).alias(f"{name}_sum"))
+    return stats.select(*[F.col(f"`{c}`") for c in df.columns], *values)
 
 
 def rolling_mean(count_col: str, sum_col: str):
@@ -146,12 +136,14 @@ def add_account_rollups(
     ts: str = "transaction_timestamp",
     amount: str = "Amount",
     tie: str = "transaction_id",
-    bucket_us: int = HOUR_US,
+    bucket_us: int | None = None,
+    split: bool = False,
 ) -> DataFrame:
     """W1 + W2: ``velocity_1h`` (1h count, missing -> 1.0) and ``avg_amount_24h``
     (24h mean, missing -> own Amount), both double."""
     stats = account_window_stats(
-        df, {"_w1h": HOUR_US, "_w24h": DAY_US}, account=account, ts=ts, amount=amount, tie=tie, bucket_us=bucket_us
+        df, {"_w1h": HOUR_US, "_w24h": DAY_US}, account=account, ts=ts, amount=amount, tie=tie,
+        bucket_us=bucket_us, split=split,
     )
     return stats.withColumns(
         {
@@ -170,11 +162,11 @@ def rolling_count_mean(
     tie: str,
     bucket_us: int | None = None,
     prefix: str = "roll",
+    split: bool = False,
 ) -> DataFrame:
     """Generic form: ``{prefix}_count`` and ``{prefix}_mean`` over ``(t - W, t]``."""
-    bucket_us = bucket_us or min(window_us, DAY_US)
     stats = account_window_stats(df, {"_w": window_us}, account=account, ts=ts, amount=amount, tie=tie,
-                                 bucket_us=bucket_us)
+                                 bucket_us=bucket_us, split=split)
     return stats.withColumns(
         {f"{prefix}_count": F.col("_w_count"), f"{prefix}_mean": rolling_mean("_w_count", "_w_sum")}
     ).drop("_w_count", "_w_sum")
