@@ -91,3 +91,27 @@ def test_unknown_category_scores(spark, txn):
                                 "amount_to_avg_ratio double, channel string, merchant_category string")
     p = row.select(model.probability()).first()[0]
     assert 0.0 < p < 1.0
+
+
+def test_damped_newton_converges_on_heavy_tails(spark):
+    from txnwatch.operators.features import FeatureEncoder, OneHotParams, ScalerParams
+
+    enc = FeatureEncoder(ScalerParams({"a": 0.0, "b": 0.0}, {"a": 1.0, "b": 1.0}), OneHotParams({}))
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        x = rng.standard_cauchy((300, 2)) * 10.0
+        y = (rng.random(300) < 0.1).astype(int)
+        y[:2] = [0, 1]
+        df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int")
+        model = fit_logistic(df, "y", enc)
+        assert model.converged
+
+
+def test_quantile_without_a_sort(spark):
+    from txnwatch.operators.prefix import exact_quantile
+
+    rng = np.random.default_rng(3)
+    for values in (rng.standard_cauchy(999), np.repeat([1.0, 2.0, 5.0], 40), np.array([7.0]), rng.random(50) * 1e-12):
+        df = spark.createDataFrame([(float(v),) for v in values], "x double")
+        for q in (0.0, 0.02, 0.5, 0.977, 1.0):
+            assert abs(exact_quantile(df, "x", q) - np.quantile(values, q)) <= 1e-12 * max(1.0, abs(np.quantile(values, q)))

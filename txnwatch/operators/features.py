@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from txnwatch.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
-MAX_CATEGORIES = 1000
-
 
 @dataclass
 class ScalerParams:
@@ -68,16 +66,12 @@ class OneHotParams:
         return {"categories": self.categories}
 
 
-def fit_one_hot(df: DataFrame, cols: list[str] = CATEGORICAL_FEATURES,
-                max_categories: int = MAX_CATEGORIES) -> OneHotParams:
-    """Distinct values per column; the category list is bounded and checked."""
+def fit_one_hot(df: DataFrame, cols: list[str] = CATEGORICAL_FEATURES) -> OneHotParams:
+    """Distinct values per column. Each is a feature of the model, so the list is as long as the model is wide."""
     cats = {}
     for c in cols:
         distinct = df.select(c).where(F.col(c).isNotNull()).distinct()
-        vals = [r[0] for r in distinct.limit(max_categories + 1).collect()]
-        if len(vals) > max_categories:
-            raise ValueError(f"{c} has more than {max_categories} categories")
-        cats[c] = sorted(str(v) for v in vals)
+        cats[c] = sorted(str(r[0]) for r in distinct.collect())
     return OneHotParams(cats)
 
 

@@ -174,6 +174,7 @@ def tree_samples(df: DataFrame, key: str, feature_cols: list[str], n_trees: int,
         )
         if frac >= 1.0:
             break
+        pairs = pairs.checkpoint(eager=True)  # about trees x psi rows: counted and then ranked
         per_tree = pairs.groupBy("tree_id").count().collect()  # one row per tree
         if len(per_tree) == n_trees and min(r["count"] for r in per_tree) >= psi:
             break
@@ -220,9 +221,9 @@ def fit_isolation_forest(
         .toPandas()  # at most n_trees * (2 psi - 1) rows
     )
     forest = Forest(feature_cols, scaler, nodes, psi, 0.0, max_depth)
-    # One scoring pass over the training rows, kept for the ranking passes.
-    train_scores = score_forest(df.select(key, *feature_cols), forest, raw=True).checkpoint(eager=True)
-    offset = exact_quantile(train_scores, "anomaly_score", contamination, key)
+    # One scoring pass over the training rows, kept for the passes of the quantile.
+    train_scores = score_forest(df.select(*feature_cols), forest, raw=True).select("anomaly_score").checkpoint(eager=True)
+    offset = exact_quantile(train_scores, "anomaly_score", contamination)
     forest.offset = float(offset)
     return forest
 

@@ -3,13 +3,14 @@
 Objective (L2, intercept included in the penalty when ``exact``):
 ``1/2 |w|^2 + sum_i c_i * logloss_i`` with ``c_i = n / (2 n_class)``.
 
-* ``exact=True`` (default): Newton iterations on exactly this objective;
-  each pass sums the gradient and Hessian per partition (``mapInPandas``)
-  and only those (d + d^2 numbers per partition) reach the driver, which
-  solves the d x d system. About ten passes over the data.
-* ``exact=False``: MLlib ``LogisticRegression`` with ``weightCol`` and
+* ``exact=True`` (default): damped Newton on exactly this objective. Each pass
+  sums loss, gradient and Hessian per partition (``mapInPandas``); Spark adds the
+  partitions up position by position, so 1 + d + d^2 numbers reach the driver however many
+  partitions there are. A step that does not lower the loss is halved, and the fit is
+  ``converged`` only when the gradient vanishes; otherwise it warns.
+* ``exact=False``, and any fit of more than ``WIDE`` features: MLlib ``LogisticRegression`` with ``weightCol`` and
   ``regParam = 1/n``, no standardisation (same minimiser up to the intercept
-  penalty, which MLlib leaves free); L-BFGS needs many more passes.
+  penalty, which MLlib leaves free); it needs gradients only, but more passes.
 
 Scoring (M4) is a column expression from the fitted coefficients, so it
 runs in whole-stage codegen with no model object on the executors.
@@ -18,24 +19,30 @@ runs in whole-stage codegen with no model object on the executors.
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from txnwatch.operators.features import FeatureEncoder
 from txnwatch.schema import LOGISTIC_MAX_ITER
 
 
+#: Features up to which a d x d system is solved.
+WIDE = 1000
+
+
 @dataclass
 class LogisticModel:
     encoder: FeatureEncoder
     intercept: float
     coefficients: list[float]
     method: str
+    converged: bool = True
+    max_gradient: float = 0.0
 
     def feature_names(self) -> list[str]:
         return self.encoder.names()
@@ -59,13 +66,14 @@ class LogisticModel:
     def to_json(self) -> str:
         return json.dumps(
             {"encoder": self.encoder.to_dict(), "intercept": self.intercept, "coefficients": self.coefficients,
-             "method": self.method}
+             "method": self.method, "converged": self.converged, "max_gradient": self.max_gradient}
         )
 
     @staticmethod
     def from_json(text: str) -> "LogisticModel":
         d = json.loads(text)
-        return LogisticModel(FeatureEncoder.from_dict(d["encoder"]), d["intercept"], d["coefficients"], d["method"])
+        return LogisticModel(FeatureEncoder.from_dict(d["encoder"]), d["intercept"], d["coefficients"], d["method"],
+                             d.get("converged", True), d.get("max_gradient", 0.0))
 
 
 def balanced_weight(label: str, counts: dict) -> Column:
@@ -95,8 +103,8 @@ def fit_logistic(train: DataFrame, label: str, encoder: FeatureEncoder, exact: b
     data = train.select(
         *encoder.columns(), F.col(label).cast("double").alias("_y"), balanced_weight(label, counts).alias("_w")
     )
-    if exact:
-        return _fit_newton(data, encoder, max_iter=min(max_iter, 100))
+    if exact and len(encoder.names()) <= WIDE:
+        return _fit_newton(data, encoder, max_iter)
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -129,43 +137,57 @@ def _partials(names: list[str], beta: np.ndarray):
             y = pdf["_y"].to_numpy(dtype=float)
             w = pdf["_w"].to_numpy(dtype=float)
             z = x @ beta
-            p = 1.0 / (1.0 + np.exp(-z))
+            p = 0.5 * (1.0 + np.tanh(0.5 * z))
             g += x.T @ (w * (p - y))
             h += (x * (w * p * (1.0 - p))[:, None]).T @ x
             loss += float(np.sum(w * (np.logaddexp(0.0, z) - y * z)))
-        yield pd.DataFrame({"g": [g.tolist()], "h": [h.ravel().tolist()], "loss": [loss]})
+        yield pd.DataFrame({"sums": [np.concatenate([[loss], g, h.ravel()]).tolist()]})
 
     return run
 
 
-def _fit_newton(data: DataFrame, encoder: FeatureEncoder, max_iter: int = 100, tol: float = 1e-10) -> LogisticModel:
+def _fit_newton(data: DataFrame, encoder: FeatureEncoder, max_iter: int, tol: float = 1e-9) -> LogisticModel:
     names = encoder.names()
-    renamed = data.toDF(*[f"f{i}" for i in range(len(names))], "_y", "_w")
     cols = [f"f{i}" for i in range(len(names))]
     spark = data.sparkSession
     from txnwatch.session import ensure_checkpoint_dir, ship_package
 
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    renamed = renamed.checkpoint(eager=True)  # reused by every pass
+    rows = data.toDF(*cols, "_y", "_w").checkpoint(eager=True)  # reused by every pass
     d = len(names) + 1
+    weight = float(rows.agg(F.sum("_w")).first()[0] or 1.0)
+
+    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, gradient and Hessian with the penalty 1/2 |beta|^2 (intercept included)."""
+        parts = rows.mapInPandas(_partials(cols, beta.copy()), "sums array<double>")
+        sums = parts.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
+        total = np.zeros(1 + d + d * d)
+        for k, x in sums:
+            total[k] = x
+        loss = float(total[0]) + 0.5 * float(beta @ beta)
+        return loss, total[1 : 1 + d] + beta, total[1 + d :].reshape(d, d) + np.eye(d)
+
     beta = np.zeros(d)
-    schema = T.StructType(
-        [
-            T.StructField("g", T.ArrayType(T.DoubleType())),
-            T.StructField("h", T.ArrayType(T.DoubleType())),
-            T.StructField("loss", T.DoubleType()),
-        ]
-    )
-    for _ in range(max_iter):
-        parts = renamed.mapInPandas(_partials(cols, beta.copy()), schema).collect()  # one row per partition
-        g = beta.copy()  # penalty 1/2 |beta|^2, intercept included
-        h = np.eye(d)
-        for r in parts:
-            g += np.asarray(r["g"])
-            h += np.asarray(r["h"]).reshape(d, d)
-        step = np.linalg.solve(h, g)
-        beta = beta - step
-        if float(np.max(np.abs(step))) < tol:
+    loss, gradient, hessian = at(beta)
+    passes = 1
+    limit = tol * max(1.0, weight)
+    while float(np.abs(gradient).max()) > limit and passes < max_iter:
+        step = np.linalg.solve(hessian, gradient)
+        size, slope = 1.0, float(gradient @ step)
+        while True:
+            trial = beta - size * step
+            found = at(trial)
+            passes += 1
+            if found[0] <= loss - 1e-4 * size * slope or passes >= max_iter:
+                break
+            if size * slope <= 1e-12 * max(1.0, abs(loss)):  # below what the loss can resolve
+                break
+            size /= 2.0
+        if not found[0] <= loss + 1e-9 * max(1.0, abs(loss)):
             break
-    return LogisticModel(encoder, float(beta[0]), [float(b) for b in beta[1:]], "newton")
+        beta, (loss, gradient, hessian) = trial, found
+    largest = float(np.abs(gradient).max())
+    if largest > limit:
+        warnings.warn(f"logistic fit stopped after {passes} passes with a gradient of {largest:.3g}", stacklevel=2)
+    return LogisticModel(encoder, float(beta[0]), [float(b) for b in beta[1:]], "newton", largest <= limit, largest)

@@ -47,19 +47,18 @@ def stratified_sample(df: DataFrame, sample_size: int, label: str = "Class", key
     """Keep every fraud row, fill up with non-fraud rows to ``sample_size``.
 
     Returns everything when ``sample_size`` reaches the row count; may return
-    more than asked when fraud rows alone exceed it. Rows whose label is
-    neither 0 nor 1 are not sampled.
+    more than asked when fraud rows alone exceed it. A row whose label is not 1
+    (NULL included) is non-fraud.
     """
     require_positive(sample_size, "sample_size")
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
-    n = sum(counts.values())
+    is_fraud = F.col(label).eqNullSafe(1)
+    n, n_fraud = df.agg(F.count(F.lit(1)), F.count(F.when(is_fraud, 1))).first()
     if sample_size >= n:
         return df
-    n_fraud = counts.get(1, 0)
-    n_non = counts.get(0, 0)
+    n_non = n - n_fraud
     target = min(max(sample_size - n_fraud, 0), n_non)
-    fraud = df.where(F.col(label) == 1)
-    non = take_smallest(df.where(F.col(label) == 0), target, keyed_uniform(f"sample{seed}", key), key, n_non)
+    fraud = df.where(is_fraud)
+    non = take_smallest(df.where(~is_fraud), target, keyed_uniform(f"sample{seed}", key), key, n_non)
     return fraud.unionByName(non)
 
 
