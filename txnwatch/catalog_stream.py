@@ -1,8 +1,8 @@
-"""Catalog entries for the streaming operators (registered on import).
+"""Catalog entries for the streaming operators and the store (registered on import).
 
 Each query lays the fixture rows (derived from ``events``) out as a file
-source under the shared checkpoint folder, runs the stream over all available
-input and returns what the sink holds.
+source under the shared checkpoint folder, in time order, runs the stream over
+all available input one file a trigger, and returns what the sink holds.
 """
 
 from __future__ import annotations
@@ -11,39 +11,40 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from txnwatch.catalog import _with, register, views
+from txnwatch.catalog import FACTS_SQL, TREND_SQL, _with, facts_measures, register, views
+from txnwatch.plans import monitoring as mon
 from txnwatch.plans.monitoring import monitoring_frame
 from txnwatch.sources import store
 from txnwatch.sources.fixtures import predictions_from_transactions
 from txnwatch.streaming import live
 
+#: Files of a stream's source; with one file a trigger, as many triggers.
+FILES = 6
+
 
 def _scratch(spark, name: str) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
+def _source(spark, rows, root: str):
+    rows = rows.checkpoint(eager=True)  # ranged and sorted from here
+    live.write_time_ordered_files(rows, f"{root}/source", files=FILES)
+    return live.stream_source(spark, f"{root}/source", rows.schema, files_per_trigger=1)
+
+
 @register(
     "live_stream_trend",
     _with(
-        """SELECT * FROM (
-  SELECT CAST(t.transaction_timestamp AS DATE) AS txn_date,
-       count(*) AS total_transactions,
-       CAST(sum(CASE WHEN coalesce(t.is_fraud, 0) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fraud_transactions,
-       round(100.0::DOUBLE * sum(CASE WHEN coalesce(t.is_fraud, 0) = 1 THEN 1 ELSE 0 END) / count(*), 3) AS fraud_rate_pct,
-       round(100.0::DOUBLE * avg(CASE WHEN coalesce(t.is_success, 0) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 3) AS success_rate_pct,
-       round(avg(coalesce(p.risk_score, 0.0::DOUBLE)), 3) AS avg_risk_score
-  FROM txn t LEFT JOIN pred p ON t.transaction_id = p.transaction_id
-  GROUP BY CAST(t.transaction_timestamp AS DATE)
-) WHERE CAST(txn_date AS TIMESTAMP) + INTERVAL 2 DAY <= (SELECT max(transaction_timestamp) FROM txn)"""
+        f"SELECT * FROM ({TREND_SQL}) WHERE CAST(txn_date AS TIMESTAMP) + INTERVAL 2 DAY "
+        "<= (SELECT max(transaction_timestamp) FROM txn)",
+        FACTS_SQL,
     ),
 )
 def q_live_stream_trend(spark, sf_dir):
     """K4 daily trend over a stream with a 1-day watermark; closed days only."""
-    txn, pred = views(spark, sf_dir, shared=True)
-    rows = monitoring_frame(txn, pred)
+    txn, pred = views(spark, sf_dir)
     root = _scratch(spark, "trend")
-    live.write_time_ordered_files(rows, f"{root}/source")
-    src = live.stream_source(spark, f"{root}/source", rows.schema)
+    src = _source(spark, monitoring_frame(txn, pred), root)
     live.run_available(live.daily_trend_stream(src), f"{root}/sink", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/sink")
 
@@ -53,17 +54,92 @@ def q_live_stream_trend(spark, sf_dir):
     _with("SELECT transaction_id, account_id, velocity_1h, round(avg_amount_24h, 6) AS avg_amount_24h FROM txn"),
 )
 def q_live_stream_rollups(spark, sf_dir):
-    """K5 per-account rolling features computed in streaming state."""
+    """K5 per-account rolling features of arriving rows from the stored history."""
     txn, _ = views(spark, sf_dir)
-    rows = txn.select("transaction_id", "account_id", "transaction_timestamp", "Amount")
     root = _scratch(spark, "rollups")
-    live.write_time_ordered_files(rows, f"{root}/source")
-    src = live.stream_source(spark, f"{root}/source", rows.schema)
-    live.run_available(live.rolling_features_stream(src), f"{root}/sink", f"{root}/checkpoint")
-    out = spark.read.parquet(f"{root}/sink")
+    src = _source(spark, txn.select(*live.ROLL_COLUMNS), root)
+    live.run_batches(src, live.append_rollups(root), f"{root}/checkpoint")
+    out = live.read_rollups(spark, root, txn.schema)
     return out.select("transaction_id", "account_id", "velocity_1h", F.round("avg_amount_24h", 6).alias("avg_amount_24h"))
 
 
+LATE = "event_id % 29 = 0"
+# Rows of ``LATE`` arrive in a last file of their own, after all others, and one file comes twice.
+# A late row is counted in its own frame with all that is stored by then; rows before it stand as they were.
+@register(
+    "live_late_rollups",
+    _with(
+        """SELECT a.transaction_id, CAST(count(b.Amount) AS DOUBLE) AS velocity_1h
+FROM ev a JOIN ev b ON a.account_id = b.account_id AND b.us > a.us - 3600000000
+  AND (b.us < a.us OR (b.us = a.us AND b.transaction_id <= a.transaction_id)) AND (a.late OR NOT b.late)
+GROUP BY a.transaction_id""",
+        f"ev AS (SELECT transaction_id, account_id, Amount, epoch_us(transaction_timestamp) AS us, {LATE} AS late FROM txn_ev)",
+    ),
+)
+def q_live_late_rollups(spark, sf_dir):
+    """K5 with late rows and a replayed file."""
+    txn, _ = views(spark, sf_dir)
+    rows = txn.select(*live.ROLL_COLUMNS, "event_id").checkpoint(eager=True)
+    root = _scratch(spark, "late")
+    on_time, late = (rows.where(c).drop("event_id") for c in (f"NOT ({LATE})", LATE))
+    write = live.append_rollups(root)
+    src = _source(spark, on_time, root)
+    live.run_batches(src, write, f"{root}/checkpoint")
+    for again in ("late", "replay"):
+        live.write_time_ordered_files(late, f"{root}/{again}", files=1)
+        more = live.stream_source(spark, f"{root}/{again}", late.schema)
+        live.run_batches(more, write, f"{root}/checkpoint-{again}")
+    return live.read_rollups(spark, root, rows.schema).select("transaction_id", "velocity_1h")
+
+
+# One bad value of each kind that a live form can send, on rows picked by event_id.
+def _spoiled(txn):
+    bad = F.col("event_id") % 41
+    return txn.withColumns(
+        {
+            "Amount": F.when(bad == 0, -F.col("Amount")).when(bad == 1, F.lit(float("nan"))).otherwise(F.col("Amount")),
+            "hour": F.when(bad == 2, F.lit(24)).otherwise(F.col("hour")),
+            "velocity_1h": F.when(bad == 3, F.lit(0.0)).otherwise(F.col("velocity_1h")),
+            "avg_amount_24h": F.when(bad == 4, F.lit(None)).otherwise(F.col("avg_amount_24h")),
+            "channel": F.when(bad == 5, F.lit("fax")).otherwise(F.col("channel")),
+            "merchant_category": F.when(bad == 6, F.lit(None)).otherwise(F.col("merchant_category")),
+        }
+    )
+
+
+SPOILED_SQL = """spoiled AS (
+  SELECT * REPLACE (
+    CASE event_id % 41 WHEN 0 THEN -Amount WHEN 1 THEN 'nan'::DOUBLE ELSE Amount END AS Amount,
+    CASE event_id % 41 WHEN 2 THEN 24 ELSE hour END AS hour,
+    CASE event_id % 41 WHEN 3 THEN 0.0 ELSE velocity_1h END AS velocity_1h,
+    CASE event_id % 41 WHEN 4 THEN NULL ELSE avg_amount_24h END AS avg_amount_24h,
+    CASE event_id % 41 WHEN 5 THEN 'fax' ELSE channel END AS channel,
+    CASE event_id % 41 WHEN 6 THEN NULL ELSE merchant_category END AS merchant_category)
+  FROM txn_ev
+),
+judged AS (
+  SELECT *, CASE
+    WHEN Amount IS NULL OR isnan(Amount) OR Amount < 0 THEN 'amount'
+    WHEN hour IS NULL OR hour NOT BETWEEN 0 AND 23 THEN 'hour'
+    WHEN velocity_1h IS NULL OR isnan(velocity_1h) OR velocity_1h < 1 THEN 'velocity'
+    WHEN avg_amount_24h IS NULL OR isnan(avg_amount_24h) OR avg_amount_24h < 1 THEN 'avg_amount'
+    WHEN channel IS NULL OR channel NOT IN ('web', 'mobile', 'pos', 'atm') THEN 'channel'
+    WHEN merchant_category IS NULL OR merchant_category NOT IN
+      ('grocery', 'electronics', 'travel', 'health', 'entertainment', 'utilities') THEN 'merchant_category'
+  END AS violation FROM spoiled
+)"""
+
+
+@register("live_input_quarantine", _with("SELECT transaction_id, violation FROM judged WHERE violation IS NOT NULL", SPOILED_SQL))
+def q_live_input_quarantine(spark, sf_dir):
+    """B16 validity of live inputs; the bad rows and the check each failed."""
+    from txnwatch.operators.quality import split_valid
+
+    txn, _ = views(spark, sf_dir)
+    _, bad = split_valid(_spoiled(txn))
+    return bad.select("transaction_id", "violation")
+
+
 def _live_append_sql() -> str:
     from txnwatch.functions.rules import rule_sql_duckdb
     from txnwatch.functions.scoring import risk_sql_duckdb
@@ -73,19 +149,16 @@ def _live_append_sql() -> str:
 
     rule, _ = rule_sql_duckdb()
     risk, band, decision = risk_sql_duckdb("ml_probability", "anomaly_score", "anomaly_flag", "rule_score")
-    valid = """Amount IS NOT NULL AND NOT isnan(Amount) AND Amount >= 0.0
-      AND hour IS NOT NULL AND hour >= 0 AND hour <= 23
-      AND velocity_1h IS NOT NULL AND NOT isnan(velocity_1h) AND velocity_1h >= 1.0 AND velocity_1h <= 10.0
-      AND avg_amount_24h IS NOT NULL AND NOT isnan(avg_amount_24h) AND avg_amount_24h >= 1.0
-      AND coalesce(channel IN ('web', 'mobile', 'pos', 'atm'), false)
-      AND coalesce(merchant_category IN ('grocery', 'electronics', 'travel', 'health', 'entertainment', 'utilities'), false)"""
     return _with(
-        "SELECT transaction_id, rule_score, risk_band, decision FROM la5",
-        f"""la0 AS (
+        """SELECT s.transaction_id, s.violation, p.rule_score, p.risk_band, p.decision,
+       CASE WHEN s.violation IS NULL AND p.decision IS NOT NULL THEN CAST(p.decision <> 'block' AS INTEGER) END AS is_success
+FROM judged s LEFT JOIN la5 p USING (transaction_id)""",
+        SPOILED_SQL,
+        """la0 AS (
   SELECT * EXCLUDE (avg_amount_24h, amount_to_avg_ratio),
          greatest(avg_amount_24h, 1.0) AS avg_amount_24h,
          Amount / greatest(avg_amount_24h, 1.0) AS amount_to_avg_ratio
-  FROM txn_ev WHERE {valid}
+  FROM judged WHERE violation IS NULL
 )""",
         f"""la1 AS (
   SELECT transaction_id, {u('ml')} AS ml_probability, 2.0 * {u('an')} - 1.0 AS anomaly_score,
@@ -101,18 +174,99 @@ def _live_append_sql() -> str:
 
 @register("live_store_append", _live_append_sql())
 def q_live_store_append(spark, sf_dir):
-    """K2 + K3 stream -> validate (B16) -> live features (K1) -> score -> idempotent append to both tables."""
+    """K1-K3 stream -> validate (B16) -> score -> outcome -> append to both tables; stored and quarantined rows are all rows."""
     txn, _ = views(spark, sf_dir)
     root = _scratch(spark, "append")
-    live.write_time_ordered_files(txn, f"{root}/source")
-    src = live.stream_source(spark, f"{root}/source", txn.schema)
-    good, _bad = live.score_stream(src, lambda df: df)  # validation + K1 on the stream
-    q = (
-        good.writeStream.foreachBatch(live.append_to_store(f"{root}/store", predictions_from_transactions))
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
+    src = _source(spark, _spoiled(txn), root)
+    live.run_batches(src, live.append_to_store(f"{root}/store", predictions_from_transactions), f"{root}/checkpoint")
+    tx, preds = store.read_monitoring_tables(spark, f"{root}/store")
+    good = tx.select("transaction_id", "is_success").join(
+        preds.select("transaction_id", "rule_score", "risk_band", "decision"), "transaction_id", "left"
+    )
+    bad = live.read_quarantine(spark, f"{root}/store").select("transaction_id", "violation")
+    out = good.withColumn("violation", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+    return out.select("transaction_id", "violation", "rule_score", "risk_band", "decision", "is_success")
+
+
+# ---------------------------------------------------------------------------
+# The store (A6, A7, A12, B17-B20, D1 = F1)
+# ---------------------------------------------------------------------------
+LATER = "event_id % 7 = 0"
+
+
+@register(
+    "store_late_prediction",
+    _with(
+        f"""SELECT via, {facts_measures(6)}, count(*) FILTER (WHERE scored) AS matched
+FROM (SELECT facts.*, scored, unnest(['frame', 'overview']) AS via FROM facts) GROUP BY via""",
+        FACTS_SQL,
+    ),
+)
+def q_store_late_prediction(spark, sf_dir):
+    """A7 predictions that come after their transactions: the overview and the joined frame count the same."""
+    txn, _ = views(spark, sf_dir)
+    txn = txn.checkpoint(eager=True)
+    pred = predictions_from_transactions(txn)
+    root = _scratch(spark, "late-prediction")
+    soon = predictions_from_transactions(txn.where(f"NOT ({LATER})"))
+    store.append_live_predictions(txn, soon, root)
+    store.append_live_predictions(txn.limit(0), pred, root)
+    tx, pr = store.read_monitoring_tables(spark, root)
+    joined = monitoring_frame(tx, pr).agg(
+        F.count(F.lit(1)).alias("total_transactions"),
+        F.sum(mon._fraud01()).cast("bigint").alias("fraud_transactions"),
+        F.round(F.avg(mon._success01()) * 100.0, 6).alias("success_rate_pct"),
+        F.round(F.avg(mon._risk0()), 6).alias("avg_risk_score"),
+        F.count("risk_score").alias("matched"),
+    )
+    matched = F.sum(F.coalesce("_n_pred", F.lit(0))).alias("matched")
+    overview = mon._weighted(tx, pr).agg(*mon._weighted_measures(6), matched)
+    return joined.withColumn("via", F.lit("frame")).unionByName(overview.withColumn("via", F.lit("overview")))
+
+
+@register(
+    "store_second_prediction",
+    _with(
+        f"""SELECT CASE WHEN {LATER} AND event_id % 53 <> 0 THEN 2 WHEN event_id % 53 <> 0 THEN 1 ELSE 0 END AS predictions,
+       count(*) AS transactions FROM txn_ev GROUP BY 1"""
+    ),
+)
+def q_store_second_prediction(spark, sf_dir):
+    """D3 scoring again in another run adds predictions; a replay of a run adds none; ids stay unique."""
+    txn, _ = views(spark, sf_dir)
+    txn = txn.checkpoint(eager=True)
+    root = _scratch(spark, "second-prediction")
+    again = txn.where(LATER)
+    store.append_live_predictions(txn, predictions_from_transactions(txn), root, run="first")
+    for _ in range(2):
+        store.append_live_predictions(again, predictions_from_transactions(again), root, run="second")
+    tx, pr = store.read_monitoring_tables(spark, root)
+    unique = pr.agg(F.count_distinct("prediction_id"), F.count(F.lit(1))).first()
+    if unique[0] != unique[1]:
+        raise ValueError("prediction ids are not unique")
+    counts = pr.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"))
+    each = tx.select("transaction_id").join(counts, "transaction_id", "left")
+    return each.groupBy(F.coalesce("n", F.lit(0)).cast("int").alias("predictions")).agg(F.count(F.lit(1)).alias("transactions"))
+
+
+@register(
+    "store_key_across_dates",
+    _with("SELECT count(*) AS stored, count(DISTINCT transaction_id) AS ids, 1 AS refused, 0 AS added_by_replay FROM txn"),
+)
+def q_store_key_across_dates(spark, sf_dir):
+    """B17 a stored id under another date is refused, and the table keeps its key."""
+    txn, _ = views(spark, sf_dir)
+    txn = txn.checkpoint(eager=True)
+    root = _scratch(spark, "key")
+    store.append_live_predictions(txn, predictions_from_transactions(txn), root)
+    moved = txn.where(LATER).withColumn("transaction_timestamp", F.expr("transaction_timestamp + INTERVAL 3 DAYS"))
+    refused = 0
+    try:
+        store.append_live_predictions(moved, predictions_from_transactions(moved), root)
+    except ValueError:
+        refused = 1
+    added = store.append_live_predictions(txn, predictions_from_transactions(txn), root)
+    tx, _ = store.read_monitoring_tables(spark, root)
+    return tx.agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("transaction_id").alias("ids")).select(
+        "stored", "ids", F.lit(refused).alias("refused"), F.lit(added).alias("added_by_replay")
     )
-    q.awaitTermination()
-    _, preds = store.read_monitoring_tables(spark, f"{root}/store")
-    return preds.select("transaction_id", "rule_score", "risk_band", "decision")

@@ -1,9 +1,10 @@
 """The monitoring store: two Parquet tables under one root.
 
-``transactions`` is partitioned by ``txn_date`` so date filters prune files;
-``predictions`` carries ``prediction_id`` and ``created_at``. Constraints
+Both are partitioned by ``txn_date``, the date of the transaction, so date
+filters prune files. ``predictions`` carries ``prediction_id``, ``created_at`` and
+the ``run`` that scored it. Constraints
 that a database would enforce (primary key, NOT NULL, foreign key) are
-explicit DataFrame checks, run on request before a write.
+explicit DataFrame checks, run before a write unless the caller says otherwise.
 """
 
 from __future__ import annotations
@@ -68,29 +69,44 @@ def validate(transactions: DataFrame, predictions: DataFrame) -> dict[str, int]:
     }
 
 
-TX_FILE_SCHEMA = T.StructType(list(TRANSACTIONS_SCHEMA.fields) + [T.StructField("txn_date", T.DateType(), True)])
-PRED_FILE_SCHEMA = T.StructType(list(PREDICTIONS_SCHEMA.fields) + [T.StructField("txn_date", T.DateType(), True)])
+_DATE = T.StructField("txn_date", T.DateType(), True)
+TX_FILE_SCHEMA = T.StructType([*TRANSACTIONS_SCHEMA.fields, _DATE])
+PRED_FILE_SCHEMA = T.StructType([*PREDICTIONS_SCHEMA.fields, T.StructField("run", T.StringType(), True), _DATE])
+
+#: The scoring run of predictions that name none.
+DEFAULT_RUN = "default"
 
 
 def _meta_path(root: str) -> str:
     return f"{root.rstrip('/')}/_meta"
 
 
-def _write_meta(spark: SparkSession, root: str, max_prediction_id: int) -> None:
-    write_json_summary(spark, {"max_prediction_id": int(max_prediction_id)}, _meta_path(root))
+def _write_meta(spark: SparkSession, root: str, max_prediction_id: int, mode: str = "append") -> None:
+    """A new file for each high-water mark: nothing is deleted first, and the largest one holds."""
+    spark.createDataFrame([(str(int(max_prediction_id)),)], "value string").coalesce(1).write.mode(mode).text(_meta_path(root))
+
 
+def _high_water(spark: SparkSession, root: str) -> int:
+    """The largest prediction id given so far; from the table itself where the marks are lost."""
+    if _exists(spark, _meta_path(root)):
+        mark = spark.read.text(_meta_path(root)).agg(F.max(F.col("value").cast("bigint"))).first()[0]
+        if mark is not None:
+            return int(mark)
+    stored = spark.read.schema(PRED_FILE_SCHEMA).parquet(_pred_path(root))
+    return int(stored.agg(F.max("prediction_id")).first()[0] or 0)
 
-def _read_meta(spark: SparkSession, root: str) -> dict:
-    return read_json_summary(spark, _meta_path(root)) if _exists(spark, _meta_path(root)) else {}
 
+def _with_run(predictions: DataFrame, run: str) -> DataFrame:
+    """The stored prediction columns and the run; a ``run`` column of the input is kept."""
+    named = F.coalesce(F.col("run").cast("string"), F.lit(run)) if "run" in predictions.columns else F.lit(run)
+    return predictions.select(
+        *[F.col(c).cast(PREDICTIONS_SCHEMA[c].dataType).alias(c) for c in PREDICTION_COLUMNS], named.alias("run")
+    )
 
-def _dated_predictions(predictions: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Predictions with the date of their transaction (NULL for orphans), the
-    partition column of the predictions table."""
-    if "txn_date" in predictions.columns:
-        return predictions
-    dates = transactions.select("transaction_id", F.to_date("transaction_timestamp").alias("txn_date"))
-    return predictions.join(dates, "transaction_id", "left")
+
+def _with_dates(predictions: DataFrame, dates: DataFrame) -> DataFrame:
+    """Predictions with the date of their transaction, the partition column of the predictions table."""
+    return predictions.join(dates.select("transaction_id", "txn_date"), "transaction_id", "left")
 
 
 def _write_partitioned(df: DataFrame, path: str, mode: str, sort_col: str) -> None:
@@ -108,22 +124,24 @@ def _write_partitioned(df: DataFrame, path: str, mode: str, sort_col: str) -> No
 
 
 def write_monitoring_data(transactions: DataFrame, predictions: DataFrame, root: str,
-                          check: bool = False) -> None:
+                          check: bool = True, run: str = DEFAULT_RUN) -> None:
     """Full refresh of both tables (overwrite), both partitioned by the
     transaction date, plus the id high-water mark."""
     spark = transactions.sparkSession
     tx = conform_transactions(transactions)
-    pr = conform_predictions(predictions)
+    pr = _with_run(predictions, run)
     if check:
         bad = {k: v for k, v in validate(tx, pr).items() if v}
         if bad:
             raise ValueError(f"constraint violations: {bad}")
-    _write_partitioned(tx.withColumn("txn_date", F.to_date("transaction_timestamp")), _tx_path(root), "overwrite",
-                       "transaction_timestamp")
-    dated = _dated_predictions(with_prediction_ids(pr), tx)
-    _write_partitioned(dated, _pred_path(root), "overwrite", "risk_score")
+    dated_tx = tx.withColumn("txn_date", F.to_date("transaction_timestamp"))
+    _write_partitioned(dated_tx, _tx_path(root), "overwrite", "transaction_timestamp")
+    # Ids are taken last, on written rows: a task that runs again gives the same ones.
+    dated = _with_dates(pr, dated_tx).checkpoint(eager=True)
+    ided = with_prediction_ids(dated, keep=["run", "txn_date"])
+    _write_partitioned(ided, _pred_path(root), "overwrite", "risk_score")
     top = spark.read.schema(PRED_FILE_SCHEMA).parquet(_pred_path(root)).agg(F.max("prediction_id")).first()[0]
-    _write_meta(spark, root, top or 0)
+    _write_meta(spark, root, top or 0, mode="overwrite")
 
 
 def _empty_tables(spark: SparkSession, root: str, only_missing: bool) -> None:
@@ -131,8 +149,8 @@ def _empty_tables(spark: SparkSession, root: str, only_missing: bool) -> None:
         if only_missing and _exists(spark, path):
             continue
         spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("txn_date").parquet(path)
-    if not (only_missing and _exists(spark, _meta_path(root))):
-        _write_meta(spark, root, 0)
+    if not only_missing:
+        _write_meta(spark, root, 0, mode="overwrite")
 
 
 def initialize_store(spark: SparkSession, root: str) -> None:
@@ -158,44 +176,61 @@ def read_monitoring_tables(spark: SparkSession, root: str) -> tuple[DataFrame, D
     return tx, pr
 
 
-def append_live_predictions(transactions: DataFrame, predictions: DataFrame, root: str) -> int:
-    """Append rows whose ``transaction_id`` is not stored yet.
+def append_live_predictions(transactions: DataFrame, predictions: DataFrame, root: str,
+                            run: str = DEFAULT_RUN, check: bool = True) -> int:
+    """Append transactions whose id is not stored yet, and predictions
+    that their run has not stored yet.
+
+    The key of a transaction is its id: an id that is stored under another
+    timestamp is refused. The key of a prediction is (transaction, run): a replay of the
+    same run adds nothing, another run adds its own predictions, and a
+    prediction may come later than its transaction, whose stored date it
+    takes. A crash between the two appends is repaired by the replay.
 
-    Each table is anti-joined against itself, so replaying the same input adds
-    nothing, and a crash between the two appends is repaired by the replay.
-    The anti joins read only the date partitions the batch touches (the date
-    list is bounded by the batch), and new ids start above the high-water mark
-    kept in a one-row file, so a batch never scans the whole store.
+    The ids of the batch are looked up in the id and date columns of the
+    stored transactions; predictions are compared within the dates found.
     Returns the number of new transactions.
     """
     spark = transactions.sparkSession
     initialize_store(spark, root)
-    tx = conform_transactions(transactions).dropDuplicates(["transaction_id"])
-    tx = tx.withColumn("txn_date", F.to_date("transaction_timestamp")).checkpoint(eager=True)
-    pr = _dated_predictions(conform_predictions(predictions).dropDuplicates(["transaction_id"]), tx)
-    pr = pr.checkpoint(eager=True)
-    dates = [r[0] for r in tx.select("txn_date").union(pr.select("txn_date")).distinct().collect()]
-    touched = F.col("txn_date").isin([d for d in dates if d is not None])
-    if None in dates:
-        touched = touched | F.col("txn_date").isNull()
-    stored_tx = spark.read.schema(TX_FILE_SCHEMA).parquet(_tx_path(root)).where(touched)
+    tx = conform_transactions(transactions).withColumn("txn_date", F.to_date("transaction_timestamp"))
+    tx = tx.dropDuplicates(["transaction_id"]).checkpoint(eager=True)
+    pr = _with_run(predictions, run).dropDuplicates(["transaction_id", "run"]).checkpoint(eager=True)
+    ids = tx.select("transaction_id").union(pr.select("transaction_id")).distinct()
+    stored = spark.read.schema(TX_FILE_SCHEMA).parquet(_tx_path(root))
+    known = stored.select("transaction_id", "transaction_timestamp", "txn_date").join(ids, "transaction_id", "left_semi").checkpoint(eager=True)
+    moved = tx.join(known.select("transaction_id", F.col("transaction_timestamp").alias("was")), "transaction_id").where(
+        ~F.col("transaction_timestamp").eqNullSafe(F.col("was"))
+    )
+    dates = known.select("transaction_id", "txn_date").unionByName(tx.select("transaction_id", "txn_date")).distinct()
+    dated = _with_dates(pr, dates)
+    if check:
+        bad = {
+            "changed_timestamps": moved.count(),
+            "tx_null_violations": quality.total_nulls(tx, quality.TRANSACTION_NOT_NULL),
+            "pred_null_violations": quality.total_nulls(pr, quality.PREDICTION_NOT_NULL),
+            "fk_orphans": pr.join(dates, "transaction_id", "left_anti").count(),
+        }
+        bad = {k: v for k, v in bad.items() if v}
+        if bad:
+            raise ValueError(f"constraint violations: {bad}")
+    days = [r[0] for r in dated.select("txn_date").distinct().collect()]  # the dates of one batch
+    touched = F.col("txn_date").isin([d for d in days if d is not None]) | F.col("txn_date").isNull()
     stored_pr = spark.read.schema(PRED_FILE_SCHEMA).parquet(_pred_path(root)).where(touched)
-    new_tx = tx.join(stored_tx.select("transaction_id"), "transaction_id", "left_anti")
-    new_pr = pr.join(stored_pr.select("transaction_id"), "transaction_id", "left_anti")
-    start = int(_read_meta(spark, root).get("max_prediction_id", 0))
     # Materialise the new rows before writing: the anti joins read the tables
     # being appended to.
-    new_tx_rows = new_tx.checkpoint(eager=True)
-    new_pr_rows = with_prediction_ids(new_pr, start, keep=["txn_date"]).checkpoint(eager=True)
-    n = new_tx_rows.count()
-    top = new_pr_rows.agg(F.max("prediction_id")).first()[0]
+    new_tx = tx.join(known.select("transaction_id"), "transaction_id", "left_anti").checkpoint(eager=True)
+    new_pr = dated.join(stored_pr.select("transaction_id", "run"), ["transaction_id", "run"], "left_anti").checkpoint(eager=True)
+    start = _high_water(spark, root)
+    ided = with_prediction_ids(new_pr, start, keep=["run", "txn_date"]).checkpoint(eager=True)
+    n = new_tx.count()
+    top = ided.agg(F.max("prediction_id")).first()[0]
     # Reserve the id range before appending: a crash after this point leaves
     # at most a gap in the ids, never a reused id.
     if top is not None:
-        _write_meta(spark, root, max(start, int(top)))
-    _write_partitioned(new_tx_rows, _tx_path(root), "append", "transaction_timestamp")
-    _write_partitioned(new_pr_rows.select(*[f.name for f in PRED_FILE_SCHEMA.fields]), _pred_path(root), "append",
-                       "risk_score")
+        _write_meta(spark, root, int(top))
+    _write_partitioned(new_tx, _tx_path(root), "append", "transaction_timestamp")
+    _write_partitioned(ided.select(*[f.name for f in PRED_FILE_SCHEMA.fields]), _pred_path(root), "append", "risk_score")
     return n
 
 

@@ -3,34 +3,26 @@
 * K1 ``live_features``: stateless projection (floored 24h average, live ratio).
 * K2 ``score_stream``: the batch ``score_transactions`` applied to a streaming
   DataFrame; invalid rows go to a quarantine output first (B16).
-* K3 ``append_to_store``: ``foreachBatch`` sink that appends to both stored
-  tables, each anti-joined against itself, so a replayed micro-batch or file
-  adds nothing.
+* K3 ``append_to_store``: ``foreachBatch`` sink that keeps invalid rows in a
+  quarantine table, scores the others, sets the outcome from the decision and
+  appends to both stored tables. A replayed micro-batch or file adds nothing to the store.
 * K4 ``daily_trend_stream``: the daily trend (F2) over arriving rows with an
   event-time watermark; a day is emitted once it is closed.
-* K5 ``rolling_features_stream``: per-account 1h count and 24h mean for
-  arriving rows, kept in ``applyInPandasWithState`` state that holds only the
-  last 24 hours of each account; state of idle accounts expires on an
-  event-time timeout. For very hot accounts, ``rollups_with_history`` is the
-  scalable form: per micro-batch, the stored last 24 hours of the batch's
-  accounts are the context of the skew-safe bucketed batch operator.
+* K5 ``append_rollups``: per-account 1h count and 24h mean for arriving rows.
+  Each micro-batch is joined by the stored last 24 hours of its accounts
+  (``rollups_with_history``) and goes through the batch operator; no state is held by
+  account, and no row is dropped for being late: its frame is what is stored by then.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from txnwatch.functions.scalars import micros_ntz, ratio_with_floor
+from txnwatch.functions.scalars import micros_ntz, outcome_flag, ratio_with_floor
 from txnwatch.operators.quality import live_input_checks, split_valid
-from txnwatch.schema import DAY_US, HOUR_US
-from txnwatch.session import ship_package
+from txnwatch.schema import DAY_US
 from txnwatch.sources import store
 
 
@@ -53,10 +45,14 @@ def score_stream(stream: DataFrame, scorer) -> tuple[DataFrame, DataFrame]:
     return scorer(live_features(good)), bad
 
 
-def append_to_store(root: str, scorer, rollups_from_store: bool = False):
+def append_to_store(root: str, scorer, rollups_from_store: bool = False, run: str = store.DEFAULT_RUN):
     """K3: a ``foreachBatch`` function scoring each micro-batch and appending
     both tables idempotently.
 
+    A live row has no label yet, and its outcome follows from the decision (E21).
+    Invalid rows are written to ``quarantine`` under ``root`` with the check they
+    failed, in a folder of their batch, so that a replay replaces them.
+
     With ``rollups_from_store`` the batch's ``velocity_1h`` and
     ``avg_amount_24h`` are computed from the stored last 24 hours of its
     accounts plus the batch itself (``rollups_with_history``) instead of being
@@ -64,19 +60,29 @@ def append_to_store(root: str, scorer, rollups_from_store: bool = False):
     """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
+        spark = batch.sparkSession
         if rollups_from_store:
-            store.initialize_store(batch.sparkSession, root)
-            history, _ = store.read_monitoring_tables(batch.sparkSession, root)
+            store.initialize_store(spark, root)
+            history, _ = store.read_monitoring_tables(spark, root)
             feats = rollups_with_history(batch, history).select("transaction_id", "velocity_1h", "avg_amount_24h")
             batch = batch.drop("velocity_1h", "avg_amount_24h").join(feats, "transaction_id")
-        tx = live_features(batch)
-        store.append_live_predictions(tx, scorer(tx), root)
+        good, bad = split_valid(batch.checkpoint(eager=True), live_input_checks())
+        bad.write.mode("overwrite").parquet(f"{root.rstrip('/')}/quarantine/batch={int(epoch_id)}")
+        tx = live_features(good).drop("is_fraud", "is_success")
+        # Scored once: the outcome and the predictions read the same rows.
+        scored = scorer(tx).checkpoint(eager=True)
+        outcome = scored.select("transaction_id", outcome_flag("decision").alias("is_success"))
+        rows = tx.join(outcome, "transaction_id", "left").withColumn("is_fraud", F.lit(None).cast("int"))
+        store.append_live_predictions(rows, scored, root, run=run)
 
     return write
 
 
+def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
+    """The invalid rows kept so far, each with the check it failed."""
+    return spark.read.parquet(f"{root.rstrip('/')}/quarantine")
+
+
 def event_time(ts: str):
     """A watermark needs TIMESTAMP; read the TIMESTAMP_NTZ wall clock as UTC
     through epoch microseconds, so windows and dates do not depend on the
@@ -113,94 +119,6 @@ def daily_trend_stream(stream: DataFrame, ts: str = "transaction_timestamp", wat
     )
 
 
-ROLL_OUT_SCHEMA = T.StructType(
-    [
-        T.StructField("transaction_id", T.StringType()),
-        T.StructField("account_id", T.LongType()),
-        T.StructField("transaction_timestamp", T.TimestampNTZType()),
-        T.StructField("velocity_1h", T.DoubleType()),
-        T.StructField("avg_amount_24h", T.DoubleType()),
-    ]
-)
-ROLL_STATE_SCHEMA = T.StructType(
-    [
-        T.StructField("us", T.ArrayType(T.LongType())),
-        T.StructField("tid", T.ArrayType(T.StringType())),
-        T.StructField("amt", T.ArrayType(T.DoubleType())),
-    ]
-)
-
-
-def _roll_account(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    frames = list(batches)
-    new = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
-    if state.exists:
-        us_s, tid_s, amt_s = state.get
-        old = pd.DataFrame({"us": list(us_s), "tid": list(tid_s), "amt": list(amt_s)})
-    else:
-        old = pd.DataFrame({"us": pd.Series([], dtype="int64"), "tid": pd.Series([], dtype="object"),
-                            "amt": pd.Series([], dtype="float64")})
-    if len(new):
-        new = new.assign(
-            us=new["_us"].astype("int64"),
-            tid=new["transaction_id"],
-            amt=new["Amount"].astype("float64"),
-        )
-        allrows = pd.concat([old.assign(_new=False), new[["us", "tid", "amt"]].assign(_new=True)], ignore_index=True)
-        allrows = allrows.sort_values(["us", "tid"], kind="mergesort").reset_index(drop=True)
-        us = allrows["us"].to_numpy()
-        amt = allrows["amt"].to_numpy(dtype=float)
-        valid = ~np.isnan(amt)
-        cnt = np.cumsum(valid)
-        # exact sums in integer micro-units (as the batch path sums exact decimals)
-        tot = np.cumsum(np.where(valid, np.round(np.nan_to_num(amt) * 1e6), 0.0).astype(np.int64))
-        # rows with us <= t - W, via binary search on the sorted times
-        lo1 = np.searchsorted(us, us - HOUR_US, side="right")
-        lo24 = np.searchsorted(us, us - DAY_US, side="right")
-
-        def before(arr, idx):
-            return np.where(idx > 0, arr[np.maximum(idx - 1, 0)], 0)
-
-        c1 = cnt - before(cnt, lo1)
-        c24 = cnt - before(cnt, lo24)
-        s24 = tot - before(tot, lo24)
-        is_new = allrows["_new"].to_numpy()
-        out = pd.DataFrame(
-            {
-                "transaction_id": allrows["tid"][is_new].to_numpy(),
-                "account_id": np.full(int(is_new.sum()), int(key[0]), dtype="int64"),
-                "transaction_timestamp": pd.to_datetime(us[is_new], unit="us"),
-                "velocity_1h": c1[is_new].astype(float),
-                "avg_amount_24h": np.where(
-                    c24[is_new] > 0, (s24[is_new] / 1e6) / np.maximum(c24[is_new], 1).astype(float), amt[is_new]
-                ),
-            }
-        )
-        horizon = int(us.max()) - DAY_US
-        keep = allrows[allrows["us"] > horizon]
-        state.update((keep["us"].astype("int64").tolist(), keep["tid"].tolist(), keep["amt"].astype(float).tolist()))
-        state.setTimeoutTimestamp(int(us.max() // 1000) + DAY_US // 1000)
-        yield out
-
-
-def rolling_features_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """K5: per-account rolling features for arriving rows (in-order input)."""
-    ship_package(stream.sparkSession)
-    s = stream.select(
-        "transaction_id",
-        "account_id",
-        micros_ntz("transaction_timestamp").alias("_us"),
-        event_time("transaction_timestamp").alias("_event_time"),
-        F.col("Amount").cast("double").alias("Amount"),
-    ).withWatermark("_event_time", watermark)
-    return s.groupBy("account_id").applyInPandasWithState(
-        _roll_account, ROLL_OUT_SCHEMA, ROLL_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 ROLL_COLUMNS = ["transaction_id", "account_id", "transaction_timestamp", "Amount"]
 
 
@@ -237,9 +155,46 @@ def rollups_with_history(batch: DataFrame, history: DataFrame, lookback_us: int
     return rolled.where(F.col("_in_batch")).drop("_in_batch")
 
 
+def append_rollups(root: str):
+    """K5: a ``foreachBatch`` function that appends each micro-batch with its rolling features to the
+    rolled rows under ``root``, which are also the history of later batches. A replay adds nothing."""
+    path = f"{root.rstrip('/')}/rolled"
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*ROLL_COLUMNS).withColumn("txn_date", F.to_date("transaction_timestamp"))
+        stored = read_rollups(spark, root, batch.schema)
+        new = rows.join(stored.select("transaction_id"), "transaction_id", "left_anti").checkpoint(eager=True)
+        rolled = rollups_with_history(new, stored).withColumn("txn_date", F.to_date("transaction_timestamp"))
+        rolled.checkpoint(eager=True).write.mode("append").partitionBy("txn_date").parquet(path)
+
+    return write
+
+
+def read_rollups(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """Rows with rolling features written so far; empty before the first batch."""
+    fields = [schema[c] for c in ROLL_COLUMNS]
+    fields += [T.StructField(c, T.DoubleType()) for c in ("velocity_1h", "avg_amount_24h")]
+    full = T.StructType([*fields, T.StructField("txn_date", T.DateType())])
+    path = f"{root.rstrip('/')}/rolled"
+    if not store._exists(spark, path):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path)
+
+
 def write_time_ordered_files(df: DataFrame, path: str, ts: str = "transaction_timestamp", files: int = 8) -> None:
-    """Lay out rows as ``files`` Parquet files, each a contiguous time range."""
+    """Lay out rows as up to ``files`` Parquet files, each a contiguous time range.
+
+    A file stream takes files by modification time, so the files get the times of their order.
+    """
+    spark = df.sparkSession
     df.repartitionByRange(files, ts).sortWithinPartitions(ts).write.mode("overwrite").parquet(path)
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((f for f in fs.listStatus(hpath) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    last = max((f.getModificationTime() for f in parts), default=0)
+    for n, f in enumerate(parts):
+        fs.setTimes(f.getPath(), last - 1000 * (len(parts) - n), -1)
 
 
 def stream_source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -249,15 +204,18 @@ def stream_source(spark: SparkSession, path: str, schema: T.StructType, files_pe
     return reader.parquet(path)
 
 
-def run_available(query_df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a streaming query over all available input to a Parquet sink."""
-    q = (
-        query_df.writeStream.format("parquet")
-        .option("path", sink_path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode(mode)
-        .trigger(availableNow=True)
-        .start()
-    )
+def _finish(writer, checkpoint: str) -> int:
+    """Run over all available input; the number of micro-batches that had rows."""
+    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return len({p["batchId"] for p in q.recentProgress if p["numInputRows"]})
+
+
+def run_available(query_df: DataFrame, sink_path: str, checkpoint: str, mode: str = "append") -> int:
+    """Run a streaming query over all available input to a Parquet sink."""
+    return _finish(query_df.writeStream.format("parquet").option("path", sink_path).outputMode(mode), checkpoint)
+
 
+def run_batches(stream: DataFrame, write, checkpoint: str) -> int:
+    """Run a ``foreachBatch`` function over all available input."""
+    return _finish(stream.writeStream.foreachBatch(write), checkpoint)
