@@ -19,8 +19,7 @@ def test_training_job_properties(spark):
     summary = training.run_training(spark, raw, root, sample_size=600)
     tx, pr = store.read_monitoring_tables(spark, root)
     n_tx = tx.count()
-    n_fraud = raw.where(F.col("Class") == 1).count()
-    assert n_tx == max(600, n_fraud)  # every fraud row is kept
+    assert n_tx == raw.count()  # the sample size bounds the fits, not the rows that are scored and stored
     # one prediction per transaction, no orphans, keys unique
     assert pr.count() == n_tx
     assert pr.select("transaction_id").distinct().count() == n_tx

@@ -10,11 +10,19 @@ import uuid
 from pyspark.sql import functions as F
 
 from txnwatch.catalog import _with, register, views
-from txnwatch.operators.features import fit_encoder, fit_one_hot, fit_standard_scaler
-from txnwatch.operators.iforest import fit_isolation_forest, node_table, score_forest
+from txnwatch.operators.features import ScalerParams, fit_encoder, fit_one_hot, fit_standard_scaler
+from txnwatch.operators.iforest import (
+    NODE_SCHEMA,
+    Forest,
+    average_path_length,
+    fit_isolation_forest,
+    node_table,
+    score_forest,
+)
 from txnwatch.operators.logistic import fit_logistic
 from txnwatch.operators.sampling import stratified_split
 from txnwatch.plans import training
+from txnwatch.sources import store
 from txnwatch.schema import CATEGORICAL_FEATURES, CHANNELS, MERCHANT_CATEGORIES, NUMERIC_FEATURES
 from txnwatch.sources.fixtures import raw_from_events
 from txnwatch.sources.tables import read_table
@@ -145,6 +153,121 @@ def _fixed_score_sql() -> str:
 def q_logistic_score_fixed(spark, sf_dir):
     """M4 scoring with fixed coefficients over fitted encoders: scaled numeric
     features, one-hot categories, dot product, logistic."""
-    txn, _ = views(spark, sf_dir, shared=True)  # read by the fits and the scoring
+    txn, _ = views(spark, sf_dir)
     model = _fixed_model(txn)
     return txn.select("transaction_id", F.round(model.probability(), 6).alias("ml_probability"))
+
+
+# A forest of two small trees over the raw features (arbitrary numbers, not fitted).
+FIXED_PSI = 8
+FIXED_OFFSET = -0.55
+FIXED_NODES = [
+    # tree, node, depth, feature, threshold, left, right, size
+    (0, 0, 0, 0, 500.0, 1, 2, 8),
+    (0, 1, 1, 1, 11.0, 3, 4, 6),
+    (0, 2, 1, -1, 0.0, -1, -1, 2),
+    (0, 3, 2, -1, 0.0, -1, -1, 3),
+    (0, 4, 2, -1, 0.0, -1, -1, 3),
+    (1, 0, 0, 4, 1.5, 1, 2, 8),
+    (1, 1, 1, -1, 0.0, -1, -1, 7),
+    (1, 2, 1, -1, 0.0, -1, -1, 1),
+]
+
+
+def _fixed_forest() -> Forest:
+    import pandas as pd
+
+    rows = [(*n, n[2] + average_path_length(n[7]) if n[3] < 0 else 0.0) for n in FIXED_NODES]
+    nodes = pd.DataFrame(rows, columns=[f.name for f in NODE_SCHEMA.fields])
+    plain = ScalerParams(dict.fromkeys(NUMERIC_FEATURES, 0.0), dict.fromkeys(NUMERIC_FEATURES, 1.0))
+    return Forest(NUMERIC_FEATURES, plain, nodes, FIXED_PSI, FIXED_OFFSET, 2)
+
+
+_C = "(2 * (ln({n} - 1.0) + 0.5772156649015329) - 2 * ({n} - 1.0) / {n})"
+
+
+@register(
+    "iforest_score_fixed",
+    _with(
+        f"""SELECT transaction_id, round(s, 6) AS anomaly_score, CAST(s < 0 AS INTEGER) AS anomaly_flag FROM (
+  SELECT transaction_id, -pow(2.0, -((
+      CASE WHEN Amount > 500 THEN 1 + 1.0 WHEN hour <= 11 THEN 2 + {_C.format(n=3)} ELSE 2 + {_C.format(n=3)} END
+      + CASE WHEN amount_to_avg_ratio <= 1.5 THEN 1 + {_C.format(n=7)} ELSE 1.0 END) / 2.0) / {_C.format(n=8)}) + 0.55 AS s
+  FROM txn)"""
+    ),
+)
+def q_iforest_score_fixed(spark, sf_dir):
+    """M6 + M7 scores and flags of a fixed forest for every transaction."""
+    txn, _ = views(spark, sf_dir)
+    scored = score_forest(txn.select("transaction_id", *NUMERIC_FEATURES), _fixed_forest())
+    return scored.select("transaction_id", F.round("anomaly_score", 6).alias("anomaly_score"), "anomaly_flag")
+
+
+_SPLIT_SIZES = "(SELECT count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS n_test FROM txn_ev)"
+
+
+@register(
+    "logistic_fit_check",
+    _with(f"SELECT n - n_test AS rows_fitted, true AS converged, 0.0::DOUBLE AS max_gradient FROM {_SPLIT_SIZES}"),
+)
+def q_logistic_fit_check(spark, sf_dir):
+    """M3 the fit ends where the gradient vanishes."""
+    _, sp = _split(spark, sf_dir)
+    model = fit_logistic(sp.train, "label", fit_encoder(sp.train))
+    rows = sp.train.count()
+    return spark.createDataFrame(
+        [(rows, model.converged, round(model.max_gradient / rows, 6))], "rows_fitted bigint, converged boolean, max_gradient double"
+    )
+
+
+@register(
+    "iforest_fit_check",
+    _with(
+        """SELECT 120 AS trees, least(256, n) AS sample_size, true AS depth_in_bounds,
+       CAST(floor(0.02 * (n - 1)) AS BIGINT) + 1 AS flagged, n AS rows_fitted
+FROM (SELECT count(*) AS n FROM txn_ev WHERE label = 0)"""
+    ),
+)
+def q_iforest_fit_check(spark, sf_dir):
+    """M5 trees, rows per tree, depth, and the rows below the fitted offset."""
+    txn, _ = views(spark, sf_dir)
+    normal = txn.where(F.col("label") == 0).select("transaction_id", *NUMERIC_FEATURES).checkpoint(eager=True)
+    forest = fit_isolation_forest(normal, NUMERIC_FEATURES, "transaction_id")
+    roots = forest.nodes[forest.nodes["node_id"] == 0]
+    scored = score_forest(normal, forest).agg(F.sum("anomaly_flag").alias("flagged"), F.count(F.lit(1)).alias("rows_fitted"))
+    return scored.select(
+        F.lit(int(forest.nodes["tree_id"].nunique())).alias("trees"),
+        F.lit(int(roots["size"].max())).alias("sample_size"),
+        F.lit(bool(forest.nodes["depth"].max() <= forest.max_depth and roots["size"].nunique() == 1)).alias("depth_in_bounds"),
+        "flagged",
+        "rows_fitted",
+    )
+
+
+@register(
+    "job_store_counts",
+    _with(
+        """SELECT count(*) AS rows_stored, count(*) AS rows_scored, CAST(sum(label) AS BIGINT) AS fraud_rows,
+       round(100.0 * avg(is_success), 6) AS success_rate_pct, sum(velocity_1h) AS velocity_sum,
+       round(sum(avg_amount_24h), 2) AS avg_amount_sum, count(*) AS rows_processed
+FROM txn_ev"""
+    ),
+)
+def q_job_store_counts(spark, sf_dir):
+    """The job enriches, scores, stores and sums up every raw row; the sample only bounds the fits."""
+    txn, _ = views(spark, sf_dir)
+    given = txn.select("event_id", "account_id", "channel", "merchant_category", "is_success")
+    raw = raw_from_events(read_table(spark, sf_dir, "events")).join(given, "event_id").checkpoint(eager=True)
+    root = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/job-{uuid.uuid4().hex}"
+    summary = training.run_training(spark, raw, root, sample_size=2000)
+    tx, pr = store.read_monitoring_tables(spark, root)
+    scored = pr.agg(F.count_distinct("transaction_id")).first()[0]
+    return tx.agg(
+        F.count(F.lit(1)).alias("rows_stored"),
+        F.lit(scored).alias("rows_scored"),
+        F.sum("is_fraud").alias("fraud_rows"),
+        F.round(100.0 * F.avg("is_success"), 6).alias("success_rate_pct"),
+        F.sum("velocity_1h").alias("velocity_sum"),
+        F.round(F.sum("avg_amount_24h"), 2).alias("avg_amount_sum"),
+        F.lit(summary["rows_processed"]).cast("bigint").alias("rows_processed"),
+    )

@@ -1,7 +1,8 @@
 """Training and batch scoring job.
 
-``run_training`` is one batch job: sample -> enrich -> split -> fit ->
-score every row -> store both tables -> export -> summary. Paths come from
+``run_training`` is one batch job over every raw row: enrich -> sample and split
+-> fit -> score -> store both tables -> export -> summary. The sample size
+bounds the rows that the models are fitted on and nothing else. Paths come from
 the caller; lineage is cut with ``checkpoint`` (shared checkpoint folder)
 where a frame feeds several later steps.
 """
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnwatch.functions.draws import keyed_bernoulli, keyed_integer, weighted_choice
 from txnwatch.functions.rules import rule_columns
@@ -27,14 +29,17 @@ from txnwatch.operators.quality import build_feature_frame
 from txnwatch.operators.rolling import add_account_rollups
 from txnwatch.operators.sampling import shuffled_order, stratified_sample, stratified_split
 from txnwatch.schema import (
+    CATEGORICAL_FEATURES,
     CHANNEL_WEIGHTS,
     CHANNELS,
     DEFAULT_SAMPLE_SIZE,
     MERCHANT_CATEGORIES,
     MERCHANT_WEIGHTS,
+    MODEL_FEATURES,
     NUMERIC_FEATURES,
     PREDICTION_COLUMNS,
     RANDOM_SEED,
+    RAW_SCHEMA,
 )
 from txnwatch.session import ensure_checkpoint_dir
 from txnwatch.sources import store
@@ -50,19 +55,24 @@ class ModelBundle:
 def enrich_transactions(raw: DataFrame, key: str = "event_id", seed: int = RANDOM_SEED) -> DataFrame:
     """Raw rows (Time, Amount, Class, key) -> the transactions table.
 
-    Ids follow a keyed shuffle of the rows (W4 over C2), accounts, channels,
-    categories and outcomes are keyed draws (E13, E14), then the per-account
-    rolling features (W1, W2), hour, day, ratio (E8) and success (E12).
+    Ids follow a keyed order of the rows (W4 over C2). Account, channel, category
+    and outcome are those of the raw table where it has them; a raw table
+    without them gets keyed draws (E13, E14). Then the per-account
+    rolling features (W1, W2), hour, day, ratio (E8) and success (E12). Raw
+    columns that no step uses are left behind.
     """
-    with_ts = raw.withColumn("transaction_timestamp", offset_timestamp("Time"))
+    given = {c for c in ("account_id", "channel", "merchant_category", "is_success") if c in raw.columns}
+    slim = raw.select(key, "Time", "Amount", "Class", *sorted(given))
+    with_ts = slim.withColumn("transaction_timestamp", offset_timestamp("Time"))
     numbered = row_numbers(with_ts, shuffled_order(key, seed), "_n")
-    base = numbered.select(
-        "*",
-        padded_id("TXN", "_n").alias("transaction_id"),
-        keyed_integer(f"account{seed}", key, 100_000, 999_999).alias("account_id"),
-        weighted_choice(f"channel{seed}", key, CHANNELS, CHANNEL_WEIGHTS).alias("channel"),
-        weighted_choice(f"category{seed}", key, MERCHANT_CATEGORIES, MERCHANT_WEIGHTS).alias("merchant_category"),
-    ).drop("_n")
+    drawn = {
+        "account_id": keyed_integer(f"account{seed}", key, 100_000, 999_999),
+        "channel": weighted_choice(f"channel{seed}", key, CHANNELS, CHANNEL_WEIGHTS),
+        "merchant_category": weighted_choice(f"category{seed}", key, MERCHANT_CATEGORIES, MERCHANT_WEIGHTS),
+    }
+    base = numbered.withColumns(
+        {"transaction_id": padded_id("TXN", "_n")} | {c: v for c, v in drawn.items() if c not in given}
+    ).drop("_n", "Time")
     rolled = add_account_rollups(base)
     out = rolled.withColumns(
         {
@@ -72,6 +82,8 @@ def enrich_transactions(raw: DataFrame, key: str = "event_id", seed: int = RANDO
             "is_fraud": F.col("Class").cast("int"),
         }
     )
+    if "is_success" in given:
+        return out
     return out.withColumn(
         "is_success",
         keyed_bernoulli(f"success{seed}", key, success_probability("Class", "velocity_1h", "Amount", "channel")),
@@ -127,7 +139,7 @@ def score_transactions(df: DataFrame, bundle: ModelBundle, key: str = "transacti
 
 
 def run_summary(transactions: DataFrame, predictions: DataFrame, sample_size: int, metrics: dict) -> dict:
-    """one aggregate per table plus the metrics."""
+    """one aggregate per table over all stored rows, plus the metrics."""
     t = transactions.agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("is_fraud").alias("fraud"),
@@ -152,6 +164,13 @@ def save_models(spark: SparkSession, bundle: ModelBundle, root: str) -> None:
         f"{root.rstrip('/')}/models"
     )
     store.write_json_summary(spark, bundle.metrics, f"{root.rstrip('/')}/metrics")
+    lists = {"numeric_features": NUMERIC_FEATURES, "categorical_features": CATEGORICAL_FEATURES, "features": MODEL_FEATURES}
+    store.write_json_summary(spark, lists, f"{root.rstrip('/')}/model_metadata")
+
+
+def load_metadata(spark: SparkSession, root: str) -> dict:
+    """The feature lists the models were trained on."""
+    return store.read_json_summary(spark, f"{root.rstrip('/')}/model_metadata")
 
 
 def load_models(spark: SparkSession, root: str) -> ModelBundle:
@@ -164,9 +183,9 @@ def run_training(spark: SparkSession, raw: DataFrame, root: str, sample_size: in
                  key: str = "event_id", exact: bool = True, seed: int = RANDOM_SEED) -> dict:
     """M9: the whole batch job; returns the run summary and writes everything under ``root``."""
     ensure_checkpoint_dir(spark)
-    sampled = stratified_sample(raw, sample_size, label="Class", key=key, seed=seed)
-    txn = enrich_transactions(sampled, key=key, seed=seed).checkpoint(eager=True)
-    split = stratified_split(txn, "is_fraud", "transaction_id", seed=seed)
+    txn = enrich_transactions(raw, key=key, seed=seed).checkpoint(eager=True)
+    sampled = stratified_sample(txn, sample_size, label="is_fraud", key=key, seed=seed)
+    split = stratified_split(sampled.where(F.col("is_fraud").isNotNull()), "is_fraud", "transaction_id", seed=seed)
     bundle = train_models(split.train, split.test, exact=exact, seed=seed)
     save_models(spark, bundle, root)
     preds = score_transactions(txn, bundle).checkpoint(eager=True)
@@ -180,6 +199,13 @@ def run_training(spark: SparkSession, raw: DataFrame, root: str, sample_size: in
     return summary
 
 
+def raw_file_schema(spark: SparkSession, path: str) -> T.StructType:
+    """Types of a raw CSV by its header line: known columns as in ``RAW_SCHEMA``, ids and labels as whole numbers, others text."""
+    known = {f.name: f.dataType for f in RAW_SCHEMA.fields} | {"event_id": T.LongType(), "account_id": T.LongType(), "is_success": T.IntegerType()}
+    header = spark.read.option("header", True).csv(path).columns
+    return T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
+
+
 def main(argv: list[str] | None = None) -> dict:
     """``spark-submit txnwatch/plans/training.py --raw PATH --out ROOT``.
 
@@ -213,7 +239,8 @@ def main(argv: list[str] | None = None) -> dict:
     if args.events:
         raw = raw_from_events(read_table(spark, args.events, "events"))
     else:
-        raw = read_raw(spark, args.raw, args.format)
+        # One given schema, so that a CSV is not read once more to infer it.
+        raw = read_raw(spark, args.raw, args.format, schema=raw_file_schema(spark, args.raw) if args.format == "csv" else None)
         require_columns(raw, ["Time", "Amount", "Class", args.key], "source columns")
     summary = run_training(spark, raw, args.out, sample_size=args.sample_size, key=args.key, exact=not args.mllib)
     print(json.dumps(summary, sort_keys=True))
