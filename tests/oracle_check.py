@@ -95,7 +95,7 @@ def main(argv):
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:] or list(REGISTRY)
-    spark = get_spark()
+    spark = get_spark(master=os.environ.get("TXNWATCH_MASTER"))
     con = duck(sf_dir)
     bad = 0
     for n in names:

@@ -29,16 +29,14 @@ def test_no_cartesian_or_nested_loop_join(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
-def test_row_windows_never_partition_by_account_alone(spark):
-    plan = plan_of(REGISTRY["velocity_1h"].fn(spark, SF_SMALL))
+@pytest.mark.parametrize("name", ["velocity_1h", "avg_amount_24h", "rolling_ties"])
+def test_rolling_windows_take_one_scan_and_one_exchange(spark, name):
+    plan = plan_of(REGISTRY[name].fn(spark, SF_SMALL))
+    assert plan.count("FileScan parquet") == 1
+    assert len(re.findall(r"\bExchange ", plan)) == 1
+    assert "Join" not in plan
     specs = re.findall(r"windowspecdefinition\(([^)]*)\)", plan)
-    assert specs
-    for spec in specs:
-        keys = spec.split(",")
-        # row-level windows are keyed by (account, bucket); the only window on
-        # the account alone runs over the small per-bucket table (ordered by bucket)
-        if "_us" in spec:
-            assert keys[0].strip().startswith("_acct") and keys[1].strip().startswith("_b")
+    assert specs and all(spec.split(",")[1].strip().startswith("_bucket") for spec in specs)
 
 
 def test_dashboard_date_filter_prunes_both_tables(spark):
@@ -51,3 +49,25 @@ def test_dashboard_date_filter_prunes_both_tables(spark):
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
     assert len(scans) >= 2  # the two tables, plus a dynamic partition pruning subquery scan
     assert all("PartitionFilters: [" in s and "txn_date" in s.split("PartitionFilters: [")[1] for s in scans)
+
+
+def jobs(spark) -> int:
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+
+@pytest.mark.parametrize("name", ["fraud_trend", "overview_kpis", "top_alerts", "monitoring_frame", "date_bounds",
+                                  "distinct_channels", "fk_orphans", "velocity_1h", "hybrid_score"])
+def test_building_a_query_only_reads_file_footers(spark, name):
+    tables = len([t for t in ("events", "orders") if t])  # at most a footer read a table
+    before = jobs(spark)
+    REGISTRY[name].fn(spark, SF_SMALL)
+    assert jobs(spark) - before <= tables
+
+
+@pytest.mark.parametrize("name", ["date_bounds", "distinct_channels", "distinct_categories", "fk_orphans"])
+def test_unused_windows_are_pruned(spark, name):
+    plan = plan_of(REGISTRY[name].fn(spark, SF_SMALL))
+    if name == "fk_orphans":  # scores of the predictions need their own windows, the keys do not
+        assert plan.count("FileScan parquet") >= 2
+    else:
+        assert "Window" not in plan

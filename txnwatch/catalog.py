@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from txnwatch.plans import dashboard as dash
 from txnwatch.plans import monitoring as mon
-from txnwatch.session import ensure_checkpoint_dir
 from txnwatch.sources.fixtures import fixture_ctes_sql, predictions_from_transactions, transactions_from_events
 from txnwatch.sources.tables import read_table
 
@@ -42,18 +41,9 @@ def register(name: str, sql: str | None, doc: str = ""):
     return deco
 
 
-def views(spark: SparkSession, sf_dir: str, shared: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The ``txn`` and ``pred`` fixture views over ``events``.
-
-    ``shared=True`` is for queries that use both: ``txn`` (with its rolling
-    windows) is materialised once with an eager checkpoint in the shared
-    checkpoint folder and both views read it, instead of Catalyst planning the
-    windows once per branch with different column pruning.
-    """
+def views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The ``txn`` and ``pred`` fixture views over ``events``: plain plans, so that each query prunes what it does not use."""
     txn = transactions_from_events(read_table(spark, sf_dir, "events"))
-    if shared:
-        ensure_checkpoint_dir(spark)
-        txn = txn.checkpoint(eager=True)
     return txn, predictions_from_transactions(txn)
 
 
@@ -94,47 +84,44 @@ def _with(body: str, *extra_ctes: str) -> str:
 
 
 def _filtered(spark, sf_dir):
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     return dash.dashboard_filter(mon.monitoring_frame(txn, pred), DASH_START, DASH_END, DASH_CHANNELS, DASH_BANDS)
 
 
 # ---------------------------------------------------------------------------
 # Monitoring SQL
 # ---------------------------------------------------------------------------
-@register(
-    "fraud_trend",
-    _with(
-        """SELECT CAST(t.transaction_timestamp AS DATE) AS txn_date,
-       count(*) AS total_transactions,
-       CAST(sum(CASE WHEN coalesce(t.is_fraud, 0) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fraud_transactions,
-       round(100.0::DOUBLE * sum(CASE WHEN coalesce(t.is_fraud, 0) = 1 THEN 1 ELSE 0 END) / count(*), 3) AS fraud_rate_pct,
-       round(100.0::DOUBLE * avg(CASE WHEN coalesce(t.is_success, 0) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 3) AS success_rate_pct,
-       round(avg(coalesce(p.risk_score, 0.0::DOUBLE)), 3) AS avg_risk_score
-FROM txn t LEFT JOIN pred p ON t.transaction_id = p.transaction_id
-GROUP BY CAST(t.transaction_timestamp AS DATE)
-ORDER BY txn_date"""
-    ),
-)
+# What each row of ``transactions LEFT JOIN predictions`` counts for: a missing label or
+# outcome is 0, a missing prediction is risk 0.
+FACTS_SQL = """facts AS (
+  SELECT CAST(t.transaction_timestamp AS DATE) AS day, t.channel,
+         CAST(t.is_fraud IS NOT DISTINCT FROM 1 AS BIGINT) AS fraud,
+         CAST(t.is_success IS NOT DISTINCT FROM 1 AS DOUBLE) AS ok,
+         ifnull(p.risk_score, 0.0::DOUBLE) AS risk, p.risk_score IS NOT NULL AS scored
+  FROM txn t LEFT JOIN pred p USING (transaction_id)
+)"""
+
+
+def facts_measures(digits: int) -> str:
+    return (
+        "count(*) AS total_transactions, CAST(sum(fraud) AS BIGINT) AS fraud_transactions, "
+        f"round(avg(ok) * 100.0::DOUBLE, {digits}) AS success_rate_pct, round(avg(risk), {digits}) AS avg_risk_score"
+    )
+
+
+TREND_SQL = f"SELECT day AS txn_date, {facts_measures(3)}, round(100.0::DOUBLE * sum(fraud) / count(*), 3) AS fraud_rate_pct FROM facts GROUP BY day"
+
+
+@register("fraud_trend", _with(TREND_SQL + " ORDER BY day", FACTS_SQL))
 def q_fraud_trend(spark, sf_dir):
     """F2 daily fraud trend (flagship)."""
-    txn, pred = views(spark, sf_dir, shared=True)
-    return mon.fraud_trend(txn, pred)
+    return mon.fraud_trend(*views(spark, sf_dir))
 
 
-@register(
-    "overview_kpis",
-    _with(
-        """SELECT count(*) AS total_transactions,
-       CAST(sum(CASE WHEN coalesce(t.is_fraud, 0) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fraud_transactions,
-       round(100.0::DOUBLE * avg(CASE WHEN coalesce(t.is_success, 0) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS success_rate_pct,
-       round(avg(coalesce(p.risk_score, 0.0::DOUBLE)), 2) AS avg_risk_score
-FROM txn t LEFT JOIN pred p ON t.transaction_id = p.transaction_id"""
-    ),
-)
+@register("overview_kpis", _with(f"SELECT {facts_measures(2)} FROM facts", FACTS_SQL))
 def q_overview_kpis(spark, sf_dir):
     """F1 overview KPIs over the LEFT JOIN."""
-    txn, pred = views(spark, sf_dir, shared=True)
-    return mon.overview_kpis(txn, pred)
+    return mon.overview_kpis(*views(spark, sf_dir))
 
 
 @register(
@@ -150,17 +137,14 @@ def q_risk_distribution(spark, sf_dir):
 @register(
     "channel_success_rates",
     _with(
-        """SELECT t.channel, count(*) AS transactions,
-       round(100.0::DOUBLE * avg(CASE WHEN coalesce(t.is_success, 0) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 3) AS success_rate_pct,
-       round(avg(coalesce(p.risk_score, 0.0::DOUBLE)), 3) AS avg_risk_score
-FROM txn t LEFT JOIN pred p ON t.transaction_id = p.transaction_id
-GROUP BY t.channel ORDER BY transactions DESC"""
+        "SELECT channel, total_transactions AS transactions, success_rate_pct, avg_risk_score "
+        f"FROM (SELECT channel, {facts_measures(3)} FROM facts GROUP BY channel)",
+        FACTS_SQL,
     ),
 )
 def q_channel_success_rates(spark, sf_dir):
     """F4 success and risk per channel."""
-    txn, pred = views(spark, sf_dir, shared=True)
-    return mon.channel_success_rates(txn, pred)
+    return mon.channel_success_rates(*views(spark, sf_dir))
 
 
 _ALERT_SQL_COLS = (
@@ -181,7 +165,7 @@ LIMIT 50"""
 )
 def q_top_alerts(spark, sf_dir):
     """G1 / D2 top 50 alerts by risk (the limit is the feature)."""
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     return mon.recent_alerts(txn, pred, limit=50).withColumn("risk_score", F.round("risk_score", 6))
 
 
@@ -195,7 +179,7 @@ _MF_SELECT = (
 @register("monitoring_frame", _with(f"SELECT {_MF_SELECT} FROM mf", MF_SQL))
 def q_monitoring_frame(spark, sf_dir):
     """A8 / D1 the joined monitoring frame (20 columns)."""
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     return mon.monitoring_frame(txn, pred).withColumn("risk_score", F.round("risk_score", 6))
 
 
@@ -217,7 +201,7 @@ FROM txn t LEFT JOIN pred2 p ON t.transaction_id = p.transaction_id""",
 def q_join_fanout(spark, sf_dir):
     """D3 several predictions per transaction: each one counts (per-transaction
     totals, so a transaction with many predictions is no hot join key)."""
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     event_id = F.substring("transaction_id", 4, 100).cast("bigint") - 1
     pred2 = pred.unionByName(pred.where(event_id % 11 == 0))
     w = mon._weighted(txn, pred2)
@@ -242,7 +226,7 @@ FROM txn t JOIN pred p ON t.transaction_id = p.transaction_id"""
 )
 def q_processed_output(spark, sf_dir):
     """A5 / D4 processed export, joined by key."""
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     return mon.processed_output(txn, pred).withColumn("risk_score", F.round("risk_score", 6))
 
 
@@ -250,9 +234,9 @@ def q_processed_output(spark, sf_dir):
     "fk_orphans",
     _with(
         """SELECT a.transaction_id, a.rule_score, a.risk_band
-FROM pred_all a
+FROM pred_more a
 WHERE NOT EXISTS (SELECT 1 FROM txn_kept k WHERE k.transaction_id = a.transaction_id)""",
-        """pred_all AS (
+        """pred_more AS (
   SELECT transaction_id, rule_score, risk_band FROM pred
   UNION ALL
   SELECT transaction_id, 0.0::DOUBLE AS rule_score, 'low' AS risk_band FROM txn_ev WHERE event_id % 53 = 0
@@ -262,7 +246,7 @@ WHERE NOT EXISTS (SELECT 1 FROM txn_kept k WHERE k.transaction_id = a.transactio
 )
 def q_fk_orphans(spark, sf_dir):
     """B19 / D5 predictions without a transaction (anti join)."""
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     missing = txn.where(F.col("event_id") % 53 == 0).select(
         "transaction_id", F.lit(0.0).alias("rule_score"), F.lit("low").alias("risk_band")
     )
@@ -381,7 +365,7 @@ FROM mf WHERE transaction_timestamp IS NOT NULL""",
 )
 def q_date_bounds(spark, sf_dir):
     """F10 first and last date."""
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     return dash.date_bounds(mon.monitoring_frame(txn, pred))
 
 
@@ -391,7 +375,7 @@ def q_date_bounds(spark, sf_dir):
 )
 def q_distinct_channels(spark, sf_dir):
     """F11 sorted distinct channels."""
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     return dash.distinct_values(mon.monitoring_frame(txn, pred), "channel")
 
 
@@ -401,7 +385,7 @@ def q_distinct_channels(spark, sf_dir):
 )
 def q_distinct_categories(spark, sf_dir):
     """F11 sorted distinct merchant categories."""
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     return dash.distinct_values(mon.monitoring_frame(txn, pred), "merchant_category")
 
 

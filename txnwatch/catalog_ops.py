@@ -11,7 +11,14 @@ from txnwatch.catalog import MF_SQL, REGISTRY, _with, register, views
 from txnwatch.functions import scalars as S
 from txnwatch.functions.draws import keyed_hex_id, keyed_integer, keyed_uniform, weighted_choice
 from txnwatch.functions.rules import rule_columns
-from txnwatch.functions.scoring import anomaly_to_risk, combine_risk_components
+from txnwatch.functions.scoring import (
+    anomaly_to_risk,
+    bumped_risk,
+    combine_risk_components,
+    decision_from_band,
+    reaches,
+    risk_band,
+)
 from txnwatch.operators import metrics as M
 from txnwatch.operators import quality as Q
 from txnwatch.operators.prefix import row_numbers
@@ -28,7 +35,7 @@ from txnwatch.schema import (
     PREDICTION_COLUMNS,
     TRANSACTION_COLUMNS,
 )
-from txnwatch.sources.fixtures import raw_from_events
+from txnwatch.sources.fixtures import predictions_of_all, raw_from_events
 from txnwatch.sources.tables import read_table
 
 
@@ -137,7 +144,7 @@ FROM txn_ev t JOIN raw r ON r.event_id = t.event_id LEFT JOIN pred p ON p.transa
 )
 def q_scalar_functions(spark, sf_dir):
     """E1-E5, E8-E11, E16, E17, E19-E21, one column each."""
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     raw = raw_from_events(read_table(spark, sf_dir, "events")).select("event_id", "Time")
     j = txn.join(raw, "event_id").join(pred.select("transaction_id", "risk_band", "decision"), "transaction_id", "left")
     return j.select(
@@ -161,6 +168,29 @@ def q_scalar_functions(spark, sf_dir):
     )
 
 
+@register(
+    "timestamp_parse",
+    """SELECT event_id, CASE event_id % 5
+    WHEN 0 THEN ts
+    WHEN 1 THEN date_trunc('second', ts) - INTERVAL 2 HOUR
+    WHEN 2 THEN date_trunc('second', ts)
+  END AS parsed FROM events""",
+)
+def q_timestamp_parse(spark, sf_dir):
+    """E6 tolerant parsing of texts made from event times: plain, ISO with a zone, ISO in UTC, garbage and NULL."""
+    ev = read_table(spark, sf_dir, "events")
+    second = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text = (
+        F.when(F.col("event_id") % 5 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+        .when(F.col("event_id") % 5 == 1, F.concat(second, F.lit("+02:00")))
+        .when(F.col("event_id") % 5 == 2, F.concat(second, F.lit("Z")))
+        .when(F.col("event_id") % 5 == 3, F.concat(F.lit("on "), second))
+    )
+    parsed = S.parse_timestamp(text)
+    utc = F.timestamp_add("MICROSECOND", F.unix_micros(parsed), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return ev.select("event_id", utc.alias("parsed"))
+
+
 # ---------------------------------------------------------------------------
 # Keyed draws
 # ---------------------------------------------------------------------------
@@ -248,11 +278,11 @@ def q_rule_score(spark, sf_dir):
 
 @register(
     "anomaly_risk",
-    _with("SELECT transaction_id, round(1.0 / (1.0 + exp(3.0 * anomaly_score)), 6) AS anomaly_risk FROM pred"),
+    _with("SELECT transaction_id, round(1.0 / (1.0 + exp(3.0 * anomaly_score)), 6) AS anomaly_risk FROM pred_all"),
 )
 def q_anomaly_risk(spark, sf_dir):
     """R2 / E15 logistic anomaly risk."""
-    _, pred = views(spark, sf_dir)
+    pred = predictions_of_all(views(spark, sf_dir)[0])
     return pred.select("transaction_id", F.round(anomaly_to_risk("anomaly_score"), 6).alias("anomaly_risk"))
 
 
@@ -262,12 +292,12 @@ def q_anomaly_risk(spark, sf_dir):
         """SELECT transaction_id,
   round(greatest(0.0, least(100.0, ml_probability * 100.0 * 0.6
     + (1.0 / (1.0 + exp(3.0 * anomaly_score))) * 100.0 * 0.2 + rule_score * 0.2)), 6) AS combined_risk
-FROM pred"""
+FROM pred_all"""
     ),
 )
 def q_combined_risk(spark, sf_dir):
     """R3 blend of the three signals, clipped to 0-100."""
-    _, pred = views(spark, sf_dir)
+    pred = predictions_of_all(views(spark, sf_dir)[0])
     c = combine_risk_components("ml_probability", anomaly_to_risk("anomaly_score"), "rule_score")
     return pred.select("transaction_id", F.round(c, 6).alias("combined_risk"))
 
@@ -278,32 +308,103 @@ _PRED_SQL_COLS = (
 )
 
 
-@register("hybrid_score", _with(f"SELECT {_PRED_SQL_COLS} FROM pred"))
+@register("hybrid_score", _with(f"SELECT {_PRED_SQL_COLS} FROM pred_all"))
 def q_hybrid_score(spark, sf_dir):
     """R7 full hybrid scoring (fixed model inputs), R4 bump included."""
-    _, pred = views(spark, sf_dir)
+    pred = predictions_of_all(views(spark, sf_dir)[0])
     return pred.select(*PREDICTION_COLUMNS).withColumn("risk_score", F.round("risk_score", 6))
 
 
-@register("risk_band", _with("SELECT transaction_id, round(risk_score, 6) AS risk_score, risk_band FROM pred"))
+@register("risk_band", _with("SELECT transaction_id, round(risk_score, 6) AS risk_score, risk_band FROM pred_all"))
 def q_risk_band(spark, sf_dir):
     """R5 / B14 risk band from the score."""
-    _, pred = views(spark, sf_dir)
+    pred = predictions_of_all(views(spark, sf_dir)[0])
     return pred.select("transaction_id", F.round("risk_score", 6).alias("risk_score"), "risk_band")
 
 
-@register("decision", _with("SELECT transaction_id, risk_band, decision FROM pred"))
+@register("decision", _with("SELECT transaction_id, risk_band, decision FROM pred_all"))
 def q_decision(spark, sf_dir):
     """R6 decision from the band."""
-    _, pred = views(spark, sf_dir)
+    pred = predictions_of_all(views(spark, sf_dir)[0])
     return pred.select("transaction_id", "risk_band", "decision")
 
 
-@register("anomaly_flag", _with("SELECT transaction_id, anomaly_score, anomaly_flag FROM pred"))
+@register("anomaly_flag", _with("SELECT transaction_id, anomaly_score, anomaly_flag FROM pred_all"))
 def q_anomaly_flag(spark, sf_dir):
     """M7 anomaly flag = decision score below zero."""
-    _, pred = views(spark, sf_dir)
-    return pred.select("transaction_id", "anomaly_score", (F.col("anomaly_score") < 0).cast("int").alias("anomaly_flag"))
+    pred = predictions_of_all(views(spark, sf_dir)[0])
+    return pred.select("transaction_id", "anomaly_score", "anomaly_flag")
+
+
+# Boundary values of the scores, spread over the events: exact cuts, just below them, NaN and NULL.
+_EDGE_SCORES = [75.0, 74.999999, 45.0, 44.999999, None, float("nan"), 0.0, 100.0, 54.9, 55.0]
+
+
+def _pick(column, values):
+    expr = F.lit(None).cast("double")
+    for i, v in enumerate(values):
+        expr = F.when(column == i, F.lit(v).cast("double")).otherwise(expr)
+    return expr
+
+
+def _pick_sql(key: str, values) -> str:
+    text = {None: "NULL"}
+    arms = [f"WHEN {i} THEN {text.get(v) or ('CAST(' + repr(str(v)) + ' AS DOUBLE)')}" for i, v in enumerate(values)]
+    return f"(CASE {key} " + " ".join(arms) + " END)"
+
+
+@register(
+    "risk_edges",
+    f"""SELECT event_id,
+  CASE WHEN isnan(s) THEN 'low' WHEN s >= 75.0 THEN 'high' WHEN s >= 45.0 THEN 'medium' ELSE 'low' END AS band,
+  CASE WHEN isnan(s) THEN 'approve' WHEN s >= 75.0 THEN 'block' WHEN s >= 45.0 THEN 'review' ELSE 'approve' END AS decision,
+  coalesce(s >= 45.0 AND NOT isnan(s), false) AS alert,
+  s + CASE WHEN NOT isnan(s) AND s < 55.0 THEN 10.0 ELSE 0.0 END AS bumped,
+  CASE WHEN s IS NULL THEN NULL WHEN isnan(s) THEN NULL ELSE round(greatest(0.0, least(100.0, 0.6 * s + 10.0 + 10.0)), 6) END AS blended,
+  greatest(10.0, least(90.0, CASE WHEN isnan(s) THEN NULL ELSE s END)) AS clipped,
+  isnan(s) AS nan_clipped
+FROM (SELECT event_id, {_pick_sql("event_id % 10", _EDGE_SCORES)} AS s FROM events)""",
+)
+def q_risk_edges(spark, sf_dir):
+    """R3-R6, E11 and the alert threshold at exact cuts, NaN and NULL."""
+    s = F.col("s")
+    ev = read_table(spark, sf_dir, "events").select("event_id", _pick(F.col("event_id") % 10, _EDGE_SCORES).alias("s"))
+    clipped = S.clip(s, 10.0, 90.0)
+    # Spark has no greatest() that skips a NaN: the SQL shows NaN as NULL next to a flag, and NULL as the bound.
+    return ev.select(
+        "event_id",
+        risk_band(s).alias("band"),
+        decision_from_band(risk_band(s)).alias("decision"),
+        F.coalesce(reaches(s, 45.0), F.lit(False)).alias("alert"),
+        bumped_risk(s, F.lit(1)).alias("bumped"),
+        F.round(F.nanvl(combine_risk_components(s / 100.0, F.lit(0.5), F.lit(50.0)), F.lit(None)), 6).alias("blended"),
+        F.when(s.isNull() | F.isnan(s), F.lit(90.0)).otherwise(clipped).alias("clipped"),
+        F.when(s.isNotNull(), F.isnan(clipped)).alias("nan_clipped"),
+    )
+
+
+_EDGE_VELOCITY = [4.0, 3.999, None, float("nan"), 10.0]
+_EDGE_AMOUNT = [1000.0, 1000.01, float("nan"), None, 5.0, 2e9, -1.0]
+
+
+@register(
+    "friction_edges",
+    f"""SELECT event_id,
+  round(CASE WHEN v >= 4 AND NOT isnan(v) THEN 0.08 WHEN v IS NULL THEN NULL ELSE 0.0 END
+    + CASE WHEN a > 1000 AND NOT isnan(a) THEN 0.05 WHEN a IS NULL THEN NULL ELSE 0.0 END
+    + CASE WHEN event_type = 'error' THEN 0.03 ELSE 0.0 END, 6)::DOUBLE AS penalty
+FROM (SELECT event_id, event_type, {_pick_sql("event_id % 5", _EDGE_VELOCITY)} AS v,
+             {_pick_sql("event_id % 7", _EDGE_AMOUNT)} AS a FROM events)""",
+)
+def q_friction_edges(spark, sf_dir):
+    """E10 at its bounds, NaN and NULL."""
+    ev = read_table(spark, sf_dir, "events").select(
+        "event_id",
+        _pick(F.col("event_id") % 5, _EDGE_VELOCITY).alias("v"),
+        _pick(F.col("event_id") % 7, _EDGE_AMOUNT).alias("a"),
+        F.when(F.col("event_type") == "error", F.lit("atm")).otherwise(F.lit("web")).alias("c"),
+    )
+    return ev.select("event_id", F.round(S.friction_penalty("v", "a", "c"), 6).alias("penalty"))
 
 
 # ---------------------------------------------------------------------------
@@ -382,7 +483,7 @@ _SCORED = "s AS (SELECT round(p.risk_score, 6) AS score, p.ml_probability, t.lab
 
 
 def _scored(spark, sf_dir):
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     return txn.select("transaction_id", "label").join(
         pred.select("transaction_id", F.round("risk_score", 6).alias("score"), "ml_probability"), "transaction_id"
     )
@@ -479,31 +580,10 @@ _NULL_COLS = TRANSACTION_COLUMNS + [c for c in PREDICTION_COLUMNS if c != "trans
 )
 def q_null_violations(spark, sf_dir):
     """B18 NULL counts per column of the joined frame, one pass."""
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     return Q.null_counts(monitoring_frame(txn, pred), _NULL_COLS)
 
 
-@register(
-    "live_input_quarantine",
-    _with(
-        """SELECT transaction_id, violation FROM (
-  SELECT transaction_id, CASE
-    WHEN NOT (Amount IS NOT NULL AND NOT isnan(Amount) AND Amount >= 0.0) THEN 'amount'
-    WHEN NOT (hour IS NOT NULL AND hour >= 0 AND hour <= 23) THEN 'hour'
-    WHEN NOT (velocity_1h IS NOT NULL AND NOT isnan(velocity_1h) AND velocity_1h >= 1.0 AND velocity_1h <= 10.0) THEN 'velocity'
-    WHEN NOT (avg_amount_24h IS NOT NULL AND NOT isnan(avg_amount_24h) AND avg_amount_24h >= 1.0) THEN 'avg_amount'
-    WHEN NOT coalesce(channel IN ('web', 'mobile', 'pos', 'atm'), false) THEN 'channel'
-    WHEN NOT coalesce(merchant_category IN ('grocery', 'electronics', 'travel', 'health', 'entertainment', 'utilities'), false) THEN 'merchant_category'
-  END AS violation FROM txn) WHERE violation IS NOT NULL"""
-    ),
-)
-def q_live_input_quarantine(spark, sf_dir):
-    """B16 validity predicate of live-form inputs; bad rows to quarantine."""
-    txn, _ = views(spark, sf_dir)
-    _, bad = Q.split_valid(txn)
-    return bad.select("transaction_id", "violation")
-
-
 @register(
     "live_features",
     _with(
@@ -513,11 +593,13 @@ def q_live_input_quarantine(spark, sf_dir):
 )
 def q_live_features(spark, sf_dir):
     """K1 live feature row: floored 24h average and the live ratio (E9), batch form."""
+    from txnwatch.streaming.live import live_features
+
     txn, _ = views(spark, sf_dir)
-    return txn.select(
+    return live_features(txn).select(
         "transaction_id",
-        F.greatest(F.col("avg_amount_24h"), F.lit(1.0)).alias("avg_amount_safe"),
-        S.ratio_with_floor("Amount", "avg_amount_24h").alias("amount_to_avg_ratio_live"),
+        F.col("avg_amount_24h").alias("avg_amount_safe"),
+        F.col("amount_to_avg_ratio").alias("amount_to_avg_ratio_live"),
     )
 
 
@@ -549,7 +631,7 @@ def q_top_alerts_sql(spark, sf_dir):
 
     from txnwatch.plans.monitoring import recent_alerts_sql
 
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     tag = uuid.uuid4().hex[:12]
     tv, pv = f"txw_transactions_{tag}", f"txw_predictions_{tag}"
     txn.createOrReplaceTempView(tv)
@@ -580,7 +662,7 @@ def q_latest_prediction(spark, sf_dir):
     """D3 option: keep the latest of several predictions per transaction (max_by), then join."""
     from txnwatch.plans.monitoring import latest_prediction
 
-    txn, pred = views(spark, sf_dir, shared=True)
+    txn, pred = views(spark, sf_dir)
     event_id = F.substring("transaction_id", 4, 100).cast("bigint") - 1
     base = pred.select("transaction_id", "risk_score", F.lit(0).alias("version"))
     later = pred.where(event_id % 11 == 0).select(

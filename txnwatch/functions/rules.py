@@ -121,25 +121,25 @@ def rule_columns() -> RuleColumns:
 
 
 def rule_sql_duckdb() -> tuple[str, str]:
-    """The same rule table as DuckDB SQL (score, reasons) over an unqualified row.
+    """The rule table as DuckDB SQL (score, reasons) over an unqualified row, for the oracle.
 
-    Used only by the oracle; inputs in the fixtures are never NULL or NaN.
+    Its numbers and texts are written out, so a wrong entry above shows; inputs
+    in the fixtures are never NULL or NaN.
     """
-    score_parts = []
-    reason_parts = []
-    for group in RULE_TABLE:
-        s_branches = []
-        r_branches = []
-        for name, op, threshold, points, reason in group:
-            if name == "atm_large":
-                cond = f"(lower(channel) = '{ATM_CHANNEL}' AND Amount > {ATM_AMOUNT_OVER})"
-            else:
-                cond = f"({name} {op} {threshold})"
-            s_branches.append(f"WHEN {cond} THEN {float(points)}")
-            r_branches.append(f"WHEN {cond} THEN '{reason}'")
-        score_parts.append("(CASE " + " ".join(s_branches) + " ELSE 0.0 END)")
-        reason_parts.append("(CASE " + " ".join(r_branches) + " ELSE NULL END)")
-    score = "least(" + " + ".join(score_parts) + f", {RULE_SCORE_CAP})"
-    joined = f"concat_ws('{REASON_SEPARATOR}', " + ", ".join(reason_parts) + ")"
-    reasons = f"(CASE WHEN {joined} = '' THEN '{NO_RULE_REASON}' ELSE {joined} END)"
+    score = """least(100.0, 0.0::DOUBLE
+        + CASE WHEN Amount >= 2000 THEN 30 WHEN Amount >= 1000 THEN 20 ELSE 0 END
+        + CASE WHEN amount_to_avg_ratio >= 4 THEN 25 WHEN amount_to_avg_ratio >= 2 THEN 15 ELSE 0 END
+        + CASE WHEN velocity_1h >= 6 THEN 20 WHEN velocity_1h >= 4 THEN 12 ELSE 0 END
+        + CASE WHEN hour <= 5 THEN 10 ELSE 0 END
+        + CASE WHEN lower(channel) = 'atm' AND Amount > 500 THEN 8 ELSE 0 END)"""
+    reasons = """ifnull(nullif(concat_ws('; ',
+        CASE WHEN Amount >= 2000 THEN 'Very high transaction amount'
+             WHEN Amount >= 1000 THEN 'High transaction amount' END,
+        CASE WHEN amount_to_avg_ratio >= 4 THEN 'Amount is far above account baseline'
+             WHEN amount_to_avg_ratio >= 2 THEN 'Amount above normal account baseline' END,
+        CASE WHEN velocity_1h >= 6 THEN 'High velocity in one-hour window'
+             WHEN velocity_1h >= 4 THEN 'Elevated velocity in one-hour window' END,
+        CASE WHEN hour <= 5 THEN 'Transaction during high-risk hours' END,
+        CASE WHEN lower(channel) = 'atm' AND Amount > 500 THEN 'Large ATM withdrawal pattern' END), ''),
+        'No high-risk rule triggered')"""
     return score, reasons

@@ -67,16 +67,17 @@ def ratio_with_floor(amount: Column | str, avg: Column | str) -> Column:
 
 
 def clip(x: Column, lo: float, hi: float | None) -> Column:
-    """Clip, NULL stays NULL (Spark's greatest/least skip NULLs)."""
-    bounded = F.greatest(F.lit(lo), x) if hi is None else F.greatest(F.lit(lo), F.least(F.lit(hi), x))
-    return F.when(x.isNull(), F.lit(None)).otherwise(bounded)
+    """Clip; NULL stays NULL (Spark's greatest/least skip NULLs) and NaN stays NaN (Spark orders it last)."""
+    capped = x if hi is None else -F.greatest(F.lit(-hi), -x)
+    return F.when(x.isNull(), F.lit(None)).otherwise(F.greatest(F.lit(lo), capped))
 
 
 def friction_penalty(velocity: Column | str, amount: Column | str, channel: Column | str) -> Column:
     """Weighted boolean flags (case-exact channel, strict amount bound)."""
+    # With signs turned, a NaN reaches no bound.
     return (
-        (_c(velocity) >= 4).cast("double") * F.lit(0.08)
-        + (_c(amount) > 1000).cast("double") * F.lit(0.05)
+        (-_c(velocity) <= -4).cast("double") * F.lit(0.08)
+        + (-_c(amount) < -1000).cast("double") * F.lit(0.05)
         + (_c(channel) == "atm").cast("double") * F.lit(0.03)
     )
 

@@ -25,6 +25,12 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def reaches(x: Column | str, bound: float) -> Column:
+    """``x >= bound`` as numbers compare: false for NaN, NULL for NULL. The first part reaches a scan."""
+    x = _c(x)
+    return (x >= F.lit(bound)) & ~F.isnan(x.cast("double"))
+
+
 def anomaly_to_risk(anomaly_score: Column | str) -> Column:
     """R2: logistic with slope 3; a lower (more anomalous) score means more risk."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(ANOMALY_SLOPE) * _c(anomaly_score)))
@@ -34,13 +40,15 @@ def combine_risk_components(ml_probability: Column | str, anomaly_risk: Column |
                             rule_score: Column | str) -> Column:
     """clip(60·ml + 20·anomaly_risk + 0.2·rule, 0, 100); NULL when an input is NULL.
 
-    The blend appears once in the expression (the NULL test reads the inputs),
-    so a filter that Catalyst rewrites through this projection stays small.
+    A NaN input gives NaN: Spark orders NaN above every number, so ``least`` would
+    turn it into 100; the larger of the negatives keeps it. The blend appears once in
+    the expression, so a filter that Catalyst rewrites through it stays small.
     """
     ml, ar, rule = _c(ml_probability), _c(anomaly_risk), _c(rule_score)
     combined = ml * F.lit(100.0) * F.lit(ML_WEIGHT) + ar * F.lit(100.0) * F.lit(ANOMALY_WEIGHT) + rule * F.lit(RULE_WEIGHT)
+    capped = -F.greatest(F.lit(-100.0), -combined)
     return F.when(ml.isNull() | ar.isNull() | rule.isNull(), F.lit(None).cast("double")).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(100.0), combined))
+        F.greatest(F.lit(0.0), capped)
     )
 
 
@@ -56,9 +64,9 @@ def bumped_risk(risk: Column | str, anomaly_flag: Column | str) -> Column:
 
 
 def risk_band(score: Column | str) -> Column:
-    """>=75 high, >=45 medium, else low."""
-    s = _c(score)
-    return F.when(s >= HIGH_FROM, F.lit("high")).when(s >= MEDIUM_FROM, F.lit("medium")).otherwise(F.lit("low"))
+    """>=75 high, >=45 medium, else low; NaN and NULL are low."""
+    s = -_c(score)  # a NaN is above every number also with its sign turned, so it reaches no cut
+    return F.when(s <= -HIGH_FROM, F.lit("high")).when(s <= -MEDIUM_FROM, F.lit("medium")).otherwise(F.lit("low"))
 
 
 def decision_from_band(band: Column | str) -> Column:
@@ -94,15 +102,9 @@ def add_risk_columns(df, ml_probability: str = "ml_probability", anomaly_score:
 
 
 def risk_sql_duckdb(ml: str, anomaly: str, flag: str, rule: str) -> tuple[str, str, str]:
-    """The same chain as DuckDB SQL text, for the oracle."""
-    combined = (
-        f"greatest(0.0, least(100.0, {ml} * 100.0 * {ML_WEIGHT} + "
-        f"(1.0 / (1.0 + exp({ANOMALY_SLOPE} * {anomaly}))) * 100.0 * {ANOMALY_WEIGHT} + {rule} * {RULE_WEIGHT}))"
-    )
-    score = (
-        f"greatest(0.0, least(100.0, CASE WHEN {flag} = 1 AND ({combined}) < {BUMP_BELOW} "
-        f"THEN ({combined}) + {BUMP_POINTS} ELSE ({combined}) END))"
-    )
-    band = f"(CASE WHEN risk_score >= {HIGH_FROM} THEN 'high' WHEN risk_score >= {MEDIUM_FROM} THEN 'medium' ELSE 'low' END)"
-    decision = "(CASE WHEN risk_band = 'high' THEN 'block' WHEN risk_band = 'medium' THEN 'review' ELSE 'approve' END)"
+    """The same chain as DuckDB SQL text, for the oracle; its numbers are written out, so a wrong constant above shows."""
+    blend = f"least(100.0, greatest(0.0, 60.0 * {ml} + 20.0 / (1.0 + exp(3.0 * {anomaly})) + 0.2 * {rule}))"
+    score = f"(CASE WHEN {flag} = 1 AND {blend} < 55.0 THEN {blend} + 10.0 ELSE {blend} END)"
+    band = "(CASE WHEN risk_score < 45.0 THEN 'low' WHEN risk_score < 75.0 THEN 'medium' ELSE 'high' END)"
+    decision = "(CASE risk_band WHEN 'low' THEN 'approve' WHEN 'medium' THEN 'review' WHEN 'high' THEN 'block' END)"
     return score, band, decision

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.functions.scalars import band_rank, to_day
+from txnwatch.functions.scoring import reaches
 from txnwatch.plans.monitoring import ALERT_COLUMNS
 from txnwatch.schema import ALERT_THRESHOLD, DASHBOARD_ALERT_LIMIT
 
@@ -105,7 +106,7 @@ def filtered_kpis(filtered: DataFrame) -> DataFrame:
 def filtered_top_alerts(filtered: DataFrame, limit: int = DASHBOARD_ALERT_LIMIT,
                         threshold: float = ALERT_THRESHOLD) -> DataFrame:
     """Alerts of the filtered frame (NULL risk counts as 0), top ``limit`` by risk."""
-    alerts = filtered.where(F.coalesce(F.col("risk_score"), F.lit(0.0)) >= F.lit(threshold))
+    alerts = filtered.where(reaches(F.coalesce(F.col("risk_score"), F.lit(0.0)), threshold))
     return alerts.select(*ALERT_COLUMNS).orderBy(F.col("risk_score").desc(), F.col("transaction_id")).limit(limit)
 
 

@@ -40,6 +40,7 @@ DAY_US = 24 * HOUR_US
 # ---------------------------------------------------------------------------
 # Stored tables
 # ---------------------------------------------------------------------------
+# Names and order of the stored columns.
 TRANSACTION_COLUMNS = [
     "transaction_id",
     "transaction_timestamp",

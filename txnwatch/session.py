@@ -42,8 +42,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8) -> SparkSe
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only fall back to a fresh local
-    scratch folder when the setting is absent (tests, local runs).
+    A cluster names a shared folder there. Only a local master may go without
+    it and gets a fresh scratch folder; elsewhere a folder of one machine would
+    hide checkpoints from the other executors, so its absence is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -57,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="txnwatch-ckpt-")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)

@@ -97,8 +97,13 @@ def transactions_from_events(events: DataFrame, accounts: int | None = DEFAULT_A
 
 def predictions_from_transactions(txn: DataFrame) -> DataFrame:
     """``pred``: one prediction per transaction except ``event_id % 53 = 0``."""
+    return predictions_of_all(txn.where(F.col("event_id") % NO_PREDICTION_EVERY != 0))
+
+
+def predictions_of_all(txn: DataFrame) -> DataFrame:
+    """``pred_all``: one prediction per transaction."""
     rc = rule_columns()
-    scored = txn.where(F.col("event_id") % NO_PREDICTION_EVERY != 0).select(
+    scored = txn.select(
         "transaction_id",
         keyed_uniform("ml", "event_id").alias("ml_probability"),
         (F.lit(2.0) * keyed_uniform("an", "event_id") - F.lit(1.0)).alias("anomaly_score"),
@@ -221,7 +226,7 @@ fx_pred1 AS (
          2.0 * {_u_sql('an')} - 1.0 AS anomaly_score,
          {score_sql} AS rule_score,
          {reasons_sql} AS rule_reasons
-  FROM txn_ev WHERE event_id % {NO_PREDICTION_EVERY} <> 0
+  FROM txn_ev
 ),
 fx_pred2 AS (
   SELECT *, CAST(anomaly_score < 0 AS INTEGER) AS anomaly_flag FROM fx_pred1
@@ -229,7 +234,8 @@ fx_pred2 AS (
 fx_pred3 AS (SELECT *, {risk_sql} AS risk_score FROM fx_pred2),
 fx_pred4 AS (SELECT *, {band_sql} AS risk_band FROM fx_pred3),
 fx_pred5 AS (SELECT *, {decision_sql} AS decision FROM fx_pred4),
-pred AS (SELECT {pred_cols} FROM fx_pred5),
+pred_all AS (SELECT {pred_cols} FROM fx_pred5),
+pred AS (SELECT {pred_cols} FROM fx_pred5 WHERE event_id % {NO_PREDICTION_EVERY} <> 0),
 raw AS (
   SELECT event_id,
          (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1000000.0::DOUBLE AS Time,

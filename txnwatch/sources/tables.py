@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnwatch.schema import REQUIRED_SOURCE_COLUMNS
@@ -20,21 +21,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One provided table as a DataFrame (Parquet: pushdown and pruning apply)."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has
-    cores (a small file with one row group), so row-wise work after the scan
-    runs in parallel. Large inputs already have enough splits and are left
-    alone; filters and column pruning still reach the scan below the
-    repartition."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no SparkContext on this client (Spark Connect): leave as is
-        return df
-    return df.repartition(cores) if splits < cores else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def has_required_columns(df: DataFrame, required: Sequence[str] = REQUIRED_SOURCE_COLUMNS) -> bool:
@@ -60,6 +47,20 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def _readable(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
+    """The table if it can be read (its first row as well) and has the required columns."""
+    try:
+        if not _path_exists(spark, path):
+            return None
+        df = read_raw(spark, path, fmt)
+        if not has_required_columns(df):
+            return None
+        df.limit(1).collect()
+    except (PySparkException, Py4JError):
+        return None
+    return df
+
+
 def choose_source(
     spark: SparkSession,
     candidates: Sequence[tuple[str, str]],
@@ -70,17 +71,16 @@ def choose_source(
 
     ``candidates`` are ``(path, format)`` pairs in preference order. A cached
     copy at ``cache_path`` (Parquet) is used first unless ``force_refresh``;
-    an invalid cached copy is ignored. The winner is written to the cache.
+    an invalid cached copy is ignored. The winner is written to the cache. A
+    candidate that cannot be read is passed over like one without the columns.
     """
     if cache_path and not force_refresh and _path_exists(spark, cache_path):
-        cached = spark.read.parquet(cache_path)
-        if has_required_columns(cached):
+        cached = _readable(spark, cache_path, "parquet")
+        if cached is not None:
             return cached
     for path, fmt in candidates:
-        if not _path_exists(spark, path):
-            continue
-        df = read_raw(spark, path, fmt)
-        if has_required_columns(df):
+        df = _readable(spark, path, fmt)
+        if df is not None:
             if cache_path:
                 df.write.mode("overwrite").parquet(cache_path)
                 return spark.read.parquet(cache_path)
