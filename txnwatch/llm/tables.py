@@ -11,10 +11,17 @@ from txnwatch.session import ensure_checkpoint_dir, ship_package
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Rows and bytes of an Arrow batch of texts: both the JVM and the Python worker hold a few of them.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Shared checkpoint folder and the package on the workers."""
+    """Shared checkpoint folder, the package on the workers, and Arrow batches that are small enough for texts."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
