@@ -116,7 +116,9 @@ def test_scan_of_flat_files(spark, tmp_path):
             assert sorted(r["doc_no"] for r in rows if r["n"] == n) == list(range(sum(w[0] == n for w in want)))
 
 
-def test_repeated_bytes_of_hard_texts(spark):
+@pytest.mark.parametrize("filtered", [repeats.FILTERED, -1])
+def test_repeated_bytes_of_hard_texts(spark, monkeypatch, filtered):
+    monkeypatch.setattr(repeats, "FILTERED", filtered)
     rng = random.Random(7)
     passage = "".join(rng.choice("abcdef ") for _ in range(900))
     texts = []
@@ -152,7 +154,11 @@ def test_first_copies_stay(spark):
     assert first == want
 
 
-def test_near_duplicates_of_hard_texts(spark):
+@pytest.mark.parametrize("small, large, block", [(neardup.SMALL, neardup.LARGE, neardup.BLOCK), (2, 1 << 14, 7), (2, 16, 5)])
+def test_near_duplicates_of_hard_texts(spark, monkeypatch, small, large, block):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "LARGE", large)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(9)
     rows = []
     for g in range(12):
@@ -166,7 +172,14 @@ def test_near_duplicates_of_hard_texts(spark):
     rows += [(len(rows) + i, boiler + f" tail{i} more{i} and{i} so{i} on{i} a{i} b{i} c{i} d{i} e{i}") for i in range(150)]
     rng.shuffle(rows)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(table(spark, rows)).collect()}
-    assert got == plain.near_components(rows)
+    want = plain.near_components(rows)
+    if large > 1000:
+        assert got == want
+    else:  # branching may lose a link, but never makes one
+        parts = {}
+        for k, (_, low) in got.items():
+            parts.setdefault(low, set()).add(want[k][1])
+        assert all(len(p) == 1 for p in parts.values())
 
 
 def test_personal_data_of_hard_texts(spark):
@@ -232,7 +245,9 @@ def test_license_places(spark):
     assert got[5]["labels"] == "reserved" and got[5]["score"] == 1.0 and got[5]["n_words"] == 403
 
 
-def test_substituted_benchmark_words_are_found(spark):
+@pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
+def test_substituted_benchmark_words_are_found(spark, monkeypatch, seeds):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", seeds)
     rng = random.Random(13)
     items = [[f"i{k}w{j}" for j in range(40)] for k in range(6)]
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(9, "only five words right here")], "item_id int, text string")

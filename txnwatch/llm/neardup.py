@@ -4,13 +4,15 @@ A document is its set of distinct five-word shingles. Documents with the same
 set form a class and need no comparison. For each of ``trees`` independent
 trees a class chooses tokens by min-wise hashing, one a level; classes that
 chose the same tokens so far share a node. Nodes start at ``START`` levels; a node of
-at most ``SMALL`` classes is compared exhaustively, a larger one branches on the
-next chosen token, and what is still large at the last level is compared by
-pivots of its components and then across its components.
-
-Links only have to give the right components, so comparing goes in rounds and
-two classes that are already connected are never compared: first every class
-with the smallest class of its nodes, then what is left. A pair is confirmed on
+more than ``LARGE`` classes branches on the next chosen token, others and those of
+the last level are compared exhaustively.
+
+Links only have to give the right components, so two classes that are already
+connected are never compared. First every class meets the smallest class of
+each of its nodes. In what is left, classes of different components of a node
+meet: in nodes of at most ``SMALL`` classes as pairs, in larger ones in blocks, where the
+classes outside the node's largest component are held against all of the node,
+and at most one link is kept for a class and a component. Every link is confirmed on
 the full sets of both texts. A pair at the threshold of 0.75 shares a node of
 two levels in at least one of 16 trees with probability 1 - (1 - 0.75**2)**16,
 that is, all but two in a million; more similar ones almost surely.
@@ -41,6 +43,9 @@ PERCENT = 75
 TREES = 16
 START, LEVELS = 2, 6
 SMALL = 48
+LARGE = 1 << 14
+#: Classes of a block of a larger node.
+BLOCK = 1 << 10
 #: A pair at the threshold agrees on 72 of 96 hashes, with a deviation of 4.2; 50 is five deviations below.
 AGREE = 50
 
@@ -126,16 +131,17 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b", "text_a", "text_b"]).filter(pa.array(same >= AGREE))
 
 
+def _texts_sets(blobs: list[bytes]) -> list[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return list(shingle_sets(pa.array([unpack(x) for x in blobs], pa.large_binary())))
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                sets = [
-                    list(shingle_sets(pa.array([unpack(x) for x in part.column(c).to_pylist()], pa.large_binary())))
-                    for c in ("blob_a", "blob_b")
-                ]
+                sets = [_texts_sets(part.column(c).to_pylist()) for c in ("blob_a", "blob_b")]
                 keep = []
                 for x, y in zip(*sets, strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -145,6 +151,39 @@ def _confirm(percent: int):
     return run
 
 
+def _compare_block(percent: int):
+    """Links between the searching classes of a block and its targets: one for a class and a component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, label = (table.column(c).to_numpy() for c in ("cls", "label"))
+        seeks = np.flatnonzero(table.column("seeks").to_numpy(zero_copy_only=False))
+        targets = np.flatnonzero(~table.column("seeks").to_numpy(zero_copy_only=False))
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(seeks) and len(targets):
+            sets = _texts_sets(table.column("blob").to_pylist())
+            sizes = np.array([len(s) for s in sets])
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            words, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+            mine = [numbers[starts[k] : starts[k + 1]] for k in range(len(sets))]
+            held = np.concatenate([mine[k] for k in targets])
+            cuts = np.concatenate([[0], np.cumsum(sizes[targets])])[:-1]
+            here = np.zeros(len(words), np.int32)
+            for x in seeks:
+                here[mine[x]] = 1
+                both = np.add.reduceat(here[held], cuts)
+                here[mine[x]] = 0
+                like = (100 * both >= percent * (sizes[x] + sizes[targets] - both)) & (label[targets] != label[x])
+                hit = targets[like]
+                if len(hit):
+                    hit = hit[np.unique(label[hit], return_index=True)[1]]
+                    found_a.append(np.full(len(hit), cls[x]))
+                    found_b.append(cls[hit])
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return run
+
+
 def _packed(wanted: HashFilter):
     """Texts whose hash is in the filter, compressed."""
 
@@ -194,14 +233,7 @@ class Join:
             .mapInArrow(_agreeing, "a bigint, b bigint, text_a bigint, text_b bigint")
             .checkpoint()
         )
-        wanted = close.select(F.col("text_a").alias("h")).union(close.select("text_b"))
-        blobs = (
-            self.texts.select("text_hash", "text")
-            .mapInArrow(_packed(HashFilter.of(wanted, "h")), "text_hash bigint, blob binary")
-            .groupBy("text_hash")
-            .agg(F.first("blob").alias("blob"))
-        )
-        blobs = blobs.join(wanted.distinct().withColumnRenamed("h", "text_hash"), "text_hash", "left_semi").checkpoint()
+        blobs = self.blobs(close.select(F.col("text_a").alias("text_hash")).union(close.select("text_b")))
         return (
             close.join(blobs.toDF("text_a", "blob_a"), "text_a")
             .join(blobs.toDF("text_b", "blob_b"), "text_b")
@@ -210,6 +242,35 @@ class Join:
             .checkpoint()
         )
 
+    def blobs(self, wanted: DataFrame) -> DataFrame:
+        """(text_hash, blob): each wanted text once, compressed."""
+        wanted = wanted.distinct().checkpoint()
+        found = (
+            self.texts.select("text_hash", "text")
+            .mapInArrow(_packed(HashFilter.of(wanted, "text_hash")), "text_hash bigint, blob binary")
+            .groupBy("text_hash")
+            .agg(F.first("blob").alias("blob"))
+        )
+        return found.join(wanted, "text_hash", "left_semi").checkpoint()
+
+    def in_blocks(self, members: DataFrame) -> DataFrame:
+        """Links across the components of larger nodes: members are (node, size, cls, label)."""
+        counts = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+        largest = counts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("most")).select("node", F.col("most.label").alias("main"))
+        blocks, searches = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("size") / LARGE).cast("int")
+        dealt = members.join(largest, "node").withColumns({"blocks": blocks, "searches": searches})
+        own = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        targets = dealt.withColumn("block", own("blocks", 1)).select("node", "cls", "label", "block", every("searches").alias("search"))
+        seekers = dealt.where(F.col("label") != F.col("main")).withColumn("search", own("searches", 2))
+        seekers = seekers.select("node", "cls", "label", "search", every("blocks").alias("block"))
+        rows = targets.withColumn("seeks", F.lit(False)).unionByName(seekers.withColumn("seeks", F.lit(True)))
+        text = self.classes.select("cls", "text_hash")
+        wanted = members.select("cls").distinct().join(text, "cls").checkpoint()
+        blobs = wanted.join(self.blobs(wanted.select("text_hash")), "text_hash").select("cls", "blob")
+        met = rows.join(blobs, "cls").groupBy("node", "block", "search")
+        return met.applyInArrow(_compare_block(self.percent), "a bigint, b bigint").distinct().checkpoint()
+
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -226,13 +287,6 @@ def _across(members: DataFrame, key: str) -> DataFrame:
     return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
-def _with_pivots(members: DataFrame, key: str) -> DataFrame:
-    """Pairs of each class with the smallest class of every other component of its node."""
-    pivots = members.groupBy(key, F.col("label").alias("other")).agg(F.min("cls").alias("pivot"))
-    met = members.join(pivots, key).where(F.col("label") != F.col("other"))
-    return met.select(*_ordered(F.col("cls"), F.col("pivot"))).distinct()
-
-
 def _mixed(members: DataFrame, key: str) -> DataFrame:
     """Members of nodes that hold more than one component."""
     ends = members.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -240,49 +294,39 @@ def _mixed(members: DataFrame, key: str) -> DataFrame:
 
 
 def _leaves(members: DataFrame) -> DataFrame:
-    """Members with ``level``: the first level at which their node is small; null where none is."""
-    level = F.lit(None).cast("int")
-    out = members
+    """(node, size, cls, label): members in the node of the first level that is not too large."""
+    key, size, out = F.col(f"k{LEVELS}"), F.col(f"n{LEVELS}"), members
     for d in range(LEVELS, START - 1, -1):
         sizes = members.groupBy(f"k{d}").agg(F.count(F.lit(1)).alias(f"n{d}"))
         out = out.join(sizes, f"k{d}")
-        level = F.when(F.col(f"n{d}") <= SMALL, d).otherwise(level)
-    return out.withColumn("level", level)
+        fits = F.col(f"n{d}") <= LARGE
+        key, size = F.when(fits, F.col(f"k{d}")).otherwise(key), F.when(fits, F.col(f"n{d}")).otherwise(size)
+    return out.select(key.alias("node"), size.alias("size"), "cls", "label")
 
 
 def links(join: Join) -> tuple[DataFrame, DataFrame]:
     """(links between classes, labels): links that connect exactly the components of all similar pairs."""
-    top, bottom = f"k{START}", f"k{LEVELS}"
+    top = f"k{START}"
     # Round one: every class with the smallest class of each of its nodes.
-    nodes = join.nodes
+    nodes, spark = join.nodes, join.texts.sparkSession
     pivots = nodes.groupBy(top).agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = nodes.join(pivots.select(top, "pivot"), top).checkpoint()
-    tried = shared.where(F.col("cls") != F.col("pivot")).select(*_ordered(F.col("cls"), F.col("pivot"))).distinct()
-    found = join.confirmed(tried)
+    shared = nodes.join(pivots, top).checkpoint()
+    stars = shared.where(F.col("cls") != F.col("pivot")).select(*_ordered(F.col("cls"), F.col("pivot"))).distinct()
+    found = join.confirmed(stars)
     labels = components(found).withColumnRenamed("node", "cls")
-    # Round two: across components, in the first small node of each path.
-    members = _leaves(_mixed(_labelled(shared.drop("pivot"), labels), top).checkpoint()).checkpoint()
-    pairs = None
-    for d in range(START, LEVELS + 1):
-        here = _across(members.where(F.col("level") == d), f"k{d}")
-        pairs = here if pairs is None else pairs.unionByName(here)
-    pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-    more = join.confirmed(pairs)
+    # Round two: across the components of each node, small ones as pairs.
+    members = _mixed(_labelled(shared.drop("pivot"), labels), top).checkpoint()
+    if members.where(F.col("size") > LARGE).limit(1).count():
+        members = _leaves(members).checkpoint()
+    else:
+        members = members.withColumnRenamed(top, "node").select("node", "size", "cls", "label")
+    more = join.confirmed(_across(members.where(F.col("size") <= SMALL), "node"))
     found, labels = found.unionByName(more), merged(labels, more, "cls")
-    # What is large at the last level: by pivots while that connects anything, then across what is left.
-    members = members.where(F.col("level").isNull()).select(bottom, "cls")
-    if not members.limit(1).count():
-        return found, labels
-    tried, last = tried.unionByName(pairs).checkpoint(), False
-    while not last:
-        here = _mixed(_labelled(members, labels), bottom).checkpoint()
-        pairs = _with_pivots(here, bottom).join(tried, ["a", "b"], "left_anti").checkpoint()
-        last = not pairs.limit(1).count()
-        if last:
-            pairs = _across(here, bottom).join(tried, ["a", "b"], "left_anti")
-        more = join.confirmed(pairs)
+    # Round three: larger nodes in blocks.
+    large = _mixed(_labelled(members.where(F.col("size") > SMALL), labels), "node").checkpoint()
+    if large.limit(1).count():
+        more = join.in_blocks(large)
         found, labels = found.unionByName(more), merged(labels, more, "cls")
-        tried = tried.unionByName(pairs)
     return found, labels
 
 
