@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnwatch.llm.tables import release
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): label is the smallest node reachable, for every node of an edge.
@@ -22,13 +24,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while labels.where("moved").limit(1).count():
         labels = labels.select("node", "label")
         heard = both.join(labels.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "label")
-        jumps = labels.withColumnsRenamed({"node": "own", "label": "via"}).join(labels.withColumnRenamed("node", "via"), "via")
-        news = heard.unionByName(jumps.select(F.col("own").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("news"))
-        labels = (
-            labels.join(news, "node")
-            .select("node", F.least("label", "news").alias("label"), (F.col("news") < F.col("label")).alias("moved"))
-            .checkpoint()
-        )
+        jumps = labels.withColumnsRenamed({"node": "own", "label": "node"}).join(labels, "node").select(F.col("own").alias("node"), "label")
+        own = labels.withColumn("old", F.col("label"))
+        news = own.unionByName(heard, allowMissingColumns=True).unionByName(jumps, allowMissingColumns=True)
+        news = news.groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old"))
+        labels = news.select("node", "label", (F.col("label") < F.col("old")).alias("moved")).checkpoint()
+        del heard, jumps, own, news
+        release(edges.sparkSession)
     return labels.select("node", "label")
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from txnwatch.llm import textvec as tv
 from txnwatch.llm.filters import HashFilter
 from txnwatch.llm.graphs import components, merged
-from txnwatch.llm.tables import prepare, text_rows
+from txnwatch.llm.tables import prepare, release, text_rows
 
 SHINGLE = 5
 PERCENT = 75
@@ -233,6 +233,7 @@ class Join:
             .mapInArrow(_agreeing, "a bigint, b bigint, text_a bigint, text_b bigint")
             .checkpoint()
         )
+        release(pairs.sparkSession)
         blobs = self.blobs(close.select(F.col("text_a").alias("text_hash")).union(close.select("text_b")))
         return (
             close.join(blobs.toDF("text_a", "blob_a"), "text_a")
@@ -309,11 +310,13 @@ def links(join: Join) -> tuple[DataFrame, DataFrame]:
     top = f"k{START}"
     # Round one: every class with the smallest class of each of its nodes.
     nodes, spark = join.nodes, join.texts.sparkSession
+    release(spark)
     pivots = nodes.groupBy(top).agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = nodes.join(pivots, top).checkpoint()
     stars = shared.where(F.col("cls") != F.col("pivot")).select(*_ordered(F.col("cls"), F.col("pivot"))).distinct()
     found = join.confirmed(stars)
     labels = components(found).withColumnRenamed("node", "cls")
+    release(spark)
     # Round two: across the components of each node, small ones as pairs.
     members = _mixed(_labelled(shared.drop("pivot"), labels), top).checkpoint()
     if members.where(F.col("size") > LARGE).limit(1).count():
@@ -321,11 +324,14 @@ def links(join: Join) -> tuple[DataFrame, DataFrame]:
     else:
         members = members.withColumnRenamed(top, "node").select("node", "size", "cls", "label")
     more = join.confirmed(_across(members.where(F.col("size") <= SMALL), "node"))
+    release(spark)
     found, labels = found.unionByName(more), merged(labels, more, "cls")
+    release(spark)
     # Round three: larger nodes in blocks.
     large = _mixed(_labelled(members.where(F.col("size") > SMALL), labels), "node").checkpoint()
     if large.limit(1).count():
         more = join.in_blocks(large)
+        release(spark)
         found, labels = found.unionByName(more), merged(labels, more, "cls")
     return found, labels
 

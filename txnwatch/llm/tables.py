@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,17 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release(spark: SparkSession) -> None:
+    """Let finished rounds go: shuffle and checkpoint files of frames that nothing refers to are removed when
+    the driver collects its garbage, which a job of many small rounds would not make it do by itself."""
+    gc.collect()
+    try:
+        jvm = spark.sparkContext._jvm
+    except Exception:  # Spark Connect: the server looks after its own
+        return
+    jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
