@@ -60,14 +60,14 @@ def latest_prediction(predictions: DataFrame, order_col: str = "created_at") ->
     )
 
 
-def prediction_totals(predictions: DataFrame) -> DataFrame:
+def prediction_totals(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per transaction: number of predictions and the sum of their risk.
 
     A plain aggregate with map-side partial aggregation, so a transaction with
     a huge number of predictions (a hot key) collapses to one row per task
     before the shuffle. With it, the monitoring aggregates join 1:1.
     """
-    return predictions.groupBy("transaction_id").agg(
+    return predictions.groupBy(*(keys or ["transaction_id"])).agg(
         F.count(F.lit(1)).alias("_n_pred"), F.sum("risk_score").alias("_risk_sum")
     )
 
@@ -77,8 +77,11 @@ def _weighted(transactions: DataFrame, predictions: DataFrame) -> DataFrame:
     ``transactions LEFT JOIN predictions`` (at least 1) and ``_risk`` = the sum
     of ``coalesce(risk_score, 0)`` over those rows. Aggregating with these
     weights gives exactly the fan-out join's COUNT, SUM and AVG."""
-    t = transactions.select(*TRANSACTION_COLUMNS)
-    j = t.join(prediction_totals(predictions), "transaction_id", "left")
+    keys = ["transaction_id"]
+    if "txn_date" in transactions.columns and "txn_date" in predictions.columns:
+        keys.append("txn_date")  # stored tables: the same key as the joined frame, and date filters prune both
+    t = transactions.select(*TRANSACTION_COLUMNS, *keys[1:])
+    j = t.join(prediction_totals(predictions, keys), keys, "left")
     return j.withColumns(
         {
             "_w": F.greatest(F.coalesce(F.col("_n_pred"), F.lit(0)), F.lit(1)),
