@@ -128,16 +128,22 @@ def write_monitoring_data(transactions: DataFrame, predictions: DataFrame, root:
     """Full refresh of both tables (overwrite), both partitioned by the
     transaction date, plus the id high-water mark."""
     spark = transactions.sparkSession
-    tx = conform_transactions(transactions)
-    pr = _with_run(predictions, run)
+    tx = conform_transactions(transactions).withColumn("txn_date", F.to_date("transaction_timestamp"))
+    # Predictions are computed once: the checks, the dates and the ids (taken last, so that a task
+    # that runs again gives the same ones) all read these rows.
+    dated = _with_dates(_with_run(predictions, run), tx).checkpoint(eager=True)
     if check:
-        bad = {k: v for k, v in validate(tx, pr).items() if v}
+        # A prediction without a date has no transaction, unless a transaction without a time is refused anyway.
+        bad = {
+            "pk_violations": quality.key_violations(tx, ["transaction_id"]).count(),
+            "tx_null_violations": quality.total_nulls(tx, quality.TRANSACTION_NOT_NULL),
+            "pred_null_violations": quality.total_nulls(dated, quality.PREDICTION_NOT_NULL),
+            "fk_orphans": dated.where(F.col("txn_date").isNull()).count(),
+        }
+        bad = {k: v for k, v in bad.items() if v}
         if bad:
             raise ValueError(f"constraint violations: {bad}")
-    dated_tx = tx.withColumn("txn_date", F.to_date("transaction_timestamp"))
-    _write_partitioned(dated_tx, _tx_path(root), "overwrite", "transaction_timestamp")
-    # Ids are taken last, on written rows: a task that runs again gives the same ones.
-    dated = _with_dates(pr, dated_tx).checkpoint(eager=True)
+    _write_partitioned(tx, _tx_path(root), "overwrite", "transaction_timestamp")
     ided = with_prediction_ids(dated, keep=["run", "txn_date"])
     _write_partitioned(ided, _pred_path(root), "overwrite", "risk_score")
     top = spark.read.schema(PRED_FILE_SCHEMA).parquet(_pred_path(root)).agg(F.max("prediction_id")).first()[0]
