@@ -260,6 +260,52 @@ def test_substituted_benchmark_words_are_found(spark, monkeypatch, seeds):
     assert got == {**dict.fromkeys(range(6), True), 50: False, 51: True, 52: False, 53: False}
 
 
+def _seedless(masks, free):
+    """By length, (last words, equal words) of every pattern of equal (1) and other words that no mask hits; unless
+    ``free``, only of those that can begin a best stretch."""
+    masks, span = [int(m, 2) for m in masks], max(len(m) for m in masks)
+    states = {(0, 0)}
+    for n in range(1, 65):
+        grown = {((b << 1 | x) & (1 << span) - 1, e + x) for b, e in states for x in (0, 1)}
+        states = {(b, e) for b, e in grown if (free or e >= 2 * (n - e)) and not any(b & m == m for m in masks)}
+        yield n, states
+
+
+def test_every_accepted_overlap_has_a_seed():
+    enough = lambda n: min(decontaminate.EQUAL_WORDS, decontaminate.EQUAL_SHARE * max(decontaminate.SHORT, n))
+    for n, states in _seedless(decontaminate.MASKS, free=False):
+        assert not [e for b, e in states if e >= enough(n) and e >= decontaminate.IDENTITY * n]
+    # A longer pattern is made of ones of 32 to 63 words, and none of those has enough equal words.
+    for n, states in _seedless(decontaminate.MASKS, free=True):
+        assert n < 32 or max(e for _, e in states) < decontaminate.IDENTITY * n
+
+
+def test_overlaps_against_all_alignments(spark):
+    rng = random.Random(31)
+    items, rows = [], []
+    for n, changes in [(12, 1), (12, 2), (14, 3), (16, 3), (16, 4), (20, 4), (24, 5), (40, 9), (60, 15), (200, 45)] * 8:
+        items.append([f"i{len(items)}w{j}" for j in range(n)])
+        if len(items) % 4:
+            at = rng.sample(range(n), changes)
+        else:  # every fourth word is another
+            at = range(len(items) // 4 % 4, n, 4)
+        changed = [f"x{rng.randrange(10**12)}" if j in at else w for j, w in enumerate(items[-1])]
+        noise = lambda: [f"p{rng.randrange(10**12)}" for _ in range(rng.randint(0, 90))]
+        rows.append((len(rows), noise() + changed[rng.choice([0, 0, 3]) :] + noise()))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id int, text string")
+    texts = {r["item"]: r["text"] for r in bench.select(F.xxhash64("text").alias("item"), "text").collect()}
+    found = decontaminate.overlaps(table(spark, [(k, " ".join(w)) for k, w in rows]), bench).collect()
+    got = {(r["doc_id"], texts[r["item"]]): (r["equal_words"], r["overlap_words"]) for r in found}
+    want = {}
+    for k, words in rows:
+        item, doc, own = items[k], np.array(words), np.array(items[k])
+        ends = [decontaminate.overlap(doc, own, shift) for shift in range(-len(own), len(doc))]
+        ends = [(e, n) for e, n in ends if e >= min(13, 0.6 * len(item)) and e >= 0.75 * n]
+        if ends:
+            want[(k, " ".join(item))] = max(ends)
+    assert got == want and len(want) > 50
+
+
 def test_best_overlap_against_all_stretches():
     rng = np.random.default_rng(14)
     for _ in range(200):

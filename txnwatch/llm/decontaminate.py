@@ -1,15 +1,17 @@
 """Benchmark decontamination by spaced seeds.
 
-Words are runs of letters and digits, lower-cased. A seed is a fixed mask over
-``SPAN`` words of which only ``WEIGHT`` count, so that a changed word at an
-ignored place does not break a match; three masks ignore different places. Seeds
+Words are runs of letters and digits, lower-cased. A seed is a fixed mask over up to
+``SPAN`` words of which only six count, so that a changed word at an
+ignored place does not break a match. Ten masks ignore different places: together they
+hit every overlap with an item of ``SHORT`` words or more that the rule below accepts,
+wherever its substitutions are (test_edges.py goes through all patterns). Seeds
 of all benchmark items go into a filter of fixed size that is sent to the tasks.
 Every place of every document is hashed under every mask; the few places that
 pass the filter are joined with the benchmark's seeds by hash. Each hit gives an
-alignment of a document with an item, and the words around it are
+alignment of a document with an item, and all words of it are
 compared one by one: an overlap counts if enough words agree despite substitutions.
 
-Items shorter than a mask are sought whole, under a mask of their own length.
+Items of fewer than ``SHORT`` words are sought whole, under a mask of their own length.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ from txnwatch.llm import textvec as tv
 from txnwatch.llm.filters import HashFilter
 from txnwatch.llm.tables import prepare, text_rows
 
-# Masks of span 12 and weight 8.
-MASKS = ("110101101011", "111001011011", "110110110101")
-SPAN = 12
+# Masks of weight 6. Heavier ones with the same cover are twice as many (weight 7) or more.
+MASKS = (
+    "11101011", "10110111", "11101101", "11110011", "11111001", "11110101",
+    "1110111", "1111101", "1111011", "111111",
+)
+SPAN = 8
+#: Items of fewer words are sought whole.
+SHORT = 12
 #: Shorter items say too little to be sought.
 LEAST_WORDS = 4
-#: Words compared on both sides of a place that hit.
-REACH = 64
 #: An overlap counts from so many equal words, or that share of a shorter item's words.
 EQUAL_WORDS = 13
 EQUAL_SHARE = 0.6
@@ -77,7 +82,7 @@ def _benchmark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = len(own)
                 if n < LEAST_WORDS:
                     continue
-                shapes = _shapes() if n >= SPAN else [(100 + n, np.arange(n))]
+                shapes = _shapes() if n >= SHORT else [(100 + n, np.arange(n))]
                 found = [_seeds(own, *s) for s in shapes]
                 items.append(keys[first + k])
                 packed.append(own.tobytes())
@@ -89,8 +94,8 @@ def _benchmark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _search(known: HashFilter, lengths: list[int]):
-    """Stretches of words around the places that pass the filter, with those places and their hashes."""
+def _search(known: HashFilter, lengths: list[int], reach: int):
+    """Stretches of words up to ``reach`` around the places that pass the filter, with those places and their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +115,11 @@ def _search(known: HashFilter, lengths: list[int]):
                 text = np.searchsorted(bounds, at, "right") - 1
                 # Places of a text that reach each other share a stretch.
                 new = np.ones(len(at), bool)
-                new[1:] = (text[1:] != text[:-1]) | (at[1:] - at[:-1] > 2 * REACH)
+                new[1:] = (text[1:] != text[:-1]) | (at[1:] - at[:-1] > 2 * reach)
                 cuts = np.append(np.flatnonzero(new), len(at))
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     k = text[a]
-                    low, high = max(bounds[k], at[a] - REACH), min(bounds[k + 1], at[b - 1] + SPAN + REACH)
+                    low, high = max(bounds[k], at[a] - reach), min(bounds[k + 1], at[b - 1] + reach)
                     out["row"].append(first + k)
                     out["start"].append(low - bounds[k])
                     out["words"].append(hashes[low:high].tobytes())
@@ -151,7 +156,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one, other = (np.frombuffer(x.as_buffer(), tv.U) for x in (doc, item))
             e, n = overlap(one, other, shift)
             enough = e >= min(EQUAL_WORDS, EQUAL_SHARE * len(other)) and e >= IDENTITY * n
-            if len(other) < SPAN:
+            if len(other) < SHORT:
                 enough = e == len(other)
             equal.append(e if enough else 0)
             length.append(n)
@@ -181,16 +186,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         .mapInArrow(_benchmark, "item bigint, words binary, seeds array<bigint>, places array<int>")
         .checkpoint()
     )
-    seeds = items.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
-        "item", F.col("s.seeds").alias("seed"), F.col("s.places").alias("item_place")
+    size = (F.octet_length("words") / 8).cast("int")
+    seeds = items.select("item", size.alias("size"), F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
+        "item", "size", F.col("s.seeds").alias("seed"), F.col("s.places").alias("item_place")
     )
-    short = F.octet_length("words") / 8
-    lengths = [int(r[0]) for r in items.where(short < SPAN).select(short.alias("n")).distinct().collect()]
+    lengths = [r[0] for r in items.where(size < SHORT).select(size.alias("n")).distinct().collect()]
+    # No word of an item is further from a place that hit.
+    reach = items.agg(F.max(size)).first()[0] or 0
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = text_rows(docs, id_col, text_col).select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     stretches = rows.mapInArrow(
-        _search(HashFilter.of(seeds, "seed"), lengths),
+        _search(HashFilter.of(seeds, "seed"), lengths, reach),
         f"doc_id {kind}, text_hash bigint, start bigint, words binary, seeds array<bigint>, places array<bigint>",
     ).checkpoint()
     numbered = stretches.withColumn("stretch", F.monotonically_increasing_id())
@@ -202,11 +209,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     else:
         salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = hits.withColumn("salt", F.pmod("stretch", F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"])
-    aligned = met.select("stretch", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    aligned = met.select("stretch", "item", "size", (F.col("place") - F.col("item_place")).cast("int").alias("shift")).distinct()
+    # Of a stretch, an alignment needs the words that lie on the item.
+    before = F.least("shift", F.lit(0))
+    lain = F.substring("words", 8 * F.greatest("shift", F.lit(0)) + 1, 8 * (F.col("size") + before)).alias("words")
     compared = (
         aligned.join(numbered.select("stretch", "doc_id", "text_hash", "words"), "stretch")
+        .select("doc_id", "text_hash", "item", lain, before.cast("bigint").alias("shift"))
         .join(items.select("item", F.col("words").alias("item_words")), "item")
-        .select("doc_id", "text_hash", "item", "words", "item_words", F.col("shift").cast("bigint").alias("shift"))
+        .select("doc_id", "text_hash", "item", "words", "item_words", "shift")
         .mapInArrow(_verify, f"doc_id {kind}, text_hash bigint, item bigint, equal_words bigint, overlap_words bigint, item_share double")
     )
     best = F.max(F.struct("equal_words", "overlap_words", "item_share")).alias("best")
