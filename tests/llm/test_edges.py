@@ -182,6 +182,22 @@ def test_near_duplicates_of_hard_texts(spark, monkeypatch, small, large, block):
         assert all(len(p) == 1 for p in parts.values())
 
 
+@pytest.mark.parametrize("large", [neardup.LARGE, 16])
+def test_near_duplicates_in_branched_nodes(spark, monkeypatch, large):
+    # Pairs at the threshold among texts that share 70 % of their shingles: all nodes of a pair branch to the last level.
+    monkeypatch.setattr(neardup, "LARGE", large)
+    rng = random.Random(33)
+    rows, shared = [], " ".join(f"same{i}" for i in range(200))
+    for k in range(150):
+        own = [f"k{k}w{i}" for i in range(42)]
+        rows.append((len(rows), f"{shared} {' '.join(own)}"))
+        rows.append((len(rows), f"{shared} {' '.join(own[:8])} " + " ".join(f"k{k}x{i}" for i in range(34))))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(table(spark, rows)).collect()}
+    want = plain.near_components(rows)
+    assert got == want and len({c for _, c in want.values()}) == 150
+
+
 def test_personal_data_of_hard_texts(spark):
     rng = random.Random(10)
     parts = ["@", ".", "a", "b1", "-", "+", "1", "22", "255", "256", "4111 1111 1111 1111", "(", ")", " ", "x@y.z", "1.2.3.4", "é", "_", "%", "\n", "+1 (555) 123-4567"]

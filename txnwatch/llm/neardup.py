@@ -3,9 +3,10 @@
 A document is its set of distinct five-word shingles. Documents with the same
 set form a class and need no comparison. For each of ``trees`` independent
 trees a class chooses tokens by min-wise hashing, one a level; classes that
-chose the same tokens so far share a node. Nodes start at ``START`` levels; a node of
-more than ``LARGE`` classes branches on the next chosen token, others and those of
-the last level are compared exhaustively.
+chose the same tokens so far share a node. Nodes start at ``START`` levels and are
+compared exhaustively. The classes of nodes of more than ``LARGE`` classes go through a
+forest of ``FOREST`` more trees instead, whose nodes branch on the next chosen token
+while they are larger than that, down to ``LEVELS`` levels.
 
 Links only have to give the right components, so two classes that are already
 connected are never compared. First every class meets the smallest class of
@@ -15,7 +16,8 @@ classes outside the node's largest component are held against all of the node,
 and at most one link is kept for a class and a component. Every link is confirmed on
 the full sets of both texts. A pair at the threshold of 0.75 shares a node of
 two levels in at least one of 16 trees with probability 1 - (1 - 0.75**2)**16,
-that is, all but two in a million; more similar ones almost surely.
+that is, all but two in a million; more similar ones almost surely. In the forest
+it shares a node of whatever level with 1 - (1 - 0.75**6)**67 at least, which is the same.
 
 Class ids are 64 bits of a 128-bit digest of the set. Sketches bound what is
 shuffled; texts are read again only for classes in a candidate pair, found with
@@ -25,6 +27,7 @@ a filter of fixed size, and travel compressed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ SHINGLE = 5
 PERCENT = 75
 TREES = 16
 START, LEVELS = 2, 6
+#: Trees for classes of large nodes: as likely to join a pair by six levels as ``TREES`` are by two.
+FOREST = 67
 SMALL = 48
 LARGE = 1 << 14
 #: Classes of a block of a larger node.
@@ -49,8 +54,14 @@ BLOCK = 1 << 10
 #: A pair at the threshold agrees on 72 of 96 hashes, with a deviation of 4.2; 50 is five deviations below.
 AGREE = 50
 
-_XOR = np.random.default_rng(61).integers(0, 2**64, TREES * LEVELS, dtype=tv.U)
-_MUL = np.random.default_rng(62).integers(0, 2**64, TREES * LEVELS, dtype=tv.U) | tv.U(1)
+
+def _functions(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    xor, mul = (np.random.default_rng(seed + k).integers(0, 2**64, n, dtype=tv.U) for k in (0, 1))
+    return xor, mul | tv.U(1)
+
+
+_SKETCH = _functions(61, TREES * LEVELS)
+_WOOD = _functions(63, FOREST * LEVELS)
 _BLOCK = 2048
 
 
@@ -72,15 +83,27 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield np.zeros(0, tv.U)
 
 
-def _minima(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(len(_XOR), np.iinfo(tv.U).max, tv.U)
+def _minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    xor, mul = functions
+    low = np.full(len(xor), np.iinfo(tv.U).max, tv.U)
     for k in range(0, len(shingles), _BLOCK):
-        part = shingles[None, k : k + _BLOCK] ^ _XOR[:, None]
-        part *= _MUL[:, None]
+        part = shingles[None, k : k + _BLOCK] ^ xor[:, None]
+        part *= mul[:, None]
         np.minimum(low, part.min(1), out=low)
     return low
 
 
+def _paths(low: np.ndarray) -> np.ndarray:
+    """Node keys of each tree (row) by level; the path of a tree at level d is its first d chosen tokens."""
+    levels = low.reshape(-1, LEVELS)
+    path, mine = np.arange(len(levels), dtype=tv.U), []
+    for d in range(LEVELS):
+        path = tv.mix(path * tv.PLACE[d] + levels[:, d])
+        if d + 1 >= START:
+            mine.append(path)
+    return np.stack(mine, 1).astype(np.int64, casting="unsafe")
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, ids, paths, marks = [], [], [], []
@@ -91,15 +114,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 paths.append(None)
                 marks.append(None)
                 continue
-            low = _minima(s)
+            low = _minima(s, _SKETCH)
             ids.append(int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True))
-            # The path of a tree at level d: its first d chosen tokens.
-            levels, path, mine = low.reshape(TREES, LEVELS), np.arange(TREES, dtype=tv.U), []
-            for d in range(LEVELS):
-                path = tv.mix(path * tv.PLACE[d] + levels[:, d])
-                if d + 1 >= START:
-                    mine.append(path)
-            paths.append(np.stack(mine, 1).astype(np.int64, casting="unsafe").tobytes())
+            paths.append(_paths(low).tobytes())
             marks.append((tv.mix(low) & tv.U(255)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()),
@@ -108,17 +125,29 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _node_rows(cls: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
     """A row for each class and tree: the node keys at all levels."""
+    width = LEVELS - START + 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(cls, len(keys) // max(1, len(cls)))), *[pa.array(np.ascontiguousarray(keys[:, k])) for k in range(width)]],
+        names=["cls", *[f"k{START + k}" for k in range(width)]],
+    )
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     width = LEVELS - START + 1
     for batch in batches:
         cls = batch.column("cls").to_numpy()
         data, _ = tv.raw(batch.column("paths"))
-        keys = np.frombuffer(data.tobytes(), np.int64)[: len(cls) * TREES * width].reshape(len(cls) * TREES, width)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(cls, TREES)), *[pa.array(np.ascontiguousarray(keys[:, k])) for k in range(width)]],
-            names=["cls", *[f"k{START + k}" for k in range(width)]],
-        )
+        yield _node_rows(cls, np.frombuffer(data.tobytes(), np.int64)[: len(cls) * TREES * width].reshape(-1, width))
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            part = batch.slice(at, 64)
+            keys = [_paths(_minima(s, _WOOD)) for s in _texts_sets(part.column("blob").to_pylist())]
+            yield _node_rows(part.column("cls").to_numpy(), np.concatenate(keys))
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +229,9 @@ def _packed(wanted: HashFilter):
     return run
 
 
+_NODE = "cls bigint, " + ", ".join(f"k{d} bigint" for d in range(START, LEVELS + 1))
+
+
 class Join:
     """State of one join: the texts, the classes with their sketches, and the links found so far."""
 
@@ -220,8 +252,7 @@ class Join:
             .agg(F.min("text_hash").alias("text_hash"), first("paths").alias("paths"), first("marks").alias("marks"))
             .checkpoint()
         )
-        keys = ", ".join(f"k{d} bigint" for d in range(START, LEVELS + 1))
-        self.nodes = self.classes.select("cls", "paths").mapInArrow(_nodes, f"cls bigint, {keys}")
+        self.nodes = self.classes.select("cls", "paths").mapInArrow(_nodes, _NODE)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar, judged on full sets."""
@@ -254,6 +285,12 @@ class Join:
         )
         return found.join(wanted, "text_hash", "left_semi").checkpoint()
 
+    def forest(self, wanted: DataFrame) -> DataFrame:
+        """Nodes of the forest for the wanted classes."""
+        text = wanted.join(self.classes.select("cls", "text_hash"), "cls").checkpoint()
+        packed = text.join(self.blobs(text.select("text_hash")), "text_hash").select("cls", "blob")
+        return packed.mapInArrow(_forest, _NODE).checkpoint()
+
     def in_blocks(self, members: DataFrame) -> DataFrame:
         """Links across the components of larger nodes: members are (node, size, cls, label)."""
         counts = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -294,15 +331,20 @@ def _mixed(members: DataFrame, key: str) -> DataFrame:
     return members.join(ends.where(F.col("low") != F.col("high")).select(key), key)
 
 
-def _leaves(members: DataFrame) -> DataFrame:
-    """(node, size, cls, label): members in the node of the first level that is not too large."""
-    key, size, out = F.col(f"k{LEVELS}"), F.col(f"n{LEVELS}"), members
-    for d in range(LEVELS, START - 1, -1):
-        sizes = members.groupBy(f"k{d}").agg(F.count(F.lit(1)).alias(f"n{d}"))
-        out = out.join(sizes, f"k{d}")
-        fits = F.col(f"n{d}") <= LARGE
-        key, size = F.when(fits, F.col(f"k{d}")).otherwise(key), F.when(fits, F.col(f"n{d}")).otherwise(size)
-    return out.select(key.alias("node"), size.alias("size"), "cls", "label")
+def _leaves(nodes: DataFrame) -> DataFrame:
+    """(node, size, cls): classes that are not alone in the node of the first level that is not too large;
+    those of the last level stay as they are."""
+    found, rest = [], nodes
+    for d in range(START, LEVELS + 1):
+        key = f"k{d}"
+        sizes = rest.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sized = rest.join(sizes, key).checkpoint()
+        fits = (F.col("size") <= LARGE) | F.lit(d == LEVELS)
+        found.append(sized.where(fits).select(F.col(key).alias("node"), "size", "cls"))
+        rest = sized.where(~fits).drop(key, "size")
+        if not rest.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
 def links(join: Join) -> tuple[DataFrame, DataFrame]:
@@ -319,10 +361,12 @@ def links(join: Join) -> tuple[DataFrame, DataFrame]:
     release(spark)
     # Round two: across the components of each node, small ones as pairs.
     members = _mixed(_labelled(shared.drop("pivot"), labels), top).checkpoint()
-    if members.where(F.col("size") > LARGE).limit(1).count():
-        members = _leaves(members).checkpoint()
-    else:
-        members = members.withColumnRenamed(top, "node").select("node", "size", "cls", "label")
+    branched = members.where(F.col("size") > LARGE).select("cls").distinct().checkpoint()
+    members = members.where(F.col("size") <= LARGE).withColumnRenamed(top, "node").select("node", "size", "cls", "label")
+    if branched.limit(1).count():
+        leaves = _mixed(_labelled(_leaves(join.forest(branched)), labels), "node")
+        members = members.unionByName(leaves).checkpoint()
+        release(spark)
     more = join.confirmed(_across(members.where(F.col("size") <= SMALL), "node"))
     release(spark)
     found, labels = found.unionByName(more), merged(labels, more, "cls")
