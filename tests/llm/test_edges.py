@@ -261,6 +261,21 @@ def test_license_places(spark):
     assert got[5]["labels"] == "reserved" and got[5]["score"] == 1.0 and got[5]["n_words"] == 403
 
 
+def test_neighbouring_short_notices_are_told_apart(spark):
+    rows = [
+        (1, "Licensed under CC BY-NC 4.0"),
+        (2, "Licensed under CC BY-SA 4.0."),
+        (3, "Licensed under CC BY 4.0"),
+        (4, "released under the Apache License"),
+        (5, "Released under the MIT License."),
+        (6, "this program is free software you can redistribute it and or modify it under the terms of the gnu general license as published"),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(table(spark, rows), whole_below=10).collect()}
+    assert got == {1: "cc-by,cc-by-nc", 2: "cc-by,cc-by-sa", 3: "cc-by", 4: "apache", 5: "mit", 6: "gpl"}
+    at_threshold = {r["doc_id"]: r["labels"] for r in licenses.scan(table(spark, rows)).collect()}
+    assert at_threshold[1] == "cc-by,cc-by-nc,cc-by-sa" and at_threshold[4] == "apache,mit"
+
+
 @pytest.mark.parametrize("seeds", [decontaminate.BROADCAST_SEEDS, 0])
 def test_substituted_benchmark_words_are_found(spark, monkeypatch, seeds):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", seeds)

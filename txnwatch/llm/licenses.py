@@ -3,7 +3,8 @@
 Words are the runs of ``[0-9a-z]`` and non-ASCII characters of the text with
 A-Z lower-cased. A text is cut into blocks of 128 words that start every 64
 words, so that any 64 consecutive words lie in one block. A block meets a
-template when it holds at least ``threshold`` of the template's distinct words.
+template when it holds at least ``threshold`` of the template's distinct words,
+or all of them where the template has fewer than ``whole_below``.
 
 The join is exact and filtered: template words are ordered by how many texts
 of the whole corpus hold them, rarest first. With o words needed out of t, a
@@ -104,12 +105,15 @@ def blocks_of(words: Column, block: int = BLOCK_WORDS, stride: int = STRIDE) ->
     return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_distinct(F.slice(words, k * stride + 1, block)))
 
 
-def template_table(templates: Sequence[tuple[str, str]], frequency: dict[str, int], threshold: float) -> list[tuple]:
+def template_table(
+    templates: Sequence[tuple[str, str]], frequency: dict[str, int], threshold: float, whole_below: int = 0
+) -> list[tuple]:
     """(template, label, words in global order with the rarest first, words needed) for each template."""
     out = []
     for number, (label, text) in enumerate(templates):
         words = sorted(_template_words(text), key=lambda w: (frequency.get(w, 0), w))
-        out.append((number, label, words, math.ceil(threshold * len(words) - 1e-9)))
+        need = len(words) if len(words) < whole_below else math.ceil(threshold * len(words) - 1e-9)
+        out.append((number, label, words, need))
     return out
 
 
@@ -119,13 +123,16 @@ def scan(
     threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
+    whole_below: int = 0,
 ) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches for every row.
 
     ``matches`` lists the blocks found: template, label, first word of the
     block and containment. The score is 1 where a phrase stands, else the best
     containment found, else 0. Null and empty texts have no words and no
-    labels; repeated rows give repeated rows; an empty table gives none.
+    labels; repeated rows give repeated rows; an empty table gives none. At
+    ``threshold`` alone a short notice also meets those that differ from it by
+    a word (CC BY-NC and CC BY-SA); ``whole_below=10`` tells them apart.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -134,7 +141,7 @@ def scan(
     # Texts that hold each template word: a table as small as the templates' vocabulary.
     held = rows.select(F.explode(F.array_intersect(words_of(F.col("padded")), vocabulary)).alias("word"))
     frequency = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = template_table(templates, frequency, threshold)
+    table = template_table(templates, frequency, threshold, whole_below)
     least = min(need for *_, need in table)
     entries = [
         (w, j + 1, number, label, words, need)
