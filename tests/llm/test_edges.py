@@ -337,6 +337,23 @@ def test_overlaps_against_all_alignments(spark):
     assert got == want and len(want) > 50
 
 
+def test_short_items_are_found_with_one_other_word(spark):
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in range(1, 12)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(50, None)], "item_id int, text string")
+    rows, want = [], {}
+    for n, w in items.items():
+        for gone in [(), *[(j,) for j in range(n)], (0, n - 1), (1, 2)]:
+            changed = ["other" if j in gone else x for j, x in enumerate(w)]
+            for before, after in (["a b c"], ["d e"]), ([], []):
+                want[len(rows)] = n >= decontaminate.LEAST_WORDS and sum(x == y for x, y in zip(changed, w, strict=True)) >= n - 1
+                rows.append((len(rows), " ".join(before + changed + after)))
+        rows += [(len(rows), " ".join(w[1:])), (len(rows) + 1, " ".join(w[:-1]))]
+        want |= {len(rows) - 2: False, len(rows) - 1: False}
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.report(table(spark, rows), bench).collect()}
+    assert got == want
+    assert {r["item_id"] for r in decontaminate.not_sought(bench).collect()} == {1, 2, 3, 50}
+
+
 def test_best_overlap_against_all_stretches():
     rng = np.random.default_rng(14)
     for _ in range(200):

@@ -11,7 +11,8 @@ pass the filter are joined with the benchmark's seeds by hash. Each hit gives an
 alignment of a document with an item, and all words of it are
 compared one by one: an overlap counts if enough words agree despite substitutions.
 
-Items of fewer than ``SHORT`` words are sought whole, under a mask of their own length.
+Items of fewer than ``SHORT`` words are sought whole with at most one other word, under masks of
+their own length that leave out one place each. ``not_sought`` lists items too short for that.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.llm import textvec as tv
 from txnwatch.llm.filters import HashFilter
+from txnwatch.llm.licenses import padded_words, words_of
 from txnwatch.llm.tables import prepare, text_rows
 
 # Masks of weight 6. Heavier ones with the same cover are twice as many (weight 7) or more.
@@ -33,7 +35,7 @@ MASKS = (
     "1110111", "1111101", "1111011", "111111",
 )
 SPAN = 8
-#: Items of fewer words are sought whole.
+#: Items of fewer words are sought whole, with at most one other word.
 SHORT = 12
 #: Shorter items say too little to be sought.
 LEAST_WORDS = 4
@@ -47,9 +49,13 @@ SALTS = 16
 
 
 def _shapes(lengths: range | None = None) -> list[tuple[int, np.ndarray]]:
-    """(number, places that count) of the masks; those of short items have their length as number, plus 100."""
+    """(number, places that count) of the masks, and of those for short items of the lengths."""
     shapes = [(k, np.flatnonzero(np.array(list(m)) == "1")) for k, m in enumerate(MASKS)]
-    return shapes + [(100 + n, np.arange(n)) for n in (lengths or ())]
+    return shapes + [x for n in (lengths or ()) for x in _short_shapes(n)]
+
+
+def _short_shapes(n: int) -> list[tuple[int, np.ndarray]]:
+    return [(100 + SHORT * n + k, np.delete(np.arange(n), k)) for k in range(n)]
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -82,7 +88,7 @@ def _benchmark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = len(own)
                 if n < LEAST_WORDS:
                     continue
-                shapes = _shapes() if n >= SHORT else [(100 + n, np.arange(n))]
+                shapes = _shapes() if n >= SHORT else _short_shapes(n)
                 found = [_seeds(own, *s) for s in shapes]
                 items.append(keys[first + k])
                 packed.append(own.tobytes())
@@ -157,7 +163,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e, n = overlap(one, other, shift)
             enough = e >= min(EQUAL_WORDS, EQUAL_SHARE * len(other)) and e >= IDENTITY * n
             if len(other) < SHORT:
-                enough = e == len(other)
+                n = len(other)
+                e = int((one == other).sum()) if shift == 0 and len(one) == n else 0
+                enough = e >= n - 1
             equal.append(e if enough else 0)
             length.append(n)
             share.append(e / len(other))
@@ -245,6 +253,11 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     )
 
 
+def not_sought(benchmark: DataFrame) -> DataFrame:
+    """The rows of ``benchmark`` that overlap with nothing because they are null or have fewer than ``LEAST_WORDS`` words."""
+    return benchmark.where(F.size(words_of(padded_words(F.col("text")))) < LEAST_WORDS)
+
+
 def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that overlap with no item."""
     found = overlaps(docs, benchmark).select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).distinct()
