@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm import decontaminate, langid, licenses, neardup, pieces, pii, quality, repeats, shards, tokens
+from txnwatch.llm import bytebpe, decontaminate, langid, licenses, neardup, pieces, pii, quality, repeats, shards, tokens
 from txnwatch.llm.oracle import SQL
 from txnwatch.llm.tables import read
 
@@ -86,6 +86,11 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(read(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, decoded again."""
+    return bytebpe.round_trip(read(spark, sf_dir, "documents"), *bytebpe.default_ranks())
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_weak_pii": op2_weak_pii,
@@ -97,5 +102,6 @@ QUERIES: dict[str, Query] = {
     "op8_ecoc_language": op8_ecoc_language,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_byte_shards": op10_byte_shards,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE: dict[str, str] = {k: SQL[k] for k in QUERIES if k in SQL}
