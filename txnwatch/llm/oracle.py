@@ -105,8 +105,73 @@ FROM texts LEFT JOIN base USING (r) LEFT JOIN own USING (r)
 """
 
 
+# Thresholds are written out here, not taken from the operator.
+OP12 = r"""
+WITH pieces AS (
+    SELECT row_number() OVER () AS p, lang, piece FROM (
+        SELECT coalesce(lang, 'und') AS lang,
+            unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+),
+worded AS (SELECT p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+    SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (
+        SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM worded, (SELECT unnest([1, 2, 3, 4, 5]) AS size))
+),
+counted AS (SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM worded GROUP BY lang),
+candidates AS (SELECT * FROM counted WHERE size >= 2 AND f >= 100),
+kept AS (
+    SELECT * FROM candidates c WHERE NOT EXISTS (
+        SELECT 1 FROM candidates d WHERE d.lang = c.lang AND d.size > c.size AND 100 * d.f >= 100 * c.f
+            AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))
+),
+cuts AS (
+    SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS one, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS other
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)
+),
+scored AS (
+    SELECT cuts.*, x.f AS l, y.f AS r, n, 1000 * a * n // (x.f * y.f) AS score
+    FROM cuts JOIN totals USING (lang)
+    JOIN counted x ON x.lang = cuts.lang AND x.phrase = cuts.one JOIN counted y ON y.lang = cuts.lang AND y.phrase = cuts.other
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+OP11 = """
+WITH whole AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+vectors AS (SELECT DISTINCT * FROM whole),
+scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE a.vec_id % 50 = 0
+),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.alike
+    AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
 SQL: dict[str, str] = {
     "op3_quality_ledger": OP3,
     "op4_license_join": _op4(),
     "op10_byte_shards": OP10,
+    "op11_hard_negatives": OP11,
+    "op12_phrases": OP12,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm import bytebpe, decontaminate, langid, licenses, neardup, pieces, pii, quality, repeats, shards, tokens
+from txnwatch.llm import bytebpe, decontaminate, langid, licenses, neardup, negatives, phrases, pieces, pii, quality, repeats, shards, tokens
 from txnwatch.llm.oracle import SQL
 from txnwatch.llm.tables import read
 
@@ -86,6 +86,17 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three negatives below each of the five positives of every fiftieth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of each language over all documents."""
+    return phrases.collocations(read(spark, sf_dir, "documents")).drop("k")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, decoded again."""
     return bytebpe.round_trip(read(spark, sf_dir, "documents"), *bytebpe.default_ranks())
@@ -102,6 +113,8 @@ QUERIES: dict[str, Query] = {
     "op8_ecoc_language": op8_ecoc_language,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_byte_shards": op10_byte_shards,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_phrases": op12_phrases,
     "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE: dict[str, str] = {k: SQL[k] for k in QUERIES if k in SQL}
