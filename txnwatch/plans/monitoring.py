@@ -140,6 +140,35 @@ def channel_success_rates(transactions: DataFrame, predictions: DataFrame) -> Da
     )
 
 
+def _totals_measures(digits: int) -> list[Column]:
+    """The measures of ``_weighted_measures`` from the sums that the store keeps by day and channel."""
+    total = F.sum("total")
+    return [
+        total.alias("total_transactions"),
+        F.sum("fraud").alias("fraud_transactions"),
+        F.round(F.lit(100.0) * F.sum("success") / total, digits).alias("success_rate_pct"),
+        F.round(F.sum("risk") / total, digits).alias("avg_risk_score"),
+    ]
+
+
+def overview_from_totals(totals: DataFrame) -> DataFrame:
+    """F1 from ``store.read_totals``: neither table is read, nothing is joined."""
+    return totals.agg(*_totals_measures(2))
+
+
+def trend_from_totals(totals: DataFrame) -> DataFrame:
+    """F2 from ``store.read_totals``; a date filter prunes its partitions."""
+    total, fraud, ok, risk = _totals_measures(3)
+    rate = F.round(F.lit(100.0) * F.sum("fraud") / F.sum("total"), 3).alias("fraud_rate_pct")
+    return totals.groupBy("txn_date").agg(total, fraud, rate, ok, risk).orderBy("txn_date")
+
+
+def channels_from_totals(totals: DataFrame) -> DataFrame:
+    """F4 from ``store.read_totals``."""
+    _, _, ok, risk = _totals_measures(3)
+    return totals.groupBy("channel").agg(F.sum("total").alias("transactions"), ok, risk).orderBy(F.col("transactions").desc())
+
+
 # The columns of an alert, in order.
 ALERT_COLUMNS = [
     "transaction_id",

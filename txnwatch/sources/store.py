@@ -1,36 +1,34 @@
-"""The monitoring store: two Parquet tables under one root.
+"""The monitoring store: transactions and predictions under one root.
 
-Both are partitioned by ``txn_date``, the date of the transaction, so date
+Both tables are partitioned by ``txn_date``, the date of the transaction, so date
 filters prune files. ``predictions`` carries ``prediction_id``, ``created_at`` and
-the ``run`` that scored it. Constraints
-that a database would enforce (primary key, NOT NULL, foreign key) are
+the ``run`` that scored it. Two smaller datasets go with them: ``keys`` (every stored
+transaction and prediction by a hash of the transaction id, for look-ups) and ``totals`` (what
+each write adds to the sums by day and channel of the joined table, see ``read_totals``).
+
+A write becomes visible as a whole, by a new snapshot (``sources.snapshots``); one that dies leaves the store
+as it was. Constraints that a database would enforce (primary key, NOT NULL, foreign key) are
 explicit DataFrame checks, run before a write unless the caller says otherwise.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnwatch.operators import quality
 from txnwatch.schema import PREDICTION_COLUMNS, PREDICTIONS_SCHEMA, TRANSACTION_COLUMNS, TRANSACTIONS_SCHEMA
-
-
-def _tx_path(root: str) -> str:
-    return f"{root.rstrip('/')}/transactions"
-
-
-def _pred_path(root: str) -> str:
-    return f"{root.rstrip('/')}/predictions"
+from txnwatch.sources import snapshots
+from txnwatch.sources.snapshots import KEYS, Segment
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+    target, fs = snapshots._files(spark, path)
+    return fs.exists(target)
 
 
 def conform_transactions(df: DataFrame) -> DataFrame:
@@ -72,30 +70,30 @@ def validate(transactions: DataFrame, predictions: DataFrame) -> dict[str, int]:
 _DATE = T.StructField("txn_date", T.DateType(), True)
 TX_FILE_SCHEMA = T.StructType([*TRANSACTIONS_SCHEMA.fields, _DATE])
 PRED_FILE_SCHEMA = T.StructType([*PREDICTIONS_SCHEMA.fields, T.StructField("run", T.StringType(), True), _DATE])
+#: A row for each transaction (``run`` NULL) and for each prediction.
+KEY_SCHEMA = T.StructType(
+    [TRANSACTIONS_SCHEMA[c] for c in ("transaction_id", "transaction_timestamp", "channel", "is_fraud", "is_success")]
+    + [T.StructField("run", T.StringType(), True), _DATE]
+)
+#: What a write adds to the rows, frauds, successes and risk of ``transactions LEFT JOIN predictions``.
+TOTALS_SCHEMA = T.StructType(
+    [T.StructField("channel", T.StringType(), True)]
+    + [T.StructField(c, T.LongType(), True) for c in ("total", "fraud", "success")]
+    + [T.StructField("risk", T.DoubleType(), True), _DATE]
+)
+TX, PRED, TOTALS = "transactions", "predictions", "totals"
+LAYOUT = {
+    TX: (TX_FILE_SCHEMA, "txn_date", "transaction_timestamp"),
+    PRED: (PRED_FILE_SCHEMA, "txn_date", "risk_score"),
+    TOTALS: (TOTALS_SCHEMA, "txn_date", "channel"),
+}
+#: Sorted by these within a date, row-group statistics skip data for range filters (time, risk_score >= 45).
+HIGH_WATER = "max_prediction_id"
 
 #: The scoring run of predictions that name none.
 DEFAULT_RUN = "default"
 
 
-def _meta_path(root: str) -> str:
-    return f"{root.rstrip('/')}/_meta"
-
-
-def _write_meta(spark: SparkSession, root: str, max_prediction_id: int, mode: str = "append") -> None:
-    """A new file for each high-water mark: nothing is deleted first, and the largest one holds."""
-    spark.createDataFrame([(str(int(max_prediction_id)),)], "value string").coalesce(1).write.mode(mode).text(_meta_path(root))
-
-
-def _high_water(spark: SparkSession, root: str) -> int:
-    """The largest prediction id given so far; from the table itself where the marks are lost."""
-    if _exists(spark, _meta_path(root)):
-        mark = spark.read.text(_meta_path(root)).agg(F.max(F.col("value").cast("bigint"))).first()[0]
-        if mark is not None:
-            return int(mark)
-    stored = spark.read.schema(PRED_FILE_SCHEMA).parquet(_pred_path(root))
-    return int(stored.agg(F.max("prediction_id")).first()[0] or 0)
-
-
 def _with_run(predictions: DataFrame, run: str) -> DataFrame:
     """The stored prediction columns and the run; a ``run`` column of the input is kept."""
     named = F.coalesce(F.col("run").cast("string"), F.lit(run)) if "run" in predictions.columns else F.lit(run)
@@ -109,135 +107,179 @@ def _with_dates(predictions: DataFrame, dates: DataFrame) -> DataFrame:
     return predictions.join(dates.select("transaction_id", "txn_date"), "transaction_id", "left")
 
 
-def _write_partitioned(df: DataFrame, path: str, mode: str, sort_col: str) -> None:
-    # REBALANCE by date: each task writes few dates (files ~ tasks + dates, not
-    # tasks x dates) and AQE splits a hot day over several tasks. Rows are
-    # sorted within each task (G4) so Parquet row-group min/max statistics let
-    # range filters (time, risk_score >= 45) skip row groups.
-    (
-        df.hint("rebalance", "txn_date")
-        .sortWithinPartitions("txn_date", sort_col)
-        .write.mode(mode)
-        .partitionBy("txn_date")
-        .parquet(path)
+def _flag(column: str) -> Column:
+    return F.coalesce(F.col(column) == 1, F.lit(False)).cast("bigint")
+
+
+def _added_totals(facts: DataFrame, predictions: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """What new rows add to the sums of the joined table, by date and channel.
+
+    ``facts`` has a row for each transaction that is new (``is_new``) or gets a new prediction. In the joined table a
+    transaction takes max(predictions, 1) rows, so the first prediction of a stored one adds risk but no row.
+    ``stored`` counts the predictions that were there before.
+    """
+    new = predictions.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("more"), F.sum("risk_score").alias("risk"))
+    rows = facts.join(new, "transaction_id", "left")
+    had: Column = F.lit(0)
+    if stored is not None:
+        rows, had = rows.join(stored, "transaction_id", "left"), F.coalesce("had", F.lit(0))
+    before = F.when(F.col("is_new"), 0).otherwise(F.greatest(had, F.lit(1)))
+    weighed = rows.withColumn("w", (F.greatest(had + F.coalesce("more", F.lit(0)), F.lit(1)) - before).cast("bigint"))
+    return weighed.groupBy("txn_date", "channel").agg(
+        F.sum("w").alias("total"),
+        F.sum(F.col("w") * _flag("is_fraud")).alias("fraud"),
+        F.sum(F.col("w") * _flag("is_success")).alias("success"),
+        F.coalesce(F.sum("risk"), F.lit(0.0)).alias("risk"),
     )
 
 
+def _write_segment(root: str, tx: DataFrame, n_tx: int, pred: DataFrame, facts: DataFrame, totals: DataFrame) -> tuple[Segment, int]:
+    """Write the files of one segment; the segment and the largest prediction id in it.
+
+    ``facts`` names the ``n_tx`` new transactions and those of the predictions, whose key rows repeat them. Give frames that are cheap to read again.
+    """
+    name = snapshots.new_name()
+    n_pred, top = pred.agg(F.count(F.lit(1)), F.max("prediction_id")).first()
+    if n_tx:
+        snapshots.write_by(tx.select(*TX_FILE_SCHEMA.names), root, TX, name, *LAYOUT[TX][1:])
+    if n_pred:
+        snapshots.write_by(pred.select(*PRED_FILE_SCHEMA.names), root, PRED, name, *LAYOUT[PRED][1:])
+    about = [F.col(c) for c in KEY_SCHEMA.names if c != "run"]
+    new = facts.where("is_new").select(*about, F.lit(None).cast("string").alias("run"))
+    scored = pred.select("transaction_id", "run").join(facts.select(*about), "transaction_id").select(*about, "run")
+    buckets = snapshots.write_keys(new.unionByName(scored).select(*KEY_SCHEMA.names), "transaction_id", root, name, n_tx + n_pred)
+    snapshots.write_by(totals.select(*TOTALS_SCHEMA.names), root, TOTALS, name, *LAYOUT[TOTALS][1:])
+    any_rows = int(n_tx + n_pred > 0)
+    return Segment(name, {TX: n_tx, PRED: n_pred, TOTALS: any_rows, KEYS: n_tx + n_pred}, buckets), int(top or 0)
+
+
+def _refuse(**counts: DataFrame) -> None:
+    """Raise if any of the counts is not 0; each is a frame of one number, and one job takes them all."""
+    each = [df.toDF("n").select(F.lit(name).alias("check"), F.col("n").cast("bigint")) for name, df in counts.items()]
+    found = reduce(DataFrame.unionByName, each).where("n > 0").collect()
+    if found:
+        raise ValueError(f"constraint violations: { {r['check']: r['n'] for r in found} }")
+
+
+def _count(df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)))
+
+
+def _nulls(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.agg(reduce(Column.__add__, [F.count(F.lit(1)) - F.count(c) for c in columns]))
+
+
 def write_monitoring_data(transactions: DataFrame, predictions: DataFrame, root: str,
                           check: bool = True, run: str = DEFAULT_RUN) -> None:
-    """Full refresh of both tables (overwrite), both partitioned by the
-    transaction date, plus the id high-water mark."""
+    """Full refresh of both tables, in one snapshot: readers see the old tables or the new ones.
+
+    Rows are computed once (checkpoints): the checks, dates, ids, keys and totals read them.
+    """
     spark = transactions.sparkSession
-    tx = conform_transactions(transactions).withColumn("txn_date", F.to_date("transaction_timestamp"))
-    # Predictions are computed once: the checks, the dates and the ids (taken last, so that a task
-    # that runs again gives the same ones) all read these rows.
+    base = snapshots.current(spark, root)
+    tx = conform_transactions(transactions).withColumn("txn_date", F.to_date("transaction_timestamp")).checkpoint(eager=True)
+    # Ids are taken from stored rows, so that a task that runs again gives the same ones.
     dated = _with_dates(_with_run(predictions, run), tx).checkpoint(eager=True)
     if check:
         # A prediction without a date has no transaction, unless a transaction without a time is refused anyway.
-        bad = {
-            "pk_violations": quality.key_violations(tx, ["transaction_id"]).count(),
-            "tx_null_violations": quality.total_nulls(tx, quality.TRANSACTION_NOT_NULL),
-            "pred_null_violations": quality.total_nulls(dated, quality.PREDICTION_NOT_NULL),
-            "fk_orphans": dated.where(F.col("txn_date").isNull()).count(),
-        }
-        bad = {k: v for k, v in bad.items() if v}
-        if bad:
-            raise ValueError(f"constraint violations: {bad}")
-    _write_partitioned(tx, _tx_path(root), "overwrite", "transaction_timestamp")
+        _refuse(
+            pk_violations=_count(quality.key_violations(tx, ["transaction_id"])),
+            tx_null_violations=_nulls(tx, quality.TRANSACTION_NOT_NULL),
+            pred_null_violations=_nulls(dated, quality.PREDICTION_NOT_NULL),
+            fk_orphans=_count(dated.where(F.col("txn_date").isNull())),
+        )
     ided = with_prediction_ids(dated, keep=["run", "txn_date"])
-    _write_partitioned(ided, _pred_path(root), "overwrite", "risk_score")
-    top = spark.read.schema(PRED_FILE_SCHEMA).parquet(_pred_path(root)).agg(F.max("prediction_id")).first()[0]
-    _write_meta(spark, root, top or 0, mode="overwrite")
-
-
-def _empty_tables(spark: SparkSession, root: str, only_missing: bool) -> None:
-    for path, schema in ((_tx_path(root), TX_FILE_SCHEMA), (_pred_path(root), PRED_FILE_SCHEMA)):
-        if only_missing and _exists(spark, path):
-            continue
-        spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("txn_date").parquet(path)
-    if not only_missing:
-        _write_meta(spark, root, 0, mode="overwrite")
+    facts = tx.withColumn("is_new", F.lit(True))
+    segment, top = _write_segment(root, tx, tx.count(), ided, facts, _added_totals(facts, dated))
+    snapshots.publish(spark, root, base, [segment], {HIGH_WATER: top})
+    snapshots.expire(spark, root)
 
 
 def initialize_store(spark: SparkSession, root: str) -> None:
-    """Create both tables (and the id high-water mark) when absent."""
-    _empty_tables(spark, root, only_missing=True)
+    """An empty store where none is."""
+    base = snapshots.current(spark, root)
+    if not base.version:
+        snapshots.publish(spark, root, base, [], {HIGH_WATER: 0})
 
 
 def reset_store(spark: SparkSession, root: str) -> None:
-    """Drop and recreate both tables."""
-    _empty_tables(spark, root, only_missing=False)
+    """Drop all rows (a new, empty snapshot; the files go when the old ones expire)."""
+    snapshots.publish(spark, root, snapshots.current(spark, root), [], {HIGH_WATER: 0})
 
 
 def read_monitoring_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Both tables with their stored schemas. The schemas are given, not
-    inferred, so empty tables read fine and scans prune columns. The
+    """Both tables of one snapshot with their stored schemas. The
     tables keep the ``txn_date`` partition column (a prediction's is its
     transaction's date), which date filters and the monitoring join use to
     skip whole partitions of both tables."""
-    tx = spark.read.schema(TX_FILE_SCHEMA).parquet(_tx_path(root)).select(*TRANSACTION_COLUMNS, "txn_date")
-    pr = spark.read.schema(PRED_FILE_SCHEMA).parquet(_pred_path(root)).select(
-        *[f.name for f in PREDICTIONS_SCHEMA.fields], "txn_date"
-    )
+    now = snapshots.current(spark, root)
+    tx = snapshots.read(spark, root, TX, now, TX_FILE_SCHEMA).select(*TRANSACTION_COLUMNS, "txn_date")
+    pr = snapshots.read(spark, root, PRED, now, PRED_FILE_SCHEMA).select(*[f.name for f in PREDICTIONS_SCHEMA.fields], "txn_date")
     return tx, pr
 
 
+def read_totals(spark: SparkSession, root: str) -> DataFrame:
+    """The sums of ``transactions LEFT JOIN predictions`` by date and channel, as every write added to them.
+
+    A row for each date, channel and segment, so the overview, the trend and the channel rates (F1, F2, F4)
+    need neither the tables nor a join (``plans.monitoring.*_from_totals``).
+    """
+    return snapshots.read(spark, root, TOTALS, snapshots.current(spark, root), TOTALS_SCHEMA)
+
+
 def append_live_predictions(transactions: DataFrame, predictions: DataFrame, root: str,
                             run: str = DEFAULT_RUN, check: bool = True) -> int:
     """Append transactions whose id is not stored yet, and predictions
-    that their run has not stored yet.
+    that their run has not stored yet, both in one snapshot.
 
     The key of a transaction is its id: an id that is stored under another
     timestamp is refused. The key of a prediction is (transaction, run): a replay of the
     same run adds nothing, another run adds its own predictions, and a
     prediction may come later than its transaction, whose stored date it
-    takes. A crash between the two appends is repaired by the replay.
-
-    The ids of the batch are looked up in the id and date columns of the
-    stored transactions; predictions are compared within the dates found.
-    Returns the number of new transactions.
+    takes. What is stored about the ids of the batch is looked up in their key
+    buckets; the tables are not read. Returns the number of new transactions.
     """
     spark = transactions.sparkSession
     initialize_store(spark, root)
+    base = snapshots.current(spark, root)
     tx = conform_transactions(transactions).withColumn("txn_date", F.to_date("transaction_timestamp"))
     tx = tx.dropDuplicates(["transaction_id"]).checkpoint(eager=True)
     pr = _with_run(predictions, run).dropDuplicates(["transaction_id", "run"]).checkpoint(eager=True)
-    ids = tx.select("transaction_id").union(pr.select("transaction_id")).distinct()
-    stored = spark.read.schema(TX_FILE_SCHEMA).parquet(_tx_path(root))
-    known = stored.select("transaction_id", "transaction_timestamp", "txn_date").join(ids, "transaction_id", "left_semi").checkpoint(eager=True)
-    moved = tx.join(known.select("transaction_id", F.col("transaction_timestamp").alias("was")), "transaction_id").where(
-        ~F.col("transaction_timestamp").eqNullSafe(F.col("was"))
-    )
-    dates = known.select("transaction_id", "txn_date").unionByName(tx.select("transaction_id", "txn_date")).distinct()
-    dated = _with_dates(pr, dates)
+    ids = tx.select("transaction_id").union(pr.select("transaction_id")).distinct().checkpoint(eager=True)
+    stored = snapshots.look_up(spark, root, base, ids, KEY_SCHEMA).checkpoint(eager=True)
+    known = stored.where(F.col("run").isNull()).drop("run")
+    new_tx = tx.join(known.select("transaction_id"), "transaction_id", "left_anti")
+    about = [c for c in KEY_SCHEMA.names if c != "run"]
+    facts = known.select(*about, F.lit(False).alias("is_new")).unionByName(new_tx.select(*about, F.lit(True).alias("is_new"))).checkpoint(eager=True)
     if check:
-        bad = {
-            "changed_timestamps": moved.count(),
-            "tx_null_violations": quality.total_nulls(tx, quality.TRANSACTION_NOT_NULL),
-            "pred_null_violations": quality.total_nulls(pr, quality.PREDICTION_NOT_NULL),
-            "fk_orphans": pr.join(dates, "transaction_id", "left_anti").count(),
-        }
-        bad = {k: v for k, v in bad.items() if v}
-        if bad:
-            raise ValueError(f"constraint violations: {bad}")
-    days = [r[0] for r in dated.select("txn_date").distinct().collect()]  # the dates of one batch
-    touched = F.col("txn_date").isin([d for d in days if d is not None]) | F.col("txn_date").isNull()
-    stored_pr = spark.read.schema(PRED_FILE_SCHEMA).parquet(_pred_path(root)).where(touched)
-    # Materialise the new rows before writing: the anti joins read the tables
-    # being appended to.
-    new_tx = tx.join(known.select("transaction_id"), "transaction_id", "left_anti").checkpoint(eager=True)
-    new_pr = dated.join(stored_pr.select("transaction_id", "run"), ["transaction_id", "run"], "left_anti").checkpoint(eager=True)
-    start = _high_water(spark, root)
-    ided = with_prediction_ids(new_pr, start, keep=["run", "txn_date"]).checkpoint(eager=True)
-    n = new_tx.count()
-    top = ided.agg(F.max("prediction_id")).first()[0]
-    # Reserve the id range before appending: a crash after this point leaves
-    # at most a gap in the ids, never a reused id.
-    if top is not None:
-        _write_meta(spark, root, int(top))
-    _write_partitioned(new_tx, _tx_path(root), "append", "transaction_timestamp")
-    _write_partitioned(ided.select(*[f.name for f in PRED_FILE_SCHEMA.fields]), _pred_path(root), "append", "risk_score")
-    return n
+        was = known.select("transaction_id", F.col("transaction_timestamp").alias("was"))
+        moved = tx.join(was, "transaction_id").where(~F.col("transaction_timestamp").eqNullSafe(F.col("was")))
+        _refuse(
+            changed_timestamps=_count(moved),
+            tx_null_violations=_nulls(tx, quality.TRANSACTION_NOT_NULL),
+            pred_null_violations=_nulls(pr, quality.PREDICTION_NOT_NULL),
+            fk_orphans=_count(pr.join(facts, "transaction_id", "left_anti")),
+        )
+    scored = stored.where(F.col("run").isNotNull()).select("transaction_id", "run")
+    new_pr = _with_dates(pr.join(scored, ["transaction_id", "run"], "left_anti"), facts)
+    ided = with_prediction_ids(new_pr, int(base.marks.get(HIGH_WATER, 0)), keep=["run", "txn_date"]).checkpoint(eager=True)
+    has_new = ided.select("transaction_id").distinct().withColumn("scored", F.lit(True))
+    touched = facts.join(has_new, "transaction_id", "left").where(F.col("is_new") | F.col("scored")).drop("scored").checkpoint(eager=True)
+    n_touched, n_tx = touched.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("is_new").cast("int")), F.lit(0))).first()
+    if not n_touched:
+        return 0
+    had = scored.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("had"))
+    rows = tx.join(touched.where("is_new").select("transaction_id"), "transaction_id", "left_semi")
+    segment, top = _write_segment(root, rows, n_tx, ided, touched, _added_totals(touched, ided, had))
+    marks = base.marks | {HIGH_WATER: max(top, int(base.marks.get(HIGH_WATER, 0)))}
+    snapshots.publish(spark, root, base, [*base.segments, segment], marks)
+    compact_store(spark, root)
+    return segment.rows[TX]
+
+
+def compact_store(spark: SparkSession, root: str, most: int = snapshots.MOST_SEGMENTS) -> int:
+    """Merge small segments once there are more than ``most``; how many were merged."""
+    return snapshots.compact(spark, root, LAYOUT, (KEY_SCHEMA, "transaction_id"), most)
 
 
 def write_json_summary(spark: SparkSession, summary: dict, path: str) -> None:
