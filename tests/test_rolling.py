@@ -120,3 +120,17 @@ def test_hot_account_is_split_across_buckets(spark):
     assert len(out) == 3000
     # 1h window holds at most ceil(60 / 7) rows at 7-minute spacing
     assert max(r.velocity_1h for r in out) == 9.0
+
+
+def test_a_hot_account_is_measured_and_spread(spark):
+    """One account has a third of all rows, on one day; NULL accounts and times stay."""
+    rows = [(f"t{n:05d}", 7 if n % 3 == 0 else n % 40, T0 + n * 500_000 * US, float(n % 11)) for n in range(6000)]
+    rows += [("x1", None, T0, 1.0), ("x2", 7, None, 2.0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8).checkpoint()
+    assert [r["account_id"] for r in hot_buckets(df, DAY_US, 1000).collect()] == [7]
+    plain, split = add_account_rollups(df), add_account_rollups(df, hot_rows=1000)
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, split.collect()), key=str)
+    tasks = split.where("account_id = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 1200
+    assert "Union" in split._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in add_account_rollups(df, hot_rows=10_000)._jdf.queryExecution().executedPlan().toString()

@@ -22,7 +22,7 @@ from txnwatch.functions.scoring import (
 from txnwatch.operators import metrics as M
 from txnwatch.operators import quality as Q
 from txnwatch.operators.prefix import row_numbers
-from txnwatch.operators.rolling import rolling_count_mean
+from txnwatch.operators.rolling import add_account_rollups, rolling_count_mean
 from txnwatch.operators.sampling import stratified_sample, stratified_split
 from txnwatch.plans.monitoring import monitoring_frame
 from txnwatch.schema import (
@@ -105,6 +105,33 @@ def q_rolling_ties(spark, sf_dir):
     return r.select("o_orderkey", "roll_count", F.round("roll_mean", 6).alias("roll_mean"))
 
 
+# A third of all rows belong to one account; the bound is small, so that the groups of this account are hot at every size.
+HOT_ACCOUNT, HOT_GROUP_ROWS = 1, 64
+
+
+@register(
+    "rolling_hot_account",
+    _with(
+        """SELECT transaction_id, count(*) OVER w - count(*) OVER p AS n,
+  round(CAST(sum(CAST(Amount AS DECIMAL(18,2))) OVER d - coalesce(sum(CAST(Amount AS DECIMAL(18,2))) OVER p, 0) AS DOUBLE)
+        / (count(*) OVER d - count(*) OVER p), 6) AS mean_24h
+FROM hot
+WINDOW w AS (PARTITION BY account_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW),
+       d AS (PARTITION BY account_id ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW),
+       p AS (PARTITION BY account_id, us ORDER BY transaction_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)""",
+        """hot AS (SELECT transaction_id, Amount, epoch_us(transaction_timestamp) AS us,
+  CASE WHEN event_id % 3 = 0 THEN 1 ELSE account_id END AS account_id FROM txn_ev)""",
+    ),
+)
+def q_rolling_hot_account(spark, sf_dir):
+    """W1, W2 where one account has a third of all rows: its groups are measured and take the split form."""
+    txn, _ = views(spark, sf_dir)
+    account = F.when(F.col("event_id") % 3 == 0, HOT_ACCOUNT).otherwise(F.col("account_id"))
+    rows = txn.select("transaction_id", account.alias("account_id"), "transaction_timestamp", "Amount").checkpoint(eager=True)
+    rolled = add_account_rollups(rows, hot_rows=HOT_GROUP_ROWS)
+    return rolled.select("transaction_id", F.col("velocity_1h").cast("bigint").alias("n"), F.round("avg_amount_24h", 6).alias("mean_24h"))
+
+
 @register(
     "sequential_id",
     "SELECT event_id, printf('TXN%08d', row_number() OVER (ORDER BY ts, event_id)) AS seq_id FROM events",

@@ -20,9 +20,11 @@ Plan: one scan and one exchange.
   sums loses nothing.
 
 A group holds one account for two buckets. Where that is still too much for a
-task (``hot_buckets`` measures it), ``split`` takes the same running sums over
+task, ``split`` takes the same running sums over
 the global order of (account, time) with distributed prefix sums, which no key
-can skew, at the price of a second exchange that brings the markers back.
+can skew, at the price of a second exchange that brings the markers back. With ``hot_rows`` the
+groups are measured first (``hot_buckets``); accounts with a larger group go through the
+split form, all others through the plain one.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ from txnwatch.schema import DAY_US, HOUR_US
 #: Exact for amounts below 1e15 with twelve decimal places; sums have ten more digits.
 AMOUNT_TYPE = "decimal(27,12)"
 SUM_TYPE = "decimal(37,12)"
+#: Rows of one account and bucket that a task takes with ease.
+HOT_ROWS = 1_000_000
+#: Hot accounts up to which they are told apart by a broadcast of their numbers (about 2 MB).
+BROADCAST_ACCOUNTS = 1 << 17
 #: Rows without account or time belong to no window; they are spread over so many groups.
 LOOSE_GROUPS = 1 << 20
 
@@ -83,9 +89,13 @@ def account_window_stats(
     tie: str = "transaction_id",
     bucket_us: int | None = None,
     split: bool = False,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add ``{name}_count`` (bigint) and ``{name}_sum`` (decimal) for each window.
 
+    ``hot_rows`` measures the groups (one aggregate, run at once; give a frame that is cheap to read
+    again) and splits the accounts that have a larger one; results do not depend on it.
+
     ``windows`` maps a name to a window length in microseconds. ``tie`` must be
     a unique, non-NULL row key; it orders rows with equal timestamps. Rows with
     a NULL account or timestamp get NULL statistics.
@@ -95,6 +105,16 @@ def account_window_stats(
     bucket_us = bucket_us or max(windows.values())
     if bucket_us < max(windows.values()):
         raise ValueError("a bucket must be as long as the longest window")
+    if hot_rows is not None and not split:
+        hot = hot_buckets(df, bucket_us, hot_rows, account, ts).where(F.col(account).isNotNull()).select(account).distinct().checkpoint()
+        n = hot.count()
+        if n:
+            few = F.broadcast(hot) if n <= BROADCAST_ACCOUNTS else hot
+            parts = [
+                account_window_stats(df.join(few, account, how).select(*df.columns), windows, account, ts, amount, tie, bucket_us, split=form)
+                for how, form in (("left_anti", False), ("left_semi", True))
+            ]
+            return parts[0].unionByName(parts[1])
     names = list(windows)
     # At one instant rows and context come in tie order, markers after them.
     place = F.when(F.col("_kind") > 0, F.col("_kind")).otherwise(0)
@@ -138,12 +158,13 @@ def add_account_rollups(
     tie: str = "transaction_id",
     bucket_us: int | None = None,
     split: bool = False,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """W1 + W2: ``velocity_1h`` (1h count, missing -> 1.0) and ``avg_amount_24h``
     (24h mean, missing -> own Amount), both double."""
     stats = account_window_stats(
         df, {"_w1h": HOUR_US, "_w24h": DAY_US}, account=account, ts=ts, amount=amount, tie=tie,
-        bucket_us=bucket_us, split=split,
+        bucket_us=bucket_us, split=split, hot_rows=hot_rows,
     )
     return stats.withColumns(
         {

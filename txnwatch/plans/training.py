@@ -26,7 +26,7 @@ from txnwatch.operators.iforest import Forest, fit_isolation_forest, score_fores
 from txnwatch.operators.logistic import LogisticModel, fit_logistic
 from txnwatch.operators.prefix import row_numbers
 from txnwatch.operators.quality import build_feature_frame
-from txnwatch.operators.rolling import add_account_rollups
+from txnwatch.operators.rolling import HOT_ROWS, add_account_rollups
 from txnwatch.operators.sampling import shuffled_order, stratified_sample, stratified_split
 from txnwatch.schema import (
     CATEGORICAL_FEATURES,
@@ -73,7 +73,7 @@ def enrich_transactions(raw: DataFrame, key: str = "event_id", seed: int = RANDO
     base = numbered.withColumns(
         {"transaction_id": padded_id("TXN", "_n")} | {c: v for c, v in drawn.items() if c not in given}
     ).drop("_n", "Time")
-    rolled = add_account_rollups(base)
+    rolled = add_account_rollups(base, hot_rows=HOT_ROWS)
     out = rolled.withColumns(
         {
             "hour": hour_of("transaction_timestamp"),
