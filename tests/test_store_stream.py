@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from txnwatch.plans import monitoring as mon
-from txnwatch.sources import store
+from txnwatch.sources import snapshots, store
 from txnwatch.sources.fixtures import fixture_views, predictions_from_transactions
 from txnwatch.sources.tables import read_table
 from txnwatch.streaming import live
@@ -97,17 +97,137 @@ def test_a_model_scores_a_stream_and_bad_rows_are_kept(spark):
     assert tx.where(F.col("is_fraud").isNotNull()).count() == 0
 
 
-def test_lost_marks_do_not_reuse_ids(spark):
-    import shutil
+def test_ids_are_not_reused_after_a_lost_write(spark, monkeypatch):
+    import pytest
 
     txn, _ = _views(spark)
     root = tempfile.mkdtemp(prefix="marks-")
     for n, part in enumerate((txn.where("event_id < 500"), txn.where("event_id >= 500"))):
+        if n:
+            with monkeypatch.context() as m, pytest.raises(RuntimeError, match="lost"):
+                m.setattr(snapshots, "publish", _lost)
+                store.append_live_predictions(part, predictions_from_transactions(part), root)
         store.append_live_predictions(part, predictions_from_transactions(part), root)
-        if not n:
-            shutil.rmtree(f"{root}/_meta")
-    _, pr = store.read_monitoring_tables(spark, root)
-    assert pr.count() == pr.select("prediction_id").distinct().count()
+    tx, pr = store.read_monitoring_tables(spark, root)
+    assert tx.count() == txn.count()
+    assert pr.count() == pr.select("prediction_id").distinct().count() == predictions_from_transactions(txn).count()
+
+
+def _lost(*_args, **_kwargs):
+    raise RuntimeError("lost")
+
+
+def _state(spark, root):
+    return [sorted(map(tuple, t.collect()), key=repr) for t in (*store.read_monitoring_tables(spark, root), store.read_totals(spark, root))]
+
+
+def test_a_write_that_dies_between_the_tables_changes_nothing(spark, monkeypatch):
+    import pytest
+
+    txn, pred = _views(spark)
+    root = tempfile.mkdtemp(prefix="crash-")
+    store.write_monitoring_data(txn.where("event_id < 300"), pred.join(txn.where("event_id < 300"), "transaction_id", "left_semi"), root)
+    before = _state(spark, root)
+    part = txn.where("event_id >= 300")
+    whole = snapshots.write_by
+
+    def dies_at(dataset):
+        def write(df, root, name, *rest):
+            if name == dataset:
+                raise RuntimeError("lost")
+            return whole(df, root, name, *rest)
+
+        return write
+
+    for dataset in (store.PRED, store.TOTALS):
+        for write in (lambda: store.append_live_predictions(part, predictions_from_transactions(part), root),
+                      lambda: store.write_monitoring_data(txn, pred, root)):
+            with monkeypatch.context() as m, pytest.raises(RuntimeError, match="lost"):
+                m.setattr(snapshots, "write_by", dies_at(dataset))
+                write()
+            assert _state(spark, root) == before
+    assert store.append_live_predictions(part, predictions_from_transactions(part), root) == part.count()
+    tx, pr = store.read_monitoring_tables(spark, root)
+    assert tx.count() == txn.count() and pr.count() == pred.count()
+
+
+def test_the_second_of_two_writers_is_refused(spark, monkeypatch):
+    import pytest
+
+    txn, _ = _views(spark)
+    root = tempfile.mkdtemp(prefix="race-")
+    one, other = txn.where("event_id < 10"), txn.where("event_id between 10 and 19")
+    store.initialize_store(spark, root)
+    stale = snapshots.current(spark, root)
+    store.append_live_predictions(one, predictions_from_transactions(one), root)
+    with monkeypatch.context() as m, pytest.raises(snapshots.ConflictError):
+        m.setattr(snapshots, "current", lambda *_: stale)
+        store.append_live_predictions(other, predictions_from_transactions(other), root)
+    assert store.read_monitoring_tables(spark, root)[0].count() == 10
+    assert store.append_live_predictions(other, predictions_from_transactions(other), root) == 10
+
+
+def _bytes_opened(df) -> int:
+    return sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in df.inputFiles())
+
+
+def test_a_look_up_reads_the_same_however_large_the_store_is(spark, monkeypatch):
+    from txnwatch.sources.tables import read_table
+
+    monkeypatch.setattr(snapshots, "BUCKET_ROWS", 64)
+    txn, _ = fixture_views(read_table(spark, "/root/testdata/sf0.01", "events"))
+    txn = txn.checkpoint()
+    ids = spark.createDataFrame([(f"TXN{n:08d}",) for n in (7, 900001, 900002)], "transaction_id string")
+    opened, whole = [], []
+    for rows in (2048, 4096, 8192):
+        root = tempfile.mkdtemp(prefix="flat-")
+        part = txn.where(F.col("event_id") < rows)
+        store.append_live_predictions(part, predictions_from_transactions(part), root)
+        snapshot = snapshots.current(spark, root)
+        found = snapshots.look_up(spark, root, snapshot, ids, store.KEY_SCHEMA)
+        assert {r["transaction_id"] for r in found.collect()} == {"TXN00000007"}
+        opened.append(_bytes_opened(found))
+        whole.append(_bytes_opened(snapshots.read(spark, root, snapshots.KEYS, snapshot, store.KEY_SCHEMA)))
+    assert whole[2] > 3 * whole[0]
+    assert max(opened) < 1.2 * min(opened) and max(opened) < whole[0] / 5
+
+
+def test_small_segments_are_merged_and_old_snapshots_expire(spark):
+    txn, _ = _views(spark)
+    root = tempfile.mkdtemp(prefix="merge-")
+    for n in range(6):
+        part = txn.where(F.col("event_id") % 6 == n)
+        store.append_live_predictions(part, predictions_from_transactions(part), root)
+    before = _state(spark, root)[:2]
+    assert len(snapshots.current(spark, root).segments) == 6
+    assert store.compact_store(spark, root, most=3) == 6
+    assert len(snapshots.current(spark, root).segments) == 1
+    assert _state(spark, root)[:2] == before
+    assert len(os.listdir(f"{root}/transactions")) == 7  # readers of older snapshots go on
+    assert snapshots.expire(spark, root, keep=1) == 6
+    assert len([f for f in os.listdir(f"{root}/transactions") if f.startswith("seg=")]) == 1
+    assert len([f for f in os.listdir(f"{root}/_snapshots") if f.endswith(".json")]) == 1
+    again = txn.where("event_id < 50")
+    assert store.append_live_predictions(again, predictions_from_transactions(again), root) == 0
+    assert _state(spark, root)[:2] == before
+
+
+def test_totals_equal_the_joined_tables(spark):
+    txn, _ = _views(spark)
+    root = tempfile.mkdtemp(prefix="totals-")
+    later = txn.where("event_id % 7 = 0")
+    store.append_live_predictions(txn.where("event_id < 400"), predictions_from_transactions(txn.where("event_id < 400 and event_id % 7 <> 0")), root)
+    store.append_live_predictions(txn.where("event_id >= 400"), predictions_from_transactions(txn), root)
+    for _ in range(2):
+        store.append_live_predictions(later, predictions_from_transactions(later), root, run="second")
+    store.append_live_predictions(later.limit(0), predictions_from_transactions(later), root, run="third")
+    tx, pr = store.read_monitoring_tables(spark, root)
+    totals = store.read_totals(spark, root)
+    assert mon.overview_from_totals(totals).collect() == mon.overview_kpis(tx, pr).collect()
+    assert mon.trend_from_totals(totals).collect() == mon.fraud_trend(tx, pr).collect()
+    assert sorted(mon.channels_from_totals(totals).collect()) == sorted(mon.channel_success_rates(tx, pr).collect())
+    plan = mon.trend_from_totals(totals)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "transactions" not in plan.split("FileScan")[1].split("Location")[1][:80]
 
 
 def test_orphans_and_missing_values_are_refused(spark):
@@ -150,3 +270,63 @@ def test_append_with_rollups_from_store(spark):
     assert live.read_quarantine(spark, root).count() == 0
     exp = {r.transaction_id: r.velocity_1h for r in txn.collect()}
     assert got == exp
+
+
+def test_a_row_many_days_late_reads_two_days(spark):
+    rows = spark.sql(
+        "SELECT concat('h', id) AS transaction_id, id % 3 AS account_id, cast(id AS double) AS Amount, "
+        "timestamp_ntz'2023-01-01 12:00:00' + make_dt_interval(cast(id AS int)) AS transaction_timestamp FROM range(400)"
+    ).select(*live.ROLL_COLUMNS)
+    root = tempfile.mkdtemp(prefix="late-")
+    write = live.append_rollups(root)
+    write(rows, 0)
+    stored = live.read_rollups(spark, root, rows.schema)
+    late = spark.sql(
+        "SELECT * FROM VALUES ('late', 1L, 5.0D, timestamp_ntz'2023-04-11 12:30:00'), ('new', 2L, 1.0D, timestamp_ntz'2024-02-04 13:00:00') "
+        "AS t(transaction_id, account_id, Amount, transaction_timestamp)"
+    ).select(*live.ROLL_COLUMNS)
+    seen = []
+    history = stored.where("txn_date is not null")
+
+    class Watched:
+        """The history, noting what is read of it."""
+
+        columns = history.columns
+
+        def where(self, condition):
+            out = history.where(condition)
+            seen.extend(r[0] for r in out.select("txn_date").distinct().collect())
+            return out
+
+    got = {r.transaction_id: (r.velocity_1h, r.avg_amount_24h) for r in live.rollups_with_history(late, Watched()).collect()}
+    assert sorted(map(str, seen)) == ["2023-04-10", "2023-04-11", "2024-02-03", "2024-02-04"]
+    assert got["late"] == (2.0, 52.5) and got["new"][0] == 1.0
+    plan = history.where(F.col("txn_date").isin(seen))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan
+
+
+def test_a_row_twice_in_a_batch_counts_once(spark):
+    rows = spark.sql(
+        "SELECT * FROM VALUES ('a', 1L, 5.0D, timestamp_ntz'2024-01-01 10:00:00'), ('a', 1L, 5.0D, timestamp_ntz'2024-01-01 10:00:00'), "
+        "('b', 1L, 7.0D, timestamp_ntz'2024-01-01 10:30:00') AS t(transaction_id, account_id, Amount, transaction_timestamp)"
+    ).select(*live.ROLL_COLUMNS)
+    root = tempfile.mkdtemp(prefix="twice-")
+    write = live.append_rollups(root)
+    for epoch in (0, 0, 1):
+        write(rows, epoch)
+    got = [(r.transaction_id, r.velocity_1h) for r in live.read_rollups(spark, root, rows.schema).orderBy("transaction_id").collect()]
+    assert got == [("a", 1.0), ("b", 2.0)]
+
+
+def test_late_rows_correct_the_trend_and_are_kept(spark):
+    txn, pred = _views(spark)
+    rows = mon.monitoring_frame(txn, pred).checkpoint()
+    root = tempfile.mkdtemp(prefix="sums-")
+    write = live.append_day_sums(root)
+    late = F.col("transaction_id").isin([f"TXN{n:08d}" for n in range(1, 60)])  # of the first days
+    write(rows.where(~late), 0)
+    assert live.read_late_rows(spark, root).count() == 0
+    write(rows.where(late), 1)
+    write(rows.where(late), 1)
+    assert live.read_day_trend(spark, root).collect() == mon.fraud_trend(txn, pred).collect()
+    assert live.read_late_rows(spark, root).count() == 59

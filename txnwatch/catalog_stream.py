@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from txnwatch.catalog import FACTS_SQL, TREND_SQL, _with, facts_measures, register, views
 from txnwatch.plans import monitoring as mon
 from txnwatch.plans.monitoring import monitoring_frame
+from txnwatch.schema import TRANSACTION_COLUMNS
 from txnwatch.sources import store
 from txnwatch.sources.fixtures import predictions_from_transactions
 from txnwatch.streaming import live
 
-#: Files of a stream's source; with one file a trigger, as many triggers.
+#: Triggers of a stream; its source has as many files, or more where the rows have more partitions.
 FILES = 6
 
 
@@ -28,8 +29,9 @@ def _scratch(spark, name: str) -> str:
 
 def _source(spark, rows, root: str):
     rows = rows.checkpoint(eager=True)  # ranged and sorted from here
-    live.write_time_ordered_files(rows, f"{root}/source", files=FILES)
-    return live.stream_source(spark, f"{root}/source", rows.schema, files_per_trigger=1)
+    files = max(FILES, rows._jdf.rdd().getNumPartitions())
+    live.write_time_ordered_files(rows, f"{root}/source", files=files)
+    return live.stream_source(spark, f"{root}/source", rows.schema, files_per_trigger=-(-files // FILES))
 
 
 @register(
@@ -77,21 +79,38 @@ GROUP BY a.transaction_id""",
     ),
 )
 def q_live_late_rollups(spark, sf_dir):
-    """K5 with late rows and a replayed file."""
+    """K5 with late rows, rows that come twice in one batch, and a replayed file."""
     txn, _ = views(spark, sf_dir)
-    rows = txn.select(*live.ROLL_COLUMNS, "event_id").checkpoint(eager=True)
+    rows = txn.select(*live.ROLL_COLUMNS, "event_id")
     root = _scratch(spark, "late")
-    on_time, late = (rows.where(c).drop("event_id") for c in (f"NOT ({LATE})", LATE))
     write = live.append_rollups(root)
-    src = _source(spark, on_time, root)
-    live.run_batches(src, write, f"{root}/checkpoint")
-    for again in ("late", "replay"):
-        live.write_time_ordered_files(late, f"{root}/{again}", files=1)
-        more = live.stream_source(spark, f"{root}/{again}", late.schema)
-        live.run_batches(more, write, f"{root}/checkpoint-{again}")
+    rows = _on_time_then_late(spark, rows, root, write)
     return live.read_rollups(spark, root, rows.schema).select("transaction_id", "velocity_1h")
 
 
+def _on_time_then_late(spark, rows, root, write):
+    """Run the sink over the rows in time order without ``LATE`` ones, then over these, each twice in a batch, and once more."""
+    rows = rows.checkpoint(eager=True)
+    on_time, late = (rows.where(c).drop("event_id") for c in (f"NOT ({LATE})", LATE))
+    live.run_batches(_source(spark, on_time, root), write, f"{root}/checkpoint")
+    files = max(1, rows._jdf.rdd().getNumPartitions() // FILES)
+    for again in ("late", "replay"):
+        live.write_time_ordered_files(late.unionByName(late), f"{root}/{again}", files=files)
+        live.run_batches(live.stream_source(spark, f"{root}/{again}", late.schema), write, f"{root}/checkpoint-{again}")
+    return rows
+
+
+@register("live_late_trend", _with(TREND_SQL, FACTS_SQL))
+def q_live_late_trend(spark, sf_dir):
+    """K4 with rows far behind the watermark: the corrected trend is the trend over all rows."""
+    txn, pred = views(spark, sf_dir)
+    root = _scratch(spark, "late-trend")
+    rows = monitoring_frame(txn.select(*TRANSACTION_COLUMNS), pred).select(*live.TREND_COLUMNS)
+    number = (F.substring("transaction_id", 4, 8).cast("bigint") - 1).alias("event_id")
+    _on_time_then_late(spark, rows.select("*", number), root, live.append_day_sums(root))
+    return live.read_day_trend(spark, root)
+
+
 # One bad value of each kind that a live form can send, on rows picked by event_id.
 def _spoiled(txn):
     bad = F.col("event_id") % 41
@@ -249,6 +268,54 @@ def q_store_second_prediction(spark, sf_dir):
     return each.groupBy(F.coalesce("n", F.lit(0)).cast("int").alias("predictions")).agg(F.count(F.lit(1)).alias("transactions"))
 
 
+# Predictions of ``LATER`` transactions come twice: with the others or after them, and from a second run.
+TWICE_SQL = f"""twice AS (
+  SELECT facts.* FROM facts
+  UNION ALL SELECT CAST(t.transaction_timestamp AS DATE), t.channel, CAST(t.is_fraud IS NOT DISTINCT FROM 1 AS BIGINT),
+         CAST(t.is_success IS NOT DISTINCT FROM 1 AS DOUBLE), p.risk_score, true
+  FROM txn t JOIN txn_ev e USING (transaction_id) JOIN pred p USING (transaction_id) WHERE e.{LATER}
+)"""
+
+
+def _totals_store(spark, sf_dir):
+    """A store written by a refresh and appends: late predictions, a second run, and a merge of the segments."""
+    txn, _ = views(spark, sf_dir)
+    txn = txn.checkpoint(eager=True)
+    root = _scratch(spark, "totals")
+    soon, later = txn.where(f"event_id % 2 = 0 AND NOT ({LATER})"), txn.where(LATER)
+    store.write_monitoring_data(txn.where("event_id % 2 = 0"), predictions_from_transactions(soon), root, run="first")
+    store.append_live_predictions(txn, predictions_from_transactions(txn), root, run="first")
+    store.append_live_predictions(later, predictions_from_transactions(later), root, run="second")
+    store.compact_store(spark, root, most=1)
+    return store.read_totals(spark, root)
+
+
+@register("store_totals_overview", _with(f"SELECT {facts_measures(2)} FROM twice", FACTS_SQL, TWICE_SQL))
+def q_store_totals_overview(spark, sf_dir):
+    """F1 from the sums that each write adds; no table is read and nothing joined."""
+    return mon.overview_from_totals(_totals_store(spark, sf_dir))
+
+
+@register("store_totals_trend", _with(TREND_SQL.replace("FROM facts", "FROM twice"), FACTS_SQL, TWICE_SQL))
+def q_store_totals_trend(spark, sf_dir):
+    """F2 from the sums that each write adds."""
+    return mon.trend_from_totals(_totals_store(spark, sf_dir))
+
+
+@register(
+    "store_totals_channels",
+    _with(
+        "SELECT channel, total_transactions AS transactions, success_rate_pct, avg_risk_score "
+        f"FROM (SELECT channel, {facts_measures(3)} FROM twice GROUP BY channel)",
+        FACTS_SQL,
+        TWICE_SQL,
+    ),
+)
+def q_store_totals_channels(spark, sf_dir):
+    """F4 from the sums that each write adds."""
+    return mon.channels_from_totals(_totals_store(spark, sf_dir))
+
+
 @register(
     "store_key_across_dates",
     _with("SELECT count(*) AS stored, count(DISTINCT transaction_id) AS ids, 1 AS refused, 0 AS added_by_replay FROM txn"),
