@@ -83,11 +83,13 @@ def main() -> None:
     times["store_build"] = _timed(lambda: build(sf_dir, out_root))
     tx, pr = store.read_monitoring_tables(spark, out_root)
     frame = mon.monitoring_frame(tx, pr)
+    totals = store.read_totals(spark, out_root)
     stored = {
-        "store_fraud_trend": lambda: mon.fraud_trend(tx, pr).collect(),
-        "store_overview_kpis": lambda: mon.overview_kpis(tx, pr).collect(),
+        "store_fraud_trend": lambda: mon.trend_from_totals(totals).collect(),
+        "store_overview_kpis": lambda: mon.overview_from_totals(totals).collect(),
         "store_risk_distribution": lambda: mon.risk_distribution(pr).collect(),
-        "store_channel_success_rates": lambda: mon.channel_success_rates(tx, pr).collect(),
+        "store_channel_success_rates": lambda: mon.channels_from_totals(totals).collect(),
+        "store_joined_trend": lambda: mon.fraud_trend(tx, pr).collect(),
         "store_top_alerts": lambda: mon.recent_alerts(tx, pr).collect(),
         "store_dashboard": lambda: dash.dashboard_report(
             frame, "2024-01-03", "2024-01-27", ["atm", "mobile", "web"], None
