@@ -88,13 +88,13 @@ base AS (
     FROM phrases GROUP BY r
 ),
 blocks AS (
-    SELECT r, list_distinct(w[k + 1:k + {licenses.BLOCK_WORDS}]) AS b
-    FROM (SELECT r, w, unnest(range(0, greatest(1, len(w)), {licenses.STRIDE})) AS k FROM texts)
+    SELECT r, list_distinct(w[k + 1:k + 128]) AS b
+    FROM (SELECT r, w, unnest(range(0, greatest(1, len(w)), 64)) AS k FROM texts)
 ),
 templates(label, t) AS (VALUES {templates}),
 matches AS (
     SELECT r, label, len(list_intersect(t, b)) / len(t) AS c FROM blocks, templates
-    WHERE len(list_intersect(t, b)) >= {licenses.THRESHOLD} * len(t) - 1e-9
+    WHERE len(list_intersect(t, b)) >= CASE WHEN len(t) < 10 THEN len(t) ELSE 0.8 * len(t) - 1e-9 END
 ),
 own AS (SELECT r, max(c) AS c, list(label) AS labels FROM matches GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, base.first_word, base.last_word,
