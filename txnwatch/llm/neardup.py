@@ -236,6 +236,8 @@ class Join:
     """State of one join: the texts, the classes with their sketches, and the links found so far."""
 
     def __init__(self, docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"):
+        if not PERCENT <= percent <= 100:
+            raise ValueError(f"a percentage from {PERCENT} to 100: the trees and the sketches' bound are set for {PERCENT}")
         prepare(docs.sparkSession)
         self.percent = percent
         text = F.coalesce(F.col("text"), F.lit(""))
@@ -403,11 +405,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` with one row of each component: the one whose id is smallest.
 
-    Rows without words are no duplicates of others; of repeated rows one stays.
+    Rows without words are no duplicates of others; of rows with equal id and text one stays, the first in the
+    order of all columns, whatever the order of the rows.
     """
     alone = near_duplicates(docs, percent).where("kept").groupBy("doc_id", "label").agg(F.min("text_hash").alias("kept_hash"))
     alone = alone.select(F.col("doc_id").alias("kept_id"), "kept_hash").distinct()
     hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     joined = hashed.join(alone, hashed["doc_id"].eqNullSafe(alone["kept_id"]) & (hashed["_hash"] == alone["kept_hash"]))
-    one = Window.partitionBy("kept_id", "kept_hash").orderBy(F.lit(0))
+    one = Window.partitionBy("kept_id", "kept_hash").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
     return joined.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)
