@@ -44,12 +44,12 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notice templates in every document."""
-    return licenses.scan(read(spark, sf_dir, "documents")).drop("matches")
+    return licenses.scan(read(spark, sf_dir, "documents"), whole_below=10).drop("matches")
 
 
 def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that lie in a 400-byte string which also starts elsewhere."""
-    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    return repeats.remove_repeats(read(spark, sf_dir, "documents")).withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

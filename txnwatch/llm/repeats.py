@@ -49,7 +49,8 @@ FILTERED = 1 << 21
 #: Texts whose digests a task remembers, so that copies in its input are sent on once.
 REMEMBERED = 100_000
 
-_PLACE_BITS = 28
+#: Places within a text, which Spark keeps below 2 GB.
+_PLACE_BITS = 31
 _PLACE = tv.U((1 << _PLACE_BITS) - 1)
 _LAST = np.iinfo(tv.U).max
 
