@@ -121,3 +121,56 @@ def repeated_bytes(texts, length=400) -> list[tuple[int, int, int, str]]:
 
 def crc(text: str | None) -> int:
     return zlib.crc32((text or "").encode())
+
+
+def phrases(rows, least: int, top: int = 2000, most: int = 5) -> dict:
+    """(lang, rank): (phrase, a, l, r, n, score) for rows of (text, lang)."""
+    counts, total = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for size in range(1, most + 1):
+                counts.update((lang, tuple(w[i : i + size])) for i in range(len(w) - size + 1))
+    frequent = {k: f for k, f in counts.items() if f >= least}
+    dropped = set()
+    for (lang, p), f in frequent.items():
+        for size in range(2, len(p)):
+            for i in range(len(p) - size + 1):
+                if 100 * f >= 100 * frequent[lang, p[i : i + size]]:
+                    dropped.add((lang, p[i : i + size]))
+    each = defaultdict(list)
+    for (lang, p), a in frequent.items():
+        if len(p) > 1 and (lang, p) not in dropped:
+            n = total[lang]
+            score, _, left, right = min(
+                (1000 * a * n // (counts[lang, p[:k]] * counts[lang, p[k:]]), k, counts[lang, p[:k]], counts[lang, p[k:]]) for k in range(1, len(p))
+            )
+            each[lang].append((" ".join(p), a, left, right, n, score))
+    out = {}
+    for lang, found in each.items():
+        found.sort(key=lambda x: (-x[5], -x[1], x[0].encode()))
+        out |= {(lang, rank): x for rank, x in enumerate(found[:top], 1)}
+    return out
+
+
+def hard_negatives(rows, anchors: int = 50, positives: int = 5, negatives: int = 3) -> list[tuple]:
+    """(anchor, positive, rank, negative, scores) for rows of (id, vector, label), in whole numbers of any size."""
+    import math
+
+    kept = {}
+    for k, v, label in rows:
+        if k is None or v is None or label is None or not len(v) or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        kept[k, (label + 1) % 10 if k % 7 == 0 else label, tuple(math.floor(256 * x) for x in v)] = None
+    out = []
+    for a, la, va in kept:
+        if a % anchors:
+            continue
+        scored = [(-sum(x * y for x, y in zip(va, v, strict=True)), k, label) for k, label, v in kept if k != a and len(v) == len(va)]
+        scored.sort()
+        for minus, p, _ in [s for s in scored if s[2] == la][:positives]:
+            fits = [s for s in scored if s[2] != la and 50 * -minus <= 100 * -s[0] <= 95 * -minus][:negatives]
+            out += [(a, p, rank, s[1], -minus, -s[0]) for rank, s in enumerate(fits, 1)]
+    return sorted(out)

@@ -419,3 +419,18 @@ def test_unigram_models_take_the_lightest_path():
     machine = pieces.Transducer(model)
     assert [machine.texts[i] for i in machine.encode("aba")] == ["▁a", "ba"]
     assert [machine.texts[i] for i in machine.encode("ab")] == ["▁a", "b"]
+
+
+def test_the_row_that_stays_does_not_depend_on_the_order_of_the_rows(spark):
+    text = "the same words stand here in both of these rows"
+    rows = [(1, text, "en", "s1", 5), (1, text, "de", "s2", 5), (1, text, "de", "s2", None), (2, text, "aa", "s0", 1)]
+    kept = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, SCHEMA).coalesce(1)
+        kept.append([tuple(r) for r in neardup.without_near_duplicates(df).collect()])
+    assert kept[0] == kept[1] == [(1, text, "de", "s2", None)]
+
+
+def test_a_similarity_that_the_trees_are_not_set_for_is_refused(spark):
+    with pytest.raises(ValueError, match="75 to 100"):
+        neardup.near_duplicates(table(spark, EDGES), percent=60)
