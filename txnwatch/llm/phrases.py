@@ -4,8 +4,12 @@ A text falls into pieces at ``[.,;:!?\\x0A-\\x0D]`` and a piece into words at bl
 tabs. Everything is per language. NumPy prefix polynomials over bytes give each word a
 fingerprint, and prefix polynomials over words one to each run of n words.
 
-* Every task adds up its fingerprints; the shuffle adds up the tasks', each with a digest of
-  its own (``check``) and a pointer to a text that holds the phrase. No phrase travels.
+* A sketch goes first: places are counted in cells, the top bits of their fingerprints, and only fingerprints whose cell
+  holds ``least`` places can be frequent. Cells travel at about a byte each. They are sized from the bytes of
+  the texts and bounded, so beyond some hundred GB they would fill up; the sketch is then left out, which costs shuffle and no phrase.
+* Every task adds up the fingerprints that are left, each with a digest of its own (``check``) and a pointer to a text
+  that holds the phrase, and sends them in runs by range of fingerprints; the shuffle brings the runs of a range together,
+  where they are merged. No phrase travels.
 * A phrase is frequent only if both phrases that lack its first or last word are, so each
   length counts only the places that passed the length before, by filters sized from the
   frequent fingerprints. A filter lets some others through and loses none.
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +41,10 @@ TOP = 2000
 UNKNOWN = "und"
 #: Rows that a task holds before it combines them, and distinct ones from which on it sends them off.
 HELD, SENT = 1_500_000, 1_000_000
-ROWS_A_BATCH = 1 << 16
+#: Bytes of text for each range of fingerprints, so that the distinct ones of a range fit a task; 2^8 to 2^20 ranges.
+BYTES_A_RANGE, LEAST_RANGES, MOST_RANGES = 1 << 24, 8, 20
+#: Cells of the sketch: one for so many bytes, 2^16 to 2^28 (32 MB as bits); a cell range is 2^16 cells or more.
+BYTES_A_CELL, LEAST_CELLS, MOST_CELLS, RANGES = 16, 16, 28, 256
 
 _CUT = np.zeros(256, bool)
 _CUT[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -48,7 +56,8 @@ _CHECK_BYTE = np.random.default_rng(20240301).integers(1, 2**32, 256, dtype=_V)
 _CHECK_BASE = _V(0x9E3779B1)
 _check_powers = [np.ones(1, _V), np.ones(1, _V)]
 
-COUNTED = "fp bigint, n bigint, check int, key bigint"
+RUNS = "part int, fp binary, n binary, check binary, key binary"
+LEVEL = "fp bigint, f bigint, c0 int, c1 int, k0 bigint, k1 bigint"
 FOUND = "fp bigint, key bigint, lang string, words int, phrase string, n bigint"
 
 
@@ -134,7 +143,8 @@ def _seeds(batch: pa.RecordBatch) -> np.ndarray:
 class _Tally:
     """Counts by fingerprint within a task, in bounded memory."""
 
-    def __init__(self):
+    def __init__(self, ranges: int):
+        self.ranges = ranges  # as a power of two
         self.held: list[tuple[np.ndarray, ...]] = []
         self.rows = 0
 
@@ -160,26 +170,156 @@ class _Tally:
 
     def send(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            columns = self._combined(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
-            for at in range(0, len(columns[0]), ROWS_A_BATCH):
-                fp, n, check, key = (c[at : at + ROWS_A_BATCH] for c in columns)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp.view(np.int64), n, check, key)], names=["fp", "n", "check", "key"])
+            fp, n, check, key = self._combined(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+            part = (fp >> tv.U(64 - self.ranges)).astype(np.int32)
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(starts, len(part))
+            cuts = list(zip(ends[:-1], ends[1:], strict=True))
+            raw = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (fp, n, check, key)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), *raw], names=["part", "fp", "n", "check", "key"])
         self.held, self.rows = [], 0
 
 
-def _counts(n: int, known: list[HashFilter], bits: int):
+def _merged(least: int):
+    """The frequent fingerprints of each range; runs come sorted by range, so one range is held at a time."""
+
+    def added(rows: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.argsort(rows[0], kind="stable")
+        fp, f, c0, c1, k0, k1 = (x[order] for x in rows)
+        first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+        low, high = np.minimum.reduceat, np.maximum.reduceat
+        return [fp[first], np.add.reduceat(f, first), low(c0, first), high(c1, first), low(k0, first), high(k1, first)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, rows = None, [], 0
+
+        def frequent() -> pa.RecordBatch:
+            sums = added([np.concatenate(x) for x in zip(*held, strict=True)])
+            keep = sums[1] >= least
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in sums], names=["fp", "f", "c0", "c1", "k0", "k1"])
+
+        for batch in batches:
+            for now, *raw in zip(*(batch.column(c).to_pylist() for c in ("part", "fp", "n", "check", "key")), strict=True):
+                if now != part and held:
+                    yield frequent()
+                    held, rows = [], 0
+                part = now
+                fp, n, check, key = (np.frombuffer(x, k) for x, k in zip(raw, ("<i8", "<i8", "<i4", "<i8"), strict=True))
+                held.append([fp, n, check, check, key, key])
+                rows += len(fp)
+                if rows >= 2 * HELD:
+                    held = [added([np.concatenate(x) for x in zip(*held, strict=True)])]
+                    rows = len(held[0][0]) // 2
+        if held:
+            yield frequent()
+
+    return run
+
+
+class Cells:
+    """Which cells hold ``least`` places or more."""
+
+    def __init__(self, log2: int, flags: np.ndarray):
+        self.log2, self.flags = log2, flags
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        cell = (hashes >> tv.U(64 - self.log2)).astype(np.int64)
+        return (self.flags[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers as four planes of bytes, compressed: the upper ones are almost all zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _cell_counts(n: int, known: list[HashFilter], bits: int, log2: int):
+    """Sorted cells and their counts for each range of cells, as gaps; in bounded memory."""
+    width = (1 << log2) // RANGES
+
+    def sent(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cells, counts = np.unique(np.concatenate(held), return_counts=True)
+        ends = np.searchsorted(cells, np.arange(RANGES + 1) * width)
+        rows = []
+        for part in range(RANGES):
+            here = slice(ends[part], ends[part + 1])
+            if ends[part] < ends[part + 1]:
+                rows.append((part, _planes(np.diff(cells[here], prepend=part * width)), _planes(counts[here])))
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "gaps", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [np.zeros(0, np.int64)], 0
+        for batch in batches:
+            seeds = _seeds(batch)
+            for first, data, offsets in _parts(batch.column("text")):
+                grams = Grams(data, offsets, seeds[first : first + len(offsets) - 1], bits)
+                _, hashes = grams.survivors(n, known)
+                held.append((hashes >> tv.U(64 - log2)).astype(np.int64))
+                rows += len(hashes)
+                if rows >= 4 * HELD:
+                    yield from sent(held)
+                    held, rows = [np.zeros(0, np.int64)], 0
+        yield from sent(held)
+
+    return run
+
+
+def _cell_flags(log2: int, least: int):
+    """The flags of each range of cells; rows come sorted by range, so one range is held at a time."""
+    width = (1 << log2) // RANGES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, counts = None, np.zeros(width, np.int64)
+
+        def flags() -> pa.RecordBatch:
+            raw = np.packbits(counts >= least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([raw], pa.binary())], names=["part", "flags"])
+
+        for batch in batches:
+            for now, gaps, times in zip(*(batch.column(c).to_pylist() for c in ("part", "gaps", "counts")), strict=True):
+                if now != part:
+                    if part is not None:
+                        yield flags()
+                    part, counts = now, np.zeros(width, np.int64)
+                counts[np.cumsum(_unplaned(gaps))] += _unplaned(times)
+        if part is not None:
+            yield flags()
+
+    return run
+
+
+def _sketch(rows: DataFrame, n: int, known: list[HashFilter], bits: int, log2: int, least: int) -> Cells:
+    """At most 2^MOST_CELLS bits come to the driver, RANGES rows of them."""
+    counted = rows.mapInArrow(_cell_counts(n, list(known), bits, log2), "part int, gaps binary, counts binary")
+    met = counted.repartition("part").sortWithinPartitions("part").mapInArrow(_cell_flags(log2, least), "part int, flags binary")
+    flags = np.zeros((RANGES, (1 << log2) // RANGES // 8), np.uint8)
+    for r in met.collect():
+        flags[r["part"]] = np.frombuffer(r["flags"], np.uint8)
+    return Cells(log2, flags.ravel())
+
+
+def _counts(n: int, known: list[HashFilter], bits: int, cells: Cells | None, ranges: int):
     """Counts of runs of n words; with n = 1 also the number of words, as the empty phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
+        tally = _Tally(ranges)
         for batch in batches:
             seeds, keys = _seeds(batch), batch.column("key").to_numpy()
             for first, data, offsets in _parts(batch.column("text")):
                 own = keys[first : first + len(offsets) - 1]
                 grams = Grams(data, offsets, seeds[first : first + len(own)], bits)
                 at, hashes = grams.survivors(n, known)
+                if cells:
+                    keep = cells.passes(hashes)
+                    at, hashes = at[keep], hashes[keep]
                 yield from tally.add(hashes, np.ones(len(at), np.int64), grams.checks(at, n), own[grams.words.text[at]])
-                if n == 1 and len(at):
+                if n == 1:
                     some = np.flatnonzero(grams.words.counts)
                     at = grams.words.bounds[some]
                     yield from tally.add(grams.fingerprints(at, 0), grams.words.counts[some].astype(np.int64), grams.checks(at, 0), own[some])
@@ -188,13 +328,14 @@ def _counts(n: int, known: list[HashFilter], bits: int):
     return run
 
 
-def _written(known: list[HashFilter], wanted: HashFilter, texts: HashFilter | None, bits: int):
-    """The phrases behind wanted fingerprints, with their counts in each part of the texts that ``texts`` names (None: all)."""
+def _written(known: list[HashFilter], wanted: HashFilter, pointers: tuple[HashFilter, HashFilter] | None, bits: int):
+    """The phrases behind wanted fingerprints, with their counts in each part of the texts. With ``pointers`` (text
+    keys; fingerprints joined with keys) only where they point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if texts:
-                batch = batch.filter(pa.array(texts.passes(batch.column("key").to_numpy())))
+            if pointers:
+                batch = batch.filter(pa.array(pointers[0].passes(batch.column("key").to_numpy())))
             seeds, keys, langs = _seeds(batch), batch.column("key").to_numpy(), batch.column("lang").to_pylist()
             for first, data, offsets in _parts(batch.column("text")):
                 grams = Grams(data, offsets, seeds[first : first + len(offsets) - 1], bits)
@@ -208,6 +349,8 @@ def _written(known: list[HashFilter], wanted: HashFilter, texts: HashFilter | No
                         at, times = grams.words.bounds[some], grams.words.counts[some]
                         hashes = grams.fingerprints(at, 0)
                     keep = wanted.passes(hashes)
+                    if pointers:
+                        keep[keep] = pointers[1].passes(hashes[keep] ^ keys[first + grams.words.text[at[keep]]].view(tv.U))
                     for a, h, t in zip(at[keep].tolist(), hashes[keep].view(np.int64).tolist(), times[keep].tolist(), strict=True):
                         text = first + int(grams.words.text[a])
                         row = (h, int(keys[text]), langs[text], n, grams.phrase(a, n))
@@ -234,15 +377,17 @@ def frequent_phrases(
     prepare(docs.sparkSession)
     text, lang = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(lang_col), F.lit(UNKNOWN))
     rows = docs.select(text.alias("text"), lang.alias("lang"), F.xxhash64(text, lang).alias("key"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted_cells = size // BYTES_A_CELL
+    log2 = min(max(wanted_cells.bit_length(), LEAST_CELLS), MOST_CELLS)
+    ranges = min(max((size // BYTES_A_RANGE).bit_length(), LEAST_RANGES), MOST_RANGES)
+    sketched = bits >= 64 and wanted_cells < (least << MOST_CELLS) // 2
     known: list[HashFilter] = []
     frequent = None
     for n in range(1, most_words + 1):
-        # Tasks have combined their rows, which are dealt as they are.
-        counted = rows.mapInArrow(_counts(n, list(known), bits), COUNTED).repartition(F.col("fp")).groupBy("fp")
-        level = counted.agg(
-            F.sum("n").alias("f"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("key").alias("k0"), F.max("key").alias("k1")
-        )
-        level = level.where(F.col("f") >= least).checkpoint()
+        cells = _sketch(rows, n, known, bits, log2, least) if sketched else None
+        runs = rows.mapInArrow(_counts(n, list(known), bits, cells, ranges), RUNS).repartition("part").sortWithinPartitions("part")
+        level = runs.mapInArrow(_merged(least), LEVEL).checkpoint()
         found = level.count()
         if not found:
             break
@@ -253,8 +398,10 @@ def frequent_phrases(
     ends = [F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.min("k0").alias("k0"), F.max("k1").alias("k1")]
     frequent = frequent.groupBy("fp").agg(F.sum("f").alias("f"), *ends).checkpoint()
     wanted = HashFilter.of(frequent, "fp")
-    pointers = frequent.select(F.explode(F.array("k0", "k1")).alias("key")).distinct().checkpoint()
-    seen = rows.mapInArrow(_written(known, wanted, HashFilter.of(pointers, "key"), bits), FOUND)
+    pointers = frequent.select("fp", F.explode(F.array("k0", "k1")).alias("key")).select("key", F.col("fp").bitwiseXOR(F.col("key")).alias("both"))
+    pointers = pointers.distinct().checkpoint()
+    there = HashFilter.of(pointers, "key"), HashFilter.of(pointers, "both")
+    seen = rows.mapInArrow(_written(known, wanted, there, bits), FOUND)
     seen = seen.join(frequent, "fp").where(F.col("key").isin(F.col("k0"), F.col("k1")))
     spelled = seen.select("fp", "lang", "words", "phrase", "f", (F.col("c0") != F.col("c1")).alias("apart")).distinct()
     each = spelled.groupBy("fp").agg(
