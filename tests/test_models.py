@@ -1,11 +1,13 @@
 """Properties of the fitted models (no exact oracle exists for them)."""
 
+import dataclasses
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from txnwatch.operators import logistic
 from txnwatch.operators.features import fit_encoder
 from txnwatch.operators.iforest import fit_isolation_forest, score_forest
 from txnwatch.operators.logistic import fit_logistic
@@ -115,3 +117,44 @@ def test_quantile_without_a_sort(spark):
         df = spark.createDataFrame([(float(v),) for v in values], "x double")
         for q in (0.0, 0.02, 0.5, 0.977, 1.0):
             assert abs(exact_quantile(df, "x", q) - np.quantile(values, q)) <= 1e-12 * max(1.0, abs(np.quantile(values, q)))
+
+
+@dataclasses.dataclass
+class _Plain:
+    """An encoder of given columns."""
+
+    features: list
+
+    def names(self):
+        return self.features
+
+    def columns(self):
+        return [F.col(c) for c in self.features]
+
+
+def _wide(spark, rows, features):
+    names = [f"x{i}" for i in range(features)]
+    noise = [(F.randn(seed=i) * F.lit(1.0 + i % 3)).alias(c) for i, c in enumerate(names)]
+    df = spark.range(0, rows, 1, 2).select("id", *noise)
+    margin = sum((F.col(c) * F.lit((-1.0) ** i / (1 + i)) for i, c in enumerate(names[:20])), F.lit(0.3))
+    return df.select(*names, (margin + F.randn(seed=999) > 0.8).cast("int").alias("y")).checkpoint(), _Plain(names)
+
+
+def test_many_features_keep_the_objective(spark, monkeypatch):
+    """50 features by Newton's method and by L-BFGS give one model."""
+    df, encoder = _wide(spark, 600, 50)
+    newton = logistic.fit_logistic(df, "y", encoder)
+    monkeypatch.setattr(logistic, "WIDE", 10)
+    lbfgs = logistic.fit_logistic(df, "y", encoder)
+    assert (newton.method, lbfgs.method) == ("newton", "lbfgs") and newton.converged and lbfgs.converged
+    assert abs(newton.intercept - lbfgs.intercept) < 1e-6
+    assert max(abs(a - b) for a, b in zip(newton.coefficients, lbfgs.coefficients, strict=True)) < 1e-6
+
+
+def test_rows_for_the_forest_fall_back_to_all(spark):
+    from txnwatch.plans.training import normal_rows
+
+    some = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "k int, y int")
+    assert [r["k"] for r in normal_rows(some, "y").collect()] == [1]
+    assert normal_rows(some.where("y = 1"), "y").count() == 1
+    assert normal_rows(some.limit(0), "y").count() == 0

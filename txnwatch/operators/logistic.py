@@ -8,7 +8,8 @@ Objective (L2, intercept included in the penalty when ``exact``):
   partitions up position by position, so 1 + d + d^2 numbers reach the driver however many
   partitions there are. A step that does not lower the loss is halved, and the fit is
   ``converged`` only when the gradient vanishes; otherwise it warns.
-* ``exact=False``, and any fit of more than ``WIDE`` features: MLlib ``LogisticRegression`` with ``weightCol`` and
+* With more than ``WIDE`` features the same objective goes through L-BFGS, whose passes add up d + 2 numbers.
+* ``exact=False``: MLlib ``LogisticRegression`` with ``weightCol`` and
   ``regParam = 1/n``, no standardisation (same minimiser up to the intercept
   penalty, which MLlib leaves free); it needs gradients only, but more passes.
 
@@ -20,10 +21,12 @@ from __future__ import annotations
 
 import json
 import warnings
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,10 @@ from txnwatch.operators.features import FeatureEncoder
 from txnwatch.schema import LOGISTIC_MAX_ITER
 
 
-#: Features up to which a d x d system is solved.
+#: Features up to which a d x d system is solved; beyond it the same objective goes through L-BFGS.
 WIDE = 1000
+#: Steps that L-BFGS remembers, and its passes for each one that ``max_iter`` allows Newton's method.
+MEMORY, PASSES = 20, 10
 
 
 @dataclass
@@ -103,8 +108,8 @@ def fit_logistic(train: DataFrame, label: str, encoder: FeatureEncoder, exact: b
     data = train.select(
         *encoder.columns(), F.col(label).cast("double").alias("_y"), balanced_weight(label, counts).alias("_w")
     )
-    if exact and len(encoder.names()) <= WIDE:
-        return _fit_newton(data, encoder, max_iter)
+    if exact:
+        return _fit_newton(data, encoder, max_iter) if len(encoder.names()) <= WIDE else _fit_lbfgs(data, encoder, PASSES * max_iter)
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -122,7 +127,8 @@ def fit_logistic(train: DataFrame, label: str, encoder: FeatureEncoder, exact: b
         tol=1e-6,
     )
     m = lr.fit(assembled)
-    return LogisticModel(encoder, float(m.intercept), [float(x) for x in m.coefficients.toArray()], "mllib")
+    done = m.summary.totalIterations < max_iter
+    return LogisticModel(encoder, float(m.intercept), [float(x) for x in m.coefficients.toArray()], "mllib", done, float("nan"))
 
 
 def _partials(names: list[str], beta: np.ndarray):
@@ -191,3 +197,81 @@ def _fit_newton(data: DataFrame, encoder: FeatureEncoder, max_iter: int, tol: fl
     if largest > limit:
         warnings.warn(f"logistic fit stopped after {passes} passes with a gradient of {largest:.3g}", stacklevel=2)
     return LogisticModel(encoder, float(beta[0]), [float(b) for b in beta[1:]], "newton", largest <= limit, largest)
+
+
+def _slopes(beta: np.ndarray):
+    """Loss and gradient of each task's rows."""
+
+    def run(batches):
+        total = np.zeros(len(beta) + 1)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(beta) - 1)
+            y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_w"))
+            z = beta[0] + x @ beta[1:]
+            off = w * (0.5 * (1.0 + np.tanh(0.5 * z)) - y)
+            total[0] += float(np.sum(w * (np.logaddexp(0.0, z) - y * z)))
+            total[1] += off.sum()
+            total[2:] += x.T @ off
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    return run
+
+
+def _fit_lbfgs(data: DataFrame, encoder: FeatureEncoder, max_passes: int, tol: float = 1e-9) -> LogisticModel:
+    """The objective of ``_fit_newton`` for many features: a pass adds up d + 2 numbers instead of d x d.
+
+    The rows travel as one array of features; the driver holds ``MEMORY`` pairs of d numbers.
+    """
+    from txnwatch.session import ensure_checkpoint_dir, ship_package
+
+    ensure_checkpoint_dir(data.sparkSession)
+    ship_package(data.sparkSession)
+    names = data.columns[:-2]
+    rows = data.select(F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("x"), "_y", "_w").checkpoint(eager=True)
+    d = len(names) + 1
+    weight = float(rows.agg(F.sum("_w")).first()[0] or 1.0)
+
+    def at(beta: np.ndarray) -> tuple[float, np.ndarray]:
+        parts = rows.mapInArrow(_slopes(beta.copy()), "sums array<double>")
+        total = np.zeros(d + 1)
+        for k, x in parts.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
+            total[k] = x
+        return float(total[0]) + 0.5 * float(beta @ beta), total[1:] + beta
+
+    def direction(gradient: np.ndarray) -> np.ndarray:
+        q, scales = gradient.copy(), []
+        for s, y in reversed(pairs):
+            scales.append(float(s @ q) / float(s @ y))
+            q -= scales[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            q *= float(s @ y) / float(y @ y)
+        for (s, y), scale in zip(pairs, reversed(scales), strict=True):
+            q += (scale - float(y @ q) / float(s @ y)) * s
+        return q
+
+    beta, pairs = np.zeros(d), deque(maxlen=MEMORY)
+    loss, gradient = at(beta)
+    passes, limit = 1, tol * max(1.0, weight)
+    while float(np.abs(gradient).max()) > limit and passes < max_passes:
+        step = direction(gradient)
+        size = 1.0 if pairs else min(1.0, 1.0 / float(np.linalg.norm(gradient)))
+        slope = float(gradient @ step)
+        while True:
+            found = at(beta - size * step)
+            passes += 1
+            # Near the end the loss resolves less than the gradient does: a smaller gradient will do.
+            flat = abs(found[0] - loss) <= 1e-12 * max(1.0, abs(loss)) and np.abs(found[1]).max() < np.abs(gradient).max()
+            if found[0] <= loss - 1e-4 * size * slope or flat or passes >= max_passes or size < 1e-10:
+                break
+            size /= 2.0
+        if found[0] > loss + 1e-9 * max(1.0, abs(loss)) or size < 1e-10:
+            break
+        s, y = -size * step, found[1] - gradient
+        if float(s @ y) > 0:  # always, up to rounding: the penalty makes the objective strictly convex
+            pairs.append((s, y))
+        beta, (loss, gradient) = beta + s, found
+    largest = float(np.abs(gradient).max())
+    if largest > limit:
+        warnings.warn(f"logistic fit stopped after {passes} passes with a gradient of {largest:.3g}", stacklevel=2)
+    return LogisticModel(encoder, float(beta[0]), [float(b) for b in beta[1:]], "lbfgs", largest <= limit, largest)
