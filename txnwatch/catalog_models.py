@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from txnwatch.catalog import _with, register, views
+from txnwatch.catalog import REGISTRY, _with, register, views
 from txnwatch.operators.features import ScalerParams, fit_encoder, fit_one_hot, fit_standard_scaler
 from txnwatch.operators.iforest import (
     NODE_SCHEMA,
@@ -203,6 +203,44 @@ def q_iforest_score_fixed(spark, sf_dir):
     return scored.select("transaction_id", F.round("anomaly_score", 6).alias("anomaly_score"), "anomaly_flag")
 
 
+_FOREST_SQL = REGISTRY["iforest_score_fixed"].sql
+
+
+@register(
+    "models_round_trip",
+    f"SELECT transaction_id, ml_probability, anomaly_score, anomaly_flag FROM ({_fixed_score_sql()}) JOIN ({_FOREST_SQL}) USING (transaction_id)",
+)
+def q_models_round_trip(spark, sf_dir):
+    """A11 models that were written and read again score every transaction as the ones written would."""
+    txn, _ = views(spark, sf_dir)
+    root = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/models-{uuid.uuid4().hex}"
+    training.save_models(spark, training.ModelBundle(_fixed_model(txn), _fixed_forest(), {"roc_auc": 0.75}), root)
+    bundle = training.load_models(spark, root)
+    if bundle.metrics != {"roc_auc": 0.75} or training.load_metadata(spark, root)["numeric_features"] != NUMERIC_FEATURES:
+        raise ValueError("metrics or feature lists did not come back")
+    rows = txn.select("transaction_id", *NUMERIC_FEATURES, F.round(bundle.classifier.probability(), 6).alias("ml_probability"))
+    scored = score_forest(rows, bundle.forest)
+    return scored.select("transaction_id", "ml_probability", F.round("anomaly_score", 6).alias("anomaly_score"), "anomaly_flag")
+
+
+@register(
+    "run_summary_json",
+    _with(
+        """SELECT 2000 AS sample_size, count(*) AS rows_processed, CAST(sum(is_fraud) AS BIGINT) AS fraud_rows,
+  round(100.0::DOUBLE * avg(is_success), 6) AS success_rate_pct, round((SELECT avg(risk_score) FROM pred), 6) AS avg_risk_score,
+  0.25::DOUBLE AS metric_pr_auc FROM txn"""
+    ),
+)
+def q_run_summary_json(spark, sf_dir):
+    """F9 the summary of a run, A10 written as JSON and read again."""
+    txn, pred = views(spark, sf_dir)
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/summary-{uuid.uuid4().hex}"
+    store.write_json_summary(spark, training.run_summary(txn, pred, 2000, {"pr_auc": 0.25}), path)
+    kinds = "sample_size long, rows_processed long, fraud_rows long, success_rate_pct double, avg_risk_score double, metric_pr_auc double"
+    out = spark.createDataFrame([store.read_json_summary(spark, path)], kinds)
+    return out.withColumns({c: F.round(c, 6) for c in ("success_rate_pct", "avg_risk_score")})
+
+
 _SPLIT_SIZES = "(SELECT count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS n_test FROM txn_ev)"
 
 

@@ -97,13 +97,16 @@ def train_models(train: DataFrame, test: DataFrame, label: str = "is_fraud", key
     clf = fit_logistic(train, label, encoder, exact=exact)
     scored = test.select(key, label, clf.probability().alias("ml_probability"))
     metrics = _metrics(scored, label)
-    normal = train.where(F.col(label) == 0)
-    if normal.isEmpty():  # B7: fall back to all training rows
-        normal = train
-    forest = fit_isolation_forest(normal.select(key, *NUMERIC_FEATURES), NUMERIC_FEATURES, key, seed=seed)
+    forest = fit_isolation_forest(normal_rows(train, label).select(key, *NUMERIC_FEATURES), NUMERIC_FEATURES, key, seed=seed)
     return ModelBundle(clf, forest, metrics)
 
 
+def normal_rows(train: DataFrame, label: str) -> DataFrame:
+    """The rows that the forest learns from, those of label 0; all rows where there is none."""
+    normal = train.where(F.col(label) == 0)
+    return train if normal.isEmpty() else normal
+
+
 def _metrics(scored: DataFrame, label: str) -> dict:
     """H6-H10 on the test rows; a failing ranking metric is NaN."""
     cm = M.classification_metrics(scored, "ml_probability", label).first()
