@@ -48,11 +48,12 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def _readable(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
-    """The table if it can be read (its first row as well) and has the required columns."""
+    """The table if it can be read (its first row as well) and has the required columns. Of a CSV only the header
+    and the first row are read here; types are inferred for the source that is chosen, once."""
     try:
         if not _path_exists(spark, path):
             return None
-        df = read_raw(spark, path, fmt)
+        df = spark.read.option("header", True).csv(path) if fmt == "csv" else read_raw(spark, path, fmt)
         if not has_required_columns(df):
             return None
         df.limit(1).collect()
@@ -79,8 +80,8 @@ def choose_source(
         if cached is not None:
             return cached
     for path, fmt in candidates:
-        df = _readable(spark, path, fmt)
-        if df is not None:
+        if _readable(spark, path, fmt) is not None:
+            df = read_raw(spark, path, fmt)
             if cache_path:
                 df.write.mode("overwrite").parquet(cache_path)
                 return spark.read.parquet(cache_path)
