@@ -107,7 +107,7 @@ def test_filter_grows_with_its_keys(spark):
         assert built.passes(own).all()
         assert built.passes(others).mean() < 0.03
         assert built.log2 == log2_bits(keys)
-    assert log2_bits(10**12) == 28 and log2_bits(0) == 16
+    assert log2_bits(10**12) == 28 and log2_bits(0) == 24
 
 
 # ---------------------------------------------------------------- 11

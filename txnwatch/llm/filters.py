@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 #: Bits for each key; with two bits set, about one other hash in seventy passes.
 BITS_PER_KEY = 16
-#: 8 KB to 32 MB. At the upper bound, from 16 million keys on, more others pass (one in four at 100 million).
-LEAST_LOG2, MOST_LOG2 = 16, 28
+#: 2 MB, which lets next to nothing else through while keys are few, to 32 MB. At the upper bound, from 16 million keys on, more others pass (one in four at 100 million).
+LEAST_LOG2, MOST_LOG2 = 24, 28
 
 
 def log2_bits(keys: int) -> int:
