@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.operators import logistic
 from txnwatch.operators.features import fit_encoder
-from txnwatch.operators.iforest import fit_isolation_forest, score_forest
+from txnwatch.operators.iforest import candidate_trees, fit_isolation_forest, score_forest, tree_tails
 from txnwatch.operators.logistic import fit_logistic
 from txnwatch.schema import NUMERIC_FEATURES
 from txnwatch.sources.fixtures import transactions_from_events
@@ -68,6 +68,34 @@ def test_forest_independent_of_partitioning(txn):
     assert abs(a.offset - b.offset) < 1e-12
 
 
+def test_candidates_are_independent_draws(spark):
+    """One hash a row decides how many trees; pairs come as from one draw a row and tree."""
+    rows, trees, frac = 20_000, 12, 0.05
+    pairs = candidate_trees(spark.range(rows), "id", trees, frac, 7).toPandas()
+    assert not pairs.duplicated().any()
+    took = np.zeros((rows, trees))
+    took[pairs["id"], pairs["tree_id"]] = 1
+    assert np.abs(took.mean(0) - frac).max() < 5 * math.sqrt(frac * (1 - frac) / rows)
+    both = (took.T @ took / rows)[np.triu_indices(trees, 1)]
+    assert np.abs(both - frac**2).max() < 5 * math.sqrt(frac**2 / rows)
+    pmf = [math.comb(trees, k) * frac**k * (1 - frac) ** (trees - k) for k in range(trees + 1)]
+    for k, tail in enumerate(tree_tails(trees, frac), 1):
+        assert abs(tail - sum(pmf[k:])) < 1e-12
+        assert abs((took.sum(1) >= k).mean() - tail) < 5 * math.sqrt(tail / rows) + 1e-9
+    assert candidate_trees(spark.range(10), "id", 3, 1.0, 7).count() == 30
+    assert abs(tree_tails(120, 1e-10)[0] - 120e-10) < 1e-16
+
+
+def test_one_aggregate_before_the_trees(spark, txn):
+    from txnwatch.operators.features import fit_scaler_and_count, fit_standard_scaler
+
+    scaler, n = fit_scaler_and_count(txn, NUMERIC_FEATURES)
+    assert n == txn.count() and scaler == fit_standard_scaler(txn, NUMERIC_FEATURES)
+    plan = candidate_trees(txn, "transaction_id", 120, 1e-4, 1)._jdf.queryExecution().optimizedPlan().toString()
+    rare = [line for line in plan.splitlines() if "Filter" in line]
+    assert rare and all("transform" not in line for line in rare)  # the choice of trees comes after the draw
+
+
 def test_logistic_exact_and_mllib_agree(spark, txn):
     enc = fit_encoder(txn)
     exact = fit_logistic(txn, "label", enc, exact=True)

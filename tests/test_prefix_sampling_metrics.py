@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.functions.draws import keyed_uniform
 from txnwatch.operators import metrics as M
-from txnwatch.operators.prefix import exact_quantile, prefix_sums, row_numbers
+from txnwatch.operators.prefix import PARTITION_BYTES, exact_quantile, partitions_for, prefix_sums, row_numbers
 from txnwatch.operators.sampling import split_allocation, stratified_sample, stratified_split
 from txnwatch.sources.fixtures import raw_from_events
 from txnwatch.sources.tables import read_table
@@ -30,6 +30,29 @@ def test_row_numbers_hot_leading_value(spark):
     assert (got["rn"].to_numpy() == np.arange(1, 5001)).all()
 
 
+def test_whole_sums_take_no_second_exchange(spark):
+    """One value of the leading column for all rows: the sums are those of the sorted order, in balanced partitions."""
+    df = spark.range(6000).select(F.lit(1).alias("hot"), "id", F.when(F.col("id") % 7 > 0, F.col("id") % 5).cast("int").alias("v"))
+    got = prefix_sums(df, ["hot", F.col("id").desc()], {"cum": F.col("v"), "n": F.lit(1)}, 8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    rows = got.withColumn("part", F.spark_partition_id()).toPandas().sort_values("id", ascending=False)
+    assert (rows["cum"].to_numpy() == rows["v"].fillna(0).cumsum().to_numpy()).all()
+    assert (rows["n"].to_numpy() == np.arange(1, 6001)).all()
+    assert rows["part"].value_counts().max() < 2 * 6000 / 8
+    assert prefix_sums(df.limit(0), ["id"], {"cum": F.col("v")}, 4).count() == 0
+
+
+def test_partitions_grow_with_the_bytes(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert partitions_for(spark.range(10)) == least
+    large = spark.range(PARTITION_BYTES)  # 8 bytes a row, never run
+    assert partitions_for(large.select("id")) in (8, 9) or partitions_for(large) == least > 9
+    assert partitions_for(large.crossJoin(large)) <= max(least, 18)
+    huge = spark.range(100 * PARTITION_BYTES)
+    assert 800 <= partitions_for(huge) <= 900
+
+
 def test_exact_quantile_matches_numpy(spark):
     ev = read_table(spark, SF_SMALL, "events").select("event_id", "value")
     vals = ev.toPandas()["value"].to_numpy()

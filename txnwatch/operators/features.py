@@ -34,7 +34,13 @@ class ScalerParams:
 
 
 def fit_standard_scaler(df: DataFrame, cols: list[str] = NUMERIC_FEATURES) -> ScalerParams:
+    return fit_scaler_and_count(df, cols)[0]
+
+
+def fit_scaler_and_count(df: DataFrame, cols: list[str] = NUMERIC_FEATURES) -> tuple[ScalerParams, int]:
+    """The scaler and the number of rows, in one aggregate."""
     row = df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
         *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in cols],
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in cols],
     ).first()
@@ -43,7 +49,7 @@ def fit_standard_scaler(df: DataFrame, cols: list[str] = NUMERIC_FEATURES) -> Sc
     for c in cols:
         s = row[f"s_{c}"]
         scales[c] = float(s) if s is not None and not math.isnan(s) and s > 0 else 1.0
-    return ScalerParams(means, scales)
+    return ScalerParams(means, scales), int(row["n_rows"])
 
 
 @dataclass

@@ -1,10 +1,13 @@
 """Isolation forest (M5-M7), after Liu, Ting and Zhou (2008).
 
 Fit
-  * every row gets a keyed draw per tree (``xxhash64(seed, tree, key)``);
-    rows below a slack threshold are exploded into ``(tree_id, row)`` pairs,
-    and each tree keeps exactly its ``psi = min(max_samples, n)`` smallest
-    draws (a window over ~psi rows per tree, never over the data);
+  * one aggregate gives the row count and the scaler;
+  * one keyed draw a row says how many trees take it as a candidate (binomial, by its
+    tail probabilities; most rows go to none and cost one hash), and only rows with
+    a tree choose which: those of their smallest draws. That is the same as an
+    independent draw per row and tree. Each tree keeps exactly its
+    ``psi = min(max_samples, n)`` smallest draws among its candidates
+    (a window over ~psi rows per tree, never over the data);
   * ``groupBy("tree_id").applyInPandas`` grows one tree per group (psi rows):
     random feature among the non-constant ones, uniform threshold between
     the node's min and max, depth limit ``ceil(log2 psi)``;
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnwatch.operators.features import ScalerParams, fit_standard_scaler
+from txnwatch.operators.features import ScalerParams, fit_scaler_and_count
 from txnwatch.operators.prefix import exact_quantile
 from txnwatch.session import ship_package
 from txnwatch.schema import IFOREST_CONTAMINATION, IFOREST_MAX_SAMPLES, IFOREST_TREES, RANDOM_SEED
@@ -157,20 +160,41 @@ class Forest:
         return Forest(d["features"], ScalerParams(**d["scaler"]), nodes, d["psi"], d["offset"], d["max_depth"])
 
 
-def _tree_draw(seed: int, tree, key: str):
-    h = F.xxhash64(F.lit(seed), tree, F.col(key))
+def _draw(seed: int, salt: str, key: str, *more):
+    h = F.xxhash64(F.lit(seed), F.lit(salt), *more, F.col(key))
     return F.pmod(h, F.lit(2**53)).cast("double") / F.lit(float(2**53))
 
 
+def tree_tails(n_trees: int, frac: float) -> list[float]:
+    """P(a row is a candidate of k trees or more) for k = 1, 2, ..., as far as 53 bits tell it from 0."""
+    terms, term = [], n_trees * math.log1p(-frac)
+    for k in range(1, n_trees + 1):
+        term += math.log(n_trees - k + 1) - math.log(k) + math.log(frac) - math.log1p(-frac)
+        terms.append(math.exp(term))
+    tails = np.cumsum(terms[::-1])[::-1]
+    return [float(min(t, 1.0)) for t in tails if t >= 2.0**-53]
+
+
+def candidate_trees(df: DataFrame, key: str, n_trees: int, frac: float, seed: int) -> DataFrame:
+    """One row per (row, tree) with each pair there with probability ``frac``, independently: adds ``tree_id``."""
+    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    if frac >= 1.0:
+        return df.withColumn("tree_id", F.explode(trees))
+    tails = tree_tails(n_trees, frac)
+    taken = df.withColumn("_d", _draw(seed, "trees", key)).where(F.col("_d") < F.lit(tails[0]))
+    how_many = F.size(F.filter(F.array(*[F.lit(t) for t in tails]), lambda t: F.col("_d") < t))
+    mixed = F.array_sort(F.transform(trees, lambda t: F.struct(F.xxhash64(F.lit(seed), F.lit("which"), t, F.col(key)).alias("h"), t.alias("t"))))
+    chosen = F.transform(F.slice(mixed, F.lit(1), how_many), lambda s: s["t"])
+    return taken.withColumn("tree_id", F.explode(chosen)).drop("_d")
+
+
 def tree_samples(df: DataFrame, key: str, feature_cols: list[str], n_trees: int, psi: int, n: int,
                  seed: int) -> DataFrame:
     """``(tree_id, key, features)``: exactly ``psi`` rows per tree, without replacement."""
     frac = min(1.0, (psi + 6.0 * math.sqrt(psi) + 10.0) / max(n, 1))
     while True:
-        trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-        kept = F.filter(trees, lambda t: _tree_draw(seed, t, key) < F.lit(frac)) if frac < 1.0 else trees
-        pairs = df.select(key, *feature_cols, F.explode(kept).alias("tree_id")).withColumn(
-            "_u", _tree_draw(seed, F.col("tree_id"), key)
+        pairs = candidate_trees(df.select(key, *feature_cols), key, n_trees, frac, seed).withColumn(
+            "_u", _draw(seed, "rank", key, F.col("tree_id"))
         )
         if frac >= 1.0:
             break
@@ -201,12 +225,11 @@ def fit_isolation_forest(
 ) -> Forest:
     """M5: fit on ``df`` (standardised first, as the reference does)."""
     ship_package(df.sparkSession)
-    n = df.count()
+    scaler, n = fit_scaler_and_count(df, feature_cols)
     if n == 0:
         raise ValueError("cannot fit an isolation forest on no rows")
     psi = min(max_samples, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    scaler = fit_standard_scaler(df, feature_cols)
     scaled = df.select(key, *_scaled(df, scaler, feature_cols))
     fcols = [f"_f{i}" for i in range(len(feature_cols))]
     sample = tree_samples(scaled, key, fcols, n_trees, psi, n, seed)

@@ -8,23 +8,26 @@ A window with an ORDER BY and no PARTITION BY runs in one task. Instead:
 2. the ranged rows are checkpointed to the shared checkpoint folder, so the
    partition ids stay fixed even if an executor is lost and the range bounds
    would be re-sampled on recomputation;
-3. local running sums: a running window per range partition (balanced by
-   construction), or, for plain row numbers, the row's position within its
-   partition read from ``monotonically_increasing_id`` (consecutive within a
-   partition; no further shuffle);
+3. local running sums: whole numbers are added up in the sorted partition itself
+   (``mapInArrow``, no second shuffle), other sums by a running window per range
+   partition (balanced by construction); for plain row numbers, the row's position
+   within its partition is read from ``monotonically_increasing_id`` (consecutive
+   within a partition; no further shuffle);
 4. per-partition totals (one row per partition, a proven bound) are
    collected, turned into offsets and joined back by broadcast.
 
-Everything runs in the JVM. The order columns must make the order total
+The number of partitions grows with the bytes that the plan reads
+(``partitions_for``). Only the sums of whole numbers leave the JVM. The order columns must make the order total
 (end with a unique key) for a deterministic result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,12 +35,28 @@ from pyspark.sql import types as T
 from txnwatch.session import ensure_checkpoint_dir
 
 PID = "_pid"
+#: Bytes of a range partition, by the optimizer's estimate.
+PARTITION_BYTES = 128 << 20
 
 
-def _ranged(df: DataFrame, order_cols: list[Column], n: int, local_index: bool = False) -> DataFrame:
+def partitions_for(df: DataFrame) -> int:
+    """Range partitions for ``df``: one for ``PARTITION_BYTES``, ``spark.sql.shuffle.partitions`` at least.
+
+    The size is the optimizer's estimate of the result or, where joins blow that up, what the plan's leaves read; leaves
+    of unknown size (reported as Spark's default of exabytes) count nothing.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)
+    size = min(int(str(plan.stats().sizeInBytes())), known)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+
+
+def _ranged(df: DataFrame, order_cols: list[Column], n: int, ordered: bool = False, local_index: bool = False) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     ranged = df.repartitionByRange(n, *order_cols)
-    if local_index:
+    if ordered or local_index:
         ranged = ranged.sortWithinPartitions(*order_cols)
     ranged = ranged.withColumn(PID, F.spark_partition_id())
     if local_index:
@@ -70,6 +89,25 @@ def _offsets(ranged: DataFrame, totals: dict[str, Column]) -> tuple[DataFrame, d
     return spark.createDataFrame(fixed, schema), running
 
 
+def _running(names: list[str]):
+    """Running sums of the ``_v_`` columns over a task's rows as they come: one number a column is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto = dict.fromkeys(names, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sums = []
+            for k in names:
+                total = np.cumsum(batch.column(f"_v_{k}").to_numpy(zero_copy_only=False)) + upto[k]
+                upto[k] = total[-1]
+                sums.append(pa.array(total, pa.int64()))
+            columns = [f"_c_{k}" for k in names]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *sums], names=[*batch.schema.names, *columns])
+
+    return run
+
+
 def prefix_sums(
     df: DataFrame,
     order: Sequence[Column | str],
@@ -82,15 +120,19 @@ def prefix_sums(
     """
     if not values:
         raise ValueError("no values to sum")
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or partitions_for(df)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     names = list(values)
-    with_vals = df.withColumns({f"_v_{k}": F.coalesce(v, F.lit(0)) for k, v in values.items()})
-    ranged = _ranged(with_vals, order_cols, n)
+    whole = all(t in ("tinyint", "smallint", "int", "bigint") for _, t in df.select(*values.values()).dtypes)
+    given = {f"_v_{k}": F.coalesce(v.cast("bigint") if whole else v, F.lit(0)) for k, v in values.items()}
+    ranged = _ranged(df.withColumns(given), order_cols, n, ordered=whole)
     off, _ = _offsets(ranged, {k: F.sum(f"_v_{k}") for k in names})
-    w = Window.partitionBy(PID).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumns({f"_c_{k}": F.sum(f"_v_{k}").over(w) for k in names})
+    if whole:
+        fields = [T.StructField(f"_c_{k}", T.LongType()) for k in names]
+        local = ranged.mapInArrow(_running(names), T.StructType([*ranged.schema.fields, *fields]))
+    else:
+        w = Window.partitionBy(PID).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = ranged.withColumns({f"_c_{k}": F.sum(f"_v_{k}").over(w) for k in names})
     joined = local.join(F.broadcast(off), PID, "left")
     out = joined.withColumns({k: F.col(f"_c_{k}") + F.coalesce(F.col(f"_o_{k}"), F.lit(0)) for k in names})
     drop = [PID] + [f"_{p}_{k}" for k in names for p in ("v", "c", "o")]
@@ -100,8 +142,7 @@ def prefix_sums(
 def row_numbers(df: DataFrame, order: Sequence[Column | str], name: str = "row_number",
                 num_partitions: int | None = None) -> DataFrame:
     """1-based position of each row in ``order`` (W4): one range shuffle, no window."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or partitions_for(df)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = _ranged(df, order_cols, n, local_index=True)
     off, _ = _offsets(ranged, {"_n": F.count(F.lit(1))})

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.functions.draws import keyed_uniform
-from txnwatch.operators.prefix import prefix_sums, row_numbers
+from txnwatch.operators.prefix import row_numbers
 from txnwatch.operators.quality import require_positive
 from txnwatch.schema import RANDOM_SEED, TEST_SIZE
 
@@ -95,7 +95,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = TES
                      seed: int = RANDOM_SEED) -> Split:
     """C3 + C4: exact per-class test sizes; test rows are each class's smallest draws.
 
-    One prefix-count pass over ``(label, draw, key)`` gives every row its rank
+    One numbering of the rows over ``(label, draw, key)`` gives every row its rank
     within its class (global rank minus the rows of smaller labels).
     """
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
@@ -112,9 +112,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = TES
         cond = F.col(label) == F.lit(c)
         start_expr = F.when(cond, F.lit(start[c])) if start_expr is None else start_expr.when(cond, F.lit(start[c]))
         quota_expr = F.when(cond, F.lit(alloc[c])) if quota_expr is None else quota_expr.when(cond, F.lit(alloc[c]))
-    ranked = prefix_sums(
-        df, [F.col(label), keyed_uniform(f"split{seed}", key), F.col(key)], {"_rk": F.lit(1).cast("bigint")}
-    )
+    ranked = row_numbers(df, [F.col(label), keyed_uniform(f"split{seed}", key), F.col(key)], "_rk")
     tagged = ranked.withColumn("_is_test", (F.col("_rk") - start_expr) <= quota_expr).drop("_rk")
     return Split(
         train=tagged.where(~F.col("_is_test")).drop("_is_test"),
