@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from txnwatch.catalog import REGISTRY, _with, register, views
+from txnwatch.operators.categories import category_index, category_places, fit_category_logistic
 from txnwatch.operators.features import ScalerParams, fit_encoder, fit_one_hot, fit_standard_scaler
 from txnwatch.operators.iforest import (
     NODE_SCHEMA,
@@ -56,6 +57,28 @@ def q_one_hot(spark, sf_dir):
     return txn.select("transaction_id", *params.columns())
 
 
+_MANY = ["channel", "merchant_category", "account_id"]
+_INDEX_SQL = " UNION ".join(f"SELECT {i} AS no, CAST({c} AS VARCHAR) AS value FROM txn WHERE {c} IS NOT NULL" for i, c in enumerate(_MANY))
+
+
+@register(
+    "one_hot_places",
+    _with(
+        f"""SELECT transaction_id, {", ".join(f"i{i}.place AS at_{c}" for i, c in enumerate(_MANY))} FROM txn """
+        + " ".join(
+            f"LEFT JOIN (SELECT no, value, row_number() OVER (ORDER BY no, value) - 1 AS place FROM ({_INDEX_SQL})) i{i} "
+            f"ON i{i}.no = {i} AND i{i}.value = CAST(txn.{c} AS VARCHAR)"
+            for i, c in enumerate(_MANY)
+        )
+    ),
+)
+def q_one_hot_places(spark, sf_dir):
+    """M2 for many categories: the places that are 1, every account a category, from a table of categories."""
+    txn, _ = views(spark, sf_dir)
+    rows = txn.select("transaction_id", *_MANY)
+    return category_places(rows, category_index(rows, _MANY), _MANY).select("transaction_id", *[f"at_{c}" for c in _MANY])
+
+
 def _split(spark, sf_dir):
     """Model inputs (read by many passes: split, fit, score), checkpointed once."""
     txn, _ = views(spark, sf_dir)
@@ -258,6 +281,27 @@ def q_logistic_fit_check(spark, sf_dir):
     )
 
 
+@register(
+    "logistic_categories_check",
+    _with(
+        f"""SELECT count(*) AS rows_scored, {" + ".join(f"count(DISTINCT {c})" for c in _MANY)} AS categories, true AS converged,
+       0.0::DOUBLE AS max_gradient FROM txn_ev"""
+    ),
+)
+def q_logistic_categories_check(spark, sf_dir):
+    """M3, M4 with every account a category: the fit over all rows ends where the gradient vanishes, and scores every row."""
+    txn, _ = views(spark, sf_dir)
+    rows = txn.select("transaction_id", "label", *NUMERIC_FEATURES, *_MANY).checkpoint(eager=True)
+    model = fit_category_logistic(rows, "label", NUMERIC_FEATURES, _MANY)
+    scored = model.probability(rows).where(F.col("ml_probability").between(0, 1))
+    return scored.agg(F.count(F.lit(1)).alias("rows_scored")).select(
+        "rows_scored",
+        F.lit(model.table.count()).cast("bigint").alias("categories"),
+        F.lit(model.converged).alias("converged"),
+        F.lit(round(model.max_gradient / rows.count(), 6)).alias("max_gradient"),
+    )
+
+
 @register(
     "iforest_fit_check",
     _with(

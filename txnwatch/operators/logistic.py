@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import warnings
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -238,6 +239,16 @@ def _fit_lbfgs(data: DataFrame, encoder: FeatureEncoder, max_passes: int, tol: f
             total[k] = x
         return float(total[0]) + 0.5 * float(beta @ beta), total[1:] + beta
 
+    beta, largest, done = minimise(at, d, tol * max(1.0, weight), max_passes)
+    return LogisticModel(encoder, float(beta[0]), [float(b) for b in beta[1:]], "lbfgs", done, largest)
+
+
+def minimise(at: Callable[[np.ndarray], tuple[float, np.ndarray]], d: int, limit: float, max_passes: int) -> tuple[np.ndarray, float, bool]:
+    """L-BFGS from zero on a strictly convex loss: (place, largest part of the gradient there, whether that is within ``limit``).
+
+    ``at`` gives loss and gradient; the driver holds ``MEMORY`` pairs of d numbers. Warns where the passes do not suffice.
+    """
+
     def direction(gradient: np.ndarray) -> np.ndarray:
         q, scales = gradient.copy(), []
         for s, y in reversed(pairs):
@@ -252,7 +263,7 @@ def _fit_lbfgs(data: DataFrame, encoder: FeatureEncoder, max_passes: int, tol: f
 
     beta, pairs = np.zeros(d), deque(maxlen=MEMORY)
     loss, gradient = at(beta)
-    passes, limit = 1, tol * max(1.0, weight)
+    passes = 1
     while float(np.abs(gradient).max()) > limit and passes < max_passes:
         step = direction(gradient)
         size = 1.0 if pairs else min(1.0, 1.0 / float(np.linalg.norm(gradient)))
@@ -273,5 +284,5 @@ def _fit_lbfgs(data: DataFrame, encoder: FeatureEncoder, max_passes: int, tol: f
         beta, (loss, gradient) = beta + s, found
     largest = float(np.abs(gradient).max())
     if largest > limit:
-        warnings.warn(f"logistic fit stopped after {passes} passes with a gradient of {largest:.3g}", stacklevel=2)
-    return LogisticModel(encoder, float(beta[0]), [float(b) for b in beta[1:]], "lbfgs", largest <= limit, largest)
+        warnings.warn(f"logistic fit stopped after {passes} passes with a gradient of {largest:.3g}", stacklevel=3)
+    return beta, largest, largest <= limit
