@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -174,3 +176,68 @@ def hard_negatives(rows, anchors: int = 50, positives: int = 5, negatives: int =
             fits = [s for s in scored if s[2] != la and 50 * -minus <= 100 * -s[0] <= 95 * -minus][:negatives]
             out += [(a, p, rank, s[1], -minus, -s[0]) for rank, s in enumerate(fits, 1)]
     return sorted(out)
+
+
+def byte_grams(text: str) -> Counter:
+    """Slots (of 2**13) of the byte n-grams of a text, n from 1 to 4, that do not begin with two blanks."""
+    data = []
+    for b in (text or "").encode():
+        if 65 <= b <= 90:
+            b += 32
+        if b < 128 and not 97 <= b <= 122:
+            b = 32
+        if data and data[-1] == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97:
+            b += 32
+        data.append(b)
+    out = Counter()
+    for n in (1, 2, 3, 4):
+        for i in range(len(data) - n + 1):
+            gram = data[i : i + n]
+            if gram[0] == 32 and (n == 1 or gram[1] == 32):
+                continue
+            h = 0
+            for b in gram:
+                h = (h * 0x100000001B3 + b + n) % 2**64
+            out[h * 0x9E3779B97F4A7C15 % 2**64 >> 51] += 1
+    return out
+
+
+def language_model(texts: list[tuple[str, str]]) -> tuple:
+    """Languages, code words and, for each bit, weights by slot, middle, half gap and say, from (language, text)."""
+    names = sorted({lang for lang, _ in texts})
+    share = {}
+    for lang in names:
+        counts = sum((byte_grams(t) for own, t in texts if own == lang), Counter())
+        total = sum(counts.values())
+        raw = [counts[k] / max(total, 1) + 0.1 / 8192 for k in range(8192)]
+        share[lang] = [x / sum(raw) for x in raw]
+    assert 2 <= len(names) <= 6
+    codes = {lang: [1 if i == 0 or not c >> (i - 1) & 1 else -1 for c in range(1, 2 ** (len(names) - 1))] for i, lang in enumerate(names)}
+    bits = []
+    for j in range(len(codes[names[0]])):
+        one, other = ([lang for lang in names if codes[lang][j] == sign] for sign in (1, -1))
+        weight = [
+            math.log(sum(share[x][k] for x in one) / len(one)) - math.log(sum(share[x][k] for x in other) / len(other)) for k in range(8192)
+        ]
+        centre = {lang: sum(p * w for p, w in zip(share[lang], weight, strict=True)) for lang in names}
+        low, high = max(centre[x] for x in other), min(centre[x] for x in one)
+        bits.append((weight, (low + high) / 2, max(high - low, 1e-6) / 2))
+    total = sum(gap for _, _, gap in bits)
+    return names, codes, [(w, middle, gap, gap / total) for w, middle, gap in bits]
+
+
+def language(text: str | None, model: tuple) -> tuple[str, float]:
+    names, codes, bits = model
+    if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+        return "und", 0.0
+    grams = byte_grams(text)
+    margins = []
+    for weight, middle, gap, _ in bits:
+        mean = sum(n * weight[k] for k, n in grams.items()) / sum(grams.values())
+        margins.append(max(-30, min(30, (mean - middle) / gap)))
+    loss = {
+        lang: sum(say * math.log1p(math.exp(-2 * m * c)) for m, c, (_, _, _, say) in zip(margins, codes[lang], bits, strict=True))
+        for lang in names
+    }
+    best = min(names, key=loss.get)
+    return best, 1 / sum(math.exp(-4 * (x - loss[best])) for x in loss.values())

@@ -102,6 +102,16 @@ def test_languages_held_out(spark, texts):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_languages_by_plain_counts_codes_and_decoding(spark, texts):
+    got = run(spark, "op8_ecoc_language")
+    learned = [(r["lang"], r["text"]) for k, r in texts.items() if plain.crc(str(k)) % 3 != 1 and r["lang"] is not None and r["text"]]
+    model = plain.language_model(learned)
+    for k, r in texts.items():
+        lang, score = plain.language(r["text"], model)
+        assert got[k]["lang_pred"] == lang, k
+        assert abs(got[k]["score"] - score) < 1e-6, k
+
+
 def test_benchmark_overlaps(spark, texts):
     got = run(spark, "op9_spaced_seeds")
     import re

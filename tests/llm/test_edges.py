@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns; hard cases against plain versions."""
 
+import collections
 import hashlib
 import random
 
@@ -388,6 +389,26 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == {**dict.fromkeys(range(1, 65), 1), **dict.fromkeys(range(100, 400), 100)}
 
 
+def test_languages_of_odd_texts_by_a_fitted_model(spark):
+    """Null, blank and letterless texts, very long ones, repeated rows and clashing columns before a real decoder."""
+    taught = {"en": "the cat and the dog were in the house with", "de": "der Hund und die Katze waren in dem Haus mit", "fr": "le chien et le chat étaient dans la maison avec"}
+    model = langid.fit(spark.createDataFrame([(k, v) for k, v in taught.items()] * 3, "lang string, text string"))
+    assert model.languages == ["de", "en", "fr"]
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "123 !? 4.5"), (5, taught["fr"] + " "), (6, taught["de"]), (6, taught["de"]), (7, (taught["en"] + " 12 ") * 20_000),
+            (None, taught["en"]), (8, "日本語 😀"), (9, "x")]
+    docs = spark.createDataFrame([(*r, "zz", 7.0, True, "s") for r in rows], "doc_id int, text string, lang_pred string, score double, ambiguous boolean, lang string")
+    got = collections.defaultdict(set)
+    out = langid.predict(docs, model)
+    assert out.columns == ["doc_id", "lang_pred", "score", "ambiguous"] and out.count() == len(rows)
+    for r in out.collect():
+        assert 0.0 <= r["score"] <= 1.0
+        got[r["doc_id"]].add((r["lang_pred"], r["score"]))
+    assert all(got[k] == {("und", 0.0)} for k in (1, 2, 3, 4))
+    assert [{p for p, _ in got[k]} for k in (5, 6, 7, None)] == [{"fr"}, {"de"}, {"en"}, {"en"}]
+    assert len(got[6]) == 1 and {p for p, _ in got[8] | got[9]} <= {*taught}
+    assert langid.predict(docs.limit(0), model).count() == 0
+
+
 def test_codewords_differ_in_many_bits():
     for n in (2, 3, 4, 6, 12, 40):
         codes = langid.codewords(n)
