@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import pickle
 
 import numpy as np
 import plain
@@ -173,3 +174,11 @@ def test_negative_edges(spark):
     exact = spark.createDataFrame(big, "vec_id bigint, embedding array<double>, label int")
     got = negative_rows(negatives.hard_negatives(exact, F.col("vec_id") == 0, F.col("label")))
     assert got == [(0, 1, 1, 2, 2**60 + 2**16, 2**59 + 5 * 2**16)]
+
+
+def test_a_filter_travels_compressed():
+    flags = np.zeros(1 << 21, np.uint8)
+    flags[::5000] = 7
+    sent = pickle.dumps(HashFilter(flags.tobytes()))
+    back = pickle.loads(sent)
+    assert len(sent) < 1 << 16 and back.flags == flags.tobytes() and back.log2 == 24

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +19,21 @@ def log2_bits(keys: int) -> int:
 
 
 class HashFilter:
-    """Two bits for each hash. Without false negatives; a full filter only lets more through."""
+    """Two bits for each hash. Without false negatives; a full filter only lets more through.
+
+    It travels compressed: with few keys it is almost all zeros, and executors keep what travels for a while.
+    """
 
     def __init__(self, flags: bytes):
         self.flags = flags
         self.log2 = (8 * len(flags)).bit_length() - 1
 
+    def __getstate__(self) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(self.flags)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__init__(zstandard.ZstdDecompressor().decompress(state))
+
     @staticmethod
     def of(hashes: DataFrame, column: str, keys: int | None = None) -> HashFilter:
         """The filter of the distinct 64-bit hashes in ``column``; ``keys`` is their number where it is known.

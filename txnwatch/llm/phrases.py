@@ -254,17 +254,17 @@ def _cell_counts(n: int, known: list[HashFilter], bits: int, log2: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "gaps", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [np.zeros(0, np.int64)], 0
+        held, rows = [np.zeros(0, np.int32)], 0  # a cell has at most MOST_CELLS bits
         for batch in batches:
             seeds = _seeds(batch)
             for first, data, offsets in _parts(batch.column("text")):
                 grams = Grams(data, offsets, seeds[first : first + len(offsets) - 1], bits)
                 _, hashes = grams.survivors(n, known)
-                held.append((hashes >> tv.U(64 - log2)).astype(np.int64))
+                held.append((hashes >> tv.U(64 - log2)).astype(np.int32))
                 rows += len(hashes)
                 if rows >= 4 * HELD:
                     yield from sent(held)
-                    held, rows = [np.zeros(0, np.int64)], 0
+                    held, rows = [np.zeros(0, np.int32)], 0
         yield from sent(held)
 
     return run
