@@ -1,8 +1,8 @@
 """Operators 11 to 13: brute force, edges, ties, repeated rows, empty tables, clashing columns, forced collisions."""
 
 import hashlib
-import random
 import pickle
+import random
 
 import numpy as np
 import plain
