@@ -53,6 +53,14 @@ def test_partitions_grow_with_the_bytes(spark):
     assert 800 <= partitions_for(huge) <= 900
 
 
+def test_partitions_of_a_checkpointed_join_follow_its_rows(spark):
+    """Without column statistics a join is estimated as the product of its sides, and a checkpoint keeps that estimate."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = spark.range(20_000).join(spark.range(20_000).withColumn("v", F.col("id") * 2), "id").checkpoint()
+    assert partitions_for(joined) == least
+    assert row_numbers(joined, ["id"]).where("row_number = id + 1").count() == 20_000
+
+
 def test_exact_quantile_matches_numpy(spark):
     ev = read_table(spark, SF_SMALL, "events").select("event_id", "value")
     vals = ev.toPandas()["value"].to_numpy()
@@ -75,6 +83,13 @@ def test_stratified_sample(spark):
         stratified_sample(raw, 0)
 
 
+def test_sample_of_many_frauds_keeps_other_rows(spark):
+    rows = spark.range(90).select(F.col("id").alias("event_id"), (F.col("id") % 3 > 0).cast("int").alias("Class"))
+    for size, least, other in ((40, 20, 20), (40, 50, 30), (70, 20, 20), (75, 5, 15), (40, 0, 0)):
+        got = {r[0]: r[1] for r in stratified_sample(rows, size, least_other=least).groupBy("Class").count().collect()}
+        assert got == {1: 60} | ({0: other} if other else {})
+
+
 def test_stratified_split(spark):
     raw = raw_from_events(read_table(spark, SF_SMALL, "events"))
     sp = stratified_split(raw, "Class", "event_id")

@@ -54,3 +54,16 @@ def test_command_line_job_from_raw_csv(spark):
     summary = training.main(["--raw", f"{root}/raw", "--out", f"{root}/out", "--sample-size", "300"])
     tx, pr = store.read_monitoring_tables(spark, f"{root}/out")
     assert tx.count() == summary["rows_processed"] == pr.count()
+
+
+def test_more_frauds_than_the_sample_size(spark):
+    """All fraud rows go into the sample; normal rows must still be there, or no model can be fitted."""
+    i = F.col("event_id")
+    raw = spark.range(240).withColumnRenamed("id", "event_id").select(
+        "event_id", (i * 977.0).alias("Time"), (i * 37 % 101 + 0.5).alias("Amount"), (i % 3 == 0).cast("int").alias("Class")
+    )
+    root = tempfile.mkdtemp(prefix="frauds-")
+    summary = training.run_training(spark, raw, root, sample_size=60)
+    assert (summary["rows_processed"], summary["fraud_rows"], summary["sample_size"]) == (240, 80, 60)
+    assert 0.0 < summary["metric_test_positive_rate"] < 1.0
+    assert store.read_monitoring_tables(spark, root)[1].count() == 240

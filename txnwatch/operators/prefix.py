@@ -16,8 +16,8 @@ A window with an ORDER BY and no PARTITION BY runs in one task. Instead:
 4. per-partition totals (one row per partition, a proven bound) are
    collected, turned into offsets and joined back by broadcast.
 
-The number of partitions grows with the bytes that the plan reads
-(``partitions_for``). Only the sums of whole numbers leave the JVM. The order columns must make the order total
+The number of partitions grows with the bytes that the plan reads, or
+with the rows where that estimate is out of hand (``partitions_for``). Only the sums of whole numbers leave the JVM. The order columns must make the order total
 (end with a unique key) for a deterministic result.
 """
 
@@ -43,14 +43,25 @@ def partitions_for(df: DataFrame) -> int:
     """Range partitions for ``df``: one for ``PARTITION_BYTES``, ``spark.sql.shuffle.partitions`` at least.
 
     The size is the optimizer's estimate of the result or, where joins blow that up, what the plan's leaves read; leaves
-    of unknown size (reported as Spark's default of exabytes) count nothing.
+    of unknown size (reported as Spark's default of exabytes) count nothing. A checkpointed leaf keeps the
+    estimate of the plan that made it, blown up by that plan's joins. So where the estimate asks for more than the least, the
+    rows are counted, and their number by the width of the schema bounds it.
     """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     known = sum(s for s in sizes if s < 1 << 60)
     size = min(int(str(plan.stats().sizeInBytes())), known)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    if size > least * PARTITION_BYTES:
+        size = min(size, df.count() * row_bytes(df.schema))
+    return max(least, -(-size // PARTITION_BYTES))
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """Bytes of a row in memory, as Spark lays it out: 8 for each column, and 32 more for each that has no fixed width."""
+    fixed = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    return 16 + sum(8 if isinstance(f.dataType, fixed) else 40 for f in schema.fields)
 
 
 def _ranged(df: DataFrame, order_cols: list[Column], n: int, ordered: bool = False, local_index: bool = False) -> DataFrame:

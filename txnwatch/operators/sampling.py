@@ -43,12 +43,13 @@ def take_smallest(df: DataFrame, m: int, draw: Column, key: str, total: int | No
 
 
 def stratified_sample(df: DataFrame, sample_size: int, label: str = "Class", key: str = "event_id",
-                      seed: int = RANDOM_SEED) -> DataFrame:
+                      seed: int = RANDOM_SEED, least_other: int = 0) -> DataFrame:
     """Keep every fraud row, fill up with non-fraud rows to ``sample_size``.
 
     Returns everything when ``sample_size`` reaches the row count; may return
     more than asked when fraud rows alone exceed it. A row whose label is not 1
-    (NULL included) is non-fraud.
+    (NULL included) is non-fraud. However many fraud rows there are, ``least_other``
+    non-fraud rows (or all, if fewer) come with them: a fit needs both classes.
     """
     require_positive(sample_size, "sample_size")
     is_fraud = F.col(label).eqNullSafe(1)
@@ -56,7 +57,7 @@ def stratified_sample(df: DataFrame, sample_size: int, label: str = "Class", key
     if sample_size >= n:
         return df
     n_non = n - n_fraud
-    target = min(max(sample_size - n_fraud, 0), n_non)
+    target = min(max(sample_size - n_fraud, least_other, 0), n_non)
     fraud = df.where(is_fraud)
     non = take_smallest(df.where(~is_fraud), target, keyed_uniform(f"sample{seed}", key), key, n_non)
     return fraud.unionByName(non)

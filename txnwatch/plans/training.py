@@ -187,7 +187,8 @@ def run_training(spark: SparkSession, raw: DataFrame, root: str, sample_size: in
     """M9: the whole batch job; returns the run summary and writes everything under ``root``."""
     ensure_checkpoint_dir(spark)
     txn = enrich_transactions(raw, key=key, seed=seed).checkpoint(eager=True)
-    sampled = stratified_sample(txn, sample_size, label="is_fraud", key=key, seed=seed)
+    # All fraud rows of a large table may outnumber the sample; the fits still see normal rows, half the sample size.
+    sampled = stratified_sample(txn, sample_size, label="is_fraud", key=key, seed=seed, least_other=-(-sample_size // 2))
     split = stratified_split(sampled.where(F.col("is_fraud").isNotNull()), "is_fraud", "transaction_id", seed=seed)
     bundle = train_models(split.train, split.test, exact=exact, seed=seed)
     save_models(spark, bundle, root)
