@@ -134,3 +134,21 @@ def test_a_hot_account_is_measured_and_spread(spark):
     assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 1200
     assert "Union" in split._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in add_account_rollups(df, hot_rows=10_000)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_grow_with_the_bytes(spark, monkeypatch):
+    """Where many bytes are read, (account, bucket) groups go to more tasks than the least; results stay."""
+    from txnwatch.operators import rolling
+
+    df = spark.range(400).select(
+        F.format_string("t%04d", "id").alias("transaction_id"), (F.col("id") % 5).alias("account_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 1000).cast("timestamp_ntz").alias("transaction_timestamp"),
+        (F.col("id") % 9).cast("double").alias("Amount"),
+    ).checkpoint()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain = add_account_rollups(df).orderBy("transaction_id").collect()
+    monkeypatch.setattr(rolling, "TASK_BYTES", 400)
+    many = add_account_rollups(df)
+    dealt = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [account_id" in dealt and many.rdd.getNumPartitions() > least
+    assert many.orderBy("transaction_id").collect() == plain

@@ -39,8 +39,8 @@ PID = "_pid"
 PARTITION_BYTES = 128 << 20
 
 
-def partitions_for(df: DataFrame) -> int:
-    """Range partitions for ``df``: one for ``PARTITION_BYTES``, ``spark.sql.shuffle.partitions`` at least.
+def partitions_for(df: DataFrame, each: int = PARTITION_BYTES) -> int:
+    """Partitions for ``df``: one for ``each`` bytes, ``spark.sql.shuffle.partitions`` at least.
 
     The size is the optimizer's estimate of the result or, where joins blow that up, what the plan's leaves read; leaves
     of unknown size (reported as Spark's default of exabytes) count nothing. A checkpointed leaf keeps the
@@ -53,9 +53,9 @@ def partitions_for(df: DataFrame) -> int:
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     known = sum(s for s in sizes if s < 1 << 60)
     size = min(int(str(plan.stats().sizeInBytes())), known)
-    if size > least * PARTITION_BYTES:
+    if size > least * each:
         size = min(size, df.count() * row_bytes(df.schema))
-    return max(least, -(-size // PARTITION_BYTES))
+    return max(least, -(-size // each))
 
 
 def row_bytes(schema: T.StructType) -> int:

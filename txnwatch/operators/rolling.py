@@ -9,7 +9,8 @@ Plan: one scan and one exchange.
 
 * Time is cut into buckets as long as the longest window, so a row's frames lie
   in its own bucket and the one before. Each row is copied to its own bucket
-  and, as context, to the next one; rows are dealt by ``(account, bucket)``.
+  and, as context, to the next one; rows are dealt by ``(account, bucket)``, to more
+  tasks where more bytes are read.
 * ``count(t-W, t] = C(t) - C(t-W)`` with C the running count in that group.
   Lower bounds are marker rows at ``t - W``, sorted after data rows of the same
   instant, whose running count is ``C(t - W)``. Running frames are linear in the
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.functions.scalars import micros_ntz
-from txnwatch.operators.prefix import prefix_sums
+from txnwatch.operators.prefix import partitions_for, prefix_sums
 from txnwatch.schema import DAY_US, HOUR_US
 
 #: Exact for amounts below 1e15 with twelve decimal places; sums have ten more digits.
@@ -41,6 +42,8 @@ AMOUNT_TYPE = "decimal(27,12)"
 SUM_TYPE = "decimal(37,12)"
 #: Rows of one account and bucket that a task takes with ease.
 HOT_ROWS = 1_000_000
+#: Bytes read for a task of the plain form: files unfold several times in memory, and a row is there with its markers.
+TASK_BYTES = 2 << 20
 #: Hot accounts up to which they are told apart by a broadcast of their numbers (about 2 MB).
 BROADCAST_ACCOUNTS = 1 << 17
 #: Rows without account or time belong to no window; they are spread over so many groups.
@@ -124,6 +127,10 @@ def account_window_stats(
         summed = prefix_sums(marked, [F.col(account), "_us", "_place", F.col(tie)], {"_cn": one, "_cs": F.col("_amt")})
         group = Window.partitionBy(tie)
     else:
+        # More groups of (account, bucket) in a task are more memory: the tasks grow in number with the input.
+        n = partitions_for(df, TASK_BYTES)
+        if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            marked = marked.repartition(n, F.col(account), F.col("_bucket"))
         running = Window.partitionBy(account, "_bucket").orderBy("_us", "_place", tie)
         running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         zero = F.lit(0).cast(SUM_TYPE)
