@@ -186,3 +186,32 @@ def test_rows_for_the_forest_fall_back_to_all(spark):
     assert [r["k"] for r in normal_rows(some, "y").collect()] == [1]
     assert normal_rows(some.where("y = 1"), "y").count() == 1
     assert normal_rows(some.limit(0), "y").count() == 0
+
+
+def test_forest_walk_is_that_of_each_row(monkeypatch):
+    """Batches longer than a walk's rows, NaN and values on a threshold: the mean path is that of walking each tree by hand."""
+    import pandas as pd
+
+    from txnwatch.operators import iforest
+
+    monkeypatch.setattr(iforest, "WALKED", 7)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, size=(40, 2)).astype(float)
+    rows = [(t, *n) for t in range(4) for n in iforest._grow_tree(x[rng.permutation(40)[:16]], rng, 4)]
+    nodes = pd.DataFrame(rows, columns=[f.name for f in iforest.NODE_SCHEMA.fields])
+    forest = iforest.Forest(["a", "b"], None, nodes, 16, -0.5, 4)
+    x[3, 1], x[4, 0] = np.nan, nodes["threshold"].max()
+    table = {(r.tree_id, r.node_id): r for r in nodes.itertuples()}
+
+    def path(row, tree):
+        at = table[tree, 0]
+        while at.feature >= 0:
+            at = table[tree, at.left if row[at.feature] <= at.threshold else at.right]
+        return at.leaf_path
+
+    class Held:
+        value = forest.arrays()
+
+    got = pd.concat(iforest._scorer(Held, 2, True, 0.0)(iter([pd.DataFrame(x, columns=["_f0", "_f1"])])))
+    expected = [-(2.0 ** (-np.mean([path(r, t) for t in range(4)]) / iforest.average_path_length(16))) for r in x]
+    assert np.allclose(got["anomaly_score"], expected, rtol=0, atol=1e-12)

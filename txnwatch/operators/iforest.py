@@ -43,6 +43,8 @@ from txnwatch.session import ship_package
 from txnwatch.schema import IFOREST_CONTAMINATION, IFOREST_MAX_SAMPLES, IFOREST_TREES, RANDOM_SEED
 
 EULER_GAMMA = 0.5772156649015329
+#: Rows of a batch that walk the trees together.
+WALKED = 512
 NODE_SCHEMA = T.StructType(
     [
         T.StructField("tree_id", T.IntegerType(), False),
@@ -254,22 +256,26 @@ def fit_isolation_forest(
 def _scorer(arrays_bc, n_features: int, raw: bool, offset: float):
     def run(batches):
         a = arrays_bc.value
-        feature, threshold = a["feature"], a["threshold"]
-        left, right, leaf_path = a["left"], a["right"], a["leaf_path"]
-        n_trees = feature.shape[0]
-        tree_idx = np.arange(n_trees)[None, :]
+        n_trees, width = a["feature"].shape
+        # One flat table of nodes; a place in it is tree * width + node.
+        roots = (np.arange(n_trees) * width).astype(np.intp)
+        feature, threshold, leaf_path = (a[k].ravel() for k in ("feature", "threshold", "leaf_path"))
+        is_leaf = feature < 0
+        column = np.maximum(feature, 0).astype(np.intp)
+        here = np.arange(feature.size)
+        left, right = (np.where(is_leaf, here, (a[k] + roots[:, None]).ravel()).astype(np.intp) for k in ("left", "right"))
         for pdf in batches:
             x = np.column_stack([pdf[f"_f{i}"].to_numpy(dtype=float) for i in range(n_features)])
             m = len(pdf)
-            node = np.zeros((m, n_trees), dtype=np.int64)
-            rows = np.arange(m)[:, None]
-            for _ in range(a["depth"] + 1):
-                f = feature[tree_idx, node]
-                leaf = f < 0
-                xv = x[np.broadcast_to(rows, node.shape), np.maximum(f, 0)]
-                nxt = np.where(xv <= threshold[tree_idx, node], left[tree_idx, node], right[tree_idx, node])
-                node = np.where(leaf, node, nxt)
-            mean_path = leaf_path[tree_idx, node].mean(axis=1) if m else np.zeros(0)
+            mean_path = np.zeros(m)
+            for start in range(0, m, WALKED):  # so many rows that the walk stays in the cache
+                part = np.ascontiguousarray(x[start : start + WALKED])
+                flat, first = part.ravel(), (np.arange(len(part)) * n_features)[:, None]
+                node = np.repeat(roots[None, :], len(part), axis=0)
+                for _ in range(a["depth"]):  # leaves lead to themselves
+                    low = flat.take(column.take(node) + first) <= threshold.take(node)
+                    node = np.where(low, left.take(node), right.take(node))
+                mean_path[start : start + WALKED] = leaf_path.take(node).mean(axis=1)
             score = -np.power(2.0, -mean_path / a["c_psi"]) if a["c_psi"] > 0 else np.full(m, -1.0)
             out = pdf.drop(columns=[f"_f{i}" for i in range(n_features)])
             decision = score if raw else score - offset
