@@ -330,3 +330,16 @@ def test_late_rows_correct_the_trend_and_are_kept(spark):
     write(rows.where(late), 1)
     assert live.read_day_trend(spark, root).collect() == mon.fraud_trend(txn, pred).collect()
     assert live.read_late_rows(spark, root).count() == 59
+
+
+def test_first_append_keeps_one_row_of_each_key(spark):
+    """Keys that come twice in a batch are stored once, in a store that is empty and in one that is not."""
+    txn, _ = _views(spark)
+    part = txn.where("event_id < 60").checkpoint()
+    twice = part.unionByName(part.where("event_id < 20"))
+    root = tempfile.mkdtemp(prefix="once-")
+    assert store._one_each(part, ["transaction_id"]).count() == 60 == store._one_each(twice, ["transaction_id"]).count()
+    assert store.append_live_predictions(twice, predictions_from_transactions(twice), root) == 60
+    assert store.append_live_predictions(twice, predictions_from_transactions(twice), root, run="second") == 0
+    tx, pr = store.read_monitoring_tables(spark, root)
+    assert tx.count() == 60 and pr.count() == 2 * predictions_from_transactions(part).count()

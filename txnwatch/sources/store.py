@@ -227,6 +227,12 @@ def read_totals(spark: SparkSession, root: str) -> DataFrame:
     return snapshots.read(spark, root, TOTALS, snapshots.current(spark, root), TOTALS_SCHEMA)
 
 
+def _one_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key, checkpointed. Only the keys are shuffled to see whether any comes twice; whole rows only if one does."""
+    rows = df.checkpoint(eager=True)
+    return rows if quality.key_violations(rows, keys).isEmpty() else rows.dropDuplicates(keys).checkpoint(eager=True)
+
+
 def append_live_predictions(transactions: DataFrame, predictions: DataFrame, root: str,
                             run: str = DEFAULT_RUN, check: bool = True) -> int:
     """Append transactions whose id is not stored yet, and predictions
@@ -243,10 +249,13 @@ def append_live_predictions(transactions: DataFrame, predictions: DataFrame, roo
     initialize_store(spark, root)
     base = snapshots.current(spark, root)
     tx = conform_transactions(transactions).withColumn("txn_date", F.to_date("transaction_timestamp"))
-    tx = tx.dropDuplicates(["transaction_id"]).checkpoint(eager=True)
-    pr = _with_run(predictions, run).dropDuplicates(["transaction_id", "run"]).checkpoint(eager=True)
-    ids = tx.select("transaction_id").union(pr.select("transaction_id")).distinct().checkpoint(eager=True)
-    stored = snapshots.look_up(spark, root, base, ids, KEY_SCHEMA).checkpoint(eager=True)
+    tx = _one_each(tx, ["transaction_id"])
+    pr = _one_each(_with_run(predictions, run), ["transaction_id", "run"])
+    if any(s.rows.get(KEYS) for s in base.segments):
+        ids = tx.select("transaction_id").union(pr.select("transaction_id")).distinct().checkpoint(eager=True)
+        stored = snapshots.look_up(spark, root, base, ids, KEY_SCHEMA).checkpoint(eager=True)
+    else:  # known to be empty, so that no join below moves a row for it
+        stored = spark.createDataFrame([], KEY_SCHEMA)
     known = stored.where(F.col("run").isNull()).drop("run")
     new_tx = tx.join(known.select("transaction_id"), "transaction_id", "left_anti")
     about = [c for c in KEY_SCHEMA.names if c != "run"]
