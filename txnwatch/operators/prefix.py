@@ -44,7 +44,7 @@ def partitions_for(df: DataFrame, each: int = PARTITION_BYTES) -> int:
 
     The size is the optimizer's estimate of the result or, where joins blow that up, what the plan's leaves read; leaves
     of unknown size (reported as Spark's default of exabytes) count nothing. A checkpointed leaf keeps the
-    estimate of the plan that made it, blown up by that plan's joins. So where the estimate asks for more than the least, the
+    estimate of the plan that made it, blown up by that plan's joins. So where such a leaf is read and the estimate asks for more than the least, the
     rows are counted, and their number by the width of the schema bounds it.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -53,7 +53,8 @@ def partitions_for(df: DataFrame, each: int = PARTITION_BYTES) -> int:
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     known = sum(s for s in sizes if s < 1 << 60)
     size = min(int(str(plan.stats().sizeInBytes())), known)
-    if size > least * each:
+    checkpointed = any(leaves.apply(i).getClass().getSimpleName() == "LogicalRDD" for i in range(leaves.size()))
+    if checkpointed and size > least * each:
         size = min(size, df.count() * row_bytes(df.schema))
     return max(least, -(-size // each))
 
