@@ -152,3 +152,25 @@ def test_tasks_grow_with_the_bytes(spark, monkeypatch):
     dealt = many._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [account_id" in dealt and many.rdd.getNumPartitions() > least
     assert many.orderBy("transaction_id").collect() == plain
+
+
+def test_few_tasks_are_dealt_finer_and_markers_carry_no_texts(spark, monkeypatch):
+    """A task's memory: more tasks from small inputs on, up to a number, and texts only on the rows themselves."""
+    from txnwatch.operators import rolling
+
+    df = spark.range(300).select(
+        F.format_string("t%04d", "id").alias("transaction_id"), (F.col("id") % 5).alias("account_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 1000).cast("timestamp_ntz").alias("transaction_timestamp"),
+        (F.col("id") % 9).cast("double").alias("Amount"), F.lit("a long text").alias("text"),
+    ).checkpoint()
+    marked = rolling._marked(df, {"w": HOUR_US}, "account_id", "transaction_timestamp", "Amount", "transaction_id", DAY_US)
+    texts = {(r["_kind"], r["text"]) for r in marked.select("_kind", "text").distinct().collect()}
+    assert texts == {(0, "a long text"), (1, None), (-1, None)}
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain = add_account_rollups(df).orderBy("transaction_id").collect()
+    monkeypatch.setattr(rolling, "FINE_BYTES", 400)
+    many = add_account_rollups(df)
+    assert many.rdd.getNumPartitions() > least + 5
+    assert many.orderBy("transaction_id").collect() == plain
+    monkeypatch.setattr(rolling, "FINE_TASKS", least + 5)
+    assert add_account_rollups(df).rdd.getNumPartitions() == least + 5

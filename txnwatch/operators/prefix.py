@@ -59,10 +59,12 @@ def partitions_for(df: DataFrame, each: int = PARTITION_BYTES) -> int:
     return max(least, -(-size // each))
 
 
+FIXED_WIDTH = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
 def row_bytes(schema: T.StructType) -> int:
     """Bytes of a row in memory, as Spark lays it out: 8 for each column, and 32 more for each that has no fixed width."""
-    fixed = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
-    return 16 + sum(8 if isinstance(f.dataType, fixed) else 40 for f in schema.fields)
+    return 16 + sum(8 if isinstance(f.dataType, FIXED_WIDTH) else 40 for f in schema.fields)
 
 
 def _ranged(df: DataFrame, order_cols: list[Column], n: int, ordered: bool = False, local_index: bool = False) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.functions.scalars import micros_ntz
-from txnwatch.operators.prefix import partitions_for, prefix_sums
+from txnwatch.operators.prefix import FIXED_WIDTH, partitions_for, prefix_sums
 from txnwatch.schema import DAY_US, HOUR_US
 
 #: Exact for amounts below 1e15 with twelve decimal places; sums have ten more digits.
@@ -44,6 +44,8 @@ SUM_TYPE = "decimal(37,12)"
 HOT_ROWS = 1_000_000
 #: Bytes read for a task of the plain form: files unfold several times in memory, and a row is there with its markers.
 TASK_BYTES = 2 << 20
+#: While tasks are few they are dealt finer, so that a task's memory is flat from small inputs on: bytes for each, up to so many tasks.
+FINE_BYTES, FINE_TASKS = 256 << 10, 1024
 #: Hot accounts up to which they are told apart by a broadcast of their numbers (about 2 MB).
 BROADCAST_ACCOUNTS = 1 << 17
 #: Rows without account or time belong to no window; they are spread over so many groups.
@@ -64,8 +66,9 @@ def hot_buckets(df: DataFrame, bucket_us: int, rows: int, account: str = "accoun
 def _marked(df: DataFrame, windows: dict[str, int], account: str, ts: str, amount: str, tie: str,
             context_us: int | None) -> DataFrame:
     """Rows and their markers: ``_kind`` 0 for a row, i for the lower bound of window i, -1 for the
-    context copy in the next bucket. Only a row itself carries the input columns."""
+    context copy in the next bucket. Only a row itself carries texts and the like."""
     columns = [F.col(f"`{c}`") for c in df.columns]
+    carried = [c for c in df.columns if c not in (account, ts, tie) and not isinstance(df.schema[c].dataType, FIXED_WIDTH)]
     us, amt = micros_ntz(ts), F.col(amount).cast(AMOUNT_TYPE)
     own = F.struct(F.lit(0).alias("k"), us.alias("u"), amt.alias("a"), F.lit(0).alias("d"))
     variants = [own] + [
@@ -76,6 +79,7 @@ def _marked(df: DataFrame, windows: dict[str, int], account: str, ts: str, amoun
         variants.append(F.struct(F.lit(-1).alias("k"), us.alias("u"), amt.alias("a"), F.lit(1).alias("d")))
     out = df.select(*columns, F.explode(F.array(*variants)).alias("_v"), us.alias("_t"))
     out = out.select("*", F.col("_v.k").alias("_kind"), F.col("_v.u").alias("_us"), F.col("_v.a").alias("_amt"))
+    out = out.withColumns({c: F.when(F.col("_kind") == 0, F.col(f"`{c}`")) for c in carried})
     if context_us:
         loose = F.lit(-1) - F.pmod(F.xxhash64(tie), F.lit(LOOSE_GROUPS))
         usable = F.col(account).isNotNull() & F.col("_t").isNotNull()
@@ -128,7 +132,7 @@ def account_window_stats(
         group = Window.partitionBy(tie)
     else:
         # More groups of (account, bucket) in a task are more memory: the tasks grow in number with the input.
-        n = partitions_for(df, TASK_BYTES)
+        n = max(partitions_for(df, TASK_BYTES), min(partitions_for(df, FINE_BYTES), FINE_TASKS))
         if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
             marked = marked.repartition(n, F.col(account), F.col("_bucket"))
         running = Window.partitionBy(account, "_bucket").orderBy("_us", "_place", tie)
