@@ -343,3 +343,21 @@ def test_first_append_keeps_one_row_of_each_key(spark):
     assert store.append_live_predictions(twice, predictions_from_transactions(twice), root, run="second") == 0
     tx, pr = store.read_monitoring_tables(spark, root)
     assert tx.count() == 60 and pr.count() == 2 * predictions_from_transactions(part).count()
+
+
+def test_sums_of_new_rows_need_no_join(spark):
+    """What a write adds to the sums comes from rows that carry their transaction: as the joined form says, without a join."""
+    day = "DATE'2024-01-01' AS txn_date"
+    facts = spark.range(6).selectExpr("concat('t', id) AS transaction_id", day, "if(id < 3, 'web', 'pos') AS channel",
+                                      "CAST(id % 2 AS INT) AS is_fraud", "CAST(1 AS INT) AS is_success", "id < 4 AS is_new",
+                                      "timestamp_ntz'2024-01-01 00:00:00' AS transaction_timestamp")
+    pairs = [("t0", 1.0), ("t0", 2.0), ("t1", 4.0), ("t4", 8.0), ("t5", 16.0), ("t5", 32.0), (None, 64.0)]
+    pred = spark.createDataFrame(pairs, "transaction_id string, risk_score double")
+    had = spark.createDataFrame([("t4", 2)], "transaction_id string, had bigint")
+    carried = store._with_facts(pred, facts).checkpoint()
+    new = facts.where("is_new").checkpoint()
+    rows = lambda df: sorted(map(tuple, df.select("channel", "total", "fraud", "success", "risk").collect()))
+    touched = facts.where("is_new OR transaction_id IN ('t4', 't5')")
+    assert rows(store._sums_of_new(new, carried, had)) == rows(store._added_totals(touched, pred, had))
+    first = store._sums_of_new(new, carried)
+    assert "Join" not in first._jdf.queryExecution().executedPlan().toString()

@@ -81,6 +81,9 @@ TOTALS_SCHEMA = T.StructType(
     + [T.StructField(c, T.LongType(), True) for c in ("total", "fraud", "success")]
     + [T.StructField("risk", T.DoubleType(), True), _DATE]
 )
+#: What a key row says of its transaction, beside the id.
+ABOUT = [c for c in KEY_SCHEMA.names if c not in ("transaction_id", "run")]
+FACTS = [*ABOUT, "is_new"]
 TX, PRED, TOTALS = "transactions", "predictions", "totals"
 LAYOUT = {
     TX: (TX_FILE_SCHEMA, "txn_date", "transaction_timestamp"),
@@ -102,9 +105,10 @@ def _with_run(predictions: DataFrame, run: str) -> DataFrame:
     )
 
 
-def _with_dates(predictions: DataFrame, dates: DataFrame) -> DataFrame:
-    """Predictions with the date of their transaction, the partition column of the predictions table."""
-    return predictions.join(dates.select("transaction_id", "txn_date"), "transaction_id", "left")
+def _with_facts(predictions: DataFrame, facts: DataFrame) -> DataFrame:
+    """Predictions with what is known of their transaction: its date, the partition column of the predictions table, and
+    what their key rows and sums repeat (``FACTS``), so that one join serves them all. ``is_new`` is NULL for an orphan."""
+    return predictions.join(facts.select("transaction_id", *FACTS), "transaction_id", "left")
 
 
 def _flag(column: str) -> Column:
@@ -133,10 +137,31 @@ def _added_totals(facts: DataFrame, predictions: DataFrame, stored: DataFrame |
     )
 
 
-def _write_segment(root: str, tx: DataFrame, n_tx: int, pred: DataFrame, facts: DataFrame, totals: DataFrame) -> tuple[Segment, int]:
+def _sums_of_new(new: DataFrame, pred: DataFrame, had: DataFrame | None = None) -> DataFrame:
+    """``_added_totals`` where ids are unique, without a join: new transactions are a row each, and so is a prediction that is
+    not the first of its transaction. ``pred`` carries ``FACTS``; ``had`` counts the predictions stored before."""
+    cell = ["txn_date", "channel", "is_fraud", "is_success"]
+    each = pred.where(F.col("is_new").isNotNull()).groupBy("transaction_id", *cell).agg(
+        F.count(F.lit(1)).alias("more"), F.sum("risk_score").alias("risk")
+    )
+    before: Column = F.lit(0)
+    if had is not None:
+        each, before = each.join(had, "transaction_id", "left"), F.coalesce("had", F.lit(0))
+    rows = each.select(*cell, (F.col("more") - F.when(before == 0, 1).otherwise(0)).alias("w"), "risk").unionByName(
+        new.select(*cell, F.lit(1).cast("bigint").alias("w"), F.lit(0.0).alias("risk"))
+    )
+    return rows.groupBy("txn_date", "channel").agg(
+        F.sum("w").alias("total"),
+        F.sum(F.col("w") * _flag("is_fraud")).alias("fraud"),
+        F.sum(F.col("w") * _flag("is_success")).alias("success"),
+        F.coalesce(F.sum("risk"), F.lit(0.0)).alias("risk"),
+    )
+
+
+def _write_segment(root: str, tx: DataFrame, n_tx: int, pred: DataFrame, totals: DataFrame) -> tuple[Segment, int]:
     """Write the files of one segment; the segment and the largest prediction id in it.
 
-    ``facts`` names the ``n_tx`` new transactions and those of the predictions, whose key rows repeat them. Give frames that are cheap to read again.
+    ``tx`` are the ``n_tx`` new transactions; ``pred`` carries ``FACTS``, which its key rows repeat. Give frames that are cheap to read again.
     """
     name = snapshots.new_name()
     n_pred, top = pred.agg(F.count(F.lit(1)), F.max("prediction_id")).first()
@@ -144,9 +169,8 @@ def _write_segment(root: str, tx: DataFrame, n_tx: int, pred: DataFrame, facts:
         snapshots.write_by(tx.select(*TX_FILE_SCHEMA.names), root, TX, name, *LAYOUT[TX][1:])
     if n_pred:
         snapshots.write_by(pred.select(*PRED_FILE_SCHEMA.names), root, PRED, name, *LAYOUT[PRED][1:])
-    about = [F.col(c) for c in KEY_SCHEMA.names if c != "run"]
-    new = facts.where("is_new").select(*about, F.lit(None).cast("string").alias("run"))
-    scored = pred.select("transaction_id", "run").join(facts.select(*about), "transaction_id").select(*about, "run")
+    new = tx.select("transaction_id", *ABOUT, F.lit(None).cast("string").alias("run"))
+    scored = pred.where(F.col("is_new").isNotNull()).select("transaction_id", *ABOUT, "run")
     buckets = snapshots.write_keys(new.unionByName(scored).select(*KEY_SCHEMA.names), "transaction_id", root, name, n_tx + n_pred)
     snapshots.write_by(totals.select(*TOTALS_SCHEMA.names), root, TOTALS, name, *LAYOUT[TOTALS][1:])
     any_rows = int(n_tx + n_pred > 0)
@@ -179,7 +203,8 @@ def write_monitoring_data(transactions: DataFrame, predictions: DataFrame, root:
     base = snapshots.current(spark, root)
     tx = conform_transactions(transactions).withColumn("txn_date", F.to_date("transaction_timestamp")).checkpoint(eager=True)
     # Ids are taken from stored rows, so that a task that runs again gives the same ones.
-    dated = _with_dates(_with_run(predictions, run), tx).checkpoint(eager=True)
+    facts = tx.withColumn("is_new", F.lit(True))
+    dated = _with_facts(_with_run(predictions, run), facts).checkpoint(eager=True)
     if check:
         # A prediction without a date has no transaction, unless a transaction without a time is refused anyway.
         _refuse(
@@ -188,9 +213,9 @@ def write_monitoring_data(transactions: DataFrame, predictions: DataFrame, root:
             pred_null_violations=_nulls(dated, quality.PREDICTION_NOT_NULL),
             fk_orphans=_count(dated.where(F.col("txn_date").isNull())),
         )
-    ided = with_prediction_ids(dated, keep=["run", "txn_date"])
-    facts = tx.withColumn("is_new", F.lit(True))
-    segment, top = _write_segment(root, tx, tx.count(), ided, facts, _added_totals(facts, dated))
+    ided = with_prediction_ids(dated, keep=["run", *FACTS])
+    totals = _sums_of_new(tx, dated) if check else _added_totals(facts, dated)
+    segment, top = _write_segment(root, tx, tx.count(), ided, totals)
     snapshots.publish(spark, root, base, [segment], {HIGH_WATER: top})
     snapshots.expire(spark, root)
 
@@ -251,35 +276,38 @@ def append_live_predictions(transactions: DataFrame, predictions: DataFrame, roo
     tx = conform_transactions(transactions).withColumn("txn_date", F.to_date("transaction_timestamp"))
     tx = _one_each(tx, ["transaction_id"])
     pr = _one_each(_with_run(predictions, run), ["transaction_id", "run"])
+    moved = had = None
     if any(s.rows.get(KEYS) for s in base.segments):
-        ids = tx.select("transaction_id").union(pr.select("transaction_id")).distinct().checkpoint(eager=True)
+        ids = tx.select("transaction_id").union(pr.select("transaction_id"))  # one that comes twice is found once
         stored = snapshots.look_up(spark, root, base, ids, KEY_SCHEMA).checkpoint(eager=True)
-    else:  # known to be empty, so that no join below moves a row for it
-        stored = spark.createDataFrame([], KEY_SCHEMA)
-    known = stored.where(F.col("run").isNull()).drop("run")
-    new_tx = tx.join(known.select("transaction_id"), "transaction_id", "left_anti")
-    about = [c for c in KEY_SCHEMA.names if c != "run"]
-    facts = known.select(*about, F.lit(False).alias("is_new")).unionByName(new_tx.select(*about, F.lit(True).alias("is_new"))).checkpoint(eager=True)
+        known = stored.where(F.col("run").isNull())
+        was = known.select("transaction_id", F.col("transaction_timestamp").alias("_was"), F.lit(True).alias("_known"))
+        met = tx.join(was, "transaction_id", "left").checkpoint(eager=True)
+        moved = met.where(F.col("_known") & ~F.col("transaction_timestamp").eqNullSafe(F.col("_was")))
+        new_tx = met.where(F.col("_known").isNull()).select(*tx.columns)
+        scored = stored.where(F.col("run").isNotNull()).select("transaction_id", "run")
+        new_pr = pr.join(scored, ["transaction_id", "run"], "left_anti")
+        had = scored.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("had"))
+        facts = known.select("transaction_id", *ABOUT, F.lit(False).alias("is_new")).unionByName(
+            new_tx.select("transaction_id", *ABOUT, F.lit(True).alias("is_new"))
+        )
+    else:  # nothing is stored: no join below moves a row for it
+        new_tx, new_pr, facts = tx, pr, tx.withColumn("is_new", F.lit(True))
+    start = int(base.marks.get(HIGH_WATER, 0))
+    ided = with_prediction_ids(_with_facts(new_pr, facts), start, keep=["run", *FACTS]).checkpoint(eager=True)
     if check:
-        was = known.select("transaction_id", F.col("transaction_timestamp").alias("was"))
-        moved = tx.join(was, "transaction_id").where(~F.col("transaction_timestamp").eqNullSafe(F.col("was")))
         _refuse(
-            changed_timestamps=_count(moved),
+            **({} if moved is None else {"changed_timestamps": _count(moved)}),
             tx_null_violations=_nulls(tx, quality.TRANSACTION_NOT_NULL),
             pred_null_violations=_nulls(pr, quality.PREDICTION_NOT_NULL),
-            fk_orphans=_count(pr.join(facts, "transaction_id", "left_anti")),
+            # A prediction that its run has stored is of a stored transaction.
+            fk_orphans=_count(ided.where(F.col("is_new").isNull())),
         )
-    scored = stored.where(F.col("run").isNotNull()).select("transaction_id", "run")
-    new_pr = _with_dates(pr.join(scored, ["transaction_id", "run"], "left_anti"), facts)
-    ided = with_prediction_ids(new_pr, int(base.marks.get(HIGH_WATER, 0)), keep=["run", "txn_date"]).checkpoint(eager=True)
-    has_new = ided.select("transaction_id").distinct().withColumn("scored", F.lit(True))
-    touched = facts.join(has_new, "transaction_id", "left").where(F.col("is_new") | F.col("scored")).drop("scored").checkpoint(eager=True)
-    n_touched, n_tx = touched.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("is_new").cast("int")), F.lit(0))).first()
-    if not n_touched:
+    n_tx = new_tx.count()
+    if not n_tx and ided.where(F.col("is_new").isNotNull()).isEmpty():
         return 0
-    had = scored.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("had"))
-    rows = tx.join(touched.where("is_new").select("transaction_id"), "transaction_id", "left_semi")
-    segment, top = _write_segment(root, rows, n_tx, ided, touched, _added_totals(touched, ided, had))
+    rows = new_tx.where(F.col("transaction_id").isNotNull())
+    segment, top = _write_segment(root, rows, n_tx, ided, _sums_of_new(new_tx, ided, had))
     marks = base.marks | {HIGH_WATER: max(top, int(base.marks.get(HIGH_WATER, 0)))}
     snapshots.publish(spark, root, base, [*base.segments, segment], marks)
     compact_store(spark, root)
