@@ -62,3 +62,27 @@ def test_one_class_is_refused(spark):
     df = spark.createDataFrame([("a", 1.0, 0), ("b", 2.0, 0)], "c string, v double, y int")
     with pytest.raises(ValueError):
         fit_category_logistic(df, "y", ["v"], ["c"])
+
+
+def test_blocks_hold_the_rows():
+    """Rows are put into blocks once; a pass over them gives the loss and the slopes of the rows."""
+    import pyarrow as pa
+
+    from txnwatch.operators.categories import BLOCK_ROWS, _blocks, _slopes
+
+    n, rng = BLOCK_ROWS + 7, np.random.default_rng(3)
+    x, y = rng.normal(size=(n, 2)), rng.integers(0, 2, n).astype(float)
+    at = [[i % 3] if i % 5 else [] for i in range(n)]
+    whole = pa.RecordBatch.from_arrays([pa.array(x.tolist()), pa.array(at, pa.list_(pa.int64())), pa.array(y), pa.array(np.full(n, 2.0))],
+                                       names=["x", "at", "_y", "_w"])
+    blocks = list(_blocks(iter([whole.slice(5), whole.slice(0, 5), whole.slice(0, 0)])))
+    assert len(blocks) == 3
+    beta = np.array([0.1, -0.2, 0.3, 0.5, -0.5, 0.7])
+    (out,) = _slopes(beta, 2)(iter(blocks))
+    full = np.column_stack([np.ones(n), x, [[float(k in a) for k in range(3)] for a in at]])
+    z = full @ beta
+    off = 2.0 * (1 / (1 + np.exp(-z)) - y)
+    want = np.concatenate([[np.sum(2.0 * (np.logaddexp(0, z) - y * z))], full.T @ off])
+    got = np.zeros(7)
+    got[out.column("k").to_numpy()] = out.column("x").to_numpy()
+    assert np.allclose(got, want)

@@ -54,18 +54,33 @@ def category_places(df: DataFrame, index: DataFrame, cols: list[str], prefix: st
     return df
 
 
+#: Rows of a block, and its columns: numbers, places a row, places, labels and weights, as bytes.
+BLOCK_ROWS = 4096
+_BLOCK = {"x": np.float64, "size": np.int32, "at": np.int64, "y": np.float64, "w": np.float64}
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows put together once, so that each pass of a fit reads a block and not its rows one by one."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, BLOCK_ROWS):
+            batch = whole.slice(start, BLOCK_ROWS)
+            at = batch.column("at")
+            parts = [batch.column("x").flatten(), at.value_lengths(), at.flatten(), batch.column("_y"), batch.column("_w")]
+            packed = [p.to_numpy(zero_copy_only=False).astype(t, copy=False).tobytes() for p, t in zip(parts, _BLOCK.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], names=list(_BLOCK))
+
+
 def _slopes(beta: np.ndarray, numbers: int):
-    """Loss and gradient of each task's rows, as (k, x) for the parts that are not zero; k = 0 is the loss."""
+    """Loss and gradient of each task's blocks, as (k, x) for the parts that are not zero; k = 0 is the loss."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(beta) + 1)
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, numbers)
-            at = batch.column("at")
-            row = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
-            place = at.flatten().to_numpy(zero_copy_only=False) + 1 + numbers
-            y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_w"))
-            z = beta[0] + x @ beta[1 : 1 + numbers] + np.bincount(row, beta[place], len(at))
+        for block in (b for batch in batches for b in batch.to_pylist()):
+            x, size, at, y, w = (np.frombuffer(block[c], t) for c, t in _BLOCK.items())
+            x = x.reshape(len(y), numbers)
+            row = np.repeat(np.arange(len(y)), size)
+            place = at + 1 + numbers
+            z = beta[0] + x @ beta[1 : 1 + numbers] + np.bincount(row, beta[place], len(y))
             off = w * (0.5 * (1.0 + np.tanh(0.5 * z)) - y)
             total[0] += float(np.sum(w * (np.logaddexp(0.0, z) - y * z)))
             total[1] += off.sum()
@@ -124,11 +139,12 @@ def fit_category_logistic(train: DataFrame, label: str, numeric: list[str], cols
         F.array_compact(F.array(*at_names)).alias("at"),
         F.col(label).cast("double").alias("_y"),
         balanced_weight(label, counts).alias("_w"),
-    ).checkpoint(eager=True)
-    weight = float(rows.agg(F.sum("_w")).first()[0])
+    )
+    blocks = rows.mapInArrow(_blocks, ", ".join(f"{c} binary" for c in _BLOCK)).checkpoint(eager=True)
+    weight = float(sum(counts.values()))  # balanced weights add up to the rows
 
     def at(beta: np.ndarray) -> tuple[float, np.ndarray]:
-        parts = rows.mapInArrow(_slopes(beta.copy(), len(numeric)), "k bigint, x double")
+        parts = blocks.mapInArrow(_slopes(beta.copy(), len(numeric)), "k bigint, x double")
         sums = parts.groupBy("k").agg(F.sum("x").alias("x")).toPandas()  # d + 1 numbers at most
         total = np.zeros(d + 1)
         total[sums["k"].to_numpy()] = sums["x"].to_numpy()
