@@ -174,3 +174,23 @@ def test_few_tasks_are_dealt_finer_and_markers_carry_no_texts(spark, monkeypatch
     assert many.orderBy("transaction_id").collect() == plain
     monkeypatch.setattr(rolling, "FINE_TASKS", least + 5)
     assert add_account_rollups(df).rdd.getNumPartitions() == least + 5
+
+
+def test_markers_are_made_behind_the_exchange(spark):
+    """The task that deals rows out holds what it sends: a row and its context, which is without texts, but no markers."""
+    from txnwatch.operators import rolling
+
+    names = ("account_id", "transaction_timestamp", "Amount", "transaction_id")
+    df = spark.range(200).select(
+        F.format_string("t%04d", "id").alias("transaction_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("account_id"),
+        F.when(F.col("id") % 11 > 0, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 1000)).cast("timestamp_ntz").alias("transaction_timestamp"),
+        (F.col("id") % 9).cast("double").alias("Amount"), F.lit("a long text").alias("text"),
+    ).checkpoint()
+    plan = add_account_rollups(df)._jdf.queryExecution().optimizedPlan().toString()
+    behind, _, sent = plan.partition("RepartitionByExpression [account_id")
+    assert behind.count("Generate explode") == 1 and sent.count("Generate explode") == 1
+    copies = rolling._copied(df, DAY_US, *names)
+    assert copies.count() == 2 * df.count()
+    assert copies.where("_ctx = 1 and (text is not null or transaction_id is not null)").isEmpty()
+    kinds = rolling._marked(df, {"w": HOUR_US, "d": DAY_US}, *names, DAY_US).groupBy("_kind").count().collect()
+    assert {r["_kind"]: r["count"] for r in kinds} == {k: 200 for k in (-1, 0, 1, 2)}

@@ -10,7 +10,8 @@ Plan: one scan and one exchange.
 * Time is cut into buckets as long as the longest window, so a row's frames lie
   in its own bucket and the one before. Each row is copied to its own bucket
   and, as context, to the next one; rows are dealt by ``(account, bucket)``, to more
-  tasks where more bytes are read.
+  tasks where more bytes are read. The task that deals them out holds what it sends,
+  so the markers below are made behind the exchange.
 * ``count(t-W, t] = C(t) - C(t-W)`` with C the running count in that group.
   Lower bounds are marker rows at ``t - W``, sorted after data rows of the same
   instant, whose running count is ``C(t - W)``. Running frames are linear in the
@@ -63,28 +64,39 @@ def hot_buckets(df: DataFrame, bucket_us: int, rows: int, account: str = "accoun
     return keyed.groupBy(account, "bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > rows)
 
 
+def _copied(df: DataFrame, bucket_us: int, account: str, ts: str, amount: str, tie: str) -> DataFrame:
+    """Each row in its own ``_bucket`` (``_ctx`` 0) and, as context, in the next one (``_ctx`` 1), where only account, time and
+    amount are of use: what has no fixed width is left out there."""
+    given = [c for c in df.columns if c not in (account, ts, amount) and not isinstance(df.schema[c].dataType, FIXED_WIDTH)]
+    usable = F.col(account).isNotNull() & F.col(ts).isNotNull()
+    loose = F.lit(-1) - F.pmod(F.xxhash64(tie), F.lit(LOOSE_GROUPS))
+    bucket = F.when(usable, _bucket(micros_ntz(ts), bucket_us)).otherwise(loose)
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns], bucket.alias("_bucket"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_ctx"))
+    changed = {c: F.when(F.col("_ctx") == 0, F.col(f"`{c}`")) for c in given}
+    return out.withColumns(changed | {"_bucket": F.col("_bucket") + F.when(usable, F.col("_ctx")).otherwise(0)})
+
+
 def _marked(df: DataFrame, windows: dict[str, int], account: str, ts: str, amount: str, tie: str,
-            context_us: int | None) -> DataFrame:
+            context_us: int | None, tasks: int | None = None) -> DataFrame:
     """Rows and their markers: ``_kind`` 0 for a row, i for the lower bound of window i, -1 for the
-    context copy in the next bucket. Only a row itself carries texts and the like."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    context copy in the next bucket, which has no markers. Only a row itself carries texts and the like.
+    With buckets the rows are dealt by them first, to ``tasks`` tasks: a task holds all rows that it deals out."""
     carried = [c for c in df.columns if c not in (account, ts, tie) and not isinstance(df.schema[c].dataType, FIXED_WIDTH)]
+    columns = [F.col(f"`{c}`") for c in df.columns] + ([F.col("_bucket")] if context_us else [])
     us, amt = micros_ntz(ts), F.col(amount).cast(AMOUNT_TYPE)
-    own = F.struct(F.lit(0).alias("k"), us.alias("u"), amt.alias("a"), F.lit(0).alias("d"))
-    variants = [own] + [
-        F.struct(F.lit(i).alias("k"), (us - F.lit(int(w))).alias("u"), F.lit(None).cast(AMOUNT_TYPE).alias("a"), F.lit(0).alias("d"))
+    own = F.struct(F.lit(0).alias("k"), us.alias("u"), amt.alias("a"))
+    variants = F.array(own, *[
+        F.struct(F.lit(i).alias("k"), (us - F.lit(int(w))).alias("u"), F.lit(None).cast(AMOUNT_TYPE).alias("a"))
         for i, w in enumerate(windows.values(), start=1)
-    ]
-    if context_us:
-        variants.append(F.struct(F.lit(-1).alias("k"), us.alias("u"), amt.alias("a"), F.lit(1).alias("d")))
-    out = df.select(*columns, F.explode(F.array(*variants)).alias("_v"), us.alias("_t"))
-    out = out.select("*", F.col("_v.k").alias("_kind"), F.col("_v.u").alias("_us"), F.col("_v.a").alias("_amt"))
-    out = out.withColumns({c: F.when(F.col("_kind") == 0, F.col(f"`{c}`")) for c in carried})
+    ])
     if context_us:
-        loose = F.lit(-1) - F.pmod(F.xxhash64(tie), F.lit(LOOSE_GROUPS))
-        usable = F.col(account).isNotNull() & F.col("_t").isNotNull()
-        out = out.withColumn("_bucket", F.when(usable, _bucket(F.col("_t"), context_us) + F.col("_v.d")).otherwise(loose))
-    return out.drop("_v", "_t")
+        df = _copied(df, context_us, account, ts, amount, tie)
+        df = df.repartition(*([tasks] if tasks else []), F.col(account), F.col("_bucket"))
+        context = F.struct(F.lit(-1).alias("k"), us.alias("u"), amt.alias("a"))
+        variants = F.when(F.col("_ctx") == 0, variants).otherwise(F.array(context))
+    out = df.select(*columns, F.explode(variants).alias("_v"))
+    out = out.select("*", F.col("_v.k").alias("_kind"), F.col("_v.u").alias("_us"), F.col("_v.a").alias("_amt")).drop("_v")
+    return out.withColumns({c: F.when(F.col("_kind") == 0, F.col(f"`{c}`")) for c in carried})
 
 
 def account_window_stats(
@@ -125,16 +137,16 @@ def account_window_stats(
     names = list(windows)
     # At one instant rows and context come in tie order, markers after them.
     place = F.when(F.col("_kind") > 0, F.col("_kind")).otherwise(0)
-    marked = _marked(df, windows, account, ts, amount, tie, None if split else bucket_us).withColumn("_place", place)
     if split:
+        marked = _marked(df, windows, account, ts, amount, tie, None).withColumn("_place", place)
         one = F.col("_amt").isNotNull().cast("bigint")
         summed = prefix_sums(marked, [F.col(account), "_us", "_place", F.col(tie)], {"_cn": one, "_cs": F.col("_amt")})
         group = Window.partitionBy(tie)
     else:
         # More groups of (account, bucket) in a task are more memory: the tasks grow in number with the input.
         n = max(partitions_for(df, TASK_BYTES), min(partitions_for(df, FINE_BYTES), FINE_TASKS))
-        if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-            marked = marked.repartition(n, F.col(account), F.col("_bucket"))
+        tasks = n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+        marked = _marked(df, windows, account, ts, amount, tie, bucket_us, tasks).withColumn("_place", place)
         running = Window.partitionBy(account, "_bucket").orderBy("_us", "_place", tie)
         running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         zero = F.lit(0).cast(SUM_TYPE)
